@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewatch.functions.columns import epoch_to_ts, offset_key, window_key
-from scorewatch.operators import monitor, prep, profile, registry, training
+from scorewatch.operators import monitor, prep, profile, registry, scoring, training
+from scorewatch.plans import workflow
+from scorewatch.streaming import scoring as streaming
 from scorewatch.session import fresh_dir
 from scorewatch.sources import fixtures as fx
 from scorewatch.sources import sinks, tables
@@ -26,6 +28,7 @@ WIDER_GRID = [{"lo": lo, "hi": hi} for lo in (0, 5, 20, 30) for hi in (80, 120,
 GRID_CUTOFF = "2024-01-11"
 KPI_AFTER_DAY = "2024-01-20"
 DETAIL_RUN = "3"
+RETRAIN_WINDOW = ("2024-01-14 00:00:00", "2024-01-20 23:59:00")
 
 
 # --- shared pieces ---------------------------------------------------------------
@@ -261,6 +264,128 @@ def promotion_log(spark, sf_dir):
     return registry.promotion_log(_promotions(spark, sf_dir))
 
 
+# --- streams ----------------------------------------------------------------------------
+def _rule_scorer(version):
+    return lambda r: fx.rule_predictions(fx.perturb(r), version)
+
+
+def _run_stream(query):
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+
+
+def stream_score_rule(spark, sf_dir):
+    """Stream the events file set, score with rule model m1, append with a
+    checkpoint (S4, C2, K4); a rerun on the same checkpoint adds nothing."""
+    out, ckpt = fresh_dir(spark, "pred"), fresh_dir(spark, "ckpt")
+    stream = streaming.stream_event_readings(spark, sf_dir)
+    _run_stream(streaming.stream_score(stream, _rule_scorer("m1"), out, ckpt))
+    _run_stream(streaming.stream_score(stream, _rule_scorer("m1"), out, ckpt))
+    return tables.predictions(spark, out)
+
+
+def stream_labels(spark, sf_dir):
+    """Labels table written in slices, read as a stream (S5), appended (K4)."""
+    src, out, ckpt = (fresh_dir(spark, n) for n in ("labels", "labels_out", "ckpt"))
+    sinks.write_batch(_labels(spark, sf_dir), src, mode="overwrite", max_records_per_file=5000)
+    s = streaming.stream_labels(spark, src, max_files_per_trigger=4)
+    _run_stream(streaming.write_stream(s, out, ckpt))
+    return tables.labels(spark, out)
+
+
+def stream_predictions(spark, sf_dir):
+    """A scoring stream's output read back as a stream (S6) into a second sink."""
+    out1, ck1, out2, ck2 = (fresh_dir(spark, n) for n in ("pred", "ckpt", "pred2", "ckpt2"))
+    stream = streaming.stream_event_readings(spark, sf_dir)
+    _run_stream(streaming.stream_score(stream, _rule_scorer("m1"), out1, ck1))
+    _run_stream(streaming.write_stream(streaming.stream_predictions(spark, out1), out2, ck2))
+    return tables.predictions(spark, out2)
+
+
+def _swap_scorer(threshold, version):
+    return lambda r: r.select(
+        "pid", "process_time",
+        F.when(F.col("temp") > threshold, "1").otherwise("0").alias("predicted_quality"),
+        F.lit(version).alias("model_version"))
+
+
+def stream_swap(spark, sf_dir):
+    """Model swap on a running stream (C3): first arrival scored by m1, the
+    stream restarted on the same checkpoint with m2 for the second arrival;
+    rows already written keep m1."""
+    src, out, ckpt = (fresh_dir(spark, n) for n in ("arrivals", "pred", "ckpt"))
+    ev = fx.events(spark, sf_dir)
+    sinks.write_batch(prep.time_slice(ev, "ts", hi=fx.SWITCH_DAY), src, mode="overwrite")
+    stream = fx.readings_from_events(streaming.stream_table(spark, src, ev.schema))
+    q = streaming.stream_score(stream, _swap_scorer(5, "m1"), out, ckpt)
+    _run_stream(q)
+    sinks.write_batch(prep.time_slice(ev, "ts", lo=fx.SWITCH_DAY), src, mode="append")
+    _run_stream(streaming.swap_model(q, stream, _swap_scorer(30, "m2"), out, ckpt))
+    return tables.predictions(spark, out)
+
+
+# --- fitted models (rows-only checks) --------------------------------------------------------
+def _fit_score(spark, sf_dir, family, parallelism=3):
+    frame = prep.training_set(fx.noisy(spark, sf_dir), _labels(spark, sf_dir), *fx.TRAIN_WINDOW)
+    res = training.fit_grid(spark, frame, family, fresh_dir(spark, "models"),
+                            window=" - ".join(fx.TRAIN_WINDOW), parallelism=parallelism)
+    rid, _ = training.best_of(res)
+    model = scoring.load_model(res.model_paths[rid])
+    return scoring.score(model, fx.noisy(spark, sf_dir), rid)
+
+
+def forest_score(spark, sf_dir):
+    """Random-forest grid (9 fits), best by accuracy, all readings scored."""
+    return _fit_score(spark, sf_dir, "RandomForest")
+
+
+def tree_score(spark, sf_dir):
+    """Decision-tree grid (3 fits), best run scores all readings."""
+    return _fit_score(spark, sf_dir, "DecisionTree")
+
+
+def boosted_score(spark, sf_dir):
+    """Boosted-tree grid (9 fits, GBT in place of XGBoost)."""
+    return _fit_score(spark, sf_dir, "GBT")
+
+
+def retrain(spark, sf_dir):
+    """The whole loop (M13, R1-R8, C2, C3): train on the first window, promote,
+    stream-score the first arrival; retrain on the drifted window, promote
+    (the old run is demoted), swap the stream's model for the second arrival."""
+    paths = workflow.LoopPaths(fresh_dir(spark, "loop"))
+    src = fresh_dir(spark, "arrivals")
+    readings, labels = fx.noisy(spark, sf_dir), _labels(spark, sf_dir)
+    ev = fx.events(spark, sf_dir)
+    rid = workflow.train_round(spark, paths, readings, labels, *fx.TRAIN_WINDOW,
+                              at="2024-01-11 17:00:00")
+    workflow.promote(spark, paths, rid, "scorewatch", "2024-01-11 18:00:00")
+    sinks.write_batch(prep.time_slice(ev, "ts", hi=fx.SWITCH_DAY), src, mode="overwrite")
+    stream = fx.perturb(fx.readings_from_events(streaming.stream_table(spark, src, ev.schema)))
+    q = workflow.score_stream(spark, paths, stream)
+    _run_stream(q)
+    rid2 = workflow.train_round(spark, paths, readings, labels, *RETRAIN_WINDOW,
+                               at="2024-01-21 00:30:00")
+    workflow.promote(spark, paths, rid2, "scorewatch", "2024-01-21 01:00:00")
+    sinks.write_batch(prep.time_slice(ev, "ts", lo=fx.SWITCH_DAY), src, mode="append")
+    _run_stream(workflow.score_stream(spark, paths, stream, query=q))
+    return tables.predictions(spark, paths.predictions)
+
+
+def stream_score_model(spark, sf_dir):
+    """Stream scoring with a fitted pipeline (C2 with Spark ML)."""
+    frame = prep.training_set(fx.noisy(spark, sf_dir), _labels(spark, sf_dir), *fx.TRAIN_WINDOW)
+    res = training.fit_grid(spark, frame, "DecisionTree", fresh_dir(spark, "models"),
+                            window=" - ".join(fx.TRAIN_WINDOW))
+    rid, _ = training.best_of(res)
+    model = scoring.load_model(res.model_paths[rid])
+    out, ckpt = fresh_dir(spark, "pred"), fresh_dir(spark, "ckpt")
+    stream = fx.perturb(streaming.stream_event_readings(spark, sf_dir))
+    _run_stream(streaming.stream_score(stream, lambda r: scoring.score(model, r, rid), out, ckpt))
+    return tables.predictions(spark, out)
+
+
 QUERIES: dict[str, Query] = {
     "kpi_daily": kpi_daily,
     "kpi_from_tables": kpi_from_tables,
@@ -294,4 +419,13 @@ QUERIES: dict[str, Query] = {
     "batch_write_slices": batch_write_slices,
     "scaled_features": scaled_features,
     "epoch_readings": epoch_readings,
+    "stream_score_rule": stream_score_rule,
+    "stream_labels": stream_labels,
+    "stream_predictions": stream_predictions,
+    "stream_swap": stream_swap,
+    "forest_score": forest_score,
+    "tree_score": tree_score,
+    "boosted_score": boosted_score,
+    "stream_score_model": stream_score_model,
+    "retrain": retrain,
 }

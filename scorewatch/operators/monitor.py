@@ -73,20 +73,42 @@ def _with_share(counts: DataFrame, keys: Sequence[str], label_col: str) -> DataF
             .orderBy(*keys, label_col))
 
 
+def _matched(classes: Sequence[int]) -> F.Column:
+    """Label rows of the pid equal to the prediction (0 for text that is no label)."""
+    pred = label_as_int("predicted_quality")
+    out = F.lit(0).cast("long")
+    for i, c in reversed(list(enumerate(classes))):
+        out = F.when(pred == c, F.col(f"_nl{i}")).otherwise(out)
+    return out
+
+
 def daily_kpi(labels: DataFrame, predictions: DataFrame, by_version: bool = False,
               width: str = "1 day", classes: Sequence[int] = LABEL_CLASSES) -> DataFrame:
     """Share of right and wrong predictions per day.
 
     Labelled predictions only (inner join); versions are pooled unless
     ``by_version``. A day without wrong (or right) predictions has no such row.
+    Right and all pairs are summed in one aggregation after the join, so the
+    day total needs no window (it equals ``sum(count) OVER (PARTITION BY day)``).
     """
     keys = ["window_day"] + (["model_version"] if by_version else [])
-    preds = predictions.withColumn("window_day", window_day("process_time", width))
-    pc = pair_counts(labels, preds, keys, classes)
-    counts = (pc.withColumn("_acc", correct_flag("predicted_quality", "quality"))
-              .groupBy(*keys, "_acc").agg(F.sum("count").cast("long").alias("count"))
-              .withColumn("accurate_prediction", flag_text("_acc")))
-    return _with_share(counts, keys, "accurate_prediction")
+    p = (predictions.select("pid", window_day("process_time", width).alias("window_day"),
+                            *keys[1:], "predicted_quality")
+         .groupBy("pid", *keys, "predicted_quality").agg(F.count(F.lit(1)).alias("_np")))
+    j = p.join(_label_counts(labels, classes), "pid")
+    daily = j.groupBy(*keys).agg(
+        F.sum(F.col("_np") * _matched(classes)).alias("_right"),
+        F.sum(F.col("_np") * F.col("_nl")).alias("total"))
+    cells = F.array(
+        F.struct(F.lit("Accurate").alias("accurate_prediction"), F.col("_right").alias("count")),
+        F.struct(F.lit("Inaccurate").alias("accurate_prediction"),
+                 (F.col("total") - F.col("_right")).alias("count")))
+    return (daily.select(*keys, "total", F.explode(cells).alias("_c"))
+            .select(*keys, "_c.accurate_prediction", F.col("_c.count").cast("long").alias("count"),
+                    F.col("total").cast("long").alias("total"))
+            .filter(F.col("count") > 0)
+            .withColumn("ratio", pct("count", "total"))
+            .orderBy(*keys, "accurate_prediction"))
 
 
 def accuracy(labels: DataFrame, predictions: DataFrame, by: Sequence[str] = ("model_version",),
@@ -197,6 +219,50 @@ def in_production(flags: DataFrame, promotions: DataFrame,
         .orderBy("run_id"))
 
 
+MAX_DAYS_BROADCAST = 100_000
+
+
+def touched_days(predictions: DataFrame, new_labels: DataFrame,
+                 width: str = "1 day") -> DataFrame:
+    """Days holding a prediction whose label is among ``new_labels``."""
+    p = predictions.select("pid", window_day("process_time", width).alias("window_day"))
+    return p.join(new_labels.select("pid").distinct(), "pid", "left_semi") \
+        .select("window_day").distinct()
+
+
+def refresh_kpi(labels: DataFrame, predictions: DataFrame, new_labels: DataFrame,
+                kpi_path: str, by_version: bool = False) -> int:
+    """Incremental KPI: recompute only the days touched by newly arrived labels
+    and overwrite just those day partitions of the KPI table (dynamic
+    partition overwrite). Returns the number of days rewritten.
+
+    The touched-day list has one row per calendar day; it is collected (its
+    size checked) and applied as a day filter, which prunes the partitions
+    of a predictions table partitioned by day.
+    """
+    days = [r[0] for r in touched_days(predictions, new_labels)
+            .limit(MAX_DAYS_BROADCAST + 1).collect()]
+    if not days:
+        return 0
+    if len(days) > MAX_DAYS_BROADCAST:
+        raise ValueError("too many touched days for one refresh; refresh in time slices")
+    day = window_day("process_time")
+    preds = predictions.filter(day.isin(days))
+    kpi = daily_kpi(labels, preds, by_version=by_version)
+    (kpi.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("window_day").parquet(kpi_path))
+    return len(days)
+
+
+KPI_TABLE_SCHEMA = ("accurate_prediction string, count long, total long, ratio double, "
+                    "window_day date")
+
+
+def read_kpi(spark, kpi_path: str) -> DataFrame:
+    return (spark.read.schema(KPI_TABLE_SCHEMA).parquet(kpi_path)
+            .select("window_day", "accurate_prediction", "count", "total", "ratio"))
+
+
 def time_window(df: DataFrame, col: str, start: str, end: str) -> DataFrame:
     """Inclusive time range from text bounds (F1)."""
     return df.filter(F.col(col).between(ts_lit(start), ts_lit(end)))

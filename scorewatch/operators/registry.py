@@ -27,6 +27,7 @@ RUN_LOG_SCHEMA = T.StructType([
 ])
 
 PRODUCTION, EX_PRODUCTION, DEV = "production", "ex_production", "dev"
+MAX_GRID_BROADCAST = 100_000
 
 
 def _text(c) -> F.Column:
@@ -68,23 +69,28 @@ def run_params(log: DataFrame, keys: Sequence[str], kind: str = "param") -> Data
 
 def search_runs(log: DataFrame, params: Mapping[str, object] | None = None,
                 tags: Mapping[str, object] | None = None) -> DataFrame:
-    """Runs whose current params/tags equal all given values (R2)."""
+    """Runs whose current params/tags equal all given values (R2).
+
+    One aggregation by run: for each predicate the run's latest value of that
+    key (``max`` of (time, value)), then all predicates tested at once.
+    """
     preds = [("param", k, str(v)) for k, v in (params or {}).items()]
     preds += [("tag", k, str(v)) for k, v in (tags or {}).items()]
     if not preds:
         return log.select("run_id").distinct()
-    wanted = {(k, key) for k, key, _ in preds}
-    cond = None
+    hit = None
     for kind, key, _ in preds:
         c = (F.col("kind") == kind) & (F.col("key") == key)
-        cond = c if cond is None else (cond | c)
-    cur = latest_values(log.filter(cond))
-    match = None
-    for kind, key, val in preds:
-        c = (F.col("kind") == kind) & (F.col("key") == key) & (F.col("value") == val)
-        match = c if match is None else (match | c)
-    return (cur.filter(match).groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") == len(wanted)).select("run_id"))
+        hit = c if hit is None else (hit | c)
+    latest = [F.max(F.when((F.col("kind") == kind) & (F.col("key") == key),
+                           F.struct("logged_at", "value")))["value"].alias(f"_v{i}")
+              for i, (kind, key, _) in enumerate(preds)]
+    cur = log.filter(hit).groupBy("run_id").agg(*latest)
+    ok = None
+    for i, (_, _, val) in enumerate(preds):
+        c = F.col(f"_v{i}") == val
+        ok = c if ok is None else (ok & c)
+    return cur.filter(ok).select("run_id")
 
 
 def pending_grid(grid: DataFrame, finished: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -96,11 +102,16 @@ def pending_grid(grid: DataFrame, finished: DataFrame, keys: Sequence[str]) -> D
     the grid size.
     """
     keys = list(keys)
+    small = grid.limit(MAX_GRID_BROADCAST + 1).count() <= MAX_GRID_BROADCAST
     g = grid.select(*[_text(k).alias(k) for k in keys])
     f = finished.select(*[_text(k).alias(k) for k in keys])
-    done = f.join(F.broadcast(g), keys, "left_semi").distinct()
-    return grid.join(F.broadcast(done), [grid[k].cast("string") == done[k] for k in keys],
-                     "left_anti")
+    if small:
+        # grid size checked: broadcast it, and the finished points it selects
+        done = f.join(F.broadcast(g), keys, "left_semi").distinct()
+        return grid.join(F.broadcast(done), [grid[k].cast("string") == done[k] for k in keys],
+                         "left_anti")
+    done = f.distinct()
+    return grid.join(done, [grid[k].cast("string") == done[k] for k in keys], "left_anti")
 
 
 def best_run(runs: DataFrame, metric: str, ties: Sequence[str] = ("run_id",)) -> DataFrame:

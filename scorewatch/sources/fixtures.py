@@ -32,8 +32,17 @@ ARRIVAL_CUTS = ("2024-01-16", "2024-01-21", "2024-01-26")
 # -----------------------------------------------------------------------------
 
 
+_EVENTS: dict[tuple[int, str], DataFrame] = {}
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """The events table; the lazy frame is reused per session and folder so its
+    footer is read once."""
+    key = (id(spark), sf_dir)
+    df = _EVENTS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _EVENTS[key] = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return df
 
 
 def readings_from_events(ev: DataFrame) -> DataFrame:

@@ -24,8 +24,10 @@ LABEL_CLASSES = (0, 1)
 KPI_BAND = (80.0, 100.0)
 
 
-def _label_counts(labels: DataFrame, classes: Sequence[int]) -> DataFrame:
-    """One row per pid: all label rows and the rows of each class."""
+def label_counts(labels: DataFrame, classes: Sequence[int] = LABEL_CLASSES) -> DataFrame:
+    """One row per pid: all label rows (``_nl``) and the rows of each class
+    (``_nl0``, ``_nl1``, ...). Combines map-side, so duplicates of a hot pid
+    collapse before the shuffle."""
     return labels.groupBy("pid").agg(
         F.count(F.lit(1)).alias("_nl"),
         *[F.count_if(F.col("quality") == c).alias(f"_nl{i}") for i, c in enumerate(classes)],
@@ -42,7 +44,7 @@ def pair_counts(labels: DataFrame, predictions: DataFrame, by: Sequence[str] = (
     by = list(by)
     p = (predictions.select("pid", *by, "predicted_quality")
          .groupBy("pid", *by, "predicted_quality").agg(F.count(F.lit(1)).alias("_np")))
-    j = p.join(_label_counts(labels, classes), "pid")
+    j = p.join(label_counts(labels, classes), "pid")
     g = j.groupBy(*by, "predicted_quality").agg(
         F.sum(F.col("_np") * F.col("_nl")).alias("_all"),
         *[F.sum(F.col("_np") * F.col(f"_nl{i}")).alias(f"_c{i}") for i in range(len(classes))],
@@ -82,33 +84,46 @@ def _matched(classes: Sequence[int]) -> F.Column:
     return out
 
 
+def flag_counts(labels: DataFrame, predictions: DataFrame, keys: Sequence[str],
+                classes: Sequence[int] = LABEL_CLASSES) -> DataFrame:
+    """Right and all pairs of ``predictions JOIN labels USING (pid)`` per
+    (pid, ``keys``), formed from the two reduced sides (no pair is emitted).
+
+    ``keys`` are columns of ``predictions``. Output: pid, keys..., _right, _all.
+    """
+    keys = list(keys)
+    p = (predictions.select("pid", *keys, "predicted_quality")
+         .groupBy("pid", *keys, "predicted_quality").agg(F.count(F.lit(1)).alias("_np")))
+    j = p.join(label_counts(labels, classes), "pid")
+    return j.select("pid", *keys, (F.col("_np") * _matched(classes)).alias("_right"),
+                    (F.col("_np") * F.col("_nl")).alias("_all"))
+
+
 def daily_kpi(labels: DataFrame, predictions: DataFrame, by_version: bool = False,
-              width: str = "1 day", classes: Sequence[int] = LABEL_CLASSES) -> DataFrame:
+              width: str = "1 day", classes: Sequence[int] = LABEL_CLASSES,
+              ordered: bool = True) -> DataFrame:
     """Share of right and wrong predictions per day.
 
     Labelled predictions only (inner join); versions are pooled unless
     ``by_version``. A day without wrong (or right) predictions has no such row.
     Right and all pairs are summed in one aggregation after the join, so the
     day total needs no window (it equals ``sum(count) OVER (PARTITION BY day)``).
+    ``ordered=False`` skips the final sort when the KPI feeds another operator.
     """
     keys = ["window_day"] + (["model_version"] if by_version else [])
-    p = (predictions.select("pid", window_day("process_time", width).alias("window_day"),
-                            *keys[1:], "predicted_quality")
-         .groupBy("pid", *keys, "predicted_quality").agg(F.count(F.lit(1)).alias("_np")))
-    j = p.join(_label_counts(labels, classes), "pid")
-    daily = j.groupBy(*keys).agg(
-        F.sum(F.col("_np") * _matched(classes)).alias("_right"),
-        F.sum(F.col("_np") * F.col("_nl")).alias("total"))
+    preds = predictions.withColumn("window_day", window_day("process_time", width))
+    daily = flag_counts(labels, preds, keys, classes).groupBy(*keys).agg(
+        F.sum("_right").alias("_right"), F.sum("_all").alias("total"))
     cells = F.array(
         F.struct(F.lit("Accurate").alias("accurate_prediction"), F.col("_right").alias("count")),
         F.struct(F.lit("Inaccurate").alias("accurate_prediction"),
                  (F.col("total") - F.col("_right")).alias("count")))
-    return (daily.select(*keys, "total", F.explode(cells).alias("_c"))
-            .select(*keys, "_c.accurate_prediction", F.col("_c.count").cast("long").alias("count"),
-                    F.col("total").cast("long").alias("total"))
-            .filter(F.col("count") > 0)
-            .withColumn("ratio", pct("count", "total"))
-            .orderBy(*keys, "accurate_prediction"))
+    out = (daily.select(*keys, "total", F.explode(cells).alias("_c"))
+           .select(*keys, "_c.accurate_prediction", F.col("_c.count").cast("long").alias("count"),
+                   F.col("total").cast("long").alias("total"))
+           .filter(F.col("count") > 0)
+           .withColumn("ratio", pct("count", "total")))
+    return out.orderBy(*keys, "accurate_prediction") if ordered else out
 
 
 def accuracy(labels: DataFrame, predictions: DataFrame, by: Sequence[str] = ("model_version",),
@@ -190,31 +205,35 @@ def what_if(labels: DataFrame, scored: Mapping[str, DataFrame]) -> DataFrame:
     return daily_kpi(labels, allp, by_version=True)
 
 
-def in_production(flags: DataFrame, promotions: DataFrame,
-                  order: Sequence[str] = ("ts", "seq")) -> DataFrame:
-    """Attribute flagged readings to the run in production at ``process_time``
-    and summarise per run (D5).
+def in_production(labels: DataFrame, predictions: DataFrame, promotions: DataFrame,
+                  order: Sequence[str] = ("ts", "seq"),
+                  classes: Sequence[int] = LABEL_CLASSES) -> DataFrame:
+    """Labelled predictions attributed to the run in production at their
+    ``process_time``, summarised per run (D5).
 
-    ``flags``: pid, process_time, accurate_prediction. ``promotions``: run_id,
-    ts, seq; each promotion ends the previous run's production interval. The
-    lookup is an as-of join over the global time order (``ordering``), so
-    neither side is broadcast or sent to one task.
+    ``promotions``: run_id, ts, seq; each promotion ends the previous run's
+    production interval. Predictions enter as (pid, time) rows weighted by
+    their right/all pair counts, and the run is found by an as-of lookup over
+    the global time order (``ordering``): neither side is broadcast or sent
+    to one task.
     """
     from scorewatch.operators.ordering import carry_forward
 
     t, seq = order
+    fc = flag_counts(labels, predictions, ["process_time"], classes)
     starts = promotions.select(
         F.col(t).alias("_t"), F.lit(0).alias("_tb"), F.col(seq).cast("long").alias("_seq"),
-        F.col("run_id").cast("string").alias("_run"), F.lit(None).cast("int").alias("_acc"))
-    rows = flags.select(
+        F.col("run_id").cast("string").alias("_run"),
+        F.lit(None).cast("long").alias("_right"), F.lit(None).cast("long").alias("_all"))
+    rows = fc.select(
         F.col("process_time").alias("_t"), F.lit(1).alias("_tb"),
         F.col("pid").cast("long").alias("_seq"), F.lit(None).cast("string").alias("_run"),
-        F.col("accurate_prediction").alias("_acc"))
+        "_right", "_all")
     tagged = carry_forward(starts.unionByName(rows), ["_t", "_tb", "_seq"], "_run", "run_id")
     got = tagged.filter((F.col("_tb") == 1) & F.col("run_id").isNotNull())
     return (got.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("readings"),
-        F.sum("_acc").cast("long").alias("accurate"))
+        F.sum("_all").cast("long").alias("readings"),
+        F.sum("_right").cast("long").alias("accurate"))
         .withColumn("ratio", pct("accurate", "readings"))
         .orderBy("run_id"))
 
@@ -248,7 +267,7 @@ def refresh_kpi(labels: DataFrame, predictions: DataFrame, new_labels: DataFrame
         raise ValueError("too many touched days for one refresh; refresh in time slices")
     day = window_day("process_time")
     preds = predictions.filter(day.isin(days))
-    kpi = daily_kpi(labels, preds, by_version=by_version)
+    kpi = daily_kpi(labels, preds, by_version=by_version, ordered=False)
     (kpi.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("window_day").parquet(kpi_path))
     return len(days)

@@ -44,14 +44,15 @@ def _both_models(spark, sf_dir):
     return _pred(spark, sf_dir, "m1").unionByName(_pred(spark, sf_dir, "m2"))
 
 
-def _kpi(spark, sf_dir, version="m1"):
-    return monitor.daily_kpi(_labels(spark, sf_dir), _pred(spark, sf_dir, version))
+def _kpi(spark, sf_dir, version="m1", ordered=True):
+    return monitor.daily_kpi(_labels(spark, sf_dir), _pred(spark, sf_dir, version),
+                             ordered=ordered)
 
 
 def _grid_frame(spark, sf_dir):
     n = prep.time_slice(fx.noisy(spark, sf_dir), "process_time", hi=GRID_CUTOFF)
-    return n.select("pid", "temp", "pressure").join(
-        _labels(spark, sf_dir).select("pid", "quality"), "pid")
+    return n.select("pid", "temp", "pressure").join(monitor.label_counts(_labels(spark, sf_dir)),
+                                                     "pid")
 
 
 def _grid_runs(spark, sf_dir, grid=RULE_GRID):
@@ -127,11 +128,12 @@ def class_share(spark, sf_dir):
 
 
 def drift_days(spark, sf_dir):
-    return monitor.drift_days(_kpi(spark, sf_dir))
+    return monitor.drift_days(_kpi(spark, sf_dir, ordered=False))
 
 
 def kpi_stitched(spark, sf_dir):
-    return monitor.stitch(_kpi(spark, sf_dir, "m1"), _kpi(spark, sf_dir, "m2"), fx.SWITCH_DAY)
+    return monitor.stitch(_kpi(spark, sf_dir, "m1", ordered=False),
+                          _kpi(spark, sf_dir, "m2", ordered=False), fx.SWITCH_DAY)
 
 
 def kpi_after(spark, sf_dir):
@@ -148,9 +150,8 @@ def accuracy_by_model(spark, sf_dir):
 
 
 def in_production(spark, sf_dir):
-    flags = monitor.compare(_labels(spark, sf_dir), _pred(spark, sf_dir, "m1")) \
-        .select("pid", "process_time", "accurate_prediction")
-    return monitor.in_production(flags, _promotions(spark, sf_dir))
+    return monitor.in_production(_labels(spark, sf_dir), _pred(spark, sf_dir, "m1"),
+                                 _promotions(spark, sf_dir))
 
 
 # --- preparation ---------------------------------------------------------------------

@@ -105,16 +105,19 @@ def test_kpi_plan_has_no_broadcast_of_growing_sides(spark):
 
 def test_in_production_attribution(spark):
     t = ts
-    flags = spark.createDataFrame(
-        [(1, t("2024-01-01 00:00:00"), 1), (2, t("2024-01-02 00:00:00"), 0),
-         (3, t("2024-01-03 00:00:00"), 1), (4, t("2024-01-05 00:00:00"), 1)],
-        "pid long, process_time timestamp_ntz, accurate_prediction int")
+    preds = _pred(spark, [(1, t("2024-01-01 00:00:00"), "1", "m"), (2, t("2024-01-02 00:00:00"), "1", "m"),
+                          (3, t("2024-01-03 00:00:00"), "1", "m"), (4, t("2024-01-05 00:00:00"), "1", "m"),
+                          (3, t("2024-01-03 00:00:00"), "0", "m")])
+    labs = _lab(spark, [(1, t("2024-01-03 00:00:00"), 1), (2, t("2024-01-04 00:00:00"), 0),
+                        (3, t("2024-01-05 00:00:00"), 1), (3, t("2024-01-05 00:00:00"), 1),
+                        (4, t("2024-01-07 00:00:00"), 1)])
     promos = spark.createDataFrame(
         [("a", t("2024-01-02 00:00:00"), 10), ("b", t("2024-01-04 00:00:00"), 11)],
         "run_id string, ts timestamp_ntz, seq long")
     got = {r["run_id"]: (r["readings"], r["accurate"])
-           for r in monitor.in_production(flags, promos).collect()}
-    assert got == {"a": (2, 1), "b": (1, 1)}
+           for r in monitor.in_production(labs, preds, promos).collect()}
+    # pid 3: 2 predictions x 2 labels = 4 pairs, 2 of them right
+    assert got == {"a": (5, 2), "b": (1, 1)}
 
 
 def test_compare_flags_rows(spark):

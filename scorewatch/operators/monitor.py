@@ -205,24 +205,53 @@ def what_if(labels: DataFrame, scored: Mapping[str, DataFrame]) -> DataFrame:
     return daily_kpi(labels, allp, by_version=True)
 
 
+MAX_INTERVALS_BROADCAST = 1_000_000
+
+
 def in_production(labels: DataFrame, predictions: DataFrame, promotions: DataFrame,
                   order: Sequence[str] = ("ts", "seq"),
-                  classes: Sequence[int] = LABEL_CLASSES) -> DataFrame:
+                  classes: Sequence[int] = LABEL_CLASSES,
+                  max_broadcast: int = MAX_INTERVALS_BROADCAST) -> DataFrame:
     """Labelled predictions attributed to the run in production at their
     ``process_time``, summarised per run (D5).
 
     ``promotions``: run_id, ts, seq; each promotion ends the previous run's
     production interval. Predictions enter as (pid, time) rows weighted by
-    their right/all pair counts, and the run is found by an as-of lookup over
-    the global time order (``ordering``): neither side is broadcast or sent
-    to one task.
+    their right/all pair counts, so duplicated keys never form pairs.
+
+    Promotions are few in practice: when their count is within
+    ``max_broadcast`` (checked with ``limit(n + 1).count()``) the closed
+    intervals, listed on every day they overlap, are broadcast and joined on
+    the day plus the time range (one pass over the predictions, no shuffle of
+    them); the open last interval is one collected row. Beyond that bound the
+    lookup becomes an as-of over the global time order (``ordering``).
     """
-    from scorewatch.operators.ordering import carry_forward
-
-    t, seq = order
     fc = flag_counts(labels, predictions, ["process_time"], classes)
+    n = promotions.limit(max_broadcast + 1).count()
+    if n == 0:
+        return _per_run(fc.limit(0).withColumn("run_id", F.lit(None).cast("string")))
+    if n <= max_broadcast:
+        from scorewatch.operators.registry import production_intervals
+        iv = production_intervals(promotions, order)
+        last = iv.filter(F.col("production_end").isNull()).first()
+        closed = (iv.filter(F.col("production_end").isNotNull())
+                  .select(F.col("run_id").alias("_run"), F.col("production_start").alias("_s"),
+                          F.col("production_end").alias("_e"),
+                          F.explode(F.sequence(F.to_date("production_start"),
+                                               F.to_date("production_end"))).alias("_day")))
+        rows = fc.withColumn("_day", F.to_date("process_time"))
+        t = F.col("process_time")
+        j = rows.join(F.broadcast(closed),
+                      (rows["_day"] == closed["_day"]) & (t >= closed["_s"]) & (t < closed["_e"]),
+                      "left")
+        tail = F.when(t >= F.lit(last["production_start"]).cast(t_type(fc)),
+                      F.lit(str(last["run_id"])))
+        return _per_run(j.withColumn("run_id", F.coalesce(F.col("_run"), tail)))
+
+    from scorewatch.operators.ordering import carry_forward
+    t_col, seq = order
     starts = promotions.select(
-        F.col(t).alias("_t"), F.lit(0).alias("_tb"), F.col(seq).cast("long").alias("_seq"),
+        F.col(t_col).alias("_t"), F.lit(0).alias("_tb"), F.col(seq).cast("long").alias("_seq"),
         F.col("run_id").cast("string").alias("_run"),
         F.lit(None).cast("long").alias("_right"), F.lit(None).cast("long").alias("_all"))
     rows = fc.select(
@@ -230,8 +259,15 @@ def in_production(labels: DataFrame, predictions: DataFrame, promotions: DataFra
         F.col("pid").cast("long").alias("_seq"), F.lit(None).cast("string").alias("_run"),
         "_right", "_all")
     tagged = carry_forward(starts.unionByName(rows), ["_t", "_tb", "_seq"], "_run", "run_id")
-    got = tagged.filter((F.col("_tb") == 1) & F.col("run_id").isNotNull())
-    return (got.groupBy("run_id").agg(
+    return _per_run(tagged.filter(F.col("_tb") == 1))
+
+
+def t_type(df: DataFrame):
+    return df.schema["process_time"].dataType
+
+
+def _per_run(rows: DataFrame) -> DataFrame:
+    return (rows.filter(F.col("run_id").isNotNull()).groupBy("run_id").agg(
         F.sum("_all").cast("long").alias("readings"),
         F.sum("_right").cast("long").alias("accurate"))
         .withColumn("ratio", pct("accurate", "readings"))

@@ -25,6 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_PER_BLOCK = 32
+# The binary search is an expression tree with one node per bound; past a few
+# thousand blocks code generation splits it into many methods.
+MAX_BLOCKS = 4096
 
 
 def _bounds(df: DataFrame, order: Sequence[str], n: int) -> list:
@@ -59,7 +62,7 @@ def _block_of(df: DataFrame, order: Sequence[str], bounds: list) -> Column:
 
 def _blocks(df: DataFrame, order: Sequence[str], n: int | None) -> DataFrame:
     spark = df.sparkSession
-    n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(n or int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BLOCKS)
     return df.withColumn("_block", _block_of(df, order, _bounds(df, order, n)))
 
 

@@ -114,13 +114,34 @@ def test_in_production_attribution(spark):
     promos = spark.createDataFrame(
         [("a", t("2024-01-02 00:00:00"), 10), ("b", t("2024-01-04 00:00:00"), 11)],
         "run_id string, ts timestamp_ntz, seq long")
-    got = {r["run_id"]: (r["readings"], r["accurate"])
-           for r in monitor.in_production(labs, preds, promos).collect()}
     # pid 3: 2 predictions x 2 labels = 4 pairs, 2 of them right
-    assert got == {"a": (5, 2), "b": (1, 1)}
+    for cap in (1000, 0):          # broadcast intervals, and the distributed as-of
+        got = {r["run_id"]: (r["readings"], r["accurate"])
+               for r in monitor.in_production(labs, preds, promos, max_broadcast=cap).collect()}
+        assert got == {"a": (5, 2), "b": (1, 1)}
 
 
 def test_compare_flags_rows(spark):
     t = ts("2024-01-01 00:00:00")
     c = monitor.compare(_lab(spark, [(1, t, 1)]), _pred(spark, [(1, t, "1", "a")]))
     assert c.select(F.col("accurate_prediction")).first()[0] == 1
+
+
+def test_in_production_paths_agree_on_fixture(spark):
+    from scorewatch.plans import catalog
+    from scorewatch.sources import fixtures as fx
+    from tests.conftest import SF_SMALL
+    labs, preds = fx.labels(spark, SF_SMALL), fx.predictions(spark, SF_SMALL, "m1")
+    promos = catalog._promotions(spark, SF_SMALL)
+    a = monitor.in_production(labs, preds, promos).collect()
+    b = monitor.in_production(labs, preds, promos, max_broadcast=0).collect()
+    assert a == b and len(a) > 0
+
+
+def test_incremental_kpi_equals_full(spark):
+    from scorewatch.plans import catalog
+    from scorewatch.sources import fixtures as fx
+    from tests.conftest import SF_SMALL
+    got = catalog.kpi_incremental(spark, SF_SMALL).orderBy("window_day", "accurate_prediction")
+    want = monitor.daily_kpi(fx.labels(spark, SF_SMALL), fx.predictions(spark, SF_SMALL, "m1"))
+    assert got.collect() == want.collect()

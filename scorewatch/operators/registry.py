@@ -36,10 +36,11 @@ def _text(c) -> F.Column:
 
 def log_runs(runs: DataFrame, params: Sequence[str] = (), metrics: Sequence[str] = (),
              tags: Mapping[str, str] | None = None, run_id: str = "run_id",
-             logged_at: F.Column | None = None) -> DataFrame:
+             logged_at: F.Column | None = None, tag_cols: Sequence[str] = ()) -> DataFrame:
     """Key/value log rows for a frame with one row per run.
 
-    ``params`` and ``metrics`` name columns of ``runs``; ``tags`` are constant.
+    ``params``, ``metrics`` and ``tag_cols`` name columns of ``runs``;
+    ``tags`` are constant for every run.
     """
     cells = [F.struct(F.lit("param").alias("kind"), F.lit(p).alias("key"), _text(p).alias("value"))
              for p in params]
@@ -47,6 +48,8 @@ def log_runs(runs: DataFrame, params: Sequence[str] = (), metrics: Sequence[str]
               for m in metrics]
     cells += [F.struct(F.lit("tag").alias("kind"), F.lit(k).alias("key"), F.lit(v).alias("value"))
               for k, v in (tags or {}).items()]
+    cells += [F.struct(F.lit("tag").alias("kind"), F.lit(t).alias("key"), _text(t).alias("value"))
+              for t in tag_cols]
     at = logged_at if logged_at is not None else F.current_timestamp().cast("timestamp_ntz")
     return (runs.select(F.col(run_id).cast("string").alias("run_id"), at.alias("logged_at"),
                         F.explode(F.array(*cells)).alias("_c"))

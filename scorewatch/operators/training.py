@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from scorewatch.functions.columns import hash_bucket
 from scorewatch.operators import registry
+from scorewatch.session import cut_lineage
 from scorewatch.sources.tables import FEATURES
 
 # --- fixed values of the reference's training procedure ----------------------
@@ -159,11 +160,15 @@ def fit_grid(spark: SparkSession, frame: DataFrame, family: str, model_dir: str,
              window: str = "", grid: Sequence[Mapping] | None = None,
              finished: DataFrame | None = None, split: str = "random",
              parallelism: int = 3, features: Sequence[str] = FEATURES,
-             label: str = "quality") -> GridResult:
+             label: str = "quality", checkpoint: bool = True) -> GridResult:
     """Fit one family's grid on ``frame`` (M5-M12), skipping finished points.
 
     ``finished``: run log of earlier rounds; grid points whose params (and data
-    window) already have a run are not refitted.
+    window) already have a run are not refitted. With ``checkpoint`` the
+    training frame is first written to the shared checkpoint folder, so every
+    fit (many passes each) reads one materialized frame, a lost executor
+    recomputes from it rather than from the join, and the random split sees
+    the same rows on recomputation.
     """
     make, default_grid = FAMILIES[family]
     grid = [dict(g) for g in (grid or default_grid)]
@@ -177,6 +182,12 @@ def fit_grid(spark: SparkSession, frame: DataFrame, family: str, model_dir: str,
                 registry.pending_grid(gdf, done, keys).collect()}   # bounded by the grid
         grid = [g for g in grid if tuple(str(g[k]) for k in keys) in todo]
 
+    if not grid:
+        empty = spark.createDataFrame([], "run_id string, accuracy double")
+        return GridResult(runs=empty, log=spark.createDataFrame([], registry.RUN_LOG_SCHEMA),
+                          confusion=None)
+    if checkpoint:
+        frame = cut_lineage(frame.select("pid", *features, label))
     if split == "hash":
         train, test = hash_split(frame)
     else:
@@ -209,11 +220,14 @@ def fit_grid(spark: SparkSession, frame: DataFrame, family: str, model_dir: str,
         train.unpersist()
         test.unpersist()
 
-    rows = [{"run_id": rid, **{k: str(v) for k, v in p.items()}, "accuracy": float(acc)}
-            for rid, p, acc, _, _ in done_runs]
-    schema = "run_id string, " + ", ".join(f"`{k}` string" for k in keys) + ", accuracy double"
+    rows = [{"run_id": rid, **{k: str(v) for k, v in p.items()}, "accuracy": float(acc),
+             "spark_model": path}
+            for rid, p, acc, path, _ in done_runs]
+    schema = ("run_id string, " + ", ".join(f"`{k}` string" for k in keys)
+              + ", accuracy double, spark_model string")
     runs = spark.createDataFrame(rows, schema=schema)
-    log = registry.log_runs(runs, params=keys, metrics=["accuracy"], tags={"state": registry.DEV})
+    log = registry.log_runs(runs, params=keys, metrics=["accuracy"], tags={"state": registry.DEV},
+                            tag_cols=["spark_model"])
     conf = None
     for *_, c in done_runs:
         conf = c if conf is None else conf.unionByName(c)

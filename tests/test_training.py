@@ -3,7 +3,7 @@
 import pyspark.sql.functions as F
 from pyspark.ml.feature import StringIndexer
 
-from scorewatch.operators import prep, scoring, training
+from scorewatch.operators import prep, registry, scoring, training
 from scorewatch.sources import fixtures as fx
 from tests.conftest import SF_SMALL
 
@@ -62,8 +62,20 @@ def test_tree_grid_fit_and_score(spark, tmp_path):
     scored = scoring.score(model, readings, rid)
     assert scored.count() == readings.count()
     assert set(scored.columns) == {"pid", "process_time", "predicted_quality", "model_version"}
-    assert res.log.count() == 3 * 5          # maxDepth, model, window + metric + tag per run
+    assert res.log.count() == 3 * 6   # maxDepth, model, window + metric + state, model tags
+    assert registry.run_details(res.log, rid).filter("key = 'spark_model'").first()["value"] \
+        == res.model_paths[rid]
     # rerun with the log: every grid point is finished, nothing is refitted
     again = training.fit_grid(spark, frame, "DecisionTree", str(tmp_path / "models"),
                               window="w", split="hash", finished=res.log)
     assert again.runs.count() == 0
+
+
+def test_rows_per_file_cap(spark, tmp_path):
+    import glob
+    from scorewatch.sources import sinks
+    df = spark.range(500).coalesce(1)
+    sinks.write_batch(df, str(tmp_path / "t"), mode="overwrite", max_records_per_file=50)
+    assert len(glob.glob(str(tmp_path / "t" / "*.parquet"))) == 10          # K3
+    sinks.write_batch(df, str(tmp_path / "t"), mode="append")
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1000          # K2

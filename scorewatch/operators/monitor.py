@@ -205,7 +205,7 @@ def what_if(labels: DataFrame, scored: Mapping[str, DataFrame]) -> DataFrame:
     return daily_kpi(labels, allp, by_version=True)
 
 
-MAX_INTERVALS_BROADCAST = 1_000_000
+MAX_INTERVALS_BROADCAST = 200_000
 
 
 def in_production(labels: DataFrame, predictions: DataFrame, promotions: DataFrame,
@@ -301,8 +301,11 @@ def refresh_kpi(labels: DataFrame, predictions: DataFrame, new_labels: DataFrame
         return 0
     if len(days) > MAX_DAYS_BROADCAST:
         raise ValueError("too many touched days for one refresh; refresh in time slices")
-    day = window_day("process_time")
-    preds = predictions.filter(day.isin(days))
+    if "process_day" in predictions.columns:
+        # stored partitioned by day: the filter prunes partitions at the scan
+        preds = predictions.filter(F.col("process_day").isin(days))
+    else:
+        preds = predictions.filter(window_day("process_time").isin(days))
     kpi = daily_kpi(labels, preds, by_version=by_version, ordered=False)
     (kpi.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("window_day").parquet(kpi_path))

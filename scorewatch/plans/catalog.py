@@ -104,8 +104,9 @@ def kpi_incremental(spark, sf_dir):
     """KPI table kept by incremental refreshes: labels inspected up to 01-20
     first, then the later labels; only touched days are rewritten. The
     table then equals the full KPI."""
-    path = fresh_dir(spark, "kpi")
-    labels, preds = _labels(spark, sf_dir), _pred(spark, sf_dir, "m1")
+    path, ptab = fresh_dir(spark, "kpi"), fresh_dir(spark, "predictions")
+    sinks.write_by_day(_pred(spark, sf_dir, "m1"), ptab, mode="overwrite")
+    labels, preds = _labels(spark, sf_dir), tables.predictions(spark, ptab)
     cut = F.col("qualitycheck_time") <= F.lit("2024-01-20").cast("timestamp_ntz")
     first = labels.filter(cut)
     monitor.refresh_kpi(first, preds, first, path)

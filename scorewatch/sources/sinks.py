@@ -18,3 +18,17 @@ def write_batch(df: DataFrame, path: str, mode: str = "append",
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+
+
+def with_process_day(df: DataFrame, col: str = "process_time") -> DataFrame:
+    """Add the ``process_day`` partition column (date of ``col``)."""
+    from pyspark.sql import functions as F
+    return df.withColumn("process_day", F.to_date(col))
+
+
+def write_by_day(df: DataFrame, path: str, mode: str = "append", col: str = "process_time") -> None:
+    """Write partitioned by process day, so day filters prune whole folders;
+    appends only touch the days present (``partitionOverwriteMode=dynamic`` for
+    overwrites)."""
+    (with_process_day(df, col).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .partitionBy("process_day").parquet(path))

@@ -23,8 +23,24 @@ def ts_lit(text: str) -> Column:
 
 
 def epoch_to_ts(seconds: ColumnOrName) -> Column:
-    """Epoch seconds (double, fractions kept) to a zone-less timestamp."""
-    return F.timestamp_seconds(col(seconds)).cast("timestamp_ntz")
+    """Epoch seconds (double, microseconds kept) to a zone-less timestamp.
+
+    Built as epoch + interval, so the session time zone plays no part (an
+    instant cast to ``timestamp_ntz`` would take the session zone's wall clock).
+    """
+    secs = col(seconds).cast("decimal(18,6)")
+    return ts_lit("1970-01-01 00:00:00") + F.make_dt_interval(secs=secs)
+
+
+def typed_lit(value, dtype) -> Column:
+    """Literal of a collected value with the column's type. Zone-less timestamps
+    go through text, so neither the Python nor the session zone shifts them."""
+    import datetime as _dt
+
+    from pyspark.sql.types import TimestampNTZType
+    if isinstance(dtype, TimestampNTZType) and isinstance(value, _dt.datetime):
+        return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(value).cast(dtype)
 
 
 def inspection_due(ts: ColumnOrName, days: int = 2) -> Column:

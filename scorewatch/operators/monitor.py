@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewatch.functions.columns import (correct_flag, flag_text, label_as_int, pct,
-                                          ts_lit, window_day)
+                                          ts_lit, typed_lit, window_day)
 
 LABEL_CLASSES = (0, 1)
 KPI_BAND = (80.0, 100.0)
@@ -244,7 +244,7 @@ def in_production(labels: DataFrame, predictions: DataFrame, promotions: DataFra
         j = rows.join(F.broadcast(closed),
                       (rows["_day"] == closed["_day"]) & (t >= closed["_s"]) & (t < closed["_e"]),
                       "left")
-        tail = F.when(t >= F.lit(last["production_start"]).cast(t_type(fc)),
+        tail = F.when(t >= typed_lit(last["production_start"], t_type(fc)),
                       F.lit(str(last["run_id"])))
         return _per_run(j.withColumn("run_id", F.coalesce(F.col("_run"), tail)))
 

@@ -24,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorewatch.functions.columns import typed_lit
+
 SAMPLE_PER_BLOCK = 32
 # The binary search is an expression tree with one node per bound; past a few
 # thousand blocks code generation splits it into many methods.
@@ -48,7 +50,7 @@ def _bounds(df: DataFrame, order: Sequence[str], n: int) -> list:
 def _block_of(df: DataFrame, order: Sequence[str], bounds: list) -> Column:
     types = {f.name: f.dataType for f in df.schema.fields}
     key = F.struct(*[F.col(c) for c in order])
-    lits = [F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, b)])
+    lits = [F.struct(*[typed_lit(v, types[c]).alias(c) for c, v in zip(order, b)])
             for b in bounds]
 
     def search(lo: int, hi: int) -> Column:       # blocks lo..hi; block j starts at bounds[j-1]

@@ -221,6 +221,23 @@ def hash_sample(spark, sf_dir):
     return profile.hash_sample(j, "pid", 99).select("temp", "pressure", "duration", "quality")
 
 
+def random_sample(spark, sf_dir):
+    """Bernoulli sample of 99 % of the feature rows (F5, the reference's form;
+    seeded here). Rows-only check: the exact form is ``hash_sample``."""
+    j = fx.readings(spark, sf_dir).join(_labels(spark, sf_dir).select("pid", "quality"), "pid")
+    return profile.sample_rows(j.select(*tables.FEATURES, "quality"), 0.99, seed=27)
+
+
+def random_split(spark, sf_dir):
+    """80/20 ``randomSplit`` with seed 1234 of the training table (M1, the
+    reference's form): rows per side. Rows-only; the exact form is ``hash_split``."""
+    frame = prep.training_set(fx.noisy(spark, sf_dir), _labels(spark, sf_dir), *fx.TRAIN_WINDOW)
+    train, test = training.random_split(frame)
+    return (train.select(F.lit("train").alias("split")).unionByName(
+        test.select(F.lit("test").alias("split")))
+        .groupBy("split").agg(F.count(F.lit(1)).alias("rows")))
+
+
 def label_index(spark, sf_dir):
     return training.label_frequencies(_labels(spark, sf_dir), "quality") \
         .select("label", "count", "label_index")
@@ -430,6 +447,8 @@ QUERIES: dict[str, Query] = {
     "in_production": in_production,
     "describe_value": describe_value,
     "label_index": label_index,
+    "random_sample": random_sample,
+    "random_split": random_split,
     "valid_features": valid_features,
     "combined_readings": combined_readings,
     "batch_write_slices": batch_write_slices,

@@ -279,8 +279,13 @@ MAX_DAYS_BROADCAST = 100_000
 
 def touched_days(predictions: DataFrame, new_labels: DataFrame,
                  width: str = "1 day") -> DataFrame:
-    """Days holding a prediction whose label is among ``new_labels``."""
-    p = predictions.select("pid", window_day("process_time", width).alias("window_day"))
+    """Days holding a prediction whose label is among ``new_labels``.
+
+    Both sides are reduced first (distinct (pid, day) and distinct pid, both
+    combined map-side), so a hot pid is a few rows when the semi-join shuffles.
+    """
+    p = (predictions.select("pid", window_day("process_time", width).alias("window_day"))
+         .distinct())
     return p.join(new_labels.select("pid").distinct(), "pid", "left_semi") \
         .select("window_day").distinct()
 

@@ -145,3 +145,26 @@ def test_incremental_kpi_equals_full(spark):
     got = catalog.kpi_incremental(spark, SF_SMALL).orderBy("window_day", "accurate_prediction")
     want = monitor.daily_kpi(fx.labels(spark, SF_SMALL), fx.predictions(spark, SF_SMALL, "m1"))
     assert got.collect() == want.collect()
+
+
+def test_hot_pid_on_both_sides_is_counted_not_materialised(spark):
+    """A third of all rows on one pid, both sides: 20,000 x 20,000 = 4e8 pairs.
+    The plain join would emit them all; the KPI must count them exactly and fast."""
+    import time
+    n = 60000
+    pid = F.when(F.col("id") % 3 == 0, F.lit(-7)).otherwise(F.col("id")).cast("long")
+    t = F.lit("2024-01-02 03:00:00").cast("timestamp_ntz")
+    preds = spark.range(n).select(pid.alias("pid"), t.alias("process_time"),
+                                  F.lit("1").alias("predicted_quality"),
+                                  F.lit("m").alias("model_version"))
+    labs = spark.range(n).select(pid.alias("pid"), t.alias("qualitycheck_time"),
+                                 (F.col("id") % 2).cast("int").alias("quality"))
+    t0 = time.time()
+    rows = {r["accurate_prediction"]: r["count"] for r in monitor.daily_kpi(labs, preds).collect()}
+    assert time.time() - t0 < 60
+    hot = n // 3                                   # ids 0, 3, 6, ... -> pid -7
+    hot_right = hot * sum(1 for i in range(0, n, 3) if i % 2 == 1)
+    cold = [i for i in range(n) if i % 3 != 0]
+    right = hot_right + sum(1 for i in cold if i % 2 == 1)
+    total = hot * hot + len(cold)
+    assert rows["Accurate"] == right and rows["Accurate"] + rows["Inaccurate"] == total

@@ -17,8 +17,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewatch.functions.columns import (correct_flag, flag_text, label_as_int, pct,
-                                          ts_lit, typed_lit, window_day)
+from scorewatch.functions.columns import (correct_flag, label_as_int, pct, typed_lit,
+                                          window_day)
 
 LABEL_CLASSES = (0, 1)
 KPI_BAND = (80.0, 100.0)
@@ -324,15 +324,3 @@ KPI_TABLE_SCHEMA = ("accurate_prediction string, count long, total long, ratio d
 def read_kpi(spark, kpi_path: str) -> DataFrame:
     return (spark.read.schema(KPI_TABLE_SCHEMA).parquet(kpi_path)
             .select("window_day", "accurate_prediction", "count", "total", "ratio"))
-
-
-def time_window(df: DataFrame, col: str, start: str, end: str) -> DataFrame:
-    """Inclusive time range from text bounds (F1)."""
-    return df.filter(F.col(col).between(ts_lit(start), ts_lit(end)))
-
-
-__all__ = [
-    "pair_counts", "compare", "daily_kpi", "accuracy", "confusion", "joined_confusion",
-    "confusion_matrix", "daily_class_share", "drift_days", "stitch", "kpi_after", "what_if",
-    "in_production", "time_window", "label_as_int",
-]

@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.functions.columns import window_key
 from scorewatch.operators import registry, scoring, training
 from scorewatch.operators.prep import training_set
 from scorewatch.sources import sinks
@@ -97,7 +96,3 @@ def score_stream(spark: SparkSession, paths: LoopPaths, stream: DataFrame, query
         raise RuntimeError("no run is in production")
     return streaming.swap_model(query, stream, lambda r: scoring.score(model, r, rid),
                                 paths.predictions, paths.checkpoint)
-
-
-__all__ = ["LoopPaths", "train_round", "promote", "production_model", "score_stream",
-           "read_log", "window_key"]

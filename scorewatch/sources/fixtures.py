@@ -101,5 +101,14 @@ def rule_predictions(readings_df: DataFrame, version: str,
         F.lit(version).alias("model_version"))
 
 
+def rule_predictions_many(readings_df: DataFrame, versions) -> DataFrame:
+    """Score readings with several rule models in one pass: one output row per
+    (reading, model), the union of ``rule_predictions`` for each version."""
+    cells = [F.struct(F.when(rule(*RULE_MODELS[v]), "1").otherwise("0").alias("predicted_quality"),
+                      F.lit(v).alias("model_version")) for v in versions]
+    return (readings_df.select("pid", "process_time", F.explode(F.array(*cells)).alias("_m"))
+            .select("pid", "process_time", "_m.predicted_quality", "_m.model_version"))
+
+
 def predictions(spark: SparkSession, sf_dir: str, version: str = "m1") -> DataFrame:
     return rule_predictions(noisy(spark, sf_dir), version)

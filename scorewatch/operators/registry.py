@@ -96,6 +96,11 @@ def search_runs(log: DataFrame, params: Mapping[str, object] | None = None,
     return cur.filter(ok).select("run_id")
 
 
+def run_exists(log: DataFrame, params: Mapping[str, object]) -> bool:
+    """Whether any run has all these params (R3, single-point form)."""
+    return search_runs(log, params=params).limit(1).count() > 0
+
+
 def pending_grid(grid: DataFrame, finished: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Grid points with no finished run of equal params.
 

@@ -80,13 +80,27 @@ def promote(spark: SparkSession, paths: LoopPaths, run_id: str, user: str, at: s
     sinks.write_batch(rows, paths.run_log)
 
 
+def model_of(spark: SparkSession, paths: LoopPaths, run_id: str):
+    """The saved pipeline of a run, found through its ``spark_model`` tag."""
+    tag = (registry.run_details(read_log(spark, paths), run_id)
+           .filter(F.col("key") == "spark_model").select("value").first())
+    return scoring.load_model(tag[0] if tag else f"{paths.models}/{run_id}")
+
+
+def what_if_run(spark: SparkSession, paths: LoopPaths, readings: DataFrame, labels: DataFrame,
+                run_id: str) -> DataFrame:
+    """Daily KPI had ``run_id`` scored all of ``readings`` (C4)."""
+    from scorewatch.operators.monitor import daily_kpi
+    return daily_kpi(labels, scoring.score(model_of(spark, paths, run_id), readings, run_id))
+
+
 def production_model(spark: SparkSession, paths: LoopPaths):
     cur = registry.production_run(read_log(spark, paths)) \
         .orderBy(F.col("logged_at").desc()).first()
     if cur is None:
         return None, None
     rid = cur["run_id"]
-    return rid, scoring.load_model(f"{paths.models}/{rid}")
+    return rid, model_of(spark, paths, rid)
 
 
 def score_stream(spark: SparkSession, paths: LoopPaths, stream: DataFrame, query=None):

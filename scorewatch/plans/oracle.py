@@ -106,6 +106,8 @@ SQL: dict[str, str] = {
 
     "kpi_incremental": with_base(kpi_cte("kpi", "pred_m1")) + f"SELECT {KPI_COLS} FROM kpi",
 
+    "kpi_on_arrival": with_base(kpi_cte("kpi", "pred_m1")) + f"SELECT {KPI_COLS} FROM kpi",
+
     "training_set": with_base() + """
 SELECT s.pid, s.process_time, s.temp, s.pressure, s.duration, q.qualitycheck_time, q.quality
 FROM sensor s JOIN quality q USING (pid)

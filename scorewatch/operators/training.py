@@ -96,6 +96,15 @@ def assembler(features: Sequence[str] = FEATURES, out: str = "features") -> Vect
     return VectorAssembler(inputCols=list(features), outputCol=out).setHandleInvalid("skip")
 
 
+def skipped_rows(df: DataFrame, features: Sequence[str] = FEATURES) -> int:
+    """Rows with a null or NaN feature, which ``assembler`` skips."""
+    bad = None
+    for c in features:
+        b = F.col(c).isNull() | F.isnan(F.col(c))
+        bad = b if bad is None else (bad | b)
+    return df.filter(bad).count()
+
+
 def scale(df: DataFrame, features: Sequence[str] = FEATURES, suffix: str = "_scaled") -> DataFrame:
     """Divide each feature by its sample standard deviation.
 
@@ -188,6 +197,8 @@ def fit_grid(spark: SparkSession, frame: DataFrame, family: str, model_dir: str,
                           confusion=None)
     if checkpoint:
         frame = cut_lineage(frame.select("pid", *features, label))
+    # Rows the assembler will skip for a missing feature (T11): counted once, logged per run.
+    skipped = skipped_rows(frame, features)
     if split == "hash":
         train, test = hash_split(frame)
     else:
@@ -221,13 +232,13 @@ def fit_grid(spark: SparkSession, frame: DataFrame, family: str, model_dir: str,
         test.unpersist()
 
     rows = [{"run_id": rid, **{k: str(v) for k, v in p.items()}, "accuracy": float(acc),
-             "spark_model": path}
+             "skipped_rows": skipped, "spark_model": path}
             for rid, p, acc, path, _ in done_runs]
     schema = ("run_id string, " + ", ".join(f"`{k}` string" for k in keys)
-              + ", accuracy double, spark_model string")
+              + ", accuracy double, skipped_rows long, spark_model string")
     runs = spark.createDataFrame(rows, schema=schema)
-    log = registry.log_runs(runs, params=keys, metrics=["accuracy"], tags={"state": registry.DEV},
-                            tag_cols=["spark_model"])
+    log = registry.log_runs(runs, params=keys, metrics=["accuracy", "skipped_rows"],
+                            tags={"state": registry.DEV}, tag_cols=["spark_model"])
     conf = None
     for *_, c in done_runs:
         conf = c if conf is None else conf.unionByName(c)

@@ -28,6 +28,7 @@ def test_assembler_skips_null_features(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0), (None, 1.0, 1.0)], "temp double, pressure double,"
                                " duration double")
     assert training.assembler().transform(df).count() == 1    # T11
+    assert training.skipped_rows(df) == 1
     assert prep.valid_features(df, ["temp", "pressure", "duration"]).count() == 1
 
 
@@ -62,7 +63,7 @@ def test_tree_grid_fit_and_score(spark, tmp_path):
     scored = scoring.score(model, readings, rid)
     assert scored.count() == readings.count()
     assert set(scored.columns) == {"pid", "process_time", "predicted_quality", "model_version"}
-    assert res.log.count() == 3 * 6   # maxDepth, model, window + metric + state, model tags
+    assert res.log.count() == 3 * 7   # maxDepth, model, window; accuracy, skipped; state, model
     assert registry.run_details(res.log, rid).filter("key = 'spark_model'").first()["value"] \
         == res.model_paths[rid]
     # rerun with the log: every grid point is finished, nothing is refitted

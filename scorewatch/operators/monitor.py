@@ -3,11 +3,13 @@ confusion, class shares, drift days, stitched and what-if comparisons.
 
 Join strategy for predictions x labels (both grow with the data, so neither is
 broadcast): labels are first reduced to one row per ``pid`` holding the count
-of label rows per class, and predictions to one row per (``pid``, group keys,
-predicted text). Both reductions combine map-side, so a hot ``pid`` collapses
-to a handful of rows before any shuffle, and the join never emits the pairs of
-a duplicated key: pair counts are products of the two side counts. The result
-equals counting the rows of the plain inner join.
+of label rows per class (combined map-side, so a hot ``pid`` collapses before
+the shuffle). Each prediction then meets at most one label row, and the count
+of its pairs is read off that row: the join never emits the pairs of a
+duplicated key, and the result equals counting the rows of the plain inner
+join. Predictions of hot ``pid``s (found from a bounded sample) are spread
+over salt buckets, so no task receives a hot key's rows alone
+(``operators/skew.py``).
 """
 
 from __future__ import annotations
@@ -34,6 +36,15 @@ def label_counts(labels: DataFrame, classes: Sequence[int] = LABEL_CLASSES) -> D
     )
 
 
+def labelled(labels: DataFrame, predictions: DataFrame, cols: Sequence[str] = (),
+             classes: Sequence[int] = LABEL_CLASSES) -> DataFrame:
+    """Prediction rows (pid, ``cols``, predicted_quality) beside their pid's
+    label counts (``_nl``, ``_nl0``...); unlabelled predictions drop out."""
+    from scorewatch.operators.skew import hot_keys, salted_join
+    p = predictions.select("pid", *cols, "predicted_quality")
+    return salted_join(p, label_counts(labels, classes), "pid", hot_keys(p, "pid"))
+
+
 def pair_counts(labels: DataFrame, predictions: DataFrame, by: Sequence[str] = (),
                 classes: Sequence[int] = LABEL_CLASSES) -> DataFrame:
     """Rows of ``predictions JOIN labels USING (pid)`` counted by
@@ -42,12 +53,10 @@ def pair_counts(labels: DataFrame, predictions: DataFrame, by: Sequence[str] = (
     ``quality`` values outside ``classes`` (and nulls) are reported as null.
     """
     by = list(by)
-    p = (predictions.select("pid", *by, "predicted_quality")
-         .groupBy("pid", *by, "predicted_quality").agg(F.count(F.lit(1)).alias("_np")))
-    j = p.join(label_counts(labels, classes), "pid")
+    j = labelled(labels, predictions, by, classes)
     g = j.groupBy(*by, "predicted_quality").agg(
-        F.sum(F.col("_np") * F.col("_nl")).alias("_all"),
-        *[F.sum(F.col("_np") * F.col(f"_nl{i}")).alias(f"_c{i}") for i in range(len(classes))],
+        F.sum("_nl").alias("_all"),
+        *[F.sum(f"_nl{i}").alias(f"_c{i}") for i in range(len(classes))],
     )
     rest = F.col("_all")
     for i in range(len(classes)):
@@ -87,16 +96,13 @@ def _matched(classes: Sequence[int]) -> F.Column:
 def flag_counts(labels: DataFrame, predictions: DataFrame, keys: Sequence[str],
                 classes: Sequence[int] = LABEL_CLASSES) -> DataFrame:
     """Right and all pairs of ``predictions JOIN labels USING (pid)`` per
-    (pid, ``keys``), formed from the two reduced sides (no pair is emitted).
+    prediction row, read off the pid's label counts (no pair is emitted).
 
     ``keys`` are columns of ``predictions``. Output: pid, keys..., _right, _all.
     """
-    keys = list(keys)
-    p = (predictions.select("pid", *keys, "predicted_quality")
-         .groupBy("pid", *keys, "predicted_quality").agg(F.count(F.lit(1)).alias("_np")))
-    j = p.join(label_counts(labels, classes), "pid")
-    return j.select("pid", *keys, (F.col("_np") * _matched(classes)).alias("_right"),
-                    (F.col("_np") * F.col("_nl")).alias("_all"))
+    j = labelled(labels, predictions, keys, classes)
+    return j.select("pid", *keys, _matched(classes).alias("_right"),
+                    F.col("_nl").alias("_all"))
 
 
 def daily_kpi(labels: DataFrame, predictions: DataFrame, by_version: bool = False,

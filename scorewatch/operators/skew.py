@@ -1,0 +1,47 @@
+"""Hot keys and salted joins.
+
+A key may hold a large share of all rows (the common stress case: a third).
+``hot_keys`` finds the keys holding at least ``min_share`` of a frame's rows
+from a uniform sample of bounded size, and ``salted_join`` spreads the rows of
+those keys over many tasks. Which keys are called hot affects only speed,
+never the result: the small side's rows of a hot key are present in every
+salt bucket.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SAMPLE_ROWS = 20_000        # sample size: bounded, whatever the data size
+MIN_SHARE = 0.001           # a hot key holds at least 0.1 % of the rows (<= 1000 keys)
+SALT_BUCKETS = 64
+
+
+def hot_keys(df: DataFrame, key: str, sample_rows: int = SAMPLE_ROWS,
+             min_share: float = MIN_SHARE) -> list:
+    """Keys with at least ``min_share`` of the rows, estimated from a uniform
+    random sample of at most ``sample_rows`` rows (a top-k on a random number:
+    each task keeps at most ``sample_rows`` keys). Returns a bounded list."""
+    s = (df.select(key).where(F.col(key).isNotNull())
+         .withColumn("_r", F.rand(17)).orderBy("_r").limit(sample_rows))
+    need = max(8, int(sample_rows * min_share))
+    return [r[0] for r in s.groupBy(key).count().filter(F.col("count") >= need).collect()]
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, hot: list,
+                buckets: int = SALT_BUCKETS, how: str = "inner") -> DataFrame:
+    """``big JOIN small USING (key)`` where ``small`` has few rows per key.
+
+    Rows of hot keys on the big side get a random bucket; the small side's rows
+    of those keys are repeated once per bucket. Cold keys join as usual
+    (bucket 0), so without hot keys this is the plain equi-join.
+    """
+    if not hot:
+        return big.join(small, key, how)
+    is_hot = F.col(key).isin(hot)
+    b = big.withColumn("_salt", F.when(is_hot, (F.rand(29) * buckets).cast("int"))
+                       .otherwise(F.lit(0)))
+    reps = F.when(is_hot, F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))
+    s = small.withColumn("_salt", F.explode(reps))
+    return b.join(s, [key, "_salt"], how).drop("_salt")

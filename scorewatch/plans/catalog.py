@@ -302,7 +302,7 @@ def run_details(spark, sf_dir):
 def run_search(spark, sf_dir):
     ev = fx.events(spark, sf_dir).select(
         F.col("event_id").alias("run_id"), "event_type",
-        F.get_json_object("props", "$.k").alias("k"), "ts")
+        fx.props_k().alias("k"), "ts")
     log = registry.log_runs(ev, params=["event_type", "k"], logged_at=F.col("ts"))
     return registry.search_runs(log, params={"event_type": "click", "k": "9"})
 

@@ -80,3 +80,10 @@ def test_rows_per_file_cap(spark, tmp_path):
     assert len(glob.glob(str(tmp_path / "t" / "*.parquet"))) == 10          # K3
     sinks.write_batch(df, str(tmp_path / "t"), mode="append")
     assert spark.read.parquet(str(tmp_path / "t")).count() == 1000          # K2
+
+
+def test_props_fast_path_equals_json_parser(spark):
+    df = spark.createDataFrame([('{"k": 12}',), ('{"k": -3}',), ('{"k": 4.5}',), ('{"a": 1, "k": 7}',),
+                                ('{"k":8}',), (None,), ('not json',)], "props string")
+    got = df.select(fx.props_k().alias("a"), F.get_json_object("props", "$.k").alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got)

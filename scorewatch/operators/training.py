@@ -20,7 +20,6 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,18 +104,29 @@ def skipped_rows(df: DataFrame, features: Sequence[str] = FEATURES) -> int:
     return df.filter(bad).count()
 
 
-def scale(df: DataFrame, features: Sequence[str] = FEATURES, suffix: str = "_scaled") -> DataFrame:
-    """Divide each feature by its sample standard deviation.
+def scaler(inp: str = "features_assembler", out: str = "features") -> StandardScaler:
+    """Pipeline stage dividing a feature vector by its per-feature sample
+    standard deviation, without centring (M4)."""
+    return StandardScaler(inputCol=inp, outputCol=out, withStd=True, withMean=False)
+
 
-    ``StandardScaler`` (withStd, no centring) computes the deviations in one
-    aggregation; the scaled vector is unpacked into plain columns.
+def scale(df: DataFrame, features: Sequence[str] = FEATURES, suffix: str = "_scaled") -> DataFrame:
+    """Each feature divided by its sample standard deviation (A8), as plain columns.
+
+    The deviations come from one aggregation (partial aggregates combine
+    map-side; three numbers reach the driver, as a fitted ``StandardScaler``
+    holds them), then a projection divides: no vectors, no UDF. Rows with a
+    missing feature are kept here (their scaled value is null); the pipeline
+    stage ``scaler`` skips them with the assembler. A zero deviation scales to 0,
+    as ``StandardScaler`` does.
     """
-    va = assembler(features, "_fa")
-    sc = StandardScaler(inputCol="_fa", outputCol="_fs", withStd=True, withMean=False)
-    model = Pipeline(stages=[va, sc]).fit(df)
-    arr = vector_to_array("_fs")
-    out = model.transform(df)
-    return out.select(*df.columns, *[arr[i].alias(f"{c}{suffix}") for i, c in enumerate(features)])
+    sd = df.agg(*[F.stddev_samp(F.col(c).cast("double")).alias(c) for c in features]).first()
+    cols = []
+    for c in features:
+        s = sd[c]
+        x = F.col(c).cast("double")
+        cols.append((x / F.lit(s) if s else x * F.lit(0.0)).alias(f"{c}{suffix}"))
+    return df.select(*df.columns, *cols)
 
 
 # --- rule grid (exact, SQL-checkable stand-in for fitted grids) -----------------

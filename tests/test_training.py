@@ -38,6 +38,10 @@ def test_scale_divides_by_sample_stddev(spark):
     out = training.scale(df).collect()
     sd = df.agg(F.stddev_samp("temp")).first()[0]
     assert abs(out[0]["temp_scaled"] - 1.0 / sd) < 1e-12
+    # the pipeline stage gives the same numbers
+    va = training.assembler(out="features_assembler")
+    ml = training.scaler().fit(va.transform(df)).transform(va.transform(df)).collect()
+    assert abs(ml[0]["features"][0] - out[0]["temp_scaled"]) < 1e-12
 
 
 def test_rule_grid_one_pass_equals_per_candidate(spark):

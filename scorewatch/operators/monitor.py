@@ -238,18 +238,26 @@ def in_production(labels: DataFrame, predictions: DataFrame, promotions: DataFra
         return _per_run(fc.limit(0).withColumn("run_id", F.lit(None).cast("string")))
     if n <= max_broadcast:
         from scorewatch.operators.registry import production_intervals
-        iv = production_intervals(promotions, order)
-        last = iv.filter(F.col("production_end").isNull()).first()
-        closed = (iv.filter(F.col("production_end").isNotNull())
+        iv = production_intervals(promotions, order)     # small: n rows, checked
+        st = iv.agg(F.min("production_start").alias("lo"), F.max("production_start").alias("hi"),
+                    F.max(F.when(F.col("production_end").isNull(),
+                                 F.struct("production_start", "run_id"))).alias("last")).first()
+        # Buckets as wide as the mean interval: the disjoint closed intervals
+        # list on at most about 2n buckets, and a reading meets 1-2 of them.
+        span = _epoch_seconds_py(st["hi"]) - _epoch_seconds_py(st["lo"])
+        width = max(1, span // max(1, n))
+        bucket = lambda c: F.floor(_epoch_seconds(c) / F.lit(width))
+        closed = (iv.filter(F.col("production_end") > F.col("production_start"))
                   .select(F.col("run_id").alias("_run"), F.col("production_start").alias("_s"),
                           F.col("production_end").alias("_e"),
-                          F.explode(F.sequence(F.to_date("production_start"),
-                                               F.to_date("production_end"))).alias("_day")))
-        rows = fc.withColumn("_day", F.to_date("process_time"))
+                          F.explode(F.sequence(bucket("production_start"),
+                                               bucket("production_end"))).alias("_b")))
+        rows = fc.withColumn("_b", bucket("process_time"))
         t = F.col("process_time")
         j = rows.join(F.broadcast(closed),
-                      (rows["_day"] == closed["_day"]) & (t >= closed["_s"]) & (t < closed["_e"]),
+                      (rows["_b"] == closed["_b"]) & (t >= closed["_s"]) & (t < closed["_e"]),
                       "left")
+        last = st["last"]
         tail = F.when(t >= typed_lit(last["production_start"], t_type(fc)),
                       F.lit(str(last["run_id"])))
         return _per_run(j.withColumn("run_id", F.coalesce(F.col("_run"), tail)))
@@ -268,6 +276,18 @@ def in_production(labels: DataFrame, predictions: DataFrame, promotions: DataFra
     return _per_run(tagged.filter(F.col("_tb") == 1))
 
 
+def _epoch_seconds(c: str) -> F.Column:
+    """Whole seconds since 1970-01-01 of a zone-less timestamp (no zone involved)."""
+    col = F.col(c)
+    days = F.datediff(F.to_date(col), F.lit("1970-01-01").cast("date")).cast("long")
+    return days * 86400 + F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
+
+
+def _epoch_seconds_py(ts) -> int:
+    import datetime as dt
+    return int((ts - dt.datetime(1970, 1, 1)).total_seconds()) if ts is not None else 0
+
+
 def t_type(df: DataFrame):
     return df.schema["process_time"].dataType
 

@@ -74,21 +74,31 @@ def search_runs(log: DataFrame, params: Mapping[str, object] | None = None,
                 tags: Mapping[str, object] | None = None) -> DataFrame:
     """Runs whose current params/tags equal all given values (R2).
 
-    One aggregation by run: for each predicate the run's latest value of that
-    key (``max`` of (time, value)), then all predicates tested at once.
+    A run whose latest value of a key equals the wanted value has at least one
+    row with that value, so candidates come from the value-matching rows
+    alone (selective, aggregated map-side). The latest values are then checked
+    for the candidates only: one aggregation by run over their rows, each
+    predicate's latest value being ``max`` of (time, value).
     """
     preds = [("param", k, str(v)) for k, v in (params or {}).items()]
     preds += [("tag", k, str(v)) for k, v in (tags or {}).items()]
     if not preds:
         return log.select("run_id").distinct()
-    hit = None
-    for kind, key, _ in preds:
-        c = (F.col("kind") == kind) & (F.col("key") == key)
-        hit = c if hit is None else (hit | c)
-    latest = [F.max(F.when((F.col("kind") == kind) & (F.col("key") == key),
-                           F.struct("logged_at", "value")))["value"].alias(f"_v{i}")
-              for i, (kind, key, _) in enumerate(preds)]
-    cur = log.filter(hit).groupBy("run_id").agg(*latest)
+
+    def key_is(kind, key):
+        return (F.col("kind") == kind) & (F.col("key") == key)
+
+    hit = matched = None
+    for kind, key, val in preds:
+        h, m = key_is(kind, key), key_is(kind, key) & (F.col("value") == val)
+        hit = h if hit is None else (hit | h)
+        matched = m if matched is None else (matched | m)
+    seen = [F.max(F.when(key_is(kind, key) & (F.col("value") == val), 1)).alias(f"_m{i}")
+            for i, (kind, key, val) in enumerate(preds)]
+    cand = log.filter(matched).groupBy("run_id").agg(*seen).dropna().select("run_id")
+    latest = [F.max(F.when(key_is(kind, key), F.struct("logged_at", "value")))["value"]
+              .alias(f"_v{i}") for i, (kind, key, _) in enumerate(preds)]
+    cur = log.filter(hit).join(cand, "run_id", "left_semi").groupBy("run_id").agg(*latest)
     ok = None
     for i, (_, _, val) in enumerate(preds):
         c = F.col(f"_v{i}") == val

@@ -79,3 +79,18 @@ def test_intervals_and_log_over_promotions(spark):
     pl = registry.promotion_log(promos)
     assert pl.count() == 5
     assert pl.filter("value = 'ex_production'").orderBy("seq").select("run_id").collect()[0][0] == "a"
+
+
+def test_search_uses_latest_values(spark):
+    log = spark.createDataFrame(
+        [("r1", "tag", "state", "production", ts("2024-01-01 00:00:00")),
+         ("r1", "tag", "state", "ex_production", ts("2024-01-02 00:00:00")),
+         ("r2", "tag", "state", "dev", ts("2024-01-01 00:00:00")),
+         ("r2", "tag", "state", "production", ts("2024-01-03 00:00:00")),
+         ("r2", "param", "lo", "5", ts("2024-01-01 00:00:00"))],
+        "run_id string, kind string, key string, value string, logged_at timestamp_ntz")
+    got = [r[0] for r in registry.search_runs(log, tags={"state": "production"}).collect()]
+    assert got == ["r2"]                         # r1 once matched, but its latest value differs
+    both = registry.search_runs(log, params={"lo": 5}, tags={"state": "production"}).collect()
+    assert [r[0] for r in both] == ["r2"]
+    assert registry.search_runs(log, params={"lo": 5}, tags={"state": "dev"}).count() == 0

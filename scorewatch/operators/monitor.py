@@ -197,6 +197,18 @@ def stitch(kpi_before: DataFrame, kpi_after: DataFrame, switch_day: str,
     return a.unionByName(b).orderBy("window_day", "accurate_prediction")
 
 
+def stitch_models(labels: DataFrame, before: DataFrame, after: DataFrame,
+                  switch_day: str) -> DataFrame:
+    """``stitch`` computed from predictions: the first model's predictions
+    before the switch day and the second's from it on, one KPI by version.
+    Same rows as ``stitch(daily_kpi(before), daily_kpi(after))`` with one label
+    reduction and one pass over each model's relevant days."""
+    day = window_day("process_time")
+    cut = F.to_date(F.lit(switch_day))
+    preds = before.filter(day < cut).unionByName(after.filter(day >= cut))
+    return daily_kpi(labels, preds, by_version=True)
+
+
 def kpi_after(kpi: DataFrame, day: str) -> DataFrame:
     """KPI rows after a given day."""
     return kpi.filter(F.col("window_day") > F.to_date(F.lit(day)))

@@ -151,8 +151,8 @@ def drift_days(spark, sf_dir):
 
 
 def kpi_stitched(spark, sf_dir):
-    return monitor.stitch(_kpi(spark, sf_dir, "m1", ordered=False),
-                          _kpi(spark, sf_dir, "m2", ordered=False), fx.SWITCH_DAY)
+    return monitor.stitch_models(_labels(spark, sf_dir), _pred(spark, sf_dir, "m1"),
+                                 _pred(spark, sf_dir, "m2"), fx.SWITCH_DAY)
 
 
 def kpi_after(spark, sf_dir):

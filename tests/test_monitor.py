@@ -168,3 +168,14 @@ def test_hot_pid_on_both_sides_is_counted_not_materialised(spark):
     right = hot_right + sum(1 for i in cold if i % 2 == 1)
     total = hot * hot + len(cold)
     assert rows["Accurate"] == right and rows["Accurate"] + rows["Inaccurate"] == total
+
+
+def test_stitch_models_equals_stitched_kpis(spark):
+    from scorewatch.sources import fixtures as fx
+    from tests.conftest import SF_SMALL
+    labs = fx.labels(spark, SF_SMALL)
+    m1, m2 = fx.predictions(spark, SF_SMALL, "m1"), fx.predictions(spark, SF_SMALL, "m2")
+    cols = ["window_day", "model_version", "accurate_prediction", "count", "total", "ratio"]
+    a = monitor.stitch(monitor.daily_kpi(labs, m1), monitor.daily_kpi(labs, m2), "2024-01-16")
+    b = monitor.stitch_models(labs, m1, m2, "2024-01-16")
+    assert sorted(a.select(cols).collect()) == sorted(b.select(cols).collect())

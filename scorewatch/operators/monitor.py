@@ -36,13 +36,21 @@ def label_counts(labels: DataFrame, classes: Sequence[int] = LABEL_CLASSES) -> D
     )
 
 
+def with_label_counts(frame: DataFrame, labels: DataFrame,
+                      classes: Sequence[int] = LABEL_CLASSES) -> DataFrame:
+    """Rows of ``frame`` (keyed by pid) beside their pid's label counts
+    (``_nl``, ``_nl0``...); rows without labels drop out. Hot pids of ``frame``
+    are salted (``skew.salted_join``)."""
+    from scorewatch.operators.skew import hot_keys, salted_join
+    return salted_join(frame, label_counts(labels, classes), "pid", hot_keys(frame, "pid"))
+
+
 def labelled(labels: DataFrame, predictions: DataFrame, cols: Sequence[str] = (),
              classes: Sequence[int] = LABEL_CLASSES) -> DataFrame:
     """Prediction rows (pid, ``cols``, predicted_quality) beside their pid's
-    label counts (``_nl``, ``_nl0``...); unlabelled predictions drop out."""
-    from scorewatch.operators.skew import hot_keys, salted_join
-    p = predictions.select("pid", *cols, "predicted_quality")
-    return salted_join(p, label_counts(labels, classes), "pid", hot_keys(p, "pid"))
+    label counts; unlabelled predictions drop out."""
+    return with_label_counts(predictions.select("pid", *cols, "predicted_quality"), labels,
+                             classes)
 
 
 def pair_counts(labels: DataFrame, predictions: DataFrame, by: Sequence[str] = (),

@@ -52,8 +52,7 @@ def _kpi(spark, sf_dir, version="m1", ordered=True):
 
 def _grid_frame(spark, sf_dir):
     n = prep.time_slice(fx.noisy(spark, sf_dir), "process_time", hi=GRID_CUTOFF)
-    return n.select("pid", "temp", "pressure").join(monitor.label_counts(_labels(spark, sf_dir)),
-                                                     "pid")
+    return monitor.with_label_counts(n.select("pid", "temp", "pressure"), _labels(spark, sf_dir))
 
 
 def _grid_runs(spark, sf_dir, grid=RULE_GRID):

@@ -22,11 +22,14 @@ def hot_keys(df: DataFrame, key: str, sample_rows: int = SAMPLE_ROWS,
              min_share: float = MIN_SHARE) -> list:
     """Keys with at least ``min_share`` of the rows, estimated from a uniform
     random sample of at most ``sample_rows`` rows (a top-k on a random number:
-    each task keeps at most ``sample_rows`` keys). Returns a bounded list."""
+    each task keeps at most ``sample_rows`` keys, one job). The sample itself
+    is bounded, so it is counted on the driver. Returns a bounded list."""
+    from collections import Counter
     s = (df.select(key).where(F.col(key).isNotNull())
-         .withColumn("_r", F.rand(17)).orderBy("_r").limit(sample_rows))
+         .withColumn("_r", F.rand(17)).orderBy("_r").limit(sample_rows).select(key))
     need = max(8, int(sample_rows * min_share))
-    return [r[0] for r in s.groupBy(key).count().filter(F.col("count") >= need).collect()]
+    counts = Counter(r[0] for r in s.collect())
+    return sorted(k for k, c in counts.items() if c >= need)
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, hot: list,

@@ -179,3 +179,18 @@ def test_stitch_models_equals_stitched_kpis(spark):
     a = monitor.stitch(monitor.daily_kpi(labs, m1), monitor.daily_kpi(labs, m2), "2024-01-16")
     b = monitor.stitch_models(labs, m1, m2, "2024-01-16")
     assert sorted(a.select(cols).collect()) == sorted(b.select(cols).collect())
+
+
+def test_refresh_is_idempotent(spark):
+    """A replayed label batch rewrites the same day partitions with the same rows."""
+    from scorewatch.session import fresh_dir
+    from scorewatch.sources import fixtures as fx
+    from tests.conftest import SF_SMALL
+    labs, preds = fx.labels(spark, SF_SMALL), fx.predictions(spark, SF_SMALL, "m1")
+    path = fresh_dir(spark, "t-kpi")
+    batch = labs.filter("qualitycheck_time > '2024-01-20'")
+    monitor.refresh_kpi(labs, preds, labs, path)
+    first = sorted(monitor.read_kpi(spark, path).collect())
+    assert monitor.refresh_kpi(labs, preds, batch, path) > 0
+    assert monitor.refresh_kpi(labs, preds, batch, path) > 0
+    assert sorted(monitor.read_kpi(spark, path).collect()) == first

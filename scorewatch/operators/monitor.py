@@ -257,8 +257,11 @@ def in_production(labels: DataFrame, predictions: DataFrame, promotions: DataFra
     if n == 0:
         return _per_run(fc.limit(0).withColumn("run_id", F.lit(None).cast("string")))
     if n <= max_broadcast:
-        from scorewatch.operators.registry import production_intervals
-        iv = production_intervals(promotions, order)     # small: n rows, checked
+        # At most max_broadcast rows (checked above): a plain window orders them.
+        t_col, seq = order
+        iv = promotions.select(
+            "run_id", F.col(t_col).alias("production_start"),
+            F.lead(t_col).over(Window.orderBy(t_col, seq)).alias("production_end"))
         st = iv.agg(F.min("production_start").alias("lo"), F.max("production_start").alias("hi"),
                     F.max(F.when(F.col("production_end").isNull(),
                                  F.struct("production_start", "run_id"))).alias("last")).first()

@@ -247,10 +247,12 @@ def in_production(labels: DataFrame, predictions: DataFrame, promotions: DataFra
 
     Promotions are few in practice: when their count is within
     ``max_broadcast`` (checked with ``limit(n + 1).count()``) the closed
-    intervals, listed on every day they overlap, are broadcast and joined on
-    the day plus the time range (one pass over the predictions, no shuffle of
-    them); the open last interval is one collected row. Beyond that bound the
-    lookup becomes an as-of over the global time order (``ordering``).
+    intervals, listed on the time buckets they overlap (bucket width = span /
+    count, so each reading meets one or two candidates however dense the
+    promotions), are broadcast and joined on the bucket plus the time range:
+    one pass over the predictions, no shuffle of them. The open last interval
+    is one collected row. Beyond that bound the lookup becomes an as-of over
+    the global time order (``ordering``).
     """
     fc = flag_counts(labels, predictions, ["process_time"], classes)
     n = promotions.limit(max_broadcast + 1).count()
@@ -281,7 +283,7 @@ def in_production(labels: DataFrame, predictions: DataFrame, promotions: DataFra
                       (rows["_b"] == closed["_b"]) & (t >= closed["_s"]) & (t < closed["_e"]),
                       "left")
         last = st["last"]
-        tail = F.when(t >= typed_lit(last["production_start"], t_type(fc)),
+        tail = F.when(t >= typed_lit(last["production_start"], _time_type(fc)),
                       F.lit(str(last["run_id"])))
         return _per_run(j.withColumn("run_id", F.coalesce(F.col("_run"), tail)))
 
@@ -311,7 +313,7 @@ def _epoch_seconds_py(ts) -> int:
     return int((ts - dt.datetime(1970, 1, 1)).total_seconds()) if ts is not None else 0
 
 
-def t_type(df: DataFrame):
+def _time_type(df: DataFrame):
     return df.schema["process_time"].dataType
 
 

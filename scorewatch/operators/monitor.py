@@ -7,9 +7,9 @@ of label rows per class (combined map-side, so a hot ``pid`` collapses before
 the shuffle). Each prediction then meets at most one label row, and the count
 of its pairs is read off that row: the join never emits the pairs of a
 duplicated key, and the result equals counting the rows of the plain inner
-join. Predictions of hot ``pid``s (found from a bounded sample) are spread
-over salt buckets, so no task receives a hot key's rows alone
-(``operators/skew.py``).
+join. Predictions of hot ``pid``s (found from a bounded sample) are not
+shuffled by ``pid``: identical rows collapse by content and meet a broadcast
+of the hot keys' label rows (``operators/skew.py``).
 """
 
 from __future__ import annotations
@@ -39,10 +39,11 @@ def label_counts(labels: DataFrame, classes: Sequence[int] = LABEL_CLASSES) -> D
 def with_label_counts(frame: DataFrame, labels: DataFrame,
                       classes: Sequence[int] = LABEL_CLASSES) -> DataFrame:
     """Rows of ``frame`` (keyed by pid) beside their pid's label counts
-    (``_nl``, ``_nl0``...); rows without labels drop out. Hot pids of ``frame``
-    are salted (``skew.salted_join``)."""
-    from scorewatch.operators.skew import hot_keys, salted_join
-    return salted_join(frame, label_counts(labels, classes), "pid", hot_keys(frame, "pid"))
+    (``_nl``, ``_nl0``...) and a weight ``_w`` (identical rows of a hot pid are
+    one row of weight n); rows without labels drop out
+    (``skew.join_few_per_key``)."""
+    from scorewatch.operators.skew import hot_keys, join_few_per_key
+    return join_few_per_key(frame, label_counts(labels, classes), "pid", hot_keys(frame, "pid"))
 
 
 def labelled(labels: DataFrame, predictions: DataFrame, cols: Sequence[str] = (),
@@ -63,8 +64,8 @@ def pair_counts(labels: DataFrame, predictions: DataFrame, by: Sequence[str] = (
     by = list(by)
     j = labelled(labels, predictions, by, classes)
     g = j.groupBy(*by, "predicted_quality").agg(
-        F.sum("_nl").alias("_all"),
-        *[F.sum(f"_nl{i}").alias(f"_c{i}") for i in range(len(classes))],
+        F.sum(F.col("_w") * F.col("_nl")).alias("_all"),
+        *[F.sum(F.col("_w") * F.col(f"_nl{i}")).alias(f"_c{i}") for i in range(len(classes))],
     )
     rest = F.col("_all")
     for i in range(len(classes)):
@@ -109,8 +110,8 @@ def flag_counts(labels: DataFrame, predictions: DataFrame, keys: Sequence[str],
     ``keys`` are columns of ``predictions``. Output: pid, keys..., _right, _all.
     """
     j = labelled(labels, predictions, keys, classes)
-    return j.select("pid", *keys, _matched(classes).alias("_right"),
-                    F.col("_nl").alias("_all"))
+    return j.select("pid", *keys, (F.col("_w") * _matched(classes)).alias("_right"),
+                    (F.col("_w") * F.col("_nl")).alias("_all"))
 
 
 def daily_kpi(labels: DataFrame, predictions: DataFrame, by_version: bool = False,

@@ -1,21 +1,26 @@
-"""Hot keys and salted joins.
+"""Hot keys and a skew-safe join with a side holding few rows per key.
 
-A key may hold a large share of all rows (the common stress case: a third).
+A key may hold a large share of all rows (the stress case: a third).
 ``hot_keys`` finds the keys holding at least ``min_share`` of a frame's rows
-from a uniform sample of bounded size, and ``salted_join`` spreads the rows of
-those keys over many tasks. Which keys are called hot affects only speed,
-never the result: the small side's rows of a hot key are present in every
-salt bucket.
+from a uniform sample of bounded size. ``join_few_per_key`` then joins cold
+keys with one plain shuffle, and the rows of hot keys without shuffling them
+by key: they are aggregated by their full content (identical rows collapse
+map-side into one weighted row, distinct rows spread by content hash) and meet
+a broadcast of the small side's rows for the hot keys only (bounded by the
+number of hot keys). Every shuffle key is a deterministic function of the row,
+so a re-run task after a lost executor sends each row where it went before.
+Which keys are called hot changes only speed, never the result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 20_000        # sample size: bounded, whatever the data size
 MIN_SHARE = 0.001           # a hot key holds at least 0.1 % of the rows (<= 1000 keys)
-SALT_BUCKETS = 64
 
 
 def hot_keys(df: DataFrame, key: str, sample_rows: int = SAMPLE_ROWS,
@@ -24,7 +29,6 @@ def hot_keys(df: DataFrame, key: str, sample_rows: int = SAMPLE_ROWS,
     random sample of at most ``sample_rows`` rows (a top-k on a random number:
     each task keeps at most ``sample_rows`` keys, one job). The sample itself
     is bounded, so it is counted on the driver. Returns a bounded list."""
-    from collections import Counter
     s = (df.select(key).where(F.col(key).isNotNull())
          .withColumn("_r", F.rand(17)).orderBy("_r").limit(sample_rows).select(key))
     need = max(8, int(sample_rows * min_share))
@@ -32,19 +36,17 @@ def hot_keys(df: DataFrame, key: str, sample_rows: int = SAMPLE_ROWS,
     return sorted(k for k, c in counts.items() if c >= need)
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, hot: list,
-                buckets: int = SALT_BUCKETS, how: str = "inner") -> DataFrame:
+def join_few_per_key(big: DataFrame, small: DataFrame, key: str, hot: list) -> DataFrame:
     """``big JOIN small USING (key)`` where ``small`` has few rows per key.
 
-    Rows of hot keys on the big side get a random bucket; the small side's rows
-    of those keys are repeated once per bucket. Cold keys join as usual
-    (bucket 0), so without hot keys this is the plain equi-join.
+    Output: big's columns, ``_w`` (how many identical big rows the row stands
+    for; 1 for cold keys) and small's columns. Sum ``_w``-weighted values to
+    get the plain join's totals.
     """
     if not hot:
-        return big.join(small, key, how)
+        return big.withColumn("_w", F.lit(1).cast("long")).join(small, key)
     is_hot = F.col(key).isin(hot)
-    b = big.withColumn("_salt", F.when(is_hot, (F.rand(29) * buckets).cast("int"))
-                       .otherwise(F.lit(0)))
-    reps = F.when(is_hot, F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))
-    s = small.withColumn("_salt", F.explode(reps))
-    return b.join(s, [key, "_salt"], how).drop("_salt")
+    cold = big.filter(~is_hot).withColumn("_w", F.lit(1).cast("long")).join(small, key)
+    hot_rows = big.filter(is_hot).groupBy(*big.columns).agg(F.count(F.lit(1)).alias("_w"))
+    hot_small = small.filter(is_hot)                  # at most len(hot) keys' rows
+    return cold.unionByName(hot_rows.join(F.broadcast(hot_small), key))

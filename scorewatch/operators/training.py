@@ -137,8 +137,9 @@ def rule_grid_hits(frame: DataFrame, grid: Sequence[Mapping], label: str = "qual
     BETWEEN 0 AND pressure_hi -> 1`` against the label, all in one pass.
 
     ``frame`` holds either one label per row (``label`` column) or per-pid
-    label counts (``_nl``, ``_nl0``... from ``monitor.label_counts``), which
-    count every (reading, label) pair without forming it. Candidates become
+    label counts (``_nl``, ``_nl0``... and the row weight ``_w`` from
+    ``monitor.with_label_counts``), which count every (reading, label) pair
+    without forming it. Candidates become
     conditional sums of a single aggregation instead of a join with the
     data, so the data is read once whatever the grid size.
     """
@@ -146,14 +147,15 @@ def rule_grid_hits(frame: DataFrame, grid: Sequence[Mapping], label: str = "qual
         frame = frame.select(
             temp, pressure, F.lit(1).cast("long").alias("_nl"),
             *[(F.col(label) == c).cast("long").alias(f"_nl{i}") for i, c in enumerate(classes)])
-    aggs = [F.sum("_nl").alias("_n")]
+    w = F.col("_w") if "_w" in frame.columns else F.lit(1)
+    aggs = [F.sum(w * F.col("_nl")).alias("_n")]
     for i, g in enumerate(grid):
         pred = F.when(F.col(temp).between(g["lo"], g["hi"]) &
                       F.col(pressure).between(0, pressure_hi), 1).otherwise(0)
         right = F.lit(0).cast("long")
         for k, c in reversed(list(enumerate(classes))):
             right = F.when(pred == c, F.coalesce(F.col(f"_nl{k}"), F.lit(0))).otherwise(right)
-        aggs.append(F.sum(right).alias(f"_h{i}"))
+        aggs.append(F.sum(w * right).alias(f"_h{i}"))
     wide = frame.agg(*aggs)
     cells = [F.struct(F.lit(int(g["lo"])).alias("lo"), F.lit(int(g["hi"])).alias("hi"),
                       F.col(f"_h{i}").cast("long").alias("hits")) for i, g in enumerate(grid)]

@@ -34,6 +34,12 @@ def describe_long(df: DataFrame, cols: Sequence[str], digits: int | None = 6) ->
     return wide.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
 
 
+def describe_text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Spark's ``describe``: one row per statistic, values as text (A5, as the
+    reference displays it). ``describe_long`` is the typed form."""
+    return df.describe(*cols)
+
+
 def hash_sample(df: DataFrame, key: str, percent: int) -> DataFrame:
     """Deterministic sample: rows whose md5 bucket of ``key`` is below ``percent``."""
     return df.filter(hash_bucket(key, 100) < percent)

@@ -91,3 +91,13 @@ def test_props_fast_path_equals_json_parser(spark):
                                 ('{"k":8}',), (None,), ('not json',)], "props string")
     got = df.select(fx.props_k().alias("a"), F.get_json_object("props", "$.k").alias("b")).collect()
     assert all(r["a"] == r["b"] for r in got)
+
+
+def test_profile_forms_agree(spark):
+    from scorewatch.operators import profile
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, 6.0), (5.0, 7.0)], "temp double, pressure double")
+    text = {r["summary"]: r for r in profile.describe_text(df, ["temp", "pressure"]).collect()}
+    typed = {r["column"]: r for r in profile.describe_long(df, ["temp", "pressure"]).collect()}
+    assert float(text["mean"]["temp"]) == typed["temp"]["mean"] == 3.0
+    assert int(text["count"]["pressure"]) == typed["pressure"]["count"] == 3
+    assert float(text["max"]["pressure"]) == typed["pressure"]["max"]

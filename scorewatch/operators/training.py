@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from scorewatch.functions.columns import hash_bucket
 from scorewatch.operators import registry
-from scorewatch.session import cut_lineage
+from scorewatch.session import cut_lineage, small_frame
 from scorewatch.sources.tables import FEATURES
 
 # --- fixed values of the reference's training procedure ----------------------
@@ -197,7 +197,8 @@ def fit_grid(spark: SparkSession, frame: DataFrame, family: str, model_dir: str,
         g.update(model=family, model_data_date=window)
     keys = list(grid[0])
     if finished is not None:
-        gdf = spark.createDataFrame([{k: str(v) for k, v in g.items()} for g in grid])
+        gdf = small_frame(spark, [{k: str(v) for k, v in g.items()} for g in grid],
+                          ", ".join(f"`{k}` string" for k in keys))
         done = registry.run_params(finished, keys)
         todo = {tuple(r[k] for k in keys) for r in
                 registry.pending_grid(gdf, done, keys).collect()}   # bounded by the grid
@@ -248,7 +249,7 @@ def fit_grid(spark: SparkSession, frame: DataFrame, family: str, model_dir: str,
             for rid, p, acc, path, _ in done_runs]
     schema = ("run_id string, " + ", ".join(f"`{k}` string" for k in keys)
               + ", accuracy double, skipped_rows long, spark_model string")
-    runs = spark.createDataFrame(rows, schema=schema)
+    runs = small_frame(spark, rows, schema)
     log = registry.log_runs(runs, params=keys, metrics=["accuracy", "skipped_rows"],
                             tags={"state": registry.DEV}, tag_cols=["spark_model"])
     conf = None

@@ -18,7 +18,7 @@ from scorewatch.operators import monitor, prep, profile, registry, scoring, trai
 from scorewatch.plans import workflow
 from scorewatch.streaming import monitor as kpi_stream
 from scorewatch.streaming import scoring as streaming
-from scorewatch.session import fresh_dir
+from scorewatch.session import fresh_dir, small_frame
 from scorewatch.sources import fixtures as fx
 from scorewatch.sources import sinks, tables
 
@@ -278,7 +278,7 @@ def best_run_per_family(spark, sf_dir):
 
 def pending_grid(spark, sf_dir):
     finished = registry.run_params(_grid_log(spark, sf_dir), ["lo", "hi"])
-    grid = spark.createDataFrame(WIDER_GRID, "lo int, hi int")
+    grid = small_frame(spark, WIDER_GRID, "lo int, hi int")
     return registry.pending_grid(grid, finished, ["lo", "hi"])
 
 

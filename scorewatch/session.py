@@ -81,3 +81,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(jpath))
+
+
+def small_frame(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table built on the driver (a parameter grid, grid results).
+
+    Goes through pandas and Arrow, whose batches the JVM decodes itself: no
+    Python worker is started, unlike a DataFrame built from a Python list.
+    """
+    import pandas as pd
+    from pyspark.sql.types import StructType
+
+    st = StructType.fromDDL(schema)
+    return spark.createDataFrame(pd.DataFrame(rows, columns=st.fieldNames()), st)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from scorewatch.llm import exact_dedup, line_dedup, url_filter
+from scorewatch.llm import exact_dedup, line_dedup, url_filter, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 SQL = {
+    "op2_warc": warc.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op7_url_filter": url_filter.SQL,
     "op10_line_dedup": line_dedup.SQL,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from scorewatch.llm import exact_dedup, line_dedup, url_filter, warc
+from scorewatch.llm import exact_dedup, line_dedup, simhash, url_filter, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_simhash_golay": simhash.op5_simhash_golay,
     "op7_url_filter": url_filter.op7_url_filter,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from scorewatch.llm import exact_dedup, line_dedup, simhash, url_filter, warc
+from scorewatch.llm import exact_dedup, line_dedup, packing, quality, simhash, url_filter, warc
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_warc": warc.op2_warc,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_quality_trees": quality.op4_quality_trees,
     "op5_simhash_golay": simhash.op5_simhash_golay,
     "op7_url_filter": url_filter.op7_url_filter,
     "op10_line_dedup": line_dedup.op10_line_dedup,

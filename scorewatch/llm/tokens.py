@@ -1,20 +1,10 @@
-"""Token ids from public tokenizer files, with a cache of space-separated units.
-
-Units between single spaces are tokenised independently by both kinds of
-tokenizer (no piece spans a space that follows a non-space), so a unit's ids are
-looked up and only new units reach the tokenizer. Texts for which that does
-not hold (white space beside a space) go to the tokenizer whole.
-"""
+"""Token ids from public tokenizer files."""
 
 from __future__ import annotations
 
 import json
-import re
 from functools import cache
 
-CACHE_UNITS = 400_000        # units kept per Python worker; emptied when full
-UNIT_CHARS = 64              # longer units are not kept
-
 # Fixed value: the byte-level BPE split pattern, possessive form of the published one.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
@@ -27,88 +17,28 @@ def _alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Cached:
-    def __init__(self) -> None:
-        self.units: dict[str, list[int]] = {}
-
-    def _unit(self, unit: str) -> list[int]:
-        ids = self._first(unit)
-        if len(unit) <= UNIT_CHARS:
-            if len(self.units) >= CACHE_UNITS:
-                self.units.clear()
-            self.units[unit] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        if not text or self.beside(text):
-            return self._whole(text)
-        units = text.split(" ")
-        out = list(self._head(units[0]))
-        get, new = self.units.get, self._unit
-        for u in units[1:]:
-            out += get(u) or new(u)
-        return out
-
-
-class ByteBPE(_Cached):
+class ByteBPE:
     """Byte-level BPE from a ``tokenizers`` JSON file, run by tiktoken: the same
-    merges by rank, several times faster."""
+    merges by rank, several times faster. Special tokens in a text get their ids."""
 
     def __init__(self, path: str) -> None:
         import tiktoken
 
-        super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         byte = _alphabet()
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t.get("special")}
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.bytes_of = {i: b for b, i in ranks.items()} | {i: t.encode() for t, i in special.items()}
-        self.special = special
+        self.special = list(special)
         self.enc = tiktoken.Encoding("byte-bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
-        self.beside = re.compile(r" \s|\s | $").search
 
-    def _whole(self, text: str) -> list[int]:
+    def encode(self, text: str) -> list[int]:
         if any(s in text for s in self.special):
             return self.enc.encode(text, allowed_special="all")
         return self.enc.encode_ordinary(text)
 
-    def encode(self, text: str) -> list[int]:
-        if any(s in text for s in self.special):
-            return self._whole(text)
-        return super().encode(text)
-
-    def _head(self, unit: str) -> list[int]:
-        return self.enc.encode_ordinary(unit)
-
-    def _first(self, unit: str) -> list[int]:
-        return self.enc.encode_ordinary(" " + unit)
-
-
-class Pieces(_Cached):
-    """A SentencePiece model."""
-
-    def __init__(self, path: str) -> None:
-        import sentencepiece
-
-        super().__init__()
-        self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.beside = re.compile("  |^ | $|▁").search
-
-    def _whole(self, text: str) -> list[int]:
-        return self.sp.encode(text, num_threads=1) if text else []
-
-    def _first(self, unit: str) -> list[int]:
-        return self.sp.encode(unit, num_threads=1)
-
-    _head = _first
-
 
 @cache
 def byte_bpe(path: str) -> ByteBPE:
     return ByteBPE(path)
-
-
-@cache
-def pieces(path: str) -> Pieces:
-    return Pieces(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scorewatch.llm import exact_dedup, line_dedup, packing, quality, simhash, url_filter, warc
+from scorewatch.llm import exact_dedup, line_dedup, packing, quality, simhash, topk, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_trees": quality.op4_quality_trees,
     "op5_simhash_golay": simhash.op5_simhash_golay,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_ball_tree_topk": topk.op8_ball_tree_topk,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
@@ -18,5 +19,6 @@ SQL = {
     "op2_warc": warc.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op7_url_filter": url_filter.SQL,
+    "op8_ball_tree_topk": topk.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scorewatch.llm import exact_dedup, hmm, line_dedup, packing, quality, simhash, topk, url_filter, warc
+from scorewatch.llm import exact_dedup, hmm, line_dedup, packing, pieces, quality, simhash, topk, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_quality_trees": quality.op4_quality_trees,
     "op5_simhash_golay": simhash.op5_simhash_golay,
+    "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_ball_tree_topk": topk.op8_ball_tree_topk,
     "op9_hmm_scores": hmm.op9_hmm_scores,

@@ -210,5 +210,20 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
+              text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject, all columns kept.
+    Rows are scored where they are: nothing is joined back."""
+    import pandas as pd
+
+    model = train(stored(features(docs, id_col, text_col), "quality-features"), labels)
+
+    @F.pandas_udf("double")
+    def score_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([statistics(t) for t in texts], dtype=np.float32)))
+
+    return docs.filter(score_of(F.col(text_col).cast("string")) >= threshold)
+
+
 def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import small_batches, stored, table
+from scorewatch.llm.common import fresh_name, small_batches, stored, table
 from scorewatch.llm.components import components
 
 WIDTH = 3                   # words per shingle
@@ -305,6 +305,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", "fp", F.when(F.col("root") < 2**63 - 1, F.col("root")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
+             bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row of each near-duplicate class: the one with the smallest
+    id (null ids last, then table order). All columns kept."""
+    rid = fresh_name(docs, "rid")
+    rows = stored(docs.withColumn(rid, F.monotonically_increasing_id()), "simhash-docs")
+    classes = near_duplicates(rows, rid, text_col, width, bits).select(F.col("doc_id").alias("rid"), "component_id")
+    ids = rows.select(F.col(rid).alias("rid"), F.col(id_col).alias("id"))
+    own = stored(classes.join(ids, "rid").select(
+        "component_id", F.struct(F.col("id").isNull().alias("no_id"), "id", "rid").alias("place")), "simhash-places")
+    best = stored(own.groupBy("component_id").agg(F.min("place").alias("best"), F.count(F.lit(1)).alias("n"))
+                  .filter("n > 1").drop("n"), "simhash-kept")
+    gone = own.join(best, "component_id").filter("place.rid <> best.rid").select(F.col("place.rid").alias(rid))
+    return rows.join(gone, rid, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+
+
 def op5_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

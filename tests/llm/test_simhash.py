@@ -1,35 +1,13 @@
 import random
-from itertools import combinations
+
 
 import numpy as np
 import pytest
-import xxhash
+
 
 from scorewatch.llm import simhash
 from scorewatch.llm.components import components
-
-
-def brute_fingerprint(text):
-    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
-    if not words:
-        return 0
-    shingles = [b" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or [b" ".join(words)]
-    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
-def brute_components(fps):
-    label = {d: d for d, _ in fps}
-
-    def root(x):
-        while label[x] != x:
-            x = label[x]
-        return x
-    for (d, f), (e, g) in combinations(fps, 2):
-        if (f ^ g).bit_count() <= 3:
-            u, v = sorted((root(d), root(e)))
-            label[v] = u
-    return {d: root(d) for d, _ in fps}
+from tests.llm.brute import classes, fingerprint
 
 
 def test_golay_decoding_meets_within_one_bit():
@@ -79,9 +57,9 @@ def test_against_brute_force(spark, monkeypatch, run):
     monkeypatch.setattr(simhash.links, "__defaults__", (3, run))
     rows = texts()
     got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = [(d, brute_fingerprint(t)) for d, t in rows]
+    want = [(d, fingerprint(t)) for d, t in rows]
     assert {r.doc_id: r.fp % 2**64 for r in got} == dict(want)
-    assert {r.doc_id: r.component_id for r in got} == brute_components(want)
+    assert {r.doc_id: r.component_id for r in got} == classes(want)
 
 
 def test_nulls_repeats_and_clashing_columns(spark):

@@ -25,6 +25,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -214,8 +215,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
               text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, all columns kept.
     Rows are scored where they are: nothing is joined back."""
-    import pandas as pd
-
     model = train(stored(features(docs, id_col, text_col), "quality-features"), labels)
 
     @F.pandas_udf("double")

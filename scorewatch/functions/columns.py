@@ -48,9 +48,9 @@ def inspection_due(ts: ColumnOrName, days: int = 2) -> Column:
     return F.date_add(F.to_date(col(ts)), days).cast("timestamp_ntz")
 
 
-def window_day(ts: ColumnOrName, width: str = "1 day") -> Column:
-    """Start date of the tumbling window holding ``ts``."""
-    return F.to_date(F.window(col(ts), width).start)
+def window_day(ts: ColumnOrName) -> Column:
+    """Start date of the one-day tumbling window holding ``ts``."""
+    return F.to_date(F.window(col(ts), "1 day").start)
 
 
 def in_range(c: ColumnOrName, lo, hi) -> Column:
@@ -83,12 +83,11 @@ def label_as_int(pred: ColumnOrName) -> Column:
 
 
 def correct_flag(pred: ColumnOrName, actual: ColumnOrName) -> Column:
-    """1 where the prediction equals the label, else 0 (nulls count as wrong)."""
-    return F.when(label_as_int(pred) == col(actual), 1).otherwise(0)
-
-
-def flag_text(flag: ColumnOrName) -> Column:
-    return F.when(col(flag) == 1, "Accurate").otherwise("Inaccurate")
+    """1 where the prediction equals the label, as numbers or as text, else 0
+    (nulls count as wrong)."""
+    same = (label_as_int(pred) == label_as_int(col(actual).cast("string"))) \
+        | (col(pred).cast("string") == col(actual).cast("string"))
+    return F.when(same, 1).otherwise(0)
 
 
 def pct(part: ColumnOrName, whole: ColumnOrName) -> Column:

@@ -2,14 +2,14 @@
 confusion, class shares, drift days, stitched and what-if comparisons.
 
 Join strategy for predictions x labels (both grow with the data, so neither is
-broadcast): labels are first reduced to one row per ``pid`` holding the count
-of label rows per class (combined map-side, so a hot ``pid`` collapses before
-the shuffle). Each prediction then meets at most one label row, and the count
-of its pairs is read off that row: the join never emits the pairs of a
-duplicated key, and the result equals counting the rows of the plain inner
-join. Predictions of hot ``pid``s (found from a bounded sample) are not
-shuffled by ``pid``: identical rows collapse by content and meet a broadcast
-of the hot keys' label rows (``operators/skew.py``).
+broadcast): labels are first reduced to one row per (``pid``, label) with its
+count, combined map-side, so a hot ``pid`` collapses to as many rows as it has
+different labels. Each prediction then meets that pid's few label rows, whose
+counts weight it: the join never emits the pairs of a duplicated key, and the
+result equals counting the rows of the plain inner join. Both sides reach the
+join through plain exchanges on ``pid``, so AQE splits the predictions of a hot
+``pid`` over several tasks. No key list is sampled, nothing is collected, and
+any set of label classes, numeric or text, is counted as it comes.
 """
 
 from __future__ import annotations
@@ -19,63 +19,28 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewatch.functions.columns import (correct_flag, label_as_int, pct, typed_lit,
-                                          window_day)
+from scorewatch.functions.columns import correct_flag, pct, ts_lit, window_day
+from scorewatch.session import path_exists, store
 
-LABEL_CLASSES = (0, 1)
 KPI_BAND = (80.0, 100.0)
 
 
-def label_counts(labels: DataFrame, classes: Sequence[int] = LABEL_CLASSES) -> DataFrame:
-    """One row per pid: all label rows (``_nl``) and the rows of each class
-    (``_nl0``, ``_nl1``, ...). Combines map-side, so duplicates of a hot pid
-    collapse before the shuffle."""
-    return labels.groupBy("pid").agg(
-        F.count(F.lit(1)).alias("_nl"),
-        *[F.count_if(F.col("quality") == c).alias(f"_nl{i}") for i, c in enumerate(classes)],
-    )
+def label_counts(labels: DataFrame) -> DataFrame:
+    """One row per (pid, quality) with the number of its label rows (``_nl``)."""
+    return labels.groupBy("pid", "quality").agg(F.count(F.lit(1)).alias("_nl"))
 
 
-def with_label_counts(frame: DataFrame, labels: DataFrame,
-                      classes: Sequence[int] = LABEL_CLASSES) -> DataFrame:
-    """Rows of ``frame`` (keyed by pid) beside their pid's label counts
-    (``_nl``, ``_nl0``...) and a weight ``_w`` (identical rows of a hot pid are
-    one row of weight n); rows without labels drop out
-    (``skew.join_few_per_key``)."""
-    from scorewatch.operators.skew import hot_keys, join_few_per_key
-    return join_few_per_key(frame, label_counts(labels, classes), "pid", hot_keys(frame, "pid"))
+def labelled(labels: DataFrame, predictions: DataFrame, cols: Sequence[str] = ()) -> DataFrame:
+    """Prediction rows (pid, ``cols``, predicted_quality) beside each label of
+    their pid, weighted ``_nl``; unlabelled predictions drop out."""
+    return predictions.select("pid", *cols, "predicted_quality").join(label_counts(labels), "pid")
 
 
-def labelled(labels: DataFrame, predictions: DataFrame, cols: Sequence[str] = (),
-             classes: Sequence[int] = LABEL_CLASSES) -> DataFrame:
-    """Prediction rows (pid, ``cols``, predicted_quality) beside their pid's
-    label counts; unlabelled predictions drop out."""
-    return with_label_counts(predictions.select("pid", *cols, "predicted_quality"), labels,
-                             classes)
-
-
-def pair_counts(labels: DataFrame, predictions: DataFrame, by: Sequence[str] = (),
-                classes: Sequence[int] = LABEL_CLASSES) -> DataFrame:
-    """Rows of ``predictions JOIN labels USING (pid)`` counted by
-    (``by``..., ``predicted_quality``, ``quality``), without forming the pairs.
-
-    ``quality`` values outside ``classes`` (and nulls) are reported as null.
-    """
-    by = list(by)
-    j = labelled(labels, predictions, by, classes)
-    g = j.groupBy(*by, "predicted_quality").agg(
-        F.sum(F.col("_w") * F.col("_nl")).alias("_all"),
-        *[F.sum(F.col("_w") * F.col(f"_nl{i}")).alias(f"_c{i}") for i in range(len(classes))],
-    )
-    rest = F.col("_all")
-    for i in range(len(classes)):
-        rest = rest - F.col(f"_c{i}")
-    cells = [F.struct(F.lit(c).cast("int").alias("quality"), F.col(f"_c{i}").alias("count"))
-             for i, c in enumerate(classes)]
-    cells.append(F.struct(F.lit(None).cast("int").alias("quality"), rest.alias("count")))
-    return (g.select(*by, "predicted_quality", F.explode(F.array(*cells)).alias("_cell"))
-            .select(*by, "predicted_quality", "_cell.quality", "_cell.count")
-            .filter(F.col("count") > 0))
+def pair_counts(labels: DataFrame, predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``predictions JOIN labels USING (pid)`` counted by (``by``...,
+    ``predicted_quality``, ``quality``), without forming the pairs."""
+    return (labelled(labels, predictions, by).groupBy(*by, "predicted_quality", "quality")
+            .agg(F.sum("_nl").cast("long").alias("count")))
 
 
 def compare(labels: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -93,29 +58,16 @@ def _with_share(counts: DataFrame, keys: Sequence[str], label_col: str) -> DataF
             .orderBy(*keys, label_col))
 
 
-def _matched(classes: Sequence[int]) -> F.Column:
-    """Label rows of the pid equal to the prediction (0 for text that is no label)."""
-    pred = label_as_int("predicted_quality")
-    out = F.lit(0).cast("long")
-    for i, c in reversed(list(enumerate(classes))):
-        out = F.when(pred == c, F.col(f"_nl{i}")).otherwise(out)
-    return out
-
-
-def flag_counts(labels: DataFrame, predictions: DataFrame, keys: Sequence[str],
-                classes: Sequence[int] = LABEL_CLASSES) -> DataFrame:
-    """Right and all pairs of ``predictions JOIN labels USING (pid)`` per
-    prediction row, read off the pid's label counts (no pair is emitted).
-
-    ``keys`` are columns of ``predictions``. Output: pid, keys..., _right, _all.
-    """
-    j = labelled(labels, predictions, keys, classes)
-    return j.select("pid", *keys, (F.col("_w") * _matched(classes)).alias("_right"),
-                    (F.col("_w") * F.col("_nl")).alias("_all"))
+def flag_counts(labels: DataFrame, predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Right and all pairs of ``predictions JOIN labels USING (pid)`` per ``keys``
+    (columns of ``predictions``), weighted by label counts. Output: keys..., _right, _all."""
+    j = labelled(labels, predictions, keys)
+    right = correct_flag("predicted_quality", "quality") * F.col("_nl")
+    return j.groupBy(*keys).agg(F.sum(right).cast("long").alias("_right"),
+                                F.sum("_nl").cast("long").alias("_all"))
 
 
 def daily_kpi(labels: DataFrame, predictions: DataFrame, by_version: bool = False,
-              width: str = "1 day", classes: Sequence[int] = LABEL_CLASSES,
               ordered: bool = True) -> DataFrame:
     """Share of right and wrong predictions per day.
 
@@ -126,29 +78,24 @@ def daily_kpi(labels: DataFrame, predictions: DataFrame, by_version: bool = Fals
     ``ordered=False`` skips the final sort when the KPI feeds another operator.
     """
     keys = ["window_day"] + (["model_version"] if by_version else [])
-    preds = predictions.withColumn("window_day", window_day("process_time", width))
-    daily = flag_counts(labels, preds, keys, classes).groupBy(*keys).agg(
-        F.sum("_right").alias("_right"), F.sum("_all").alias("total"))
+    preds = predictions.withColumn("window_day", window_day("process_time"))
+    daily = flag_counts(labels, preds, keys).withColumnRenamed("_all", "total")
     cells = F.array(
         F.struct(F.lit("Accurate").alias("accurate_prediction"), F.col("_right").alias("count")),
         F.struct(F.lit("Inaccurate").alias("accurate_prediction"),
                  (F.col("total") - F.col("_right")).alias("count")))
     out = (daily.select(*keys, "total", F.explode(cells).alias("_c"))
-           .select(*keys, "_c.accurate_prediction", F.col("_c.count").cast("long").alias("count"),
-                   F.col("total").cast("long").alias("total"))
+           .select(*keys, "_c.accurate_prediction", "_c.count", "total")
            .filter(F.col("count") > 0)
            .withColumn("ratio", pct("count", "total")))
     return out.orderBy(*keys, "accurate_prediction") if ordered else out
 
 
-def accuracy(labels: DataFrame, predictions: DataFrame, by: Sequence[str] = ("model_version",),
-             classes: Sequence[int] = LABEL_CLASSES) -> DataFrame:
+def accuracy(labels: DataFrame, predictions: DataFrame,
+             by: Sequence[str] = ("model_version",)) -> DataFrame:
     """Matching / all over labelled predictions (A6, DataFrame form)."""
-    pc = pair_counts(labels, predictions, by, classes)
-    return (pc.groupBy(*by).agg(
-        (F.sum(F.col("count") * correct_flag("predicted_quality", "quality"))
-         / F.sum("count")).alias("accuracy"),
-        F.sum("count").cast("long").alias("n")))
+    return flag_counts(labels, predictions, list(by)).select(
+        *by, (F.col("_right") / F.col("_all")).alias("accuracy"), F.col("_all").alias("n"))
 
 
 def confusion(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -156,27 +103,30 @@ def confusion(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by, "predicted_quality", "quality").agg(F.count(F.lit(1)).alias("count"))
 
 
-def joined_confusion(labels: DataFrame, predictions: DataFrame, by: Sequence[str] = (),
-                     classes: Sequence[int] = LABEL_CLASSES) -> DataFrame:
+def joined_confusion(labels: DataFrame, predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Confusion counts of predictions joined to their labels."""
-    return pair_counts(labels, predictions, by, classes)
+    return pair_counts(labels, predictions, by)
 
 
-def confusion_matrix(counts: DataFrame, classes: Sequence[int] = LABEL_CLASSES) -> DataFrame:
+def confusion_matrix(counts: DataFrame, classes: Sequence | None = None) -> DataFrame:
     """Pivot confusion counts: one row per predicted label, one column per class,
-    missing cells 0 (A2)."""
-    m = (counts.groupBy("predicted_quality").pivot("quality", list(classes))
-         .agg(F.sum("count")))
-    out = m.select("predicted_quality",
-                   *[F.coalesce(F.col(str(c)), F.lit(0)).cast("long").alias(f"quality_{c}")
-                     for c in classes])
-    return out.orderBy("predicted_quality")
-
-
-def daily_class_share(predictions: DataFrame, label_col: str = "predicted_quality",
-                      width: str = "1 day") -> DataFrame:
+    missing cells 0 (A2). The classes are those of the counts (null labels as
+    ``quality_null``) unless given; a count outside given classes is an error."""
+    found = [r[0] for r in counts.select("quality").distinct().collect()]   # one row per class
+    if classes is None:
+        classes = sorted((c for c in found if c is not None), key=lambda c: (str(type(c)), c))
+        classes += [None] * (None in found)
+    elif unknown := [c for c in found if c not in classes]:
+        raise ValueError(f"counts hold classes that are not asked for: {unknown}")
+    cells = [F.coalesce(F.sum(F.when(F.col("quality").eqNullSafe(F.lit(c)), F.col("count"))), F.lit(0))
+             .cast("long").alias(f"quality_{'null' if c is None else c}") for c in classes]
+    return counts.groupBy("predicted_quality").agg(F.sum("count").alias("_n"), *cells).drop("_n") \
+        .orderBy("predicted_quality")
+
+
+def daily_class_share(predictions: DataFrame, label_col: str = "predicted_quality") -> DataFrame:
     """Count per (day, predicted class) with the day's share (A4)."""
-    counts = (predictions.withColumn("window_day", window_day("process_time", width))
+    counts = (predictions.withColumn("window_day", window_day("process_time"))
               .groupBy("window_day", label_col).agg(F.count(F.lit(1)).alias("count")))
     return _with_share(counts, ["window_day"], label_col)
 
@@ -211,18 +161,24 @@ def stitch_models(labels: DataFrame, before: DataFrame, after: DataFrame,
     """``stitch`` computed from predictions: the first model's predictions
     before the switch day and the second's from it on, one KPI by version.
     Same rows as ``stitch(daily_kpi(before), daily_kpi(after))`` with one label
-    reduction and one pass over each model's relevant days."""
-    day = window_day("process_time")
-    cut = F.to_date(F.lit(switch_day))
-    preds = before.filter(day < cut).unionByName(after.filter(day >= cut))
-    return daily_kpi(labels, preds, by_version=True)
+    reduction; the bounds on ``process_time`` reach each model's scan."""
+    t, cut = F.col("process_time"), ts_lit(switch_day)
+    return daily_kpi(labels, before.filter(t < cut).unionByName(after.filter(t >= cut)),
+                     by_version=True)
 
 
 def kpi_after(kpi: DataFrame, day: str) -> DataFrame:
-    """KPI rows after a given day."""
+    """KPI rows after a given day (D4), of a stored KPI table."""
     return kpi.filter(F.col("window_day") > F.to_date(F.lit(day)))
 
 
+def daily_kpi_after(labels: DataFrame, predictions: DataFrame, day: str) -> DataFrame:
+    """``kpi_after(daily_kpi(...), day)`` computed from the predictions of those days
+    alone: the bound on ``process_time`` reaches the scan."""
+    later = predictions.filter(F.col("process_time") >= (ts_lit(day) + F.expr("INTERVAL 1 DAY")))
+    return daily_kpi(labels, later)
+
+
 def what_if(labels: DataFrame, scored: Mapping[str, DataFrame]) -> DataFrame:
     """Daily KPI of several models over the same history, per version."""
     frames = list(scored.values())
@@ -232,147 +188,97 @@ def what_if(labels: DataFrame, scored: Mapping[str, DataFrame]) -> DataFrame:
     return daily_kpi(labels, allp, by_version=True)
 
 
-MAX_INTERVALS_BROADCAST = 200_000
-
-
 def in_production(labels: DataFrame, predictions: DataFrame, promotions: DataFrame,
-                  order: Sequence[str] = ("ts", "seq"),
-                  classes: Sequence[int] = LABEL_CLASSES,
-                  max_broadcast: int = MAX_INTERVALS_BROADCAST) -> DataFrame:
+                  order: Sequence[str] = ("ts", "seq")) -> DataFrame:
     """Labelled predictions attributed to the run in production at their
     ``process_time``, summarised per run (D5).
 
     ``promotions``: run_id, ts, seq; each promotion ends the previous run's
-    production interval. Predictions enter as (pid, time) rows weighted by
-    their right/all pair counts, so duplicated keys never form pairs.
-
-    Promotions are few in practice: when their count is within
-    ``max_broadcast`` (checked with ``limit(n + 1).count()``) the closed
-    intervals, listed on the time buckets they overlap (bucket width = span /
-    count, so each reading meets one or two candidates however dense the
-    promotions), are broadcast and joined on the bucket plus the time range:
-    one pass over the predictions, no shuffle of them. The open last interval
-    is one collected row. Beyond that bound the lookup becomes an as-of over
-    the global time order (``ordering``).
+    production interval. Right and all pairs are first summed per
+    ``process_time`` (map-side, so a hot instant is one row and the type of
+    ``pid`` plays no part), then each instant takes the latest promotion at or
+    before it: an as-of lookup over the global time order
+    (``ordering.carry_forward``), one path whatever the number of promotions.
     """
-    fc = flag_counts(labels, predictions, ["process_time"], classes)
-    n = promotions.limit(max_broadcast + 1).count()
-    if n == 0:
-        return _per_run(fc.limit(0).withColumn("run_id", F.lit(None).cast("string")))
-    if n <= max_broadcast:
-        # At most max_broadcast rows (checked above): a plain window orders them.
-        t_col, seq = order
-        iv = promotions.select(
-            "run_id", F.col(t_col).alias("production_start"),
-            F.lead(t_col).over(Window.orderBy(t_col, seq)).alias("production_end"))
-        st = iv.agg(F.min("production_start").alias("lo"), F.max("production_start").alias("hi"),
-                    F.max(F.when(F.col("production_end").isNull(),
-                                 F.struct("production_start", "run_id"))).alias("last")).first()
-        # Buckets as wide as the mean interval: the disjoint closed intervals
-        # list on at most about 2n buckets, and a reading meets 1-2 of them.
-        span = _epoch_seconds_py(st["hi"]) - _epoch_seconds_py(st["lo"])
-        width = max(1, span // max(1, n))
-        bucket = lambda c: F.floor(_epoch_seconds(c) / F.lit(width))
-        closed = (iv.filter(F.col("production_end") > F.col("production_start"))
-                  .select(F.col("run_id").alias("_run"), F.col("production_start").alias("_s"),
-                          F.col("production_end").alias("_e"),
-                          F.explode(F.sequence(bucket("production_start"),
-                                               bucket("production_end"))).alias("_b")))
-        rows = fc.withColumn("_b", bucket("process_time"))
-        t = F.col("process_time")
-        j = rows.join(F.broadcast(closed),
-                      (rows["_b"] == closed["_b"]) & (t >= closed["_s"]) & (t < closed["_e"]),
-                      "left")
-        last = st["last"]
-        tail = F.when(t >= typed_lit(last["production_start"], _time_type(fc)),
-                      F.lit(str(last["run_id"])))
-        return _per_run(j.withColumn("run_id", F.coalesce(F.col("_run"), tail)))
-
     from scorewatch.operators.ordering import carry_forward
     t_col, seq = order
+    none = F.lit(None).cast("long")
     starts = promotions.select(
         F.col(t_col).alias("_t"), F.lit(0).alias("_tb"), F.col(seq).cast("long").alias("_seq"),
-        F.col("run_id").cast("string").alias("_run"),
-        F.lit(None).cast("long").alias("_right"), F.lit(None).cast("long").alias("_all"))
-    rows = fc.select(
-        F.col("process_time").alias("_t"), F.lit(1).alias("_tb"),
-        F.col("pid").cast("long").alias("_seq"), F.lit(None).cast("string").alias("_run"),
-        "_right", "_all")
+        F.col("run_id").cast("string").alias("_run"), none.alias("_right"), none.alias("_all"))
+    rows = flag_counts(labels, predictions, ["process_time"]).select(
+        F.col("process_time").alias("_t"), F.lit(1).alias("_tb"), F.lit(0).cast("long").alias("_seq"),
+        F.lit(None).cast("string").alias("_run"), "_right", "_all")
     tagged = carry_forward(starts.unionByName(rows), ["_t", "_tb", "_seq"], "_run", "run_id")
-    return _per_run(tagged.filter(F.col("_tb") == 1))
-
-
-def _epoch_seconds(c: str) -> F.Column:
-    """Whole seconds since 1970-01-01 of a zone-less timestamp (no zone involved)."""
-    col = F.col(c)
-    days = F.datediff(F.to_date(col), F.lit("1970-01-01").cast("date")).cast("long")
-    return days * 86400 + F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
-
-
-def _epoch_seconds_py(ts) -> int:
-    import datetime as dt
-    return int((ts - dt.datetime(1970, 1, 1)).total_seconds()) if ts is not None else 0
-
-
-def _time_type(df: DataFrame):
-    return df.schema["process_time"].dataType
-
-
-def _per_run(rows: DataFrame) -> DataFrame:
-    return (rows.filter(F.col("run_id").isNotNull()).groupBy("run_id").agg(
+    return (tagged.filter((F.col("_tb") == 1) & F.col("run_id").isNotNull()).groupBy("run_id").agg(
         F.sum("_all").cast("long").alias("readings"),
         F.sum("_right").cast("long").alias("accurate"))
         .withColumn("ratio", pct("accurate", "readings"))
         .orderBy("run_id"))
 
 
-MAX_DAYS_BROADCAST = 100_000
-
-
 def touched_days(predictions: DataFrame, new_labels: DataFrame,
-                 width: str = "1 day") -> DataFrame:
+                 lag_days: int | None = None) -> DataFrame:
     """Days holding a prediction whose label is among ``new_labels``.
 
-    Both sides are reduced first (distinct (pid, day) and distinct pid, both
-    combined map-side), so a hot pid is a few rows when the semi-join shuffles.
+    ``lag_days``: labels land at most so many days after their reading. Then
+    only predictions between (first new label - lag) and the last new label
+    are read: two numbers bound the scan, by partition where the table is
+    partitioned by day. Both sides are reduced (distinct, map-side) before the
+    semi-join, so a hot pid is a few rows.
     """
-    p = (predictions.select("pid", window_day("process_time", width).alias("window_day"))
-         .distinct())
+    p = predictions
+    if lag_days is not None:
+        ends = new_labels.agg(F.min("qualitycheck_time").cast("string"),
+                              F.max("qualitycheck_time").cast("string")).first()
+        lo, hi = (ts_lit(x) if x else F.lit(None).cast("timestamp_ntz") for x in ends)
+        lo = lo - F.make_dt_interval(F.lit(lag_days))
+        p = p.filter((F.col("process_time") >= lo) & (F.col("process_time") <= hi))
+        if "process_day" in p.columns:
+            p = p.filter((F.col("process_day") >= F.to_date(lo)) & (F.col("process_day") <= F.to_date(hi)))
+    p = p.select("pid", window_day("process_time").alias("window_day")).distinct()
     return p.join(new_labels.select("pid").distinct(), "pid", "left_semi") \
         .select("window_day").distinct()
 
 
 def refresh_kpi(labels: DataFrame, predictions: DataFrame, new_labels: DataFrame,
-                kpi_path: str, by_version: bool = False) -> int:
+                kpi_path: str, by_version: bool = False, lag_days: int | None = None) -> int:
     """Incremental KPI: recompute only the days touched by newly arrived labels
     and overwrite just those day partitions of the KPI table (dynamic
     partition overwrite). Returns the number of days rewritten.
 
-    The touched-day list has one row per calendar day; it is collected (its
-    size checked) and applied as a day filter, which prunes the partitions
-    of a predictions table partitioned by day.
+    The touched days are a stored table that the predictions are semi-joined
+    with; on a table partitioned by ``process_day`` the join prunes the scan to
+    those days (dynamic partition pruning). Labels are semi-joined with the
+    pids of these predictions before they are reduced.
     """
-    days = [r[0] for r in touched_days(predictions, new_labels)
-            .limit(MAX_DAYS_BROADCAST + 1).collect()]
-    if not days:
+    days = store(touched_days(predictions, new_labels, lag_days), "kpi-days")
+    n = days.count()
+    if not n:
         return 0
-    if len(days) > MAX_DAYS_BROADCAST:
-        raise ValueError("too many touched days for one refresh; refresh in time slices")
     if "process_day" in predictions.columns:
-        # stored partitioned by day: the filter prunes partitions at the scan
-        preds = predictions.filter(F.col("process_day").isin(days))
+        preds = predictions.join(days.withColumnRenamed("window_day", "process_day"),
+                                 "process_day", "left_semi")
     else:
-        preds = predictions.filter(window_day("process_time").isin(days))
-    kpi = daily_kpi(labels, preds, by_version=by_version, ordered=False)
+        preds = (predictions.withColumn("window_day", window_day("process_time"))
+                 .join(days, "window_day", "left_semi").drop("window_day"))
+    own = labels.join(preds.select("pid").distinct(), "pid", "left_semi")
+    kpi = daily_kpi(own, preds, by_version=by_version, ordered=False)
     (kpi.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("window_day").parquet(kpi_path))
-    return len(days)
+    return n
 
 
-KPI_TABLE_SCHEMA = ("accurate_prediction string, count long, total long, ratio double, "
-                    "window_day date")
+KPI_COLUMNS = "accurate_prediction string, count long, total long, ratio double"
 
 
-def read_kpi(spark, kpi_path: str) -> DataFrame:
-    return (spark.read.schema(KPI_TABLE_SCHEMA).parquet(kpi_path)
-            .select("window_day", "accurate_prediction", "count", "total", "ratio"))
+def read_kpi(spark, kpi_path: str, by_version: bool = False) -> DataFrame:
+    """The stored KPI table; without rows if no refresh has written yet."""
+    extra = "model_version string, " if by_version else ""
+    schema = f"{extra}{KPI_COLUMNS}, window_day date"
+    if not path_exists(spark, kpi_path):
+        kpi = spark.createDataFrame([], schema)
+    else:
+        kpi = spark.read.schema(schema).parquet(kpi_path)
+    return kpi.select("window_day", *["model_version"] * by_version,
+                      "accurate_prediction", "count", "total", "ratio")

@@ -1,71 +1,37 @@
 """Operators over one global order (next/previous row, as-of carry-forward)
 without moving the whole table into one partition.
 
-A window without ``partitionBy`` sends every row to a single task. Here rows
-are cut into contiguous, ordered blocks and each block is solved on its own;
-the only cross-block information is one row per block (its first or last
-row), a table bounded by the number of blocks, fixed up with a small window
-and joined back by broadcast.
-
-Block bounds are literal values taken once from a bounded sample (the rows
-with the smallest hash of the order key: a uniform sample of fixed size,
-found by a top-k that keeps k rows per partition). With literal bounds the
-block of a row is a pure function of the row, so the frame can be recomputed
-(several consumers, a lost executor) and every row lands in the same block
-again; the order columns should end in a unique tie-breaker, which also
-splits a hot timestamp over several blocks. Each row finds its block by a
-binary search written as nested ``CASE WHEN`` (log2(blocks) comparisons).
+A window without ``partitionBy`` sends every row to a single task. Here the rows
+are range-partitioned on the order columns by Spark; a row's partition number is
+its block, and the blocked table is written to the shared folder, so that it is
+the same for every consumer and after a lost executor. Each block is solved on
+its own; the only cross-block information is one row per block (its first or
+last row), fixed up with a small window and joined back.
+
+The number of blocks follows the data (``ROWS_PER_BLOCK``, at least the number of
+shuffle partitions). The order columns should end in a unique tie-breaker, which
+also splits a hot timestamp over several blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewatch.functions.columns import typed_lit
-
-SAMPLE_PER_BLOCK = 32
-# The binary search is an expression tree with one node per bound; past a few
-# thousand blocks code generation splits it into many methods.
-MAX_BLOCKS = 4096
-
-
-def _bounds(df: DataFrame, order: Sequence[str], n: int) -> list:
-    k = n * SAMPLE_PER_BLOCK
-    sample = (df.select(*order).withColumn("_h", F.xxhash64(*order))
-              .orderBy("_h").limit(k).drop("_h"))
-    rows = sample.orderBy(*order).collect()          # at most k rows
-    if len(rows) < 2 or n < 2:
-        return []
-    picks = [tuple(rows[(i * len(rows)) // n]) for i in range(1, n)]
-    out = []
-    for p in picks:
-        if not out or p != out[-1]:
-            out.append(p)
-    return out
-
-
-def _block_of(df: DataFrame, order: Sequence[str], bounds: list) -> Column:
-    types = {f.name: f.dataType for f in df.schema.fields}
-    key = F.struct(*[F.col(c) for c in order])
-    lits = [F.struct(*[typed_lit(v, types[c]).alias(c) for c, v in zip(order, b)])
-            for b in bounds]
-
-    def search(lo: int, hi: int) -> Column:       # blocks lo..hi; block j starts at bounds[j-1]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(key < lits[mid - 1], search(lo, mid - 1)).otherwise(search(mid, hi))
+from scorewatch.session import store
 
-    return search(0, len(bounds))
+ROWS_PER_BLOCK = 2_000_000
 
 
 def _blocks(df: DataFrame, order: Sequence[str], n: int | None) -> DataFrame:
-    spark = df.sparkSession
-    n = min(n or int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BLOCKS)
-    return df.withColumn("_block", _block_of(df, order, _bounds(df, order, n)))
+    if n is None:
+        df = store(df, "order-rows")              # counted without computing it twice
+        n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                -(-df.count() // ROWS_PER_BLOCK))
+    return store(df.repartitionByRange(n, *order)
+                 .withColumn("_block", F.spark_partition_id()), "order-blocks")
 
 
 def lead_in_order(df: DataFrame, order: Sequence[str], value: str, out: str,
@@ -78,8 +44,7 @@ def lead_in_order(df: DataFrame, order: Sequence[str], value: str, out: str,
     firsts = b.groupBy("_block").agg(F.min(F.struct(*order, F.col(value).alias("_v"))).alias("_f"))
     nxt = (firsts.withColumn("_next", F.lead(F.col("_f")["_v"]).over(Window.orderBy("_block")))
            .select("_block", "_next"))
-    # One row per block: bounded by the number of blocks, safe to broadcast.
-    joined = inner.join(F.broadcast(nxt), "_block", "left")
+    joined = inner.join(nxt, "_block", "left")
     return (joined.withColumn(out, F.when(F.col("_last"), F.col("_next")).otherwise(F.col(out)))
             .drop("_block", "_last", "_next"))
 
@@ -94,7 +59,7 @@ def lag_in_order(df: DataFrame, order: Sequence[str], value: str, out: str,
     lasts = b.groupBy("_block").agg(F.max(F.struct(*order, F.col(value).alias("_v"))).alias("_l"))
     prev = (lasts.withColumn("_pv", F.lag(F.col("_l")["_v"]).over(Window.orderBy("_block")))
             .select("_block", "_pv"))
-    joined = inner.join(F.broadcast(prev), "_block", "left")
+    joined = inner.join(prev, "_block", "left")
     return (joined.withColumn(out, F.when(F.col("_first"), F.col("_pv")).otherwise(F.col(out)))
             .drop("_block", "_first", "_pv"))
 
@@ -114,5 +79,5 @@ def carry_forward(df: DataFrame, order: Sequence[str], value: str, out: str,
                .rowsBetween(Window.unboundedPreceding, -1))
     carry = (lasts.withColumn("_in", F.last(F.col("_l")["_v"], ignorenulls=True).over(carry_w))
              .select("_block", "_in"))
-    joined = inner.join(F.broadcast(carry), "_block", "left")
+    joined = inner.join(carry, "_block", "left")
     return joined.withColumn(out, F.coalesce(F.col(out), F.col("_in"))).drop("_block", "_in")

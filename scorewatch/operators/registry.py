@@ -2,10 +2,12 @@
 users run against it (search, skip finished grid points, best run, run
 details, production state, promotions and production intervals).
 
-Run log schema: ``run_id, kind ('param'|'metric'|'tag'), key, value, logged_at``
-with text values. "Latest value" is always an aggregate (``max`` of a struct
-ordered by time) rather than a per-group sort, so it combines map-side and a
-run with very many rows does not end up sorted in one task.
+Run log schema: ``run_id, kind ('param'|'metric'|'tag'), key, value, logged_at,
+experiment, seq`` with text values. ``seq`` numbers the appends, so "latest" does
+not depend on clocks or on text: of equal times the later append counts.
+"Latest value" is always an aggregate (``max`` of a struct ordered by ``seq``)
+rather than a per-group sort, so it combines map-side and a run with very many
+rows does not end up sorted in one task. Production state is per experiment.
 """
 
 from __future__ import annotations
@@ -24,10 +26,13 @@ RUN_LOG_SCHEMA = T.StructType([
     T.StructField("key", T.StringType(), False),
     T.StructField("value", T.StringType(), True),
     T.StructField("logged_at", T.TimestampNTZType(), True),
+    T.StructField("experiment", T.StringType(), True),
+    T.StructField("seq", T.LongType(), True),
 ])
 
 PRODUCTION, EX_PRODUCTION, DEV = "production", "ex_production", "dev"
-MAX_GRID_BROADCAST = 100_000
+EXPERIMENT = "default"
+ORDER = ("seq", "logged_at")
 
 
 def _text(c) -> F.Column:
@@ -36,11 +41,13 @@ def _text(c) -> F.Column:
 
 def log_runs(runs: DataFrame, params: Sequence[str] = (), metrics: Sequence[str] = (),
              tags: Mapping[str, str] | None = None, run_id: str = "run_id",
-             logged_at: F.Column | None = None, tag_cols: Sequence[str] = ()) -> DataFrame:
+             logged_at: F.Column | None = None, tag_cols: Sequence[str] = (),
+             experiment: str = EXPERIMENT, seq: int | F.Column = 0) -> DataFrame:
     """Key/value log rows for a frame with one row per run.
 
     ``params``, ``metrics`` and ``tag_cols`` name columns of ``runs``;
-    ``tags`` are constant for every run.
+    ``tags`` are constant for every run. ``seq`` is the append's number
+    (``next_seq``); the default time is the UTC wall clock.
     """
     cells = [F.struct(F.lit("param").alias("kind"), F.lit(p).alias("key"), _text(p).alias("value"))
              for p in params]
@@ -50,14 +57,23 @@ def log_runs(runs: DataFrame, params: Sequence[str] = (), metrics: Sequence[str]
               for k, v in (tags or {}).items()]
     cells += [F.struct(F.lit("tag").alias("kind"), F.lit(t).alias("key"), _text(t).alias("value"))
               for t in tag_cols]
-    at = logged_at if logged_at is not None else F.current_timestamp().cast("timestamp_ntz")
+    at = logged_at if logged_at is not None else F.convert_timezone(
+        None, F.lit("UTC"), F.localtimestamp())
+    number = seq if isinstance(seq, F.Column) else F.lit(seq)
     return (runs.select(F.col(run_id).cast("string").alias("run_id"), at.alias("logged_at"),
+                        F.lit(experiment).alias("experiment"), number.cast("long").alias("seq"),
                         F.explode(F.array(*cells)).alias("_c"))
-            .select("run_id", "_c.kind", "_c.key", "_c.value", "logged_at"))
+            .select("run_id", "_c.kind", "_c.key", "_c.value", "logged_at", "experiment", "seq"))
+
+
+def next_seq(log: DataFrame) -> int:
+    """The number of the next append to a log."""
+    last = log.agg(F.max("seq")).first()[0]
+    return 0 if last is None else last + 1
 
 
 def latest_values(log: DataFrame, keys: Sequence[str] = ("run_id", "kind", "key"),
-                  order: Sequence[str] = ("logged_at",), value: str = "value") -> DataFrame:
+                  order: Sequence[str] = ORDER, value: str = "value") -> DataFrame:
     """Latest ``value`` per ``keys`` by ``order`` (ties: larger order columns win)."""
     latest = F.max(F.struct(*order, value)).alias("_l")
     return log.groupBy(*keys).agg(latest).select(
@@ -70,18 +86,25 @@ def run_params(log: DataFrame, keys: Sequence[str], kind: str = "param") -> Data
     return cur.groupBy("run_id").pivot("key", list(keys)).agg(F.first("value"))
 
 
+def of_experiment(log: DataFrame, experiment: str | None) -> DataFrame:
+    """Log rows of one experiment (all of them if None)."""
+    return log if experiment is None else log.filter(F.col("experiment") == experiment)
+
+
 def search_runs(log: DataFrame, params: Mapping[str, object] | None = None,
-                tags: Mapping[str, object] | None = None) -> DataFrame:
+                tags: Mapping[str, object] | None = None,
+                experiment: str | None = None) -> DataFrame:
     """Runs whose current params/tags equal all given values (R2).
 
     A run whose latest value of a key equals the wanted value has at least one
     row with that value, so candidates come from the value-matching rows
     alone (selective, aggregated map-side). The latest values are then checked
     for the candidates only: one aggregation by run over their rows, each
-    predicate's latest value being ``max`` of (time, value).
+    predicate's latest value being ``max`` of (seq, time, value).
     """
     preds = [("param", k, str(v)) for k, v in (params or {}).items()]
     preds += [("tag", k, str(v)) for k, v in (tags or {}).items()]
+    log = of_experiment(log, experiment)
     if not preds:
         return log.select("run_id").distinct()
 
@@ -96,7 +119,7 @@ def search_runs(log: DataFrame, params: Mapping[str, object] | None = None,
     seen = [F.max(F.when(key_is(kind, key) & (F.col("value") == val), 1)).alias(f"_m{i}")
             for i, (kind, key, val) in enumerate(preds)]
     cand = log.filter(matched).groupBy("run_id").agg(*seen).dropna().select("run_id")
-    latest = [F.max(F.when(key_is(kind, key), F.struct("logged_at", "value")))["value"]
+    latest = [F.max(F.when(key_is(kind, key), F.struct(*ORDER, "value")))["value"]
               .alias(f"_v{i}") for i, (kind, key, _) in enumerate(preds)]
     cur = log.filter(hit).join(cand, "run_id", "left_semi").groupBy("run_id").agg(*latest)
     ok = None
@@ -112,24 +135,11 @@ def run_exists(log: DataFrame, params: Mapping[str, object]) -> bool:
 
 
 def pending_grid(grid: DataFrame, finished: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Grid points with no finished run of equal params.
-
-    ``grid`` is the caller's parameter grid (small by nature); ``finished``
-    may be large (one row per run). Finished runs are first reduced by a
-    semi-join with the broadcast grid, so what is joined back is bounded by
-    the grid size.
-    """
+    """Grid points with no finished run of equal params (R3): an anti-join on the
+    distinct finished params."""
     keys = list(keys)
-    small = grid.limit(MAX_GRID_BROADCAST + 1).count() <= MAX_GRID_BROADCAST
-    g = grid.select(*[_text(k).alias(k) for k in keys])
-    f = finished.select(*[_text(k).alias(k) for k in keys])
-    if small:
-        # grid size checked: broadcast it, and the finished points it selects
-        done = f.join(F.broadcast(g), keys, "left_semi").distinct()
-        return grid.join(F.broadcast(done), [grid[k].cast("string") == done[k] for k in keys],
-                         "left_anti")
-    done = f.distinct()
-    return grid.join(done, [grid[k].cast("string") == done[k] for k in keys], "left_anti")
+    done = finished.select(*[_text(k).alias(f"_done_{k}") for k in keys]).distinct()
+    return grid.join(done, [_text(grid[k]) == done[f"_done_{k}"] for k in keys], "left_anti")
 
 
 def best_run(runs: DataFrame, metric: str, ties: Sequence[str] = ("run_id",)) -> DataFrame:
@@ -152,45 +162,59 @@ def run_details(log: DataFrame, run_id: str) -> DataFrame:
     return latest_values(log.filter(F.col("run_id") == run_id))
 
 
-def production_run(log: DataFrame) -> DataFrame:
-    """Runs whose current ``state`` tag is ``production`` (R6); empty if none."""
-    state = latest_values(log.filter((F.col("kind") == "tag") & (F.col("key") == "state")))
-    return state.filter(F.col("value") == PRODUCTION).select("run_id", "logged_at")
+def production_run(log: DataFrame, experiment: str | None = None) -> DataFrame:
+    """Runs of an experiment whose current ``state`` tag is ``production`` (R6);
+    empty if none (T15)."""
+    state = latest_values(of_experiment(log, experiment)
+                          .filter((F.col("kind") == "tag") & (F.col("key") == "state")))
+    return state.filter(F.col("value") == PRODUCTION).select("run_id", "logged_at", "seq")
 
 
-def _tag_rows(run_id: F.Column, tags: Sequence[tuple[str, F.Column]], at: F.Column):
-    cells = [F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in tags]
-    return [run_id.cast("string").alias("run_id"), F.lit("tag").alias("kind"),
-            F.explode(F.array(*cells)).alias("_c"), at.alias("logged_at")]
+def _tag_log(runs: DataFrame, tags: Sequence[tuple[str, str]], at: str, experiment: str,
+             seq: int) -> DataFrame:
+    return log_runs(runs, tags=dict(tags), logged_at=F.lit(at).cast("timestamp_ntz"),
+                    experiment=experiment, seq=seq)
 
 
-def _flatten(df: DataFrame) -> DataFrame:
-    return df.select("run_id", "kind", "_c.key", "_c.value", "logged_at")
-
-
-def promote(spark: SparkSession, log: DataFrame, run_id: str, user: str, at: str) -> DataFrame:
-    """Tag rows for one promotion, demotion of the current run included.
+def promote(spark: SparkSession, log: DataFrame, run_id: str, user: str, at: str,
+            experiment: str = EXPERIMENT) -> DataFrame:
+    """Tag rows for one promotion, demotion of the experiment's current runs
+    included (R7, R8).
 
     One frame to append at once (T13): the old run gets ``ex_production`` and an
-    end time, the new one ``production`` and a start time.
+    end time, the new one ``production`` and a start time, all under the next
+    append number.
     """
-    ts = F.lit(at).cast("timestamp_ntz")
-    cur = production_run(log).filter(F.col("run_id") != run_id)
-    old = _flatten(cur.select(*_tag_rows(
-        F.col("run_id"), [("state", F.lit(EX_PRODUCTION)), ("production_marked_by", F.lit(user)),
-                          ("production_end", F.lit(at))], ts)))
-    new = _flatten(spark.range(1).select(*_tag_rows(
-        F.lit(run_id), [("state", F.lit(PRODUCTION)), ("production_marked_by", F.lit(user)),
-                        ("production_start", F.lit(at)), ("production_end", F.lit(""))], ts)))
+    seq = next_seq(log)
+    cur = production_run(log, experiment).filter(F.col("run_id") != run_id)
+    old = _tag_log(cur, [("state", EX_PRODUCTION), ("production_marked_by", user),
+                         ("production_end", at)], at, experiment, seq)
+    new = _tag_log(spark.range(1).select(F.lit(run_id).alias("run_id")),
+                   [("state", PRODUCTION), ("production_marked_by", user),
+                    ("production_start", at), ("production_end", "")], at, experiment, seq)
     return old.unionByName(new)
 
 
-def demote(spark: SparkSession, run_id: str, user: str, at: str) -> DataFrame:
+def demote(spark: SparkSession, log: DataFrame, run_id: str, user: str, at: str,
+           experiment: str = EXPERIMENT) -> DataFrame:
     """Tag rows ending one run's production."""
-    ts = F.lit(at).cast("timestamp_ntz")
-    return _flatten(spark.range(1).select(*_tag_rows(
-        F.lit(run_id), [("state", F.lit(EX_PRODUCTION)), ("production_marked_by", F.lit(user)),
-                        ("production_end", F.lit(at))], ts)))
+    return _tag_log(spark.range(1).select(F.lit(run_id).alias("run_id")),
+                    [("state", EX_PRODUCTION), ("production_marked_by", user),
+                     ("production_end", at)], at, experiment, next_seq(log))
+
+
+def log_confusion(counts: DataFrame, path: str) -> None:
+    """Append the confusion counts of runs (run_id, predicted_quality, quality,
+    count) to the stored confusion table (K5)."""
+    (counts.select("run_id", F.col("predicted_quality").cast("string"),
+                   F.col("quality").cast("string").alias("quality"), F.col("count").cast("long"))
+     .write.mode("append").parquet(path))
+
+
+def read_confusion(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    """The stored confusion counts of one run; the filter reaches the scan."""
+    return (spark.read.schema("run_id string, predicted_quality string, quality string, count long")
+            .parquet(path).filter(F.col("run_id") == run_id))
 
 
 def promotion_log(promotions: DataFrame, order: Sequence[str] = ("ts", "seq")) -> DataFrame:

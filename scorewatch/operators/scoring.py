@@ -6,6 +6,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorewatch.operators.training import skipped_rows
+from scorewatch.sources.tables import FEATURES
+
 PREDICTION_COLUMNS = ("pid", "process_time", "predicted_quality", "model_version")
 
 
@@ -24,3 +27,9 @@ def score(model: PipelineModel, readings: DataFrame, version: str) -> DataFrame:
     out = model.transform(readings)
     return out.select("pid", "process_time", F.col("predicted_quality").cast("string"),
                       F.lit(version).alias("model_version"))
+
+
+def score_counted(model: PipelineModel, readings: DataFrame, version: str,
+                  features=FEATURES) -> tuple[DataFrame, int]:
+    """``score`` of batch readings, and how many rows it drops for a missing feature."""
+    return score(model, readings, version), skipped_rows(readings, features)

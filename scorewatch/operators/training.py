@@ -2,8 +2,7 @@
 
 A grid is fitted against train/test frames persisted once; fits run a few at
 a time on the same session (Spark schedules their jobs side by side). Every fit
-yields run-log rows, confusion counts (a DataFrame, never collected) and a
-saved ``PipelineModel``.
+yields run-log rows, confusion counts and a saved ``PipelineModel``.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -49,7 +48,7 @@ FAMILIES = {
     "DecisionTree": (lambda p: DecisionTreeClassifier(
         labelCol="indexedLabel", featuresCol="features", maxDepth=p["maxDepth"], seed=TREE_SEED),
         _grid(maxDepth=DEPTHS)),
-    # Boosted trees: the reference's XGBoost grid, re-aimed at Spark's GBT.
+    # Boosted trees: the XGBoost grid re-aimed at Spark's GBT, on scaled features.
     "GBT": (lambda p: GBTClassifier(
         labelCol="indexedLabel", featuresCol="features", maxIter=p["numTrees"],
         stepSize=p["learningRate"], seed=FOREST_SEED),
@@ -57,6 +56,9 @@ FAMILIES = {
 }
 
 
+SCALED = {"GBT"}                # families whose pipeline scales the features
+
+
 # --- splits -------------------------------------------------------------------
 def hash_split(df: DataFrame, key: str = "pid", buckets: int = 10,
                train_buckets: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -132,30 +134,18 @@ def scale(df: DataFrame, features: Sequence[str] = FEATURES, suffix: str = "_sca
 # --- rule grid (exact, SQL-checkable stand-in for fitted grids) -----------------
 def rule_grid_hits(frame: DataFrame, grid: Sequence[Mapping], label: str = "quality",
                    temp: str = "temp", pressure: str = "pressure",
-                   pressure_hi: float = 134, classes: Sequence[int] = (0, 1)) -> DataFrame:
+                   pressure_hi: float = 134) -> DataFrame:
     """Hits of each rule candidate ``temp BETWEEN lo AND hi AND pressure
     BETWEEN 0 AND pressure_hi -> 1`` against the label, all in one pass.
 
-    ``frame`` holds either one label per row (``label`` column) or per-pid
-    label counts (``_nl``, ``_nl0``... and the row weight ``_w`` from
-    ``monitor.with_label_counts``), which count every (reading, label) pair
-    without forming it. Candidates become
-    conditional sums of a single aggregation instead of a join with the
-    data, so the data is read once whatever the grid size.
+    Candidates become conditional sums of a single aggregation instead of a
+    join with the data, so the data is read once whatever the grid size.
     """
-    if "_nl" not in frame.columns:
-        frame = frame.select(
-            temp, pressure, F.lit(1).cast("long").alias("_nl"),
-            *[(F.col(label) == c).cast("long").alias(f"_nl{i}") for i, c in enumerate(classes)])
-    w = F.col("_w") if "_w" in frame.columns else F.lit(1)
-    aggs = [F.sum(w * F.col("_nl")).alias("_n")]
+    aggs = [F.count(F.lit(1)).alias("_n")]
     for i, g in enumerate(grid):
         pred = F.when(F.col(temp).between(g["lo"], g["hi"]) &
                       F.col(pressure).between(0, pressure_hi), 1).otherwise(0)
-        right = F.lit(0).cast("long")
-        for k, c in reversed(list(enumerate(classes))):
-            right = F.when(pred == c, F.coalesce(F.col(f"_nl{k}"), F.lit(0))).otherwise(right)
-        aggs.append(F.sum(w * right).alias(f"_h{i}"))
+        aggs.append(F.count_if(pred == F.col(label)).alias(f"_h{i}"))
     wide = frame.agg(*aggs)
     cells = [F.struct(F.lit(int(g["lo"])).alias("lo"), F.lit(int(g["hi"])).alias("hi"),
                       F.col(f"_h{i}").cast("long").alias("hits")) for i, g in enumerate(grid)]
@@ -177,29 +167,66 @@ class GridResult:
     model_paths: dict[str, str] = field(default_factory=dict)
 
 
-def fit_grid(spark: SparkSession, frame: DataFrame, family: str, model_dir: str,
+@dataclass
+class Prepared:
+    """A training frame ready for any number of grids: written once, split once."""
+
+    train: DataFrame
+    test: DataFrame
+    indexer: object                     # fitted label index
+    skipped: int                        # rows the assembler skips for a missing feature (T11)
+
+    def release(self) -> None:
+        self.train.unpersist()
+        self.test.unpersist()
+
+
+def prepare(frame: DataFrame, split: str = "random", features: Sequence[str] = FEATURES,
+            label: str = "quality") -> Prepared:
+    """Write the training frame to the shared checkpoint folder, count its skipped
+    rows, split it, persist both sides, fit the label index.
+
+    Every fit (many passes each) then reads one materialized frame, a lost
+    executor recomputes from it rather than from the join, and the random split
+    sees the same rows on recomputation.
+    """
+    frame = cut_lineage(frame.select("pid", *features, label))
+    train, test = hash_split(frame) if split == "hash" else random_split(frame)
+    return Prepared(train.persist(StorageLevel.MEMORY_AND_DISK),
+                    test.persist(StorageLevel.MEMORY_AND_DISK),
+                    fit_label_index(frame, label), skipped_rows(frame, features))
+
+
+def stages(family: str, params: Mapping, indexer, features: Sequence[str] = FEATURES) -> list:
+    """Pipeline stages of one fit: label index, feature vector, scaler (boosted
+    trees), estimator, label text."""
+    to_text = IndexToString(inputCol="prediction", outputCol="predicted_quality",
+                            labels=indexer.labels)
+    vector = [assembler(features, "features_assembler"), scaler()] if family in SCALED \
+        else [assembler(features)]
+    return [indexer, *vector, FAMILIES[family][0](params), to_text]
+
+
+def fit_grid(spark: SparkSession, frame: DataFrame | Prepared, family: str, model_dir: str,
              window: str = "", grid: Sequence[Mapping] | None = None,
              finished: DataFrame | None = None, split: str = "random",
              parallelism: int = 3, features: Sequence[str] = FEATURES,
-             label: str = "quality", checkpoint: bool = True) -> GridResult:
+             label: str = "quality", experiment: str = registry.EXPERIMENT, seq: int = 0) -> GridResult:
     """Fit one family's grid on ``frame`` (M5-M12), skipping finished points.
 
     ``finished``: run log of earlier rounds; grid points whose params (and data
-    window) already have a run are not refitted. With ``checkpoint`` the
-    training frame is first written to the shared checkpoint folder, so every
-    fit (many passes each) reads one materialized frame, a lost executor
-    recomputes from it rather than from the join, and the random split sees
-    the same rows on recomputation.
+    window) already have a run are not refitted. Pass a ``Prepared`` frame to
+    share it between families. Confusion counts are collected per fit while the
+    test side is persisted: (number of classes)^2 rows each.
     """
-    make, default_grid = FAMILIES[family]
-    grid = [dict(g) for g in (grid or default_grid)]
+    grid = [dict(g) for g in (grid or FAMILIES[family][1])]
     for g in grid:
         g.update(model=family, model_data_date=window)
     keys = list(grid[0])
     if finished is not None:
         gdf = small_frame(spark, [{k: str(v) for k, v in g.items()} for g in grid],
                           ", ".join(f"`{k}` string" for k in keys))
-        done = registry.run_params(finished, keys)
+        done = registry.run_params(registry.of_experiment(finished, experiment), keys)
         todo = {tuple(r[k] for k in keys) for r in
                 registry.pending_grid(gdf, done, keys).collect()}   # bounded by the grid
         grid = [g for g in grid if tuple(str(g[k]) for k in keys) in todo]
@@ -208,53 +235,40 @@ def fit_grid(spark: SparkSession, frame: DataFrame, family: str, model_dir: str,
         empty = spark.createDataFrame([], "run_id string, accuracy double")
         return GridResult(runs=empty, log=spark.createDataFrame([], registry.RUN_LOG_SCHEMA),
                           confusion=None)
-    if checkpoint:
-        frame = cut_lineage(frame.select("pid", *features, label))
-    # Rows the assembler will skip for a missing feature (T11): counted once, logged per run.
-    skipped = skipped_rows(frame, features)
-    if split == "hash":
-        train, test = hash_split(frame)
-    else:
-        train, test = random_split(frame)
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    test = test.persist(StorageLevel.MEMORY_AND_DISK)
-    indexer = fit_label_index(frame, label)
-    to_text = IndexToString(inputCol="prediction", outputCol="predicted_quality",
-                            labels=indexer.labels)
+    own = not isinstance(frame, Prepared)
+    data = prepare(frame, split, features, label) if own else frame
     evaluator = MulticlassClassificationEvaluator(labelCol="indexedLabel",
                                                   predictionCol="prediction",
                                                   metricName="accuracy")
 
     def one(params: dict):
         rid = run_id_for(family, params, window)
-        est = make(params)
-        model = Pipeline(stages=[indexer, assembler(features), est, to_text]).fit(train)
-        pred = model.transform(test)
-        acc = evaluator.evaluate(pred)
+        model = Pipeline(stages=stages(family, params, data.indexer, features)).fit(data.train)
+        pred = model.transform(data.test)
         path = f"{model_dir.rstrip('/')}/{rid}"
         model.write().overwrite().save(path)
-        conf = (pred.groupBy("predicted_quality", "quality").agg(F.count(F.lit(1)).alias("count"))
-                .select(F.lit(rid).alias("run_id"), "*"))
-        return rid, params, acc, path, conf
+        counts = [{"run_id": rid, **r.asDict()} for r in
+                  pred.groupBy("predicted_quality", F.col(label).cast("string").alias(label)).count().collect()]
+        return rid, params, evaluator.evaluate(pred), path, counts
 
     try:
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
             done_runs = list(pool.map(one, grid))
     finally:
-        train.unpersist()
-        test.unpersist()
+        if own:
+            data.release()
 
     rows = [{"run_id": rid, **{k: str(v) for k, v in p.items()}, "accuracy": float(acc),
-             "skipped_rows": skipped, "spark_model": path}
+             "skipped_rows": data.skipped, "spark_model": path}
             for rid, p, acc, path, _ in done_runs]
     schema = ("run_id string, " + ", ".join(f"`{k}` string" for k in keys)
               + ", accuracy double, skipped_rows long, spark_model string")
     runs = small_frame(spark, rows, schema)
     log = registry.log_runs(runs, params=keys, metrics=["accuracy", "skipped_rows"],
-                            tags={"state": registry.DEV}, tag_cols=["spark_model"])
-    conf = None
-    for *_, c in done_runs:
-        conf = c if conf is None else conf.unionByName(c)
+                            tags={"state": registry.DEV}, tag_cols=["spark_model"],
+                            experiment=experiment, seq=seq)
+    conf = small_frame(spark, [c for *_, counts in done_runs for c in counts],
+                       f"run_id string, predicted_quality string, {label} string, count long")
     return GridResult(runs=runs, log=log, confusion=conf,
                       model_paths={rid: path for rid, _, _, path, _ in done_runs})
 
@@ -264,6 +278,3 @@ def best_of(result: GridResult) -> tuple[str, float]:
     top = registry.best_run(result.runs, "accuracy").first()
     return top["run_id"], top["accuracy"]
 
-
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)

@@ -26,10 +26,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 RULE_GRID = [{"lo": lo, "hi": hi} for lo in (0, 5, 20) for hi in (80, 120, 200)]
 WIDER_GRID = [{"lo": lo, "hi": hi} for lo in (0, 5, 20, 30) for hi in (80, 120, 200, 250)]
-GRID_CUTOFF = "2024-01-11"
 KPI_AFTER_DAY = "2024-01-20"
 DETAIL_RUN = "3"
-RETRAIN_WINDOW = ("2024-01-14 00:00:00", "2024-01-20 23:59:00")
+DEMOTED_RUN = "4"
+PROMOTED_AT = "2024-02-01 00:00:00"
+LABEL_LAG_DAYS = 3          # labels of the fixture land at most so long after a reading
+# One cheap point per family, for the keys that check a fitted path row by row.
+SMALL_GRIDS = {"RandomForest": [{"numTrees": 5, "maxDepth": 3}], "DecisionTree": [{"maxDepth": 3}],
+               "GBT": [{"numTrees": 3, "learningRate": 0.3}]}
 
 
 # --- shared pieces ---------------------------------------------------------------
@@ -50,13 +54,12 @@ def _kpi(spark, sf_dir, version="m1", ordered=True):
                              ordered=ordered)
 
 
-def _grid_frame(spark, sf_dir):
-    n = prep.time_slice(fx.noisy(spark, sf_dir), "process_time", hi=GRID_CUTOFF)
-    return monitor.with_label_counts(n.select("pid", "temp", "pressure"), _labels(spark, sf_dir))
+def _train_frame(spark, sf_dir):
+    return prep.training_set(fx.noisy(spark, sf_dir), _labels(spark, sf_dir), *fx.TRAIN_WINDOW)
 
 
 def _grid_runs(spark, sf_dir, grid=RULE_GRID):
-    return training.rule_grid_hits(_grid_frame(spark, sf_dir), grid)
+    return training.rule_grid_hits(_train_frame(spark, sf_dir), grid)
 
 
 def _grid_log(spark, sf_dir):
@@ -64,7 +67,8 @@ def _grid_log(spark, sf_dir):
         "run_id", F.concat_ws("-", F.lit("rule"), F.col("lo"), F.col("hi"))
     ).withColumn("model_data_date", window_key(*fx.TRAIN_WINDOW))
     return registry.log_runs(runs, params=["lo", "hi", "model_data_date"], metrics=["hits"],
-                             tags={"state": registry.DEV}, logged_at=F.lit(None))
+                             tags={"state": registry.DEV},
+                             logged_at=F.lit(None).cast("timestamp_ntz"))
 
 
 def _tag_log(spark, sf_dir):
@@ -77,7 +81,7 @@ def _tag_log(spark, sf_dir):
 
 def _promotions(spark, sf_dir):
     ev = fx.events(spark, sf_dir)
-    return (ev.filter((F.col("event_type") == "signup") & (F.col("user_id") < 5))
+    return (ev.filter(F.col("event_type") == "signup")
             .select(F.col("user_id").cast("string").alias("run_id"), "ts",
                     F.col("event_id").alias("seq")))
 
@@ -109,8 +113,8 @@ def kpi_incremental(spark, sf_dir):
     labels, preds = _labels(spark, sf_dir), tables.predictions(spark, ptab)
     cut = F.col("qualitycheck_time") <= F.lit("2024-01-20").cast("timestamp_ntz")
     first = labels.filter(cut)
-    monitor.refresh_kpi(first, preds, first, path)
-    monitor.refresh_kpi(labels, preds, labels.filter(~cut), path)
+    monitor.refresh_kpi(first, preds, first, path, lag_days=LABEL_LAG_DAYS)
+    monitor.refresh_kpi(labels, preds, labels.filter(~cut), path, lag_days=LABEL_LAG_DAYS)
     return monitor.read_kpi(spark, path)
 
 
@@ -127,7 +131,7 @@ def kpi_on_arrival(spark, sf_dir):
         stream = streaming.stream_labels(spark, src)
         _run_stream(kpi_stream.refresh_on_arrival(
             stream, lambda: tables.labels(spark, src), lambda: tables.predictions(spark, ptab),
-            kpi, ckpt))
+            kpi, ckpt, lag_days=LABEL_LAG_DAYS))
     return monitor.read_kpi(spark, kpi)
 
 
@@ -155,13 +159,40 @@ def kpi_stitched(spark, sf_dir):
 
 
 def kpi_after(spark, sf_dir):
-    return monitor.kpi_after(_kpi(spark, sf_dir), KPI_AFTER_DAY)
+    return monitor.daily_kpi_after(_labels(spark, sf_dir), _pred(spark, sf_dir, "m1"), KPI_AFTER_DAY)
+
+
+def kpi_stitch(spark, sf_dir):
+    """Two models' KPI tables, stitched at the switch day."""
+    return monitor.stitch(_kpi(spark, sf_dir, "m1", ordered=False), _kpi(spark, sf_dir, "m2", ordered=False),
+                          fx.SWITCH_DAY)
 
 
 def what_if(spark, sf_dir):
-    """Both models rescore all history (C4); scored in one pass, KPI per version."""
-    return monitor.daily_kpi(_labels(spark, sf_dir), _both_models(spark, sf_dir),
-                             by_version=True)
+    """Both models rescore all history (C4), KPI per version."""
+    return monitor.what_if(_labels(spark, sf_dir),
+                           {v: _pred(spark, sf_dir, v) for v in ("m1", "m2")})
+
+
+def kpi_grades(spark, sf_dir):
+    """The KPI over three quality grades."""
+    return monitor.daily_kpi(fx.grades(spark, sf_dir), fx.grade_predictions(spark, sf_dir))
+
+
+def confusion_grades(spark, sf_dir):
+    return monitor.confusion_matrix(monitor.joined_confusion(
+        fx.grades(spark, sf_dir), fx.grade_predictions(spark, sf_dir)))
+
+
+def accuracy_grades(spark, sf_dir):
+    return monitor.accuracy(fx.grades(spark, sf_dir), fx.grade_predictions(spark, sf_dir))
+
+
+def run_confusion(spark, sf_dir):
+    """Confusion counts of two runs stored, one run's found and pivoted."""
+    path = fresh_dir(spark, "confusion")
+    registry.log_confusion(confusion_log(spark, sf_dir).withColumnRenamed("model_version", "run_id"), path)
+    return monitor.confusion_matrix(registry.read_confusion(spark, path, "m2"))
 
 
 def accuracy_by_model(spark, sf_dir):
@@ -249,13 +280,27 @@ def random_sample(spark, sf_dir):
 def random_split(spark, sf_dir):
     """80/20 ``randomSplit`` with seed 1234 of the training table (M1, the
     reference's form): rows per side. Rows-only; the exact form is ``hash_split``."""
-    frame = prep.training_set(fx.noisy(spark, sf_dir), _labels(spark, sf_dir), *fx.TRAIN_WINDOW)
-    train, test = training.random_split(frame)
+    train, test = training.random_split(_train_frame(spark, sf_dir))
     return (train.select(F.lit("train").alias("split")).unionByName(
         test.select(F.lit("test").alias("split")))
         .groupBy("split").agg(F.count(F.lit(1)).alias("rows")))
 
 
+def random_split_total(spark, sf_dir):
+    """The two sides of ``randomSplit`` hold every row once (M1)."""
+    train, test = training.random_split(_train_frame(spark, sf_dir).select("pid"))
+    both = train.unionByName(test)
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("pid").alias("pids"))
+
+
+def random_sample_outside(spark, sf_dir):
+    """Sampled feature rows that are not in the base table: none."""
+    r = fx.readings(spark, sf_dir).select(*tables.FEATURES)
+    gone = profile.sample_rows(r, 0.99, seed=27).join(
+        r.distinct(), list(tables.FEATURES), "left_anti")
+    return gone.dropna().agg(F.count(F.lit(1)).alias("rows"))
+
+
 def label_index(spark, sf_dir):
     return training.label_frequencies(_labels(spark, sf_dir), "quality") \
         .select("label", "count", "label_index")
@@ -310,6 +355,39 @@ def production_intervals(spark, sf_dir):
     return registry.production_intervals(_promotions(spark, sf_dir))
 
 
+def _state_log(spark, sf_dir):
+    """State tags from events: two experiments (by user), hourly times (so many rows
+    share one), ``seq`` the event number."""
+    ev = fx.events(spark, sf_dir).filter(F.col("event_type").isin("signup", "error"))
+    return ev.select(
+        F.col("user_id").cast("string").alias("run_id"), F.lit("tag").alias("kind"), F.lit("state").alias("key"),
+        F.when(F.col("event_type") == "signup", registry.PRODUCTION).otherwise(registry.EX_PRODUCTION).alias("value"),
+        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("logged_at"),
+        F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("experiment"),
+        F.col("event_id").cast("long").alias("seq"))
+
+
+def production_run(spark, sf_dir):
+    """Runs in production of one experiment."""
+    return registry.production_run(_state_log(spark, sf_dir), "even")
+
+
+def promote_cycle(spark, sf_dir):
+    """Promote a run, then another at the same time (R7): the runs then in
+    production, in both experiments."""
+    log = _state_log(spark, sf_dir)
+    for run in ("new-1", "new-2"):
+        log = log.unionByName(registry.promote(spark, log, run, "scorewatch", PROMOTED_AT, "odd"))
+    return registry.production_run(log).select("run_id", "logged_at", "seq")
+
+
+def demote(spark, sf_dir):
+    """End one run's production (R8): the runs then in production of its experiment."""
+    log = _state_log(spark, sf_dir)
+    log = log.unionByName(registry.demote(spark, log, DEMOTED_RUN, "scorewatch", PROMOTED_AT, "even"))
+    return registry.production_run(log, "even").select("run_id", "seq")
+
+
 def promotion_log(spark, sf_dir):
     return registry.promotion_log(_promotions(spark, sf_dir))
 
@@ -335,6 +413,14 @@ def stream_score_rule(spark, sf_dir):
     return tables.predictions(spark, out)
 
 
+def stream_readings(spark, sf_dir):
+    """Readings table read as a typed stream (S4), appended (K4)."""
+    src, out, ckpt = (fresh_dir(spark, n) for n in ("readings", "readings_out", "ckpt"))
+    sinks.write_batch(fx.readings(spark, sf_dir), src, mode="overwrite")
+    _run_stream(streaming.write_stream(streaming.stream_readings(spark, src), out, ckpt))
+    return tables.readings(spark, out)
+
+
 def stream_labels(spark, sf_dir):
     """Labels table written in slices, read as a stream (S5), appended (K4)."""
     src, out, ckpt = (fresh_dir(spark, n) for n in ("labels", "labels_out", "ckpt"))
@@ -361,28 +447,52 @@ def _swap_scorer(threshold, version):
 
 
 def stream_swap(spark, sf_dir):
-    """Model swap on a running stream (C3): first arrival scored by m1, the
-    stream restarted on the same checkpoint with m2 for the second arrival;
-    rows already written keep m1."""
+    """Model swap on a running stream (C3): the first arrival is scored by a live
+    query with m1, which the swap stops; the stream restarts on the same checkpoint
+    with m2 for the second arrival; rows already written keep m1."""
     src, out, ckpt = (fresh_dir(spark, n) for n in ("arrivals", "pred", "ckpt"))
     ev = fx.events(spark, sf_dir)
     sinks.write_batch(prep.time_slice(ev, "ts", hi=fx.SWITCH_DAY), src, mode="overwrite")
     stream = fx.readings_from_events(streaming.stream_table(spark, src, ev.schema))
-    q = streaming.stream_score(stream, _swap_scorer(5, "m1"), out, ckpt)
-    _run_stream(q)
+    q = streaming.stream_score(stream, _swap_scorer(5, "m1"), out, ckpt, available_now=False)
+    q.processAllAvailable()
+    q = streaming.swap_model(q, stream, _swap_scorer(30, "m2"), out, ckpt, available_now=False)
     sinks.write_batch(prep.time_slice(ev, "ts", lo=fx.SWITCH_DAY), src, mode="append")
-    _run_stream(streaming.swap_model(q, stream, _swap_scorer(30, "m2"), out, ckpt))
+    q.processAllAvailable()
+    q.stop()
     return tables.predictions(spark, out)
 
 
 # --- fitted models (rows-only checks) --------------------------------------------------------
-def _fit_score(spark, sf_dir, family, parallelism=3):
-    frame = prep.training_set(fx.noisy(spark, sf_dir), _labels(spark, sf_dir), *fx.TRAIN_WINDOW)
-    res = training.fit_grid(spark, frame, family, fresh_dir(spark, "models"),
-                            window=" - ".join(fx.TRAIN_WINDOW), parallelism=parallelism)
+def _fit_score(spark, sf_dir, family, parallelism=3, grid=None, readings=None):
+    res = training.fit_grid(spark, _train_frame(spark, sf_dir), family, fresh_dir(spark, "models"),
+                            window=" - ".join(fx.TRAIN_WINDOW), parallelism=parallelism, grid=grid)
     rid, _ = training.best_of(res)
     model = scoring.load_model(res.model_paths[rid])
-    return scoring.score(model, fx.noisy(spark, sf_dir), rid)
+    return scoring.score(model, fx.noisy(spark, sf_dir) if readings is None else readings, rid)
+
+
+def _gappy(spark, sf_dir):
+    """Readings with injected null and NaN features."""
+    d = F.col("duration")
+    return fx.noisy(spark, sf_dir).withColumn(
+        "duration", F.when(d == 50, F.lit(None)).when(d == 60, F.lit(float("nan"))).otherwise(d))
+
+
+def _fitted_rows(family):
+    def query(spark, sf_dir):
+        scored = _fit_score(spark, sf_dir, family, grid=SMALL_GRIDS[family], readings=_gappy(spark, sf_dir))
+        return scored.groupBy("pid", "process_time").agg(
+            F.count_distinct("model_version").alias("versions"), F.count("predicted_quality").alias("rows"))
+    query.__doc__ = f"""Which readings a fitted {family} pipeline scores (M3, C1, T11): those with all features."""
+    return query
+
+
+def fit_confusion_total(spark, sf_dir):
+    """Confusion counts of a fitted run sum to its test rows (K5, M1)."""
+    res = training.fit_grid(spark, _train_frame(spark, sf_dir), "DecisionTree", fresh_dir(spark, "models"),
+                            grid=SMALL_GRIDS["DecisionTree"], split="hash")
+    return res.confusion.agg(F.sum("count").cast("long").alias("rows"))
 
 
 def forest_score(spark, sf_dir):
@@ -400,10 +510,15 @@ def boosted_score(spark, sf_dir):
     return _fit_score(spark, sf_dir, "GBT")
 
 
+def retrain_window(spark, sf_dir):
+    """The window that drift asks to retrain on."""
+    return workflow.retrain_window(drift_days(spark, sf_dir))
+
+
 def retrain(spark, sf_dir):
     """The whole loop (M13, R1-R8, C2, C3): train on the first window, promote,
-    stream-score the first arrival; retrain on the drifted window, promote
-    (the old run is demoted), swap the stream's model for the second arrival."""
+    stream-score the first arrival; drift days give the window to retrain on;
+    promote again (the old run is demoted), swap the live stream's model."""
     paths = workflow.LoopPaths(fresh_dir(spark, "loop"))
     src = fresh_dir(spark, "arrivals")
     readings, labels = fx.noisy(spark, sf_dir), _labels(spark, sf_dir)
@@ -413,20 +528,25 @@ def retrain(spark, sf_dir):
     workflow.promote(spark, paths, rid, "scorewatch", "2024-01-11 18:00:00")
     sinks.write_batch(prep.time_slice(ev, "ts", hi=fx.SWITCH_DAY), src, mode="overwrite")
     stream = fx.perturb(fx.readings_from_events(streaming.stream_table(spark, src, ev.schema)))
-    q = workflow.score_stream(spark, paths, stream)
-    _run_stream(q)
-    rid2 = workflow.train_round(spark, paths, readings, labels, *RETRAIN_WINDOW,
-                               at="2024-01-21 00:30:00")
-    workflow.promote(spark, paths, rid2, "scorewatch", "2024-01-21 01:00:00")
+    q = workflow.score_stream(spark, paths, stream, available_now=False)
+    q.processAllAvailable()
+    # the KPI of the model in production drifts: its first drift days are the new window
+    window = retrain_window(spark, sf_dir).first()
+    if window is not None:
+        rid2 = workflow.train_round(spark, paths, readings, labels, f"{window['start_day']} 00:00:00",
+                                    f"{window['end_day']} 23:59:00", at="2024-01-21 00:30:00")
+        if rid2 is not None:
+            workflow.promote(spark, paths, rid2, "scorewatch", "2024-01-21 01:00:00")
+    q = workflow.score_stream(spark, paths, stream, query=q, available_now=False)
     sinks.write_batch(prep.time_slice(ev, "ts", lo=fx.SWITCH_DAY), src, mode="append")
-    _run_stream(workflow.score_stream(spark, paths, stream, query=q))
+    q.processAllAvailable()
+    q.stop()
     return tables.predictions(spark, paths.predictions)
 
 
 def stream_score_model(spark, sf_dir):
     """Stream scoring with a fitted pipeline (C2 with Spark ML)."""
-    frame = prep.training_set(fx.noisy(spark, sf_dir), _labels(spark, sf_dir), *fx.TRAIN_WINDOW)
-    res = training.fit_grid(spark, frame, "DecisionTree", fresh_dir(spark, "models"),
+    res = training.fit_grid(spark, _train_frame(spark, sf_dir), "DecisionTree", fresh_dir(spark, "models"),
                             window=" - ".join(fx.TRAIN_WINDOW))
     rid, _ = training.best_of(res)
     model = scoring.load_model(res.model_paths[rid])
@@ -450,6 +570,12 @@ QUERIES: dict[str, Query] = {
     "drift_days": drift_days,
     "kpi_stitched": kpi_stitched,
     "kpi_after": kpi_after,
+    "kpi_stitch": kpi_stitch,
+    "kpi_grades": kpi_grades,
+    "confusion_grades": confusion_grades,
+    "accuracy_grades": accuracy_grades,
+    "run_confusion": run_confusion,
+    "retrain_window": retrain_window,
     "what_if": what_if,
     "accuracy_by_model": accuracy_by_model,
     "hash_split": hash_split,
@@ -461,6 +587,9 @@ QUERIES: dict[str, Query] = {
     "latest_tag": latest_tag,
     "run_details": run_details,
     "run_search": run_search,
+    "production_run": production_run,
+    "promote_cycle": promote_cycle,
+    "demote": demote,
     "production_intervals": production_intervals,
     "promotion_log": promotion_log,
     "in_production": in_production,
@@ -468,15 +597,22 @@ QUERIES: dict[str, Query] = {
     "label_index": label_index,
     "random_sample": random_sample,
     "random_split": random_split,
+    "random_split_total": random_split_total,
+    "random_sample_outside": random_sample_outside,
     "valid_features": valid_features,
     "combined_readings": combined_readings,
     "batch_write_slices": batch_write_slices,
     "scaled_features": scaled_features,
     "epoch_readings": epoch_readings,
     "stream_score_rule": stream_score_rule,
+    "stream_readings": stream_readings,
     "stream_labels": stream_labels,
     "stream_predictions": stream_predictions,
     "stream_swap": stream_swap,
+    "forest_rows": _fitted_rows("RandomForest"),
+    "tree_rows": _fitted_rows("DecisionTree"),
+    "boosted_rows": _fitted_rows("GBT"),
+    "fit_confusion_total": fit_confusion_total,
     "forest_score": forest_score,
     "tree_score": tree_score,
     "boosted_score": boosted_score,

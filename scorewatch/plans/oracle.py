@@ -40,10 +40,11 @@ pred_m2 AS (
          'm2' AS model_version FROM noisy),
 promos AS (
   SELECT CAST(user_id AS VARCHAR) AS run_id, ts, event_id AS seq
-  FROM events WHERE event_type = 'signup' AND user_id < 5),
+  FROM events WHERE event_type = 'signup'),
 grid_frame AS (
-  SELECT n.temp, n.pressure, q.quality FROM noisy n JOIN quality q USING (pid)
-  WHERE n.process_time < TIMESTAMP '2024-01-11'),
+  SELECT n.pid, n.temp, n.pressure, n.duration, q.quality FROM noisy n JOIN quality q USING (pid)
+  WHERE n.process_time BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-10 23:59:00'
+    AND q.qualitycheck_time BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-10 23:59:00'),
 grid_hits AS (
   SELECT g.lo, g.hi,
          CAST(SUM(CASE WHEN (CASE WHEN t.temp BETWEEN g.lo AND g.hi AND t.pressure BETWEEN 0 AND 134
@@ -53,18 +54,37 @@ grid_hits AS (
   CROSS JOIN grid_frame t GROUP BY g.lo, g.hi)"""
 
 
+def _grade(temp):
+    return f"CASE WHEN {temp} < 20 THEN 0 WHEN {temp} < 60 THEN 1 ELSE 2 END"
+
+
+GRADED = f"""graded AS (SELECT pid, {_grade('temp')} AS quality FROM sensor)"""
+PRED_G = f"""pred_g AS (
+  SELECT pid, process_time, CAST({_grade('temp')} AS VARCHAR) AS predicted_quality, 'g1' AS model_version
+  FROM noisy)"""
+# State tags: the latest of a run by event number, whatever the hourly time says.
+STATES = """states AS (
+  SELECT CAST(user_id AS VARCHAR) AS run_id, event_type, date_trunc('hour', ts) AS logged_at, event_id AS seq,
+         CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS experiment,
+         ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn
+  FROM events WHERE event_type IN ('signup', 'error'))"""
+GAPPY = """
+SELECT pid, process_time, 1 AS versions, 1 AS rows FROM noisy
+WHERE temp IS NOT NULL AND pressure IS NOT NULL AND duration IS NOT NULL AND duration NOT IN (50, 60)"""
+
+
 def with_base(*ctes: str) -> str:
     extra = "".join(",\n" + c for c in ctes)
     return "WITH " + BASE.strip() + extra + "\n"
 
 
-def kpi_cte(name: str, preds: str, by_version: bool = False) -> str:
+def kpi_cte(name: str, preds: str, by_version: bool = False, labels: str = "quality") -> str:
     v = ", model_version" if by_version else ""
     part = "window_day" + v
     return f"""{name}_j AS (
   SELECT CAST(p.process_time AS DATE) AS window_day{", p.model_version" if by_version else ""},
          CASE WHEN TRY_CAST(p.predicted_quality AS INTEGER) = q.quality THEN 1 ELSE 0 END AS acc
-  FROM {preds} p JOIN quality q USING (pid)),
+  FROM {preds} p JOIN {labels} q USING (pid)),
 {name}_c AS (SELECT window_day{v}, acc, COUNT(*) AS cnt FROM {name}_j GROUP BY window_day{v}, acc),
 {name} AS (
   SELECT window_day{v}, CASE WHEN acc = 1 THEN 'Accurate' ELSE 'Inaccurate' END AS accurate_prediction,
@@ -154,9 +174,67 @@ SELECT {KPI_COLS}, 'm1' AS model_version FROM k1 WHERE window_day < DATE '2024-0
 UNION ALL
 SELECT {KPI_COLS}, 'm2' AS model_version FROM k2 WHERE window_day >= DATE '2024-01-16'""",
 
+    "kpi_grades": with_base(GRADED, PRED_G, kpi_cte("kpi", "pred_g", labels="graded")) +
+    f"SELECT {KPI_COLS} FROM kpi",
+
+    "accuracy_grades": with_base(GRADED, PRED_G) + """
+SELECT 'g1' AS model_version,
+       SUM(CASE WHEN p.predicted_quality = CAST(q.quality AS VARCHAR) THEN 1 ELSE 0 END) / COUNT(*) AS accuracy,
+       COUNT(*) AS n
+FROM pred_g p JOIN graded q USING (pid)""",
+
+    "confusion_grades": with_base(GRADED, PRED_G) + """
+SELECT p.predicted_quality, COUNT(*) FILTER (q.quality = 0) AS quality_0,
+       COUNT(*) FILTER (q.quality = 1) AS quality_1, COUNT(*) FILTER (q.quality = 2) AS quality_2
+FROM pred_g p JOIN graded q USING (pid) GROUP BY p.predicted_quality""",
+
+    "run_confusion": with_base() + """
+SELECT p.predicted_quality, COUNT(*) FILTER (q.quality = 0) AS quality_0,
+       COUNT(*) FILTER (q.quality = 1) AS quality_1
+FROM pred_m2 p JOIN quality q USING (pid) GROUP BY p.predicted_quality""",
+
+    "retrain_window": with_base(kpi_cte("kpi", "pred_m1"), """bad AS (
+  SELECT window_day, row_number() OVER (ORDER BY window_day) AS n FROM (
+    SELECT window_day, SUM(CASE WHEN accurate_prediction = 'Accurate' THEN ratio ELSE 0.0 END) AS a
+    FROM kpi GROUP BY window_day) WHERE a < 80 OR a > 100)""", """runs AS (
+  SELECT MIN(window_day) AS s, MAX(window_day) AS e FROM bad GROUP BY window_day - CAST(n AS INTEGER))""") + """
+SELECT s AS start_day, least(e, s + 6) AS end_day FROM runs ORDER BY e DESC LIMIT 1""",
+
+    "production_run": "WITH " + STATES + """
+SELECT run_id, logged_at, seq FROM states WHERE rn = 1 AND event_type = 'signup' AND experiment = 'even'""",
+
+    "promote_cycle": "WITH " + STATES + """
+SELECT run_id, logged_at, seq FROM states WHERE rn = 1 AND event_type = 'signup' AND experiment = 'even'
+UNION ALL
+SELECT 'new-2', TIMESTAMP '2024-02-01', MAX(seq) + 2 FROM states""",
+
+    "demote": "WITH " + STATES + """
+SELECT run_id, seq FROM states
+WHERE rn = 1 AND event_type = 'signup' AND experiment = 'even' AND run_id <> '4'""",
+
+    "random_split_total": with_base() + "SELECT COUNT(*) AS rows, COUNT(DISTINCT pid) AS pids FROM grid_frame",
+
+    "random_sample_outside": "SELECT 0 AS rows FROM events LIMIT 1",
+
+    "stream_readings": with_base() + "SELECT * FROM sensor",
+
+    "forest_rows": with_base() + GAPPY,
+    "tree_rows": with_base() + GAPPY,
+    "boosted_rows": with_base() + GAPPY,
+
+    "fit_confusion_total": with_base() + """
+SELECT COUNT(*) AS rows FROM grid_frame
+WHERE ('0x' || substr(md5(CAST(pid AS VARCHAR)), 1, 8))::BIGINT % 10 >= 8
+  AND temp IS NOT NULL AND pressure IS NOT NULL AND duration IS NOT NULL""",
+
     "kpi_after": with_base(kpi_cte("kpi", "pred_m1")) +
     f"SELECT {KPI_COLS} FROM kpi WHERE window_day > DATE '2024-01-20'",
 
+    "kpi_stitch": with_base(kpi_cte("k1", "pred_m1"), kpi_cte("k2", "pred_m2")) + f"""
+SELECT {KPI_COLS}, 'm1' AS model_version FROM k1 WHERE window_day < DATE '2024-01-16'
+UNION ALL
+SELECT {KPI_COLS}, 'm2' AS model_version FROM k2 WHERE window_day >= DATE '2024-01-16'""",
+
     "what_if": with_base("""u AS (SELECT * FROM pred_m1 UNION ALL SELECT * FROM pred_m2)""",
                          kpi_cte("kpi", "u", by_version=True)) +
     'SELECT window_day, model_version, accurate_prediction, "count", total, ratio FROM kpi',

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorewatch.operators import registry, scoring, training
@@ -18,6 +18,8 @@ from scorewatch.operators.prep import training_set
 from scorewatch.sources import sinks
 from scorewatch.streaming import scoring as streaming
 
+RETRAIN_DAYS = 7
+
 
 @dataclass
 class LoopPaths:
@@ -53,33 +55,61 @@ def read_log(spark: SparkSession, paths: LoopPaths) -> DataFrame:
 
 def train_round(spark: SparkSession, paths: LoopPaths, readings: DataFrame, labels: DataFrame,
                 start: str, end: str, at: str, families=("RandomForest", "DecisionTree"),
-                parallelism: int = 3) -> str:
+                parallelism: int = 3, experiment: str = registry.EXPERIMENT,
+                grids: dict | None = None) -> str | None:
     """Fit the grids of ``families`` on one window, log runs and confusion
     counts at time ``at``, return the best run of the window (searched in the
-    run log)."""
-    frame = training_set(readings, labels, start, end)
+    run log; None if there is none). The training frame is prepared once."""
     key = f"{start} - {end}"
-    for fam in families:
-        res = training.fit_grid(spark, frame, fam, paths.models, window=key,
-                                finished=read_log(spark, paths), parallelism=parallelism)
-        sinks.write_batch(res.log.withColumn("logged_at", F.lit(at).cast("timestamp_ntz")),
-                          paths.run_log)
-        if res.confusion is not None:
-            sinks.write_batch(res.confusion, paths.confusion)
+    data = training.prepare(training_set(readings, labels, start, end))
+    try:
+        for fam in families:
+            log = read_log(spark, paths)
+            res = training.fit_grid(spark, data, fam, paths.models, window=key, finished=log,
+                                    grid=(grids or {}).get(fam), parallelism=parallelism,
+                                    experiment=experiment, seq=registry.next_seq(log))
+            sinks.write_batch(res.log.withColumn("logged_at", F.lit(at).cast("timestamp_ntz")),
+                              paths.run_log)
+            if res.confusion is not None:
+                registry.log_confusion(res.confusion, paths.confusion)
+    finally:
+        data.release()
     log = read_log(spark, paths)
-    found = registry.search_runs(log, params={"model_data_date": key})
+    found = registry.search_runs(log, params={"model_data_date": key}, experiment=experiment)
     metric = (registry.latest_values(log.filter((F.col("kind") == "metric") &
                                                 (F.col("key") == "accuracy")))
               .select("run_id", F.col("value").cast("double").alias("accuracy")))
     best = registry.best_run(metric.join(found, "run_id"), "accuracy").first()
-    return best["run_id"]
+    return best["run_id"] if best else None
+
+
+def retrain_window(drift: DataFrame, days: int = RETRAIN_DAYS) -> DataFrame:
+    """The window to retrain on (start_day, end_day; empty without drift): the first
+    ``days`` days of the latest stretch of consecutive drift days.
 
+    ``drift`` has one row per drifting day (``monitor.drift_days``), so the window
+    function runs over calendar days only.
+    """
+    number = F.row_number().over(Window.orderBy("window_day"))
+    stretch = drift.select("window_day", F.date_sub("window_day", number).alias("_stretch"))
+    spans = stretch.groupBy("_stretch").agg(F.min("window_day").alias("start_day"),
+                                            F.max("window_day").alias("_last"))
+    return spans.orderBy(F.desc("_last")).limit(1).select(
+        "start_day", F.least("_last", F.date_add("start_day", days - 1)).alias("end_day"))
 
-def promote(spark: SparkSession, paths: LoopPaths, run_id: str, user: str, at: str) -> None:
-    rows = registry.promote(spark, read_log(spark, paths), run_id, user, at)
+
+def promote(spark: SparkSession, paths: LoopPaths, run_id: str, user: str, at: str,
+            experiment: str = registry.EXPERIMENT) -> None:
+    rows = registry.promote(spark, read_log(spark, paths), run_id, user, at, experiment)
     sinks.write_batch(rows, paths.run_log)
 
 
+def confusion_of(spark: SparkSession, paths: LoopPaths, run_id: str) -> DataFrame:
+    """The stored confusion matrix of a run, pivoted."""
+    from scorewatch.operators.monitor import confusion_matrix
+    return confusion_matrix(registry.read_confusion(spark, paths.confusion, run_id))
+
+
 def model_of(spark: SparkSession, paths: LoopPaths, run_id: str):
     """The saved pipeline of a run, found through its ``spark_model`` tag."""
     tag = (registry.run_details(read_log(spark, paths), run_id)
@@ -94,19 +124,21 @@ def what_if_run(spark: SparkSession, paths: LoopPaths, readings: DataFrame, labe
     return daily_kpi(labels, scoring.score(model_of(spark, paths, run_id), readings, run_id))
 
 
-def production_model(spark: SparkSession, paths: LoopPaths):
-    cur = registry.production_run(read_log(spark, paths)) \
-        .orderBy(F.col("logged_at").desc()).first()
+def production_model(spark: SparkSession, paths: LoopPaths,
+                     experiment: str = registry.EXPERIMENT):
+    cur = registry.production_run(read_log(spark, paths), experiment) \
+        .orderBy(F.col("seq").desc()).first()
     if cur is None:
         return None, None
     rid = cur["run_id"]
     return rid, model_of(spark, paths, rid)
 
 
-def score_stream(spark: SparkSession, paths: LoopPaths, stream: DataFrame, query=None):
-    """(Re)start the scoring stream with the current production model."""
+def score_stream(spark: SparkSession, paths: LoopPaths, stream: DataFrame, query=None, **kw):
+    """(Re)start the scoring stream with the current production model (C2, C3); a
+    running ``query`` is stopped first. ``kw``: the sink's trigger options."""
     rid, model = production_model(spark, paths)
     if model is None:
         raise RuntimeError("no run is in production")
     return streaming.swap_model(query, stream, lambda r: scoring.score(model, r, rid),
-                                paths.predictions, paths.checkpoint)
+                                paths.predictions, paths.checkpoint, **kw)

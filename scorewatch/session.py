@@ -26,6 +26,8 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+_HANDED_OUT: list[str] = []
+
 
 def build_session(master: str | None = None, app: str = "scorewatch",
                   shuffle_partitions: int | None = None,
@@ -67,7 +69,29 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new, unused folder below the shared folder."""
     base = shared_dir(spark).rstrip("/")
-    return f"{base}/scorewatch/{name}-{uuid.uuid4().hex}"
+    path = f"{base}/scorewatch/{name}-{uuid.uuid4().hex}"
+    _HANDED_OUT.append(path)
+    return path
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back: generated
+    values are fixed and a lost executor recomputes nothing before this point."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean_scratch(spark: SparkSession) -> int:
+    """Delete the folders that ``fresh_dir`` handed out in this process; returns how
+    many. Call it when no frame that reads them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    n = 0
+    while _HANDED_OUT:
+        path = jvm.org.apache.hadoop.fs.Path(_HANDED_OUT.pop())
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        n += bool(fs.delete(path, True))
+    return n
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

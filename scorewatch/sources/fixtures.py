@@ -23,6 +23,8 @@ REGIME_CUTS = ("2024-01-14", "2024-01-24")
 REGIME_RULES = ((5, 134, 2), (30, 134, 2), (30, 74, 2))
 # Rule models: m1 is the first regime's rule, m2 the second's.
 RULE_MODELS = {"m1": (5, 134, 2), "m2": (30, 134, 2)}
+# Quality grades: 0 below the first bound of temp, 1 below the second, else 2.
+GRADE_BOUNDS = (20, 60)
 # Deterministic measurement noise: temp + ((pid * 7919) % 1001) / 500 - 1.
 NOISE_MULT, NOISE_MOD, NOISE_DIV = 7919, 1001, 500.0
 # Props text: a flat one-key object such as {"k": 12}.
@@ -122,3 +124,22 @@ def rule_predictions_many(readings_df: DataFrame, versions) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str, version: str = "m1") -> DataFrame:
     return rule_predictions(noisy(spark, sf_dir), version)
+
+
+def grade(temp: str = "temp") -> F.Column:
+    """The quality grade (0, 1 or 2) of a reading."""
+    lo, hi = GRADE_BOUNDS
+    return F.when(F.col(temp) < lo, 0).when(F.col(temp) < hi, 1).otherwise(2)
+
+
+def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inspection labels with three grades, from the true readings."""
+    return readings(spark, sf_dir).select(
+        "pid", inspection_due("process_time").alias("qualitycheck_time"), grade().alias("quality"))
+
+
+def grade_predictions(spark: SparkSession, sf_dir: str, version: str = "g1") -> DataFrame:
+    """Grades predicted from the readings as measured."""
+    return noisy(spark, sf_dir).select(
+        "pid", "process_time", grade().cast("string").alias("predicted_quality"),
+        F.lit(version).alias("model_version"))

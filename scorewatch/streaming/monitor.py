@@ -21,16 +21,20 @@ from scorewatch.operators import monitor
 def refresh_on_arrival(label_stream: DataFrame, labels: Callable[[], DataFrame],
                        predictions: Callable[[], DataFrame], kpi_path: str, checkpoint: str,
                        available_now: bool = True,
-                       processing_time: str | None = None) -> StreamingQuery:
+                       processing_time: str | None = None,
+                       lag_days: int | None = None) -> StreamingQuery:
     """Keep the KPI table at ``kpi_path`` current as label files arrive.
 
     ``labels`` / ``predictions`` return the full tables (re-read per batch, so
-    each refresh sees every label that has landed).
+    each refresh sees every label that has landed). ``lag_days``: see
+    ``monitor.touched_days``.
     """
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        monitor.refresh_kpi(labels(), predictions(), batch, kpi_path)
+        monitor.refresh_kpi(labels(), predictions(), batch, kpi_path, lag_days=lag_days)
 
     w = label_stream.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
-    w = w.trigger(processingTime=processing_time) if processing_time else \
-        w.trigger(availableNow=available_now)
+    if processing_time:
+        w = w.trigger(processingTime=processing_time)
+    elif available_now:
+        w = w.trigger(availableNow=True)
     return w.start()

@@ -17,14 +17,15 @@ from scorewatch.sources import tables
 from scorewatch.sources.fixtures import readings_from_events
 
 
+MAX_FILES = 1000             # files of a micro-batch, unless told otherwise
+
+
 def stream_table(spark: SparkSession, path: str, schema: StructType,
-                 glob: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
+                 glob: str | None = None, max_files_per_trigger: int = MAX_FILES) -> DataFrame:
     r = spark.readStream.schema(schema)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    return r.parquet(path)
+    return r.option("maxFilesPerTrigger", int(max_files_per_trigger)).parquet(path)
 
 
 def stream_readings(spark: SparkSession, path: str, **kw) -> DataFrame:

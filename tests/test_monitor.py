@@ -1,6 +1,7 @@
 """Monitoring semantics on hand-written frames."""
 
 import pyspark.sql.functions as F
+import pytest
 
 from scorewatch.operators import monitor
 from tests.helpers import ts
@@ -81,7 +82,7 @@ def test_confusion_matrix_fills_missing_cells(spark):
     counts = spark.createDataFrame([("1", 1, 5), ("0", 1, 2)], "predicted_quality string, "
                                    "quality int, count long")
     m = {r["predicted_quality"]: (r["quality_0"], r["quality_1"])
-         for r in monitor.confusion_matrix(counts).collect()}
+         for r in monitor.confusion_matrix(counts, classes=(0, 1)).collect()}
     assert m == {"0": (0, 2), "1": (0, 5)}
 
 
@@ -115,10 +116,13 @@ def test_in_production_attribution(spark):
         [("a", t("2024-01-02 00:00:00"), 10), ("b", t("2024-01-04 00:00:00"), 11)],
         "run_id string, ts timestamp_ntz, seq long")
     # pid 3: 2 predictions x 2 labels = 4 pairs, 2 of them right
-    for cap in (1000, 0):          # broadcast intervals, and the distributed as-of
+    for key in ("long", "string"):          # the type of pid plays no part
+        p, q = (f.withColumn("pid", F.concat(F.lit("" if key == "long" else "p"), F.col("pid").cast("string")).cast(key))
+                for f in (preds, labs))
         got = {r["run_id"]: (r["readings"], r["accurate"])
-               for r in monitor.in_production(labs, preds, promos, max_broadcast=cap).collect()}
+               for r in monitor.in_production(q, p, promos).collect()}
         assert got == {"a": (5, 2), "b": (1, 1)}
+    assert monitor.in_production(labs, preds, promos.limit(0)).collect() == []
 
 
 def test_compare_flags_rows(spark):
@@ -127,15 +131,44 @@ def test_compare_flags_rows(spark):
     assert c.select(F.col("accurate_prediction")).first()[0] == 1
 
 
-def test_in_production_paths_agree_on_fixture(spark):
-    from scorewatch.plans import catalog
+def test_any_set_of_classes(spark):
+    t = ts("2024-01-01 10:00:00")
+    preds = _pred(spark, [(i, t, str(i % 3), "a") for i in range(9)])
+    labs = _lab(spark, [(i, t, i % 3) for i in range(9)])
+    assert [(r["accurate_prediction"], r["count"]) for r in monitor.daily_kpi(labs, preds).collect()] == [("Accurate", 9)]
+    assert monitor.accuracy(labs, preds).first()["accuracy"] == 1.0
+    m = monitor.confusion_matrix(monitor.joined_confusion(labs, preds))
+    assert [tuple(r) for r in m.collect()] == [("0", 3, 0, 0), ("1", 0, 3, 0), ("2", 0, 0, 3)]
+    text = labs.withColumn("quality", F.concat(F.lit("grade "), F.col("quality")))
+    said = preds.withColumn("predicted_quality", F.concat(F.lit("grade "), F.col("predicted_quality")))
+    assert monitor.accuracy(text, said).first()["accuracy"] == 1.0
+    with pytest.raises(ValueError, match="classes"):
+        monitor.confusion_matrix(monitor.joined_confusion(labs, preds), classes=(0, 1))
+    nulls = monitor.confusion_matrix(monitor.joined_confusion(labs.withColumn(
+        "quality", F.when(F.col("quality") > 0, F.col("quality"))), preds))
+    assert nulls.columns == ["predicted_quality", "quality_1", "quality_2", "quality_null"]
+
+
+def test_join_is_split_by_aqe_not_by_a_key_list(spark):
+    """Both sides of the pid join are plain exchanges, and nothing runs while planning."""
     from scorewatch.sources import fixtures as fx
     from tests.conftest import SF_SMALL
-    labs, preds = fx.labels(spark, SF_SMALL), fx.predictions(spark, SF_SMALL, "m1")
-    promos = catalog._promotions(spark, SF_SMALL)
-    a = monitor.in_production(labs, preds, promos).collect()
-    b = monitor.in_production(labs, preds, promos, max_broadcast=0).collect()
-    assert a == b and len(a) > 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = monitor.labelled(fx.labels(spark, SF_SMALL), fx.predictions(spark, SF_SMALL))
+        plan = j._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    join = plan[plan.index("SortMergeJoin"):]
+    assert join.count("Exchange hashpartitioning(pid") >= 2 and "TakeOrdered" not in plan and "Limit" not in plan
+
+
+def test_day_bounds_reach_the_scan(spark):
+    from scorewatch.plans import catalog
+    from tests.conftest import SF_SMALL
+    for key in ("kpi_after", "kpi_stitched"):
+        plan = catalog.QUERIES[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(ts" in plan
 
 
 def test_incremental_kpi_equals_full(spark):
@@ -194,3 +227,35 @@ def test_refresh_is_idempotent(spark):
     assert monitor.refresh_kpi(labs, preds, batch, path) > 0
     assert monitor.refresh_kpi(labs, preds, batch, path) > 0
     assert sorted(monitor.read_kpi(spark, path).collect()) == first
+
+
+def test_refresh_by_version_empty_first_batch_and_missing_table(spark):
+    from scorewatch.session import fresh_dir
+    t = ts("2024-01-02 10:00:00")
+    preds = _pred(spark, [(1, t, "1", "a"), (1, t, "0", "b"), (2, ts("2024-01-05 00:00:00"), "1", "a")])
+    labs = _lab(spark, [(1, ts("2024-01-04 00:00:00"), 1), (2, ts("2024-01-07 00:00:00"), 1)])
+    path = fresh_dir(spark, "t-kpi")
+    assert monitor.refresh_kpi(labs, preds, labs.limit(0), path, by_version=True) == 0
+    assert monitor.read_kpi(spark, path).collect() == []
+    assert monitor.refresh_kpi(labs, preds, labs.limit(0), path, lag_days=3) == 0
+    assert monitor.refresh_kpi(labs, preds, labs, path, by_version=True, lag_days=3) == 2
+    got = monitor.read_kpi(spark, path, by_version=True).orderBy("window_day", "model_version").collect()
+    assert [(r.model_version, r.accurate_prediction, r.total) for r in got] == [
+        ("a", "Accurate", 1), ("b", "Inaccurate", 1), ("a", "Accurate", 1)]
+
+
+def test_refresh_reads_only_touched_day_folders(spark, tmp_path):
+    from scorewatch.session import fresh_dir
+    from scorewatch.sources import sinks, tables
+    rows = [(i, ts(f"2024-01-{1 + i % 9:02d} 10:00:00"), "1", "a") for i in range(90)]
+    path = fresh_dir(spark, "t-pred")
+    sinks.write_by_day(_pred(spark, rows), path, mode="overwrite")
+    new = _lab(spark, [(3, ts("2024-01-06 00:00:00"), 1)])       # reading of 01-04
+    near = monitor.touched_days(tables.predictions(spark, path), new, lag_days=3)
+    assert [str(r[0]) for r in near.collect()] == ["2024-01-04"]
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "process_day" in plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
+    kpi = fresh_dir(spark, "t-kpi")
+    labels = _lab(spark, [(i, ts("2024-01-12 00:00:00"), 1) for i in range(90)])
+    assert monitor.refresh_kpi(labels, tables.predictions(spark, path), new, kpi, lag_days=3) == 1
+    assert [(str(r.window_day), r["count"]) for r in monitor.read_kpi(spark, kpi).collect()] == [("2024-01-04", 10)]

@@ -22,7 +22,7 @@ def _log(spark):
 def test_log_rows(spark):
     log = _log(spark)
     assert log.count() == 4 * 4
-    assert set(log.columns) == {"run_id", "kind", "key", "value", "logged_at"}
+    assert log.columns == [f.name for f in registry.RUN_LOG_SCHEMA]
     r = log.filter("run_id = 'r2' and key = 'accuracy'").first()
     assert r["kind"] == "metric" and float(r["value"]) == 0.95
 
@@ -82,15 +82,52 @@ def test_intervals_and_log_over_promotions(spark):
 
 
 def test_search_uses_latest_values(spark):
+    t = ts("2024-01-01 00:00:00")                # one time: the append number decides
     log = spark.createDataFrame(
-        [("r1", "tag", "state", "production", ts("2024-01-01 00:00:00")),
-         ("r1", "tag", "state", "ex_production", ts("2024-01-02 00:00:00")),
-         ("r2", "tag", "state", "dev", ts("2024-01-01 00:00:00")),
-         ("r2", "tag", "state", "production", ts("2024-01-03 00:00:00")),
-         ("r2", "param", "lo", "5", ts("2024-01-01 00:00:00"))],
-        "run_id string, kind string, key string, value string, logged_at timestamp_ntz")
+        [("r1", "tag", "state", "production", t, "default", 0),
+         ("r1", "tag", "state", "ex_production", t, "default", 1),
+         ("r2", "tag", "state", "dev", t, "default", 0),
+         ("r2", "tag", "state", "production", t, "default", 2),
+         ("r2", "param", "lo", "5", t, "default", 0)], registry.RUN_LOG_SCHEMA)
     got = [r[0] for r in registry.search_runs(log, tags={"state": "production"}).collect()]
     assert got == ["r2"]                         # r1 once matched, but its latest value differs
     both = registry.search_runs(log, params={"lo": 5}, tags={"state": "production"}).collect()
     assert [r[0] for r in both] == ["r2"]
     assert registry.search_runs(log, params={"lo": 5}, tags={"state": "dev"}).count() == 0
+
+
+def test_promotions_at_one_time_and_in_two_experiments(spark):
+    log = spark.createDataFrame([], registry.RUN_LOG_SCHEMA)
+    at = "2024-01-02 00:00:00"
+    for run, exp in (("r1", "a"), ("x1", "b"), ("r2", "a")):
+        log = log.unionByName(registry.promote(spark, log, run, "u", at, exp))
+    assert [r.run_id for r in registry.production_run(log, "a").collect()] == ["r2"]
+    assert [r.run_id for r in registry.production_run(log, "b").collect()] == ["x1"]
+    log = log.unionByName(registry.demote(spark, log, "r2", "u", at, "a"))
+    assert registry.production_run(log, "a").collect() == []
+    assert [r.run_id for r in registry.production_run(log).collect()] == ["x1"]
+    assert [r.seq for r in log.select("seq").distinct().orderBy("seq").collect()] == [0, 1, 2, 3]
+    found = registry.search_runs(log, tags={"state": "production"}, experiment="a").collect()
+    assert found == []
+
+
+def test_confusion_is_stored_and_found_by_run(spark):
+    from scorewatch.session import fresh_dir
+    path = fresh_dir(spark, "t-confusion")
+    for run, n in (("r1", 3), ("r2", 5)):
+        registry.log_confusion(spark.createDataFrame(
+            [(run, "1", 1, n), (run, "0", 1, 2)], "run_id string, predicted_quality string, quality int, count long"), path)
+    got = registry.read_confusion(spark, path, "r2")
+    assert sorted(tuple(r) for r in got.collect()) == [("r2", "0", "1", 2), ("r2", "1", "1", 5)]
+    assert "EqualTo(run_id,r2)" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_default_log_time_is_utc(spark):
+    import datetime as dt
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        at = registry.log_runs(_runs(spark), params=["maxDepth"]).first()["logged_at"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    assert abs((at - now).total_seconds()) < 600

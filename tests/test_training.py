@@ -73,7 +73,7 @@ def test_tree_grid_fit_and_score(spark, tmp_path):
     # rerun with the log: every grid point is finished, nothing is refitted
     again = training.fit_grid(spark, frame, "DecisionTree", str(tmp_path / "models"),
                               window="w", split="hash", finished=res.log)
-    assert again.runs.count() == 0
+    assert again.runs.count() == 0 and again.confusion is None
 
 
 def test_rows_per_file_cap(spark, tmp_path):
@@ -101,3 +101,24 @@ def test_profile_forms_agree(spark):
     assert float(text["mean"]["temp"]) == typed["temp"]["mean"] == 3.0
     assert int(text["count"]["pressure"]) == typed["pressure"]["count"] == 3
     assert float(text["max"]["pressure"]) == typed["pressure"]["max"]
+
+
+def test_forest_and_boosted_fits_on_a_small_grid(spark, tmp_path):
+    from pyspark.ml.feature import StandardScalerModel
+    frame = prep.training_set(fx.noisy(spark, "/root/testdata/sf0.01"),
+                              fx.labels(spark, "/root/testdata/sf0.01"), *fx.TRAIN_WINDOW)
+    data = training.prepare(frame, split="hash")
+    share = frame.groupBy("quality").count().agg(F.max("count")).first()[0] / frame.count()
+    for family, point in (("RandomForest", {"numTrees": 5, "maxDepth": 5}), ("GBT", {"numTrees": 5, "learningRate": 0.3})):
+        res = training.fit_grid(spark, data, family, str(tmp_path / family), grid=[point])
+        rid, acc = training.best_of(res)
+        assert acc >= share - 0.02
+        model = scoring.load_model(res.model_paths[rid])
+        scaled = [s for s in model.stages if isinstance(s, StandardScalerModel)]
+        assert len(scaled) == (family == "GBT")
+        total = res.confusion.agg(F.sum("count")).first()[0]
+        assert total == data.test.dropna(subset=["temp", "pressure", "duration"]).count()
+        gappy = fx.noisy(spark, SF_SMALL).withColumn("temp", F.when(F.col("pid") % 4 > 0, F.col("temp")))
+        scored, skipped = scoring.score_counted(model, gappy, rid)
+        assert scored.count() + skipped == gappy.count() and skipped > 0
+    data.release()

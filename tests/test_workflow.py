@@ -59,3 +59,37 @@ def test_loop(spark):
     kpi = workflow.what_if_run(spark, paths, readings, labels, rid1)
     assert kpi.count() > 0
     assert set(kpi.columns) == {"window_day", "accurate_prediction", "count", "total", "ratio"}
+
+    # the stored confusion counts of a run sum to its test rows
+    m = workflow.confusion_of(spark, paths, rid1)
+    assert m.count() > 0 and {c for c in m.columns if c != "predicted_quality"} <= {"quality_0", "quality_1"}
+
+
+def test_round_without_runs_returns_none(spark, monkeypatch):
+    paths = workflow.LoopPaths(fresh_dir(spark, "t-loop"))
+    readings, labels = fx.noisy(spark, SF_SMALL), fx.labels(spark, SF_SMALL)
+    assert workflow.train_round(spark, paths, readings, labels, *W1, at="2024-01-11 17:00:00", families=()) is None
+
+
+def test_retrain_window_is_the_latest_stretch(spark):
+    days = [f"2024-01-{d:02d}" for d in (3, 4, 10, 11, 12, 13, 14, 15, 16, 17, 18)]
+    drift = spark.createDataFrame([(d, 1.0) for d in days], "d string, accurate_ratio double").selectExpr(
+        "to_date(d) AS window_day", "accurate_ratio")
+    assert [str(x) for x in workflow.retrain_window(drift).first()] == ["2024-01-10", "2024-01-16"]
+    assert [str(x) for x in workflow.retrain_window(drift.filter("window_day < '2024-01-05'")).first()] == [
+        "2024-01-03", "2024-01-04"]
+    assert workflow.retrain_window(drift.limit(0)).collect() == []
+
+
+def test_training_frame_is_written_once_per_round(spark, monkeypatch):
+    from scorewatch.operators import training
+    seen = []
+    real = training.cut_lineage
+    monkeypatch.setattr(training, "cut_lineage", lambda df: seen.append(1) or real(df))
+    paths = workflow.LoopPaths(fresh_dir(spark, "t-loop"))
+    grids = {"RandomForest": [{"numTrees": 3, "maxDepth": 3}], "DecisionTree": [{"maxDepth": 3}]}
+    rid = workflow.train_round(spark, paths, fx.noisy(spark, SF_SMALL), fx.labels(spark, SF_SMALL), *W1,
+                               at="2024-01-11 17:00:00", grids=grids)
+    assert rid is not None and len(seen) == 1
+    log = workflow.read_log(spark, paths)
+    assert registry.run_params(log, ["model"]).count() == 2 and registry.next_seq(log) == 2

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import scorewatch
 from scorewatch.session import fresh_dir
 
 # Fixed value: the white space class of the contracts (space, tab to carriage return).
@@ -29,11 +34,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows of an Arrow batch (texts can be megabytes each)."""
+_SHIPPED: set[str] = set()
+
+
+def python_tasks(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Get a session ready for operators that run Python in tasks: bound the rows of
+    an Arrow batch (texts can be megabytes each), and send the library's code to the
+    executors once, as a zip in the shared folder."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    sc = spark.sparkContext
+    root = Path(scorewatch.__file__).parent
+    if sc.applicationId in _SHIPPED or not root.is_dir():       # not a folder: shipped by the user
+        return
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    path = f"{fresh_dir(spark, 'code')}/scorewatch.zip"
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(body.getvalue()))
+    out.close()
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
 
 
 def ascii_lower(c: Column) -> Column:

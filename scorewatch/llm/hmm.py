@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import small_batches, stored, table
+from scorewatch.llm.common import python_tasks, stored, table
 
 FOLDS = 10
 ALPHA = 0.1                 # fixed by the contract: additive smoothing
@@ -403,7 +403,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score."""
-    small_batches(docs.sparkSession)
+    python_tasks(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = stored(token_counts(rows), "lm-counts")
     cls = classes_of(counts)

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import small_batches, table
+from scorewatch.llm.common import python_tasks, table
 
 SIZE = 2048                  # tokens of a sequence
 END_ID = 1                   # closes each document
@@ -155,7 +155,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = E
          block: int = BLOCK) -> DataFrame:
     """One row per piece of a document in a sequence: doc_id, start, length,
     ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids."""
-    small_batches(docs.sparkSession)
+    python_tasks(docs.sparkSession)
 
     def run(batches):
         from scorewatch.llm.tokens import byte_bpe

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import small_batches, stored, table
+from scorewatch.llm.common import python_tasks, stored, table
 
 GIANT = 32_768              # characters; longer texts are scanned in chunks
 CHUNK = 8_192               # characters of a chunk; far longer than any piece
@@ -302,7 +302,7 @@ def _giants(docs: DataFrame, path: str, giant: int, chunk: int) -> DataFrame:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    small_batches(docs.sparkSession)
+    python_tasks(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
@@ -331,7 +331,7 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
                 [b.column(0), pa.array([m.decode(x or []) for x in b.column(1).to_pylist()], pa.string())],
                 ["doc_id", "text"])
 
-    small_batches(tokens.sparkSession)
+    python_tasks(tokens.sparkSession)
     return tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")) \
         .mapInArrow(run, "doc_id long, text string")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import small_batches, stored, table
+from scorewatch.llm.common import python_tasks, stored, table
 
 FOLDS = 5
 MAX_TRAIN = 30_000
@@ -89,7 +89,7 @@ def statistics(text: str | None) -> list[float]:
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, x): the statistics of every document."""
-    small_batches(docs.sparkSession)
+    python_tasks(docs.sparkSession)
 
     def run(batches):
         for b in batches:

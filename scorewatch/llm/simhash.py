@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import fresh_name, small_batches, stored, table
+from scorewatch.llm.common import fresh_name, python_tasks, stored, table
 from scorewatch.llm.components import components
 
 WIDTH = 3                   # words per shingle
@@ -82,7 +82,7 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  width: int = WIDTH) -> DataFrame:
     """(doc_id, fp): one row per document, fp as a signed long."""
-    small_batches(docs.sparkSession)
+    python_tasks(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import stored, table
+from scorewatch.llm.common import python_tasks, stored, table
 
 K = 20
 EVERY = 20                  # queries: rows whose id is divisible by it
@@ -193,6 +193,7 @@ def _search(trees: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vec_col: str = "embedding",
           shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best rows for every query row."""
+    python_tasks(vectors.sparkSession)
     rows = stored(integer_vectors(vectors, id_col, vec_col), "topk-vectors")
     queries = rows.filter((F.pmod("vec_id", F.lit(every)) == 0) & (F.col("vec_id") < LARGE))
     n, m = rows.count(), queries.count()

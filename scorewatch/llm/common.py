@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import scorewatch
 from scorewatch.session import fresh_dir
+from scorewatch.session import store as stored  # noqa: F401  used by the operators
 
 # Fixed value: the white space class of the contracts (space, tab to carriage return).
 SPACE = r"[\x20\x09-\x0D]+"
@@ -25,13 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the cluster's shared folder and read it
-    back: cuts the lineage, fixes generated ids, survives a lost executor."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def sampled(rows: int, of: int, *key: str) -> Column:
+    """True for about ``rows`` of ``of`` rows, chosen by a hash of their unique ``key``."""
+    share = 10**15 if of <= rows else 10**15 * rows // of
+    return F.pmod(F.xxhash64(*key), F.lit(10**15)) < share
 
 
 _SHIPPED: set[str] = set()

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import python_tasks, stored, table
+from scorewatch.llm.common import python_tasks, sampled, stored, table
 
 FOLDS = 10
 ALPHA = 0.1                 # fixed by the contract: additive smoothing
@@ -364,8 +364,7 @@ def baum_welch(code: DataFrame, cls: Classes, states: int = STATES, rounds: int
     """Train on the coded training documents."""
     train = code.filter("row IS NOT NULL AND held = false").select("chunk", "row", "seq")
     own = len(cls.frequent) + 1
-    share = int(min(1.0, SAMPLE / max(1, train.count())) * 10**6)
-    picked = train.filter(F.pmod(F.xxhash64("chunk", "row"), F.lit(10**6)) < share)
+    picked = train.filter(sampled(SAMPLE, train.count(), "chunk", "row"))
 
     def profiles(batches):
         for b in batches:

@@ -164,10 +164,11 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its text without copied lines, lines before, lines removed."""
+    """Per document: its text without copied lines, lines before, lines removed (numbers
+    joined by commas)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs).select("doc_id", "n_lines", F.size("removed_lines").alias("n_removed"),
-                                   "removed_lines", "text")
+                                   F.array_join("removed_lines", ",").alias("removed_lines"), "text")
 
 
 # The same definition, by brute force over the text of every window.
@@ -188,7 +189,7 @@ r AS (SELECT DISTINCT doc_id, unnest(generate_series(x, b)) AS i FROM v JOIN o U
 k AS (SELECT doc_id, list(i - 1 ORDER BY i)::INTEGER[] AS removed_lines FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(len(ls), 0)::INTEGER AS n_lines,
        coalesce(len(removed_lines), 0)::INTEGER AS n_removed,
-       coalesce(removed_lines, []::INTEGER[]) AS removed_lines,
+       coalesce(array_to_string(removed_lines, ','), '') AS removed_lines,
        CASE WHEN k.doc_id IS NULL THEN text ELSE array_to_string(
            [ls[j + 1] FOR j IN range(len(ls)) IF NOT list_contains(removed_lines, j)], chr(10)) END AS text
 FROM d LEFT JOIN k USING (doc_id)

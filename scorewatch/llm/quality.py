@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import python_tasks, stored, table
+from scorewatch.llm.common import python_tasks, sampled, stored, table
 
 FOLDS = 5
 MAX_TRAIN = 30_000
@@ -184,8 +184,7 @@ def train(rows: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     found = stored(numbered.join(known, "doc_id").select("row", "x", "y"), "quality-train")
     n = found.count()
-    share = int(min(1.0, max_rows / max(1, n)) * 10**6)
-    got = found.filter(F.pmod(F.xxhash64("row"), F.lit(10**6)) < share).orderBy("row").toPandas()
+    got = found.filter(sampled(max_rows, n, "row")).orderBy("row").toPandas()
     x = np.stack(got["x"]).astype(np.float32) if len(got) else np.zeros((0, len(FEATURES)), np.float32)
     return fit(x, got["y"].to_numpy(dtype=float))
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from scorewatch.functions.columns import hash_bucket
 from scorewatch.operators import registry
+from scorewatch.operators.monitor import confusion
 from scorewatch.session import cut_lineage, small_frame
 from scorewatch.sources.tables import FEATURES
 
@@ -247,8 +248,8 @@ def fit_grid(spark: SparkSession, frame: DataFrame | Prepared, family: str, mode
         pred = model.transform(data.test)
         path = f"{model_dir.rstrip('/')}/{rid}"
         model.write().overwrite().save(path)
-        counts = [{"run_id": rid, **r.asDict()} for r in
-                  pred.groupBy("predicted_quality", F.col(label).cast("string").alias(label)).count().collect()]
+        pairs = pred.select("predicted_quality", F.col(label).cast("string").alias("quality"))
+        counts = [{"run_id": rid, **r.asDict()} for r in confusion(pairs).collect()]
         return rid, params, evaluator.evaluate(pred), path, counts
 
     try:
@@ -268,7 +269,7 @@ def fit_grid(spark: SparkSession, frame: DataFrame | Prepared, family: str, mode
                             tags={"state": registry.DEV}, tag_cols=["spark_model"],
                             experiment=experiment, seq=seq)
     conf = small_frame(spark, [c for *_, counts in done_runs for c in counts],
-                       f"run_id string, predicted_quality string, {label} string, count long")
+                       "run_id string, predicted_quality string, quality string, count long")
     return GridResult(runs=runs, log=log, confusion=conf,
                       model_paths={rid: path for rid, _, _, path, _ in done_runs})
 

@@ -242,8 +242,8 @@ def epoch_readings(spark, sf_dir):
 
 
 def batch_write_slices(spark, sf_dir):
-    """Overwrite with the first slice, append the next three, 50 rows per
-    file (K1-K3); read back and count rows per slice."""
+    """Overwrite with the first slice, append the next three, the last one at 50
+    rows per file (K1-K3); read back and count rows per slice."""
     path = fresh_dir(spark, "slices")
     r = fx.readings(spark, sf_dir).withColumn(
         "batch", prep.slice_index("process_time", fx.ARRIVAL_CUTS))
@@ -251,7 +251,7 @@ def batch_write_slices(spark, sf_dir):
     for i in range(4):
         part = prep.time_slice(r, "process_time", bounds[i], bounds[i + 1])
         sinks.write_batch(part, path, mode="overwrite" if i == 0 else "append",
-                          max_records_per_file=50)
+                          max_records_per_file=50 if i == 3 else None)
     back = spark.read.parquet(path)
     return back.groupBy("batch").agg(F.count(F.lit(1)).alias("rows"))
 

@@ -163,6 +163,15 @@ def test_join_is_split_by_aqe_not_by_a_key_list(spark):
     assert join.count("Exchange hashpartitioning(pid") >= 2 and "TakeOrdered" not in plan and "Limit" not in plan
 
 
+def test_kpi_after_a_day_from_table_or_predictions(spark):
+    from scorewatch.sources import fixtures as fx
+    from tests.conftest import SF_SMALL
+    labs, preds = fx.labels(spark, SF_SMALL), fx.predictions(spark, SF_SMALL)
+    day = "2024-01-20"
+    assert monitor.kpi_after(monitor.daily_kpi(labs, preds), day).collect() \
+        == monitor.daily_kpi_after(labs, preds, day).collect()
+
+
 def test_day_bounds_reach_the_scan(spark):
     from scorewatch.plans import catalog
     from tests.conftest import SF_SMALL

@@ -7,11 +7,10 @@ rarest among the URLs at hand, counted in one map-side combined pass that only
 returns the rules' own tokens. A URL looks its tokens up in that index, and only
 the rules it fetches run their regular expression. *Domain rules* (host, path
 prefix) override: the longest fitting rule wins, and its host key is fetched by
-the host's suffixes. Both indexes are literal maps in the plan, so a URL is
-judged inside its own task: no shuffle, no join, no skew.
-
-The rule lists are parameters of the job, not data; ``MAX_RULES`` is checked,
-beyond it the rules belong in a table joined on the token.
+the host's suffixes. Up to ``LITERAL_RULES`` rules both indexes are literal maps in the
+plan, so a URL is judged inside its own task: no shuffle, no join, no skew. Longer
+rule lists become tables joined on the URL's tokens and host suffixes, with the same
+result; one side has one row per key there, so AQE splits a hot token's URLs.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, fits
 no domain rule, and is judged by the pattern rules on the empty or whole URL; a
@@ -29,9 +28,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import ascii_lower, table
+from scorewatch.llm.common import ascii_lower, stored, table
 
-MAX_RULES = 5000
+LITERAL_RULES = 1000
 
 
 class DomainRule(NamedTuple):
@@ -103,52 +102,83 @@ def rarest_token_index(rules: Sequence[PatternRule], counts: dict[str, int]) ->
     return index
 
 
+def suffixes_of(host: Column) -> Column:
+    """The host and everything after each of its dots."""
+    labels = F.split(host, "[.]")
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(
+        F.slice(labels, i, F.size(labels)), ".")))
+
+
+PATTERN_ENTRY = "struct<block:boolean,regex:string>"
+DOMAIN_ENTRY = "struct<size:int,name:string,verdict:string,path:string>"
+
+
+def _matching(entries: Column, low: Column) -> Column:
+    return F.filter(entries, lambda r: F.regexp(low, r["regex"]))
+
+
+def _fitting(entries: Column, path: Column) -> Column:
+    return F.filter(entries, lambda r: F.startswith(path, r["path"]))
+
+
+def _judge_in_place(rows: DataFrame, patterns: dict[str, list], domains: dict[str, list]) -> DataFrame:
+    """The best entry of each kind per URL, from literal maps. Structs order by their
+    first field: the longest rule, a block before an allow."""
+    def literal(index: dict[str, list], entry: str) -> Column:
+        names = [f.split(":")[0] for f in entry[7:-1].split(",")]
+        return _map({k: F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, e))) for e in es))
+                     for k, es in index.items()}, f"array<{entry}>")
+
+    def fetch(index: Column, keys: Column) -> Column:
+        return F.flatten(F.filter(F.transform(keys, lambda k: index[k]), lambda x: x.isNotNull()))
+
+    by_token, by_host = literal(patterns, PATTERN_ENTRY), literal(domains, DOMAIN_ENTRY)
+    return rows.select(
+        "page_id", "host", "path",
+        F.array_max(_fitting(fetch(by_host, suffixes_of(F.col("host"))), F.col("path"))).alias("won"),
+        F.array_max(_matching(fetch(by_token, tokens_of(F.col("low"))), F.col("low"))).alias("hit"))
+
+
+def _judge_by_join(rows: DataFrame, patterns: dict[str, list], domains: dict[str, list]) -> DataFrame:
+    """The same from tables: one row per index key, joined on the URLs' keys."""
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "url-rows")
+
+    def best(keys: Column, index: dict[str, list], entry: str, keep, name: str) -> DataFrame:
+        rules = rows.sparkSession.createDataFrame(list(index.items()), f"key string, entries array<{entry}>")
+        asked = rows.select("row", "low", "path", F.explode(keys).alias("key"))
+        return (asked.join(stored(rules, "url-rules"), "key")
+                .select("row", F.array_max(keep(F.col("entries"))).alias(name)).filter(F.col(name).isNotNull())
+                .groupBy("row").agg(F.max(name).alias(name)))
+
+    won = best(suffixes_of(F.col("host")), domains, DOMAIN_ENTRY, lambda e: _fitting(e, F.col("path")), "won")
+    hit = best(tokens_of(F.col("low")), patterns, PATTERN_ENTRY, lambda e: _matching(e, F.col("low")), "hit")
+    return rows.join(won, "row", "left").join(hit, "row", "left").select("page_id", "host", "path", "won", "hit")
+
+
 def url_filter(pages: DataFrame, domain_rules: Sequence[DomainRule] = DOMAIN_RULES,
-               pattern_rules: Sequence[PatternRule] = PATTERN_RULES,
-               id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+               pattern_rules: Sequence[PatternRule] = PATTERN_RULES, id_col: str = "page_id",
+               url_col: str = "url", literal_rules: int = LITERAL_RULES) -> DataFrame:
     """page_id, host, path, rule (of the domain rule that won), verdict, pattern
     (the regular expression that decided, if one matched)."""
-    if len(domain_rules) + len(pattern_rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules: keep them in a table and join on the token")
     for r in pattern_rules:
         if not r.tokens or not all(re.fullmatch("[a-z0-9]+", t) for t in r.tokens):
             raise ValueError(f"rule {r.regex!r} needs lower-case literal tokens")
     url = F.col(url_col)
     tokens = sorted({t for r in pattern_rules for t in r.tokens})
     index = rarest_token_index(pattern_rules, token_counts(pages, url, tokens))
-
-    entry = "array<struct<block:boolean,regex:string>>"
-    by_token = _map({t: F.array(*(F.struct(F.lit(pattern_rules[i].verdict == "block").alias("block"),
-                                           F.lit(pattern_rules[i].regex).alias("regex"))
-                                  for i in ids)) for t, ids in index.items()}, entry)
-    by_host: dict[str, list[DomainRule]] = {}
+    patterns = {t: [(pattern_rules[i].verdict == "block", pattern_rules[i].regex) for i in ids]
+                for t, ids in index.items()}
+    domains: dict[str, list] = {}
     for r in domain_rules:
-        by_host.setdefault(r.host, []).append(r)
-    hosts = _map({h: F.array(*(F.struct(F.lit(len(r.name)).alias("size"), F.lit(r.name).alias("name"),
-                                        F.lit(r.verdict).alias("verdict"),
-                                        F.lit("/" + r.path).alias("path")) for r in rs))
-                  for h, rs in by_host.items()},
-                 "array<struct<size:int,name:string,verdict:string,path:string>>")
-
-    split = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host_of(url).alias("host"),
-                         path_of(url).alias("path"))
-    labels = F.split("host", "[.]")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                           lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fitting = F.filter(F.flatten(F.filter(F.transform(F.array_distinct(suffixes), lambda h: hosts[h]),
-                                          lambda x: x.isNotNull())),
-                       lambda r: F.startswith(F.col("path"), r["path"]))
-    low = ascii_lower(F.coalesce("url", F.lit("")))
-    fetched = F.flatten(F.filter(F.transform(tokens_of(F.col("url")), lambda t: by_token[t]),
-                                 lambda x: x.isNotNull()))
-    matched = F.filter(fetched, lambda r: F.regexp(low, r["regex"]))
-    # structs order by their first field: the longest rule, a block before an allow
-    best = split.select("page_id", "host", "path", F.array_max(fitting).alias("won"),
-                        F.array_max(matched).alias("hit"))
+        domains.setdefault(r.host, []).append((len(r.name), r.name, r.verdict, "/" + r.path))
+
+    rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"),
+                        ascii_lower(F.coalesce(url, F.lit(""))).alias("low"))
+    judge = _judge_in_place if len(domain_rules) + len(pattern_rules) <= literal_rules else _judge_by_join
     by_pattern = F.when(F.col("hit.block"), "block").otherwise("allow")
-    return best.select("page_id", "host", "path", F.col("won.name").alias("rule"),
-                       F.coalesce(F.col("won.verdict"), by_pattern).alias("verdict"),
-                       F.col("hit.regex").alias("pattern"))
+    return judge(rows, patterns, domains).select(
+        "page_id", "host", "path", F.col("won.name").alias("rule"),
+        F.coalesce(F.col("won.verdict"), by_pattern).alias("verdict"), F.col("hit.regex").alias("pattern"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from scorewatch.llm import url_filter as uf
 
 
@@ -20,7 +22,8 @@ def judge(url):
     return host, path, None, "block" if hit else "allow"
 
 
-def test_against_every_rule(spark):
+@pytest.mark.parametrize("literal", [uf.LITERAL_RULES, 0])
+def test_against_every_rule(spark, literal):
     rnd = random.Random(1)
     hosts = ["a.net", "net", "evilnet", "WWW.example.NET", "example.net", "example.com", "x.example.com", "b.org", "org.uk",
              "spam-farm.example.com", "www.cheap-pills.io", "my-spam-farm.example.com", "ÄB.org", ""]
@@ -30,7 +33,7 @@ def test_against_every_rule(spark):
     urls += [None, "", "no scheme", "a://b://c.net/", "line\nbreak://x.net/\n?", "http:///path"]
     urls += ["".join(rnd.choice("ab.:/?#-N") for _ in range(25)) for _ in range(300)]
     frame = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in uf.url_filter(frame).collect()}
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in uf.url_filter(frame, literal_rules=literal).collect()}
     assert got == {i: judge(u) for i, u in enumerate(urls)}
 
 

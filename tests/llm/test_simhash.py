@@ -74,7 +74,21 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_components_of_paths_and_stars(spark):
-    edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 130)] + [(7, 7), (200, 199)]
+def test_components_of_paths_stars_and_random_graphs(spark):
+    rnd = random.Random(9)
+    edges = [(i, i + 1) for i in range(0, 600)] + [(1000, i) for i in range(1001, 1030)] + [(7, 7), (2000, 1999)]
+    ids = list(range(3000, 3400))
+    rnd.shuffle(ids)
+    edges += list(zip(ids, ids[1:200])) + [(rnd.choice(ids[200:]), rnd.choice(ids[200:])) for _ in range(150)]
+    label = {v: v for e in edges for v in e}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+    for a, b in edges:
+        u, v = sorted((root(a), root(b)))
+        label[v] = u
     got = {r.vertex: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 130)}, 199: 199, 200: 199}
+    assert got == {v: root(v) for v in label if v in got} and len(got) >= 601 + 30 + 2 + 200
+    assert components(spark.createDataFrame([(5, 5)], "a long, b long")).collect() == []

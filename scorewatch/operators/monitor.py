@@ -209,7 +209,8 @@ def in_production(labels: DataFrame, predictions: DataFrame, promotions: DataFra
     rows = flag_counts(labels, predictions, ["process_time"]).select(
         F.col("process_time").alias("_t"), F.lit(1).alias("_tb"), F.lit(0).cast("long").alias("_seq"),
         F.lit(None).cast("string").alias("_run"), "_right", "_all")
-    tagged = carry_forward(starts.unionByName(rows), ["_t", "_tb", "_seq"], "_run", "run_id")
+    both = store(starts.unionByName(rows), "production-rows")
+    tagged = carry_forward(both, ["_t", "_tb", "_seq"], "_run", "run_id")
     return (tagged.filter((F.col("_tb") == 1) & F.col("run_id").isNotNull()).groupBy("run_id").agg(
         F.sum("_all").cast("long").alias("readings"),
         F.sum("_right").cast("long").alias("accurate"))

@@ -9,7 +9,8 @@ its own; the only cross-block information is one row per block (its first or
 last row), fixed up with a small window and joined back.
 
 The number of blocks follows the data (``ROWS_PER_BLOCK``, at least the number of
-shuffle partitions). The order columns should end in a unique tie-breaker, which
+shuffle partitions); the rows are counted first, so store a frame that is dear to
+compute before it comes here. The order columns should end in a unique tie-breaker, which
 also splits a hot timestamp over several blocks.
 """
 
@@ -27,7 +28,6 @@ ROWS_PER_BLOCK = 2_000_000
 
 def _blocks(df: DataFrame, order: Sequence[str], n: int | None) -> DataFrame:
     if n is None:
-        df = store(df, "order-rows")              # counted without computing it twice
         n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                 -(-df.count() // ROWS_PER_BLOCK))
     return store(df.repartitionByRange(n, *order)

@@ -10,8 +10,10 @@ byte ranges of a file, so one large archive is read by many tasks. Every piece i
 a *candidate* record; its header gives the offset of its successor. The magic
 also occurs inside payloads, so candidates are verified: starting from offset 0
 of each file, pointer jumping (pointers double their reach every round, the
-reached set follows them) keeps exactly the records on the chain. Payloads that
-hold the magic, and so span pieces, are put together again from their pieces.
+reached set follows them) keeps exactly the records on the chain. A header that
+holds the magic (a URL may) spans pieces too: its end and its length are taken from
+the pieces that follow. Headers and payloads that span pieces are put together
+again from their pieces. The writer percent-encodes the magic in target URIs.
 
 Only narrow rows (offsets, header fields, digests) are shuffled; payload digests
 are computed where the bytes are read. Offsets are running sums per byte range
@@ -35,6 +37,7 @@ from scorewatch.session import fresh_dir
 
 # Fixed values of the WARC format.
 MAGIC = "WARC/1."
+MAGIC_ENCODED = "WARC/1%2E"  # the same URI, without the magic
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -65,6 +68,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     rows = rows.join(largest_of_equals(pages, id_col, html_col), ["digest", "n_bytes"], "left")
     revisit = F.col("keep").isNotNull() & (F.col("id").isNull() | (F.col("id") < F.col("keep")))
     target = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    target = F.replace(target, F.lit(MAGIC), F.lit(MAGIC_ENCODED))
     lines = F.concat_ws(
         CRLF, F.lit(MAGIC + "1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
@@ -90,24 +94,53 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("seq"), F.col("value"))
 
 
+def _field(name: str, head: str = "head"):
+    """The value of a header line; the line after the magic is no header line."""
+    return F.regexp_extract(head, rf"(?imd)\n{name}:[ \t]*(.*?)[ \t]*\r?$", 1)
+
+
+def _named(head: str = "head") -> list:
+    return [_field("WARC-Type", head).alias("type"), _field("WARC-Record-ID", head).alias("record_id"),
+            F.nullif(_field("WARC-Refers-To", head), F.lit("")).alias("refers_to")]
+
+
+def _across(at: DataFrame) -> DataFrame:
+    """Candidates whose header goes on in later pieces get its end, and its length
+    if that stands there: both from the nearest piece behind that has one."""
+    later = W.partitionBy("file", "block").orderBy(F.desc("start")).rowsBetween(W.unboundedPreceding, -1)
+    later_block = W.partitionBy("file").orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
+    end = F.when(F.col("skip").isNotNull(), F.col("start") + len(MAGIC) + F.col("skip"))
+    size = F.when(F.col("length").isNotNull(), F.struct("start", "length"))
+    blocks = at.groupBy("file", "block").agg(F.min(end).alias("end"), F.min(size).alias("size"))
+    blocks = blocks.select("file", "block", F.last("end", True).over(later_block).alias("next_end"),
+                           F.last("size", True).over(later_block).alias("next_size"))
+    near = (at.withColumn("own_end", end).withColumn("own_size", size)
+            .withColumn("end", F.last("own_end", True).over(later))
+            .withColumn("size", F.last("own_size", True).over(later)).join(blocks, ["file", "block"])
+            .withColumn("end", F.coalesce("end", "next_end")).withColumn("size", F.coalesce("size", "next_size")))
+    goes_on = F.col("opens") & F.col("skip").isNull()
+    there = F.when(F.col("size.start") < F.col("end"), F.col("size.length"))
+    return near.withColumn("length", F.when(goes_on, F.coalesce("length", there)).otherwise(F.col("length"))) \
+        .withColumn("skip", F.when(goes_on, F.col("end") - F.col("start") - len(MAGIC)).otherwise(F.col("skip"))) \
+        .select(*at.columns)
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """One narrow row per piece: its offset, header fields, the offset of its
-    successor (null: no record header) and, if the payload lies within the piece,
-    the payload's digest."""
+    successor (null: no record header) and, if header and payload lie within the
+    piece, the payload's digest."""
     head = F.substring("value", 1, MAX_HEADER)
     p = _pieces(spark, path).select(
         "file", "file_bytes", "block", "seq", "value", F.octet_length("value").cast("long").alias("n"),
         F.substring_index(head, CRLF + CRLF, 1).alias("head"), head.alias("prefix"))
-    field = lambda name: F.regexp_extract("head", rf"(?im)^{name}:[ \t]*(.*?)[ \t]*\r?$", 1)
-    is_head = (F.length("head") < F.length("prefix")) & F.col("head").rlike(r"^\d\r\n")
-    p = p.select("file", "file_bytes", "block", "seq", "n", "value",
-                 (F.octet_length("head") + 4).cast("long").alias("skip"),
-                 F.when(is_head, field("Content-Length")).try_cast("long").alias("length"),
-                 field("WARC-Type").alias("type"), field("WARC-Record-ID").alias("record_id"),
-                 F.nullif(field("WARC-Refers-To"), F.lit("")).alias("refers_to"))
-    whole = F.col("skip") + F.col("length") <= F.col("n")
+    ends = F.length("head") < F.length("prefix")
+    opens = F.substring("value", 1, 3).rlike(r"^\d\r\n")
+    p = p.select("file", "file_bytes", "block", "seq", "n", "value", opens.alias("opens"),
+                 F.when(ends, F.octet_length("head") + 4).cast("long").alias("skip"),
+                 _field("Content-Length").try_cast("long").alias("length"), *_named())
+    whole = F.col("opens") & (F.col("skip") + F.col("length") <= F.col("n"))
     body = F.expr("substring(cast(value AS binary), cast(skip + 1 AS int), cast(length AS int))")
-    rows = stored(p.select("file", "file_bytes", "block", "seq", "n", "skip", "length", "type",
+    rows = stored(p.select("file", "file_bytes", "block", "seq", "n", "opens", "skip", "length", "type",
                            "record_id", "refers_to", F.when(whole, F.sha1(body)).alias("digest")),
                   "warc-pieces")
     step = F.col("n") + len(MAGIC)
@@ -120,8 +153,11 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     bases = bases.filter(sound.isNull()).select("file", "block", "base")
     at = rows.withColumn("start", in_block).join(bases, ["file", "block"])
     start = F.col("start") + F.col("base") - len(MAGIC)
-    return stored(at.withColumn("start", start).drop("base", "file_bytes").withColumn(
-        "next", F.col("start") + len(MAGIC) + F.col("skip") + F.col("length") + 4), "warc-candidates")
+    at = stored(at.withColumn("start", start).drop("base", "file_bytes"), "warc-candidates")
+    if at.filter("opens AND skip IS NULL").head(1):
+        at = stored(_across(at), "warc-headers")
+    after = F.col("start") + len(MAGIC) + F.col("skip") + F.col("length") + 4
+    return at.withColumn("next", F.when(F.col("opens"), after)).drop("opens")
 
 
 def chain(found: DataFrame) -> DataFrame:
@@ -157,10 +193,12 @@ def records(spark: SparkSession, path: str) -> DataFrame:
              .filter("skip + length <= octet_length(value)")
              .select("file", F.col("rec").alias("start"), F.expr(
                  "sha1(substring(cast(value AS binary), cast(skip + 1 AS int), cast(length AS int)))")
-                 .alias("joined")))
+                 .alias("digest"), F.substring_index("value", CRLF + CRLF, 1).alias("head"))
+             .select("file", "start", "digest", *_named()))
     fields = ["file", "start", "block", "seq", "type", "record_id", "refers_to", "length"]
     return own.filter("digest IS NOT NULL").select(*fields, "digest").unionByName(
-        long.drop("digest").join(whole, ["file", "start"]).select(*fields, F.col("joined").alias("digest")))
+        long.drop("digest", "type", "record_id", "refers_to").join(whole, ["file", "start"])
+        .select(*fields, "digest"))
 
 
 def with_originals(recs: DataFrame) -> DataFrame:

@@ -78,3 +78,38 @@ def test_truncated_archive_ends_at_last_whole_record(spark, cut):
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\n").text(path)
     got = warc.records(spark, path).collect()
     assert len(got) == (4 if cut == 10 else 5)
+
+
+def test_magic_inside_a_url(spark):
+    rows = [(i, f"http://a/{i}", f"page {i}") for i in range(30)]
+    rows[9:9] = [(100, "http://a/WARC/1.0/x?WARC/1.1", "odd"), (101, "http://b/WARC/1.", FAKE),
+                 (102, "http://a/\u2028Content-Length: 1\u2028", "line separators")]
+    path = fresh_dir(spark, "warc-url")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    got = by_id(warc.records(spark, path).collect())
+    assert {i: (r.length, r.digest) for i, r in got.items()} == {
+        f"<urn:page:{i}>": (len(h.encode()), hashlib.sha1(h.encode()).hexdigest()) for i, _, h in rows}
+
+
+@pytest.mark.parametrize("part", ["4k", "200b"])
+def test_magic_inside_headers_of_other_writers(spark, part):
+    def record(i, html, *more):
+        head = ["WARC/1.0", *more[:1], "WARC-Type: response", f"WARC-Record-ID: <urn:WARC/1.{i}>",
+                f"Content-Length: {len(html)}", *more[1:]]
+        return "\r\n".join(head) + "\r\n\r\n" + html + "\r\n\r\n"
+
+    html = {i: f"WARC/1.1\r\nContent-Length: 1\r\nno end {i}" if i % 5 == 1 else f"page {i}" for i in range(40)}
+    odd = "WARC-Target-URI: http://a/WARC/1.0/" + "y" * 300 + "WARC/1.Content-Length: 3"
+    path = fresh_dir(spark, "warc-foreign")
+    text = "".join(record(i, html[i], *[[odd], ["X: 1", odd], ["X: 1"], [odd, odd]][i % 4]) for i in html)
+    spark.createDataFrame([(text[:-4],)], "value string").coalesce(1).write.option("lineSep", "\r\n\r\n").text(path)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, part)
+    try:
+        got = by_id(warc.records(spark, path).collect())
+    finally:
+        spark.conf.set(key, before)
+    assert {i: r.digest for i, r in got.items()} == {
+        f"<urn:WARC/1.{i}>": hashlib.sha1(h.encode()).hexdigest() for i, h in html.items()}
+    assert {r.type for r in got.values()} == {"response"}

@@ -22,12 +22,15 @@ plus the range's base, and are checked against the file size.
 Defined cases: a null html is an empty payload; a null url writes no target; a
 null page_id sorts below every other id and reads back as null; rows that share
 the largest id of their group are all responses; several files and empty files
-or tables are fine; a broken chain (truncated file) ends at the last whole record;
-other columns are ignored.
+or tables are fine; a broken chain (truncated file) ends at the last whole record
+and is warned of, or is an error if whole files are asked for; headers and payloads
+have any length; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,7 +45,6 @@ CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 MIN_REVISIT = 1000          # bytes; shorter payloads are never revisits
-MAX_HEADER = 65536          # characters looked at for a record's header
 BIN = 1 << 20               # bytes; byte-range bins of records that span pieces
 WARC_DATE = "2024-01-01T00:00:00Z"
 
@@ -129,11 +131,10 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     """One narrow row per piece: its offset, header fields, the offset of its
     successor (null: no record header) and, if header and payload lie within the
     piece, the payload's digest."""
-    head = F.substring("value", 1, MAX_HEADER)
     p = _pieces(spark, path).select(
         "file", "file_bytes", "block", "seq", "value", F.octet_length("value").cast("long").alias("n"),
-        F.substring_index(head, CRLF + CRLF, 1).alias("head"), head.alias("prefix"))
-    ends = F.length("head") < F.length("prefix")
+        F.substring_index("value", CRLF + CRLF, 1).alias("head"))
+    ends = F.octet_length("head") < F.col("n")
     opens = F.substring("value", 1, 3).rlike(r"^\d\r\n")
     p = p.select("file", "file_bytes", "block", "seq", "n", "value", opens.alias("opens"),
                  F.when(ends, F.octet_length("head") + 4).cast("long").alias("skip"),
@@ -153,7 +154,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     bases = bases.filter(sound.isNull()).select("file", "block", "base")
     at = rows.withColumn("start", in_block).join(bases, ["file", "block"])
     start = F.col("start") + F.col("base") - len(MAGIC)
-    at = stored(at.withColumn("start", start).drop("base", "file_bytes"), "warc-candidates")
+    at = stored(at.withColumn("start", start).drop("base"), "warc-candidates")
     if at.filter("opens AND skip IS NULL").head(1):
         at = stored(_across(at), "warc-headers")
     after = F.col("start") + len(MAGIC) + F.col("skip") + F.col("length") + 4
@@ -174,11 +175,28 @@ def chain(found: DataFrame) -> DataFrame:
             return at.filter("reached").select("file", "start")
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
+def broken(found: DataFrame, own: DataFrame) -> DataFrame:
+    """(file, file_bytes, chain_end) of the files whose chain of records does not end
+    where the file ends (null: it has no record)."""
+    ends = own.groupBy("file").agg(F.max("next").alias("chain_end"))
+    return (found.select("file", "file_bytes").distinct().join(ends, "file", "left")
+            .filter("NOT chain_end <=> file_bytes"))
+
+
+def records(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
     """Verified records: file, start, block, seq, type, record_id, refers_to,
-    length and digest (lower-case hex SHA-1) of the payload as archived."""
+    length and digest (lower-case hex SHA-1) of the payload as archived. A chain that
+    does not end with its file is a warning, with ``whole_files`` an error."""
     found = candidates(spark, path)
     own = stored(found.join(chain(found), ["file", "start"]).drop("n"), "warc-records")
+    cut = broken(found, own).orderBy("file").head(5)
+    if cut:
+        text = "records end before or behind the end of the file (first five files): " + ", ".join(
+            f"{r.file} at {r.chain_end} of {r.file_bytes} bytes" for r in cut)
+        if whole_files:
+            raise ValueError(text)
+        warnings.warn(text, stacklevel=2)
+    own = own.drop("file_bytes")
     long = own.filter("digest IS NULL")
     spans = long.select("file", F.col("start").alias("rec"), "next", "skip", "length",
                         F.explode(F.sequence(F.floor(F.col("start") / BIN),
@@ -222,7 +240,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive every page, read the archives back, one row per page."""
     path = fresh_dir(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
-    return with_originals(records(spark, path)).select(
+    return with_originals(records(spark, path, whole_files=True)).select(
         page_id_of("record_id").alias("page_id"), F.col("length").alias("payload_bytes"),
         F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"),
         page_id_of("refers_to").alias("refers_to"))

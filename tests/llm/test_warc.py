@@ -113,3 +113,23 @@ def test_magic_inside_headers_of_other_writers(spark, part):
     assert {i: r.digest for i, r in got.items()} == {
         f"<urn:WARC/1.{i}>": hashlib.sha1(h.encode()).hexdigest() for i, h in html.items()}
     assert {r.type for r in got.values()} == {"response"}
+
+
+def test_headers_of_any_length(spark):
+    rows = [(i, f"http://a/{i}", f"page {i}") for i in range(20)]
+    rows[7:7] = [(100, "http://a/" + "u" * 70_000, "long"), (101, "http://a/" + "WARC/1.0/é" * 20_000, LONG)]
+    path = fresh_dir(spark, "warc-long")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    got = by_id(warc.records(spark, path).collect())
+    assert {i: r.digest for i, r in got.items()} == {
+        f"<urn:page:{i}>": hashlib.sha1(h.encode()).hexdigest() for i, _, h in rows}
+
+
+def test_broken_chain_is_seen(spark):
+    path = fresh_dir(spark, "warc-broken")
+    text = "".join(f"WARC/1.1\r\nContent-Length: {n}\r\n\r\nsome text\r\n\r\n" for n in (9, 9, 8, 9))
+    spark.createDataFrame([(text[:-4],)], "value string").coalesce(1).write.option("lineSep", "\r\n\r\n").text(path)
+    with pytest.warns(UserWarning, match="end of the file"):
+        assert warc.records(spark, path).count() == 3
+    with pytest.raises(ValueError, match="end of the file"):
+        warc.records(spark, path, whole_files=True)

@@ -222,21 +222,26 @@ def touched_days(predictions: DataFrame, new_labels: DataFrame,
                  lag_days: int | None = None) -> DataFrame:
     """Days holding a prediction whose label is among ``new_labels``.
 
-    ``lag_days``: labels land at most so many days after their reading. Then
-    only predictions between (first new label - lag) and the last new label
-    are read: two numbers bound the scan, by partition where the table is
-    partitioned by day. Both sides are reduced (distinct, map-side) before the
-    semi-join, so a hot pid is a few rows.
+    ``lag_days``: labels are expected to land at most so many days after their
+    reading. Predictions between (first new label - lag) and the last new label are
+    one scan, by partition where the table is partitioned by day. Labels may be later
+    than that, have no time, or share their pid with older predictions, so the rest
+    of the table is looked through too: the partitions not yet read, pid and time
+    alone. Both sides are reduced (distinct, map-side) before the semi-join, so a hot
+    pid is a few rows.
     """
     p = predictions
-    if lag_days is not None:
-        ends = new_labels.agg(F.min("qualitycheck_time").cast("string"),
-                              F.max("qualitycheck_time").cast("string")).first()
-        lo, hi = (ts_lit(x) if x else F.lit(None).cast("timestamp_ntz") for x in ends)
-        lo = lo - F.make_dt_interval(F.lit(lag_days))
-        p = p.filter((F.col("process_time") >= lo) & (F.col("process_time") <= hi))
+    ends = (None, None) if lag_days is None else new_labels.agg(
+        F.min("qualitycheck_time").cast("string"), F.max("qualitycheck_time").cast("string")).first()
+    if ends[0] is not None:
+        lo, hi = ts_lit(ends[0]) - F.make_dt_interval(F.lit(lag_days)), ts_lit(ends[1])
+        t = F.col("process_time")
+        near, far = p.filter((t >= lo) & (t <= hi)), p.filter((t < lo) | (t > hi))
         if "process_day" in p.columns:
-            p = p.filter((F.col("process_day") >= F.to_date(lo)) & (F.col("process_day") <= F.to_date(hi)))
+            day, first, last = F.col("process_day"), F.to_date(lo), F.to_date(hi)
+            near = near.filter((day >= first) & (day <= last))
+            far = far.filter((day <= first) | (day >= last))
+        p = near.unionByName(far)
     p = p.select("pid", window_day("process_time").alias("window_day")).distinct()
     return p.join(new_labels.select("pid").distinct(), "pid", "left_semi") \
         .select("window_day").distinct()

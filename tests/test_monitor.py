@@ -268,3 +268,23 @@ def test_refresh_reads_only_touched_day_folders(spark, tmp_path):
     labels = _lab(spark, [(i, ts("2024-01-12 00:00:00"), 1) for i in range(90)])
     assert monitor.refresh_kpi(labels, tables.predictions(spark, path), new, kpi, lag_days=3) == 1
     assert [(str(r.window_day), r["count"]) for r in monitor.read_kpi(spark, kpi).collect()] == [("2024-01-04", 10)]
+
+
+@pytest.mark.parametrize("by_day", [True, False])
+def test_labels_later_than_the_lag_refresh_their_days(spark, by_day):
+    from scorewatch.session import fresh_dir
+    from scorewatch.sources import sinks, tables
+    preds = _pred(spark, [(i, ts(f"2024-01-{i:02d} 10:00:00"), "1", "a") for i in range(1, 13)]
+                  + [(10, ts("2024-01-02 11:00:00"), "0", "a")])         # two days of one pid
+    if by_day:
+        path = fresh_dir(spark, "t-pred")
+        sinks.write_by_day(preds, path, mode="overwrite")
+        preds = tables.predictions(spark, path)
+    first = _lab(spark, [(i, ts(f"2024-01-{i + 1:02d} 00:00:00"), 1) for i in (1, 2, 6, 7)])
+    on_time, late, timeless = (10, ts("2024-01-12 00:00:00"), 1), (1, ts("2024-01-12 00:00:00"), 0), (7, None, 0)
+    for new in ([on_time, late, timeless], [late], [timeless]):
+        kpi, new = fresh_dir(spark, "t-kpi"), _lab(spark, new)
+        labels = first.unionByName(new)
+        monitor.refresh_kpi(first, preds, first, kpi, lag_days=3)
+        monitor.refresh_kpi(labels, preds, new, kpi, lag_days=3)
+        assert sorted(monitor.read_kpi(spark, kpi).collect()) == sorted(monitor.daily_kpi(labels, preds).collect())

@@ -26,14 +26,12 @@ def with_process_day(df: DataFrame, col: str = "process_time") -> DataFrame:
     return df.withColumn("process_day", F.to_date(col))
 
 
-def write_by_day(df: DataFrame, path: str, mode: str = "append", col: str = "process_time",
-                 files_per_day: int = 8) -> None:
+def write_by_day(df: DataFrame, path: str, mode: str = "append", col: str = "process_time") -> None:
     """Write partitioned by process day, so day filters prune whole folders;
     appends only touch the days present (``partitionOverwriteMode=dynamic`` for
-    overwrites). Rows are first clustered by day and a bucket of their time, so a
-    day is at most ``files_per_day`` files, not one per task."""
-    from pyspark.sql import functions as F
+    overwrites). Rows are first rebalanced by day: a small day is one file, not one
+    per task, and AQE splits a large day, or one hot instant of it, over as many
+    tasks as its bytes need (``advisoryPartitionSizeInBytes``)."""
     days = with_process_day(df, col)
-    bucket = F.pmod(F.xxhash64(col), F.lit(files_per_day))
-    (days.repartition("process_day", bucket).write.mode(mode)
+    (days.hint("rebalance", "process_day").write.mode(mode)
      .option("partitionOverwriteMode", "dynamic").partitionBy("process_day").parquet(path))

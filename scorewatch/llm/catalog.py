@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from scorewatch.llm import exact_dedup, hmm, line_dedup, packing, pieces, quality, simhash, topk, url_filter, warc
+from scorewatch.llm import (exact_dedup, hmm, line_dedup, merkle, packing, pieces, quality, resample, simhash,
+                            topk, url_filter, warc)
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +16,8 @@ QUERIES = {
     "op8_ball_tree_topk": topk.op8_ball_tree_topk,
     "op9_hmm_scores": hmm.op9_hmm_scores,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op12_importance_resampling": resample.op12_importance_resampling,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 SQL = {
@@ -23,4 +26,6 @@ SQL = {
     "op7_url_filter": url_filter.SQL,
     "op8_ball_tree_topk": topk.SQL,
     "op10_line_dedup": line_dedup.SQL,
+    "op12_importance_resampling": resample.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }

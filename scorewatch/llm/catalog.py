@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from scorewatch.llm import (exact_dedup, hmm, line_dedup, merkle, packing, pieces, quality, resample, simhash,
-                            topk, url_filter, warc)
+from scorewatch.llm import (exact_dedup, hmm, jaccard, line_dedup, merkle, packing, pieces, quality, resample,
+                            simhash, topk, url_filter, warc)
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_ball_tree_topk": topk.op8_ball_tree_topk,
     "op9_hmm_scores": hmm.op9_hmm_scores,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_ngram_jaccard": jaccard.op11_ngram_jaccard,
     "op12_importance_resampling": resample.op12_importance_resampling,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }

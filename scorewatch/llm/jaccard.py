@@ -16,14 +16,15 @@ is the share of n, as the unshared ones come first in every order). The orders a
 
 * rarest first (a rounded count, then the number itself): its prefix tokens are the keys
   under which sets meet; sizes and positions must allow the overlap;
-* two orders by differently mixed numbers: 16-bit marks of their prefix tokens
-  travel along, and a pair that has none in common under one of them is dropped.
+* two orders by differently mixed numbers: 16-bit marks of the tokens travel along, and
+  a pair whose prefixes have none in common under one of them is dropped, as is one with
+  fewer marks in common than the overlap needs.
 
 What passes all of them is verified on the sets themselves, under the full tokens of the
 other orders first, then by the size of the intersection.
 
-Groups of near copies. First only neighbours within a key are verified (the key's rows
-are range-partitioned, so a hot key is spread). Their links are contracted; from then
+Groups of near copies. First only neighbours within a key are verified, in two sortings
+that bring like sets together (the key's rows are range-partitioned, so a hot key is spread). Their links are contracted; from then
 on only pairs across components matter, and keys whose sets are one component drop
 out. A round passes on at most ``budget`` pairs for two components that meet on a key; if
 it held any back, the links found are contracted and the next round has a larger
@@ -57,7 +58,7 @@ MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)       # odd factors: the orders b
 CHUNK = 1 << 21             # shingles of a chunk
 BUCKET_BYTES = 24 << 20     # text bytes whose shingles make a bucket, about
 RUN = 2048                  # sets of one key compared in one go
-BUDGET = 8                  # pairs per key and two components in the first round
+BUDGET = 1                  # pairs per key and two components in the first round
 GROWTH = 16
 NARROW = 16_384             # rows of an Arrow batch without texts
 
@@ -252,8 +253,8 @@ def prefix_under(token: np.ndarray, q: int, factor: int) -> np.ndarray:
 
 
 def postings(sets: DataFrame, share: int) -> DataFrame:
-    """(key, near, sig, n, r, pos): every prefix token of every set under the first order;
-    ``near`` is alike for sets that are alike."""
+    """(key, near0, near1, sig, n, r, pos): every prefix token of every set under the first
+    order; the ``near`` columns, first tokens under the other orders, are alike for like sets."""
     def run(batches):
         for b in batches:
             sig, n = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -262,32 +263,36 @@ def postings(sets: DataFrame, share: int) -> DataFrame:
                 continue
             q = prefix_size(r, n, share)
             first = np.concatenate([[0], np.cumsum(r)[:-1]])
-            near = np.minimum.reduceat(mixed(token, MIX[0]), first).view(np.int64)
+            near = [np.minimum.reduceat(mixed(token, f), first).view(np.int64) for f in MIX]
             pos = np.arange(len(token)) - np.repeat(first, r)
             keep = pos < np.repeat(q, r)
             row = np.repeat(np.arange(len(sig)), r)[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(token[keep].view(np.int64)), pa.array(near[row]), pa.array(sig[row]),
+                [pa.array(token[keep].view(np.int64)), *(pa.array(x[row]) for x in near), pa.array(sig[row]),
                  pa.array(n[row], pa.int32()), pa.array(r[row], pa.int32()), pa.array(pos[keep], pa.int32())],
-                ["key", "near", "sig", "n", "r", "pos"])
+                ["key", "near0", "near1", "sig", "n", "r", "pos"])
 
     return sets.select("sig", "n", "tokens").mapInArrow(
-        run, "key long, near long, sig long, n int, r int, pos int")
+        run, "key long, near0 long, near1 long, sig long, n int, r int, pos int")
 
 
 def marks(sets: DataFrame, share: int) -> DataFrame:
-    """(sig, m0, m1): 16-bit marks of a set's prefix tokens under the other orders."""
+    """(sig, q, m0, m1): 16-bit marks of a set's tokens: all of them in the second order,
+    q (the prefix) in the third."""
+    def marked(token: np.ndarray, factor: int) -> np.ndarray:
+        return np.sort(mixed(token, factor)) >> np.uint64(48)
+
     def run(batches):
         for b in batches:
             token, r = _flat(b.column(2), "<u8")
             q = prefix_size(r, b.column(1).to_numpy(), share)
             parts = np.split(token, np.cumsum(r)[:-1]) if len(r) else []
-            cols = [[(prefix_under(t, int(k), f) >> np.uint64(48)).astype("<u2").tobytes() for t, k in zip(parts, q)]
-                    for f in MIX]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.binary()) for c in cols)],
-                                             ["sig", "m0", "m1"])
+            m0 = [marked(t, MIX[0]).astype("<u2").tobytes() for t in parts]
+            m1 = [marked(t, MIX[1])[:k].astype("<u2").tobytes() for t, k in zip(parts, q)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(q, pa.int32()), pa.array(m0, pa.binary()),
+                                              pa.array(m1, pa.binary())], ["sig", "q", "m0", "m1"])
 
-    return sets.select("sig", "n", "tokens").mapInArrow(run, "sig long, m0 binary, m1 binary")
+    return sets.select("sig", "n", "tokens").mapInArrow(run, "sig long, q int, m0 binary, m1 binary")
 
 
 def similar_size(a: np.ndarray, b: np.ndarray, share: int) -> np.ndarray:
@@ -295,7 +300,8 @@ def similar_size(a: np.ndarray, b: np.ndarray, share: int) -> np.ndarray:
 
 
 def neighbours(posts: DataFrame, share: int) -> DataFrame:
-    """(a, b): sets next to each other under a key. Blocks may cut a key anywhere."""
+    """(a, b): sets next to each other under a key, in either sorting. Blocks may cut a key
+    anywhere."""
     def run(batches):
         for b in batches:
             key, sig, n = (b.column(i).to_numpy() for i in range(3))
@@ -303,21 +309,24 @@ def neighbours(posts: DataFrame, share: int) -> DataFrame:
             a, c = sig[1:][ok], sig[:-1][ok]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
 
-    order = ["key", "near", "sig"]
-    return (posts.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "sig", "n")
-            .mapInArrow(run, "a long, b long").distinct())
+    def sorting(near: str) -> DataFrame:
+        order = ["key", near, "sig"]
+        return (posts.select(*order, "n").repartitionByRange(*order).sortWithinPartitions(*order)
+                .select("key", "sig", "n").mapInArrow(run, "a long, b long"))
+
+    return sorting("near0").unionAll(sorting("near1")).distinct()
 
 
-def _across(key, own, sig, comp, n, r, pos, sets0, sets1, share: int, budget: int):
+def _across(key, own, sig, comp, n, r, pos, q, marks0, marks1, share: int, budget: int):
     """Candidate pairs of different components within equal keys, and whether any was held
-    back. Rows are sorted by key; ``own``: rows of equal blocks meet in the block's own key."""
+    back. Rows are sorted by key."""
     out_a, out_b, more = [], [], False
-    at, step, cache = np.arange(len(key)), 1, {}
-    used: dict = {}
+    at, step, cache, used = np.arange(len(key)), 1, {}, {}
 
     def marks_of(i):
         if i not in cache:
-            cache[i] = tuple(frozenset(np.frombuffer(s[i], "<u2").tolist()) for s in (sets0, sets1))
+            m = np.frombuffer(marks0[i], "<u2").tolist()
+            cache[i] = (frozenset(m[:q[i]]), frozenset(np.frombuffer(marks1[i], "<u2").tolist()), frozenset(m))
         return cache[i]
 
     while len(at := at[at + step < len(key)]):
@@ -326,13 +335,17 @@ def _across(key, own, sig, comp, n, r, pos, sets0, sets1, share: int, budget: in
         ok = (comp[x] != comp[y]) & own_pair(own, x, y) & similar_size(n[x], n[y], share)
         x, y = x[ok], y[ok]
         overlap = np.minimum(r[x] - pos[x], r[y] - pos[y])       # holds at the first token they share
-        total = n[x].astype(np.int64) + n[y]
-        ok = overlap * (100 + share) >= share * total            # |x n y| >= share / (100 + share) * (|x| + |y|)
-        for i, j in zip(x[ok].tolist(), y[ok].tolist()):
-            p, q = marks_of(i), marks_of(j)
-            if p[0].isdisjoint(q[0]) or p[1].isdisjoint(q[1]):
-                continue
+        need = -(-share * (n[x].astype(np.int64) + n[y]) // (100 + share))
+        ok = overlap >= need
+        for i, j, least in zip(x[ok].tolist(), y[ok].tolist(), need[ok].tolist()):
             two = (int(key[i]), *sorted((int(comp[i]), int(comp[j]))))
+            if more and used.get(two, 0) >= budget:
+                continue
+            a, b = marks_of(i), marks_of(j)
+            if a[0].isdisjoint(b[0]) or a[1].isdisjoint(b[1]):
+                continue
+            if len(a[2] & b[2]) + r[i] - len(a[2]) < least:      # marks of two tokens may be alike
+                continue
             used[two] = used.get(two, 0) + 1
             if used[two] > budget:
                 more = True
@@ -351,7 +364,7 @@ def own_pair(own: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def across(posts: DataFrame, marked: DataFrame, comp: DataFrame, share: int, budget: int, run: int) -> DataFrame:
     """(a, b) candidates between components; a row (null, null) if any was held back."""
     named = comp.select(F.col("vertex").alias("sig"), "component")
-    rows = stored(posts.drop("near").join(named, "sig", "left")
+    rows = stored(posts.drop("near0", "near1").join(named, "sig", "left")
                   .withColumn("comp", F.coalesce("component", "sig")).drop("component"), "jaccard-postings")
     keys = rows.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"),
                                    F.ceil(F.count(F.lit(1)) * 2 / run).alias("m")).filter("c0 < c1").select("key", "m")
@@ -359,12 +372,12 @@ def across(posts: DataFrame, marked: DataFrame, comp: DataFrame, share: int, bud
     block = block.join(marked, "sig").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), -1).otherwise(1)
     dealt = block.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"),
-                         side.cast("int").alias("own"), "sig", "comp", "n", "r", "pos", "m0", "m1")
+                         side.cast("int").alias("own"), "sig", "comp", "n", "r", "pos", "q", "m0", "m1")
 
     def emit(rows: list):
         t = pa.Table.from_batches(rows)
-        cols = [t.column(i).to_numpy() for i in range(7)]
-        a, b, more = _across(*cols, t.column(7).to_pylist(), t.column(8).to_pylist(), share, budget)
+        cols = [t.column(i).to_numpy() for i in range(8)]
+        a, b, more = _across(*cols, t.column(8).to_pylist(), t.column(9).to_pylist(), share, budget)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         if more:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2, ["a", "b"])

@@ -5,8 +5,9 @@ XXH64 numbers. Two documents link when the intersection is at least ``share`` pe
 the union; classes are the connected components of the links.
 
 Reduction. A shingle that one set alone holds can match nothing, so shingles first meet in
-hash buckets: one row per (chunk of documents, bucket) moves all of them once, each
-bucket is sorted on its own, and only shingles of two or more different sets come back.
+hash buckets: one row per (chunk of documents, bucket) moves all of them once (six bytes
+each, beside what the bucket says of them), each bucket is sorted on its own, and only
+shingles of two or more different sets come back, one row per (bucket, part of the sets).
 Equal sets count as one, so copies neither move twice nor match each other. A set is
 kept while its shared shingles can still reach the threshold.
 
@@ -16,9 +17,10 @@ is the share of n, as the unshared ones come first in every order). The orders a
 
 * rarest first (a rounded count, then the number itself): its prefix tokens are the keys
   under which sets meet; sizes and positions must allow the overlap;
-* two orders by differently mixed numbers: 16-bit marks of the tokens travel along, and
-  a pair whose prefixes have none in common under one of them is dropped, as is one with
-  fewer marks in common than the overlap needs.
+* two orders by differently mixed numbers: 16-bit marks of the first q + ``MORE`` tokens
+  travel along. Similar sets share at least MORE + 1 of them, or their whole overlap if it is
+  smaller (each further token of a prefix is a further one they must share), so a pair
+  with fewer under either order is dropped.
 
 What passes all of them is verified on the sets themselves, under the full tokens of the
 other orders first, then by the size of the intersection.
@@ -27,8 +29,8 @@ Groups of near copies. First only neighbours within a key are verified, in two s
 that bring like sets together (the key's rows are range-partitioned, so a hot key is spread). Their links are contracted; from then
 on only pairs across components matter, and keys whose sets are one component drop
 out. A round passes on at most ``budget`` pairs for two components that meet on a key; if
-it held any back, the links found are contracted and the next round has a larger
-budget, until a round holds back nothing: every pair that passes the filters has
+it held any back, the links found are contracted and the next round looks at these keys
+with a larger budget, until a round holds back nothing: every pair that passes the filters has
 then been verified or lies within one component. Keys with many sets are dealt out by
 pairs of blocks. No list, component or pair of all documents reaches the driver.
 
@@ -58,6 +60,7 @@ MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)       # odd factors: the orders b
 CHUNK = 1 << 21             # shingles of a chunk
 BUCKET_BYTES = 24 << 20     # text bytes whose shingles make a bucket, about
 RUN = 2048                  # sets of one key compared in one go
+MORE = 64                   # tokens beyond a prefix whose marks travel along
 BUDGET = 1                  # pairs per key and two components in the first round
 GROWTH = 16
 NARROW = 16_384             # rows of an Arrow batch without texts
@@ -94,6 +97,17 @@ def _binary(data: np.ndarray, lens: np.ndarray) -> pa.Array:
                                                           pa.py_buffer(data.tobytes())])
 
 
+def _six(numbers: np.ndarray) -> np.ndarray:
+    """The low six bytes of each number, as rows of a ``V6`` array."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").reshape(-1)
+
+
+def _from_six(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw), 8), dtype=np.uint8)
+    out[:, :6] = raw.view(np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
+
+
 def _flat(column, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     """(all items, items per row) of a binary column."""
     rows = column.to_pylist()
@@ -126,14 +140,14 @@ def packed(docs: DataFrame, buckets: int, id_col: str, text_col: str, width: int
                 np.array([k for k, _ in held], dtype=np.uint64), [len(s) for _, s in held])
             bucket = (token % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")              # sets stay together within a bucket
-            token, sig, bucket = token[order], sig[order], bucket[order]
+            token, sig, bucket = (token // np.uint64(buckets))[order], sig[order], bucket[order]
             new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (bucket[1:] != bucket[:-1])])
             at = np.flatnonzero(new)
             counts = np.diff(np.concatenate([at, [len(token)]])).astype("<u4")
             which, first, sets = np.unique(bucket[at], return_index=True, return_counts=True)
             sums = np.add.reduceat(counts, first)
             yield _packed({"bucket": pa.array(which, pa.int32()), "sigs": _binary(sig[at], sets),
-                           "counts": _binary(counts, sets), "tokens": _binary(token, sums)}, len(which))
+                           "counts": _binary(counts, sets), "tokens": _binary(_six(token), sums)}, len(which))
 
         for b in batches:
             ids, sigs, ns = b.column(0), [], []
@@ -159,37 +173,51 @@ def packed(docs: DataFrame, buckets: int, id_col: str, text_col: str, width: int
     return rows.mapInArrow(run, PACKED)
 
 
-COMMON = "doc_id long, sig long, n int, tokens binary, rounded binary"
+COMMON = "doc_id long, sig long, n int, part int, sigs binary, counts binary, tokens binary, rounded binary"
+COMMON_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+PART_BITS = 2**31 - 1       # of a set's number, the bits that choose its part
 
 
-def common(rows: DataFrame) -> DataFrame:
-    """The document rows of ``packed``, and for every bucket and set the shingles that other
-    sets hold too, with their rounded counts (eight steps per doubling)."""
+def common(rows: DataFrame, buckets: int) -> DataFrame:
+    """The document rows of ``packed``, and for every bucket and part of the sets the shingles
+    that other sets hold too, with their rounded counts (eight steps per doubling)."""
+    names = [c.split()[0] for c in COMMON.split(", ")]
+
+    def made(cols: dict, n: int) -> pa.Table:
+        return pa.table([cols[c] if c in cols else pa.nulls(n, t) for c, t in zip(names, COMMON_TYPES)], names=names)
+
     def run(t: pa.Table) -> pa.Table:
-        names = [c.split()[0] for c in COMMON.split(", ")]
-        docs = t.filter(pa.compute.is_null(t["tokens"])).select(["doc_id", "sig", "n"])
-        n = docs.num_rows
-        docs = pa.table([*docs.columns, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+        docs = t.filter(pa.compute.is_null(t["tokens"]))
+        bucket = t["bucket"][0].as_py()
         t = t.filter(pa.compute.is_valid(t["tokens"]))
-        token, _ = _flat(t["tokens"], "<u8")
+        out = made({c: docs[c] for c in ("doc_id", "sig", "n")}, docs.num_rows)
+        if not t.num_rows:
+            return out
+        token = _from_six(_flat(t["tokens"], "V6")[0]) * np.uint64(buckets) + np.uint64(bucket)
         counts, _ = _flat(t["counts"], "<u4")
         sig = np.repeat(_flat(t["sigs"], "<u8")[0], counts)
         order = np.lexsort((sig, token))
         token, sig = token[order], sig[order]
-        other = np.concatenate([[True], (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])])[:len(token)]
+        other = np.concatenate([[True], (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])])
         token, sig = token[other], sig[other]                    # equal sets of several chunks are one
-        edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])[:len(token)])
+        edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         df = np.diff(np.concatenate([edge, [len(token)]]))
         df = np.repeat(df, df)
         token, sig, df = token[df > 1], sig[df > 1], df[df > 1]
-        order = np.argsort(sig, kind="stable")
-        token, sig, df = token[order], sig[order], df[order]
-        at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])[:len(sig)])
+        if not len(token):
+            return out
+        part = ((sig & np.uint64(PART_BITS)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((sig, part))
+        token, sig, df, part = token[order], sig[order], df[order], part[order]
+        at = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         lens = np.diff(np.concatenate([at, [len(sig)]]))
+        which, first, sets = np.unique(part[at], return_index=True, return_counts=True)
+        sums = np.add.reduceat(lens, first)
         rounded = np.minimum(255, np.round(8 * np.log2(df))).astype(np.uint8)
-        found = pa.table([pa.nulls(len(at), pa.int64()), pa.array(sig[at].view(np.int64)), pa.nulls(len(at), pa.int32()),
-                          _binary(token, lens), _binary(rounded, lens)], names=names)
-        return pa.concat_tables([docs, found])
+        found = made({"part": pa.array(which, pa.int32()), "sigs": _binary(sig[at], sets),
+                      "counts": _binary(lens.astype("<u4"), sets), "tokens": _binary(token, sums),
+                      "rounded": _binary(rounded, sums)}, len(which))
+        return pa.concat_tables([out, found])
 
     return rows.groupBy("bucket").applyInArrow(run, COMMON)
 
@@ -197,41 +225,26 @@ def common(rows: DataFrame) -> DataFrame:
 SETS = "sig long, n int, tokens binary"
 
 
-def reduced(found: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+def reduced(found: DataFrame, sets: DataFrame, buckets: int, share: int) -> DataFrame:
     """(sig, n, tokens) of the sets that can have a partner: their shared tokens, rarest first."""
-    rows = found.filter("tokens IS NOT NULL").select("sig", F.lit(None).cast("int").alias("n"), "tokens", "rounded")
-    rows = rows.unionAll(sets.select("sig", "n", F.lit(b"").alias("tokens"), F.lit(b"").alias("rounded")))
-
-    def solve(sig, n, tokens, rounded):
-        token, lens = _flat(tokens, "<u8")
-        df, _ = _flat(rounded, "u1")
-        edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        size = np.maximum.reduceat(n, edge)
-        row = np.repeat(np.arange(len(edge)), np.add.reduceat(lens, edge))
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        name = right["sig"].to_numpy()
+        place = np.argsort(name)
+        sig, _ = _flat(left["sigs"], "<i8")
+        counts, _ = _flat(left["counts"], "<u4")
+        token, df = _flat(left["tokens"], "<u8")[0], _flat(left["rounded"], "u1")[0]
+        row = np.repeat(place[np.searchsorted(name, sig, sorter=place)] if len(sig) else np.zeros(0, np.int64), counts)
         order = np.lexsort((token, df, row))
-        r = np.bincount(row, minlength=len(edge))
+        size = right["n"].to_numpy()
+        r = np.bincount(row, minlength=len(name))
         keep = r >= need_of(size, share)
-        token = token[order][np.repeat(keep, r)]
-        return pa.RecordBatch.from_arrays([pa.array(sig[edge][keep]), pa.array(size[keep], pa.int32()),
-                                           _binary(token, r[keep])], ["sig", "n", "tokens"])
-
-    def run(batches):
-        held: pa.Table | None = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows < 1 << 16:
-                continue
-            sig = held["sig"].to_numpy()
-            cut = int(np.searchsorted(sig, sig[-1]))
-            if cut:
-                yield solve(sig[:cut], held["n"].fill_null(0).to_numpy()[:cut], held["tokens"][:cut],
-                            held["rounded"][:cut])
-                held = held.slice(cut).combine_chunks()
-        if held is not None and held.num_rows:
-            yield solve(held["sig"].to_numpy(), held["n"].fill_null(0).to_numpy(), held["tokens"], held["rounded"])
+        return pa.table([pa.array(name[keep]), pa.array(size[keep], pa.int32()),
+                         _binary(token[order][np.repeat(keep, r)], r[keep])], names=["sig", "n", "tokens"])
 
-    return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, SETS)
+    rows = found.filter("part IS NOT NULL").select("part", "sigs", "counts", "tokens", "rounded")
+    part = (F.col("sig").bitwiseAND(F.lit(PART_BITS)) % buckets).cast("int")
+    named = sets.select(part.alias("part"), "sig", "n")
+    return rows.groupBy("part").cogroup(named.groupBy("part")).applyInArrow(run, SETS)
 
 
 # ---- filters ------------------------------------------------------------------------------
@@ -277,22 +290,20 @@ def postings(sets: DataFrame, share: int) -> DataFrame:
 
 
 def marks(sets: DataFrame, share: int) -> DataFrame:
-    """(sig, q, m0, m1): 16-bit marks of a set's tokens: all of them in the second order,
-    q (the prefix) in the third."""
-    def marked(token: np.ndarray, factor: int) -> np.ndarray:
-        return np.sort(mixed(token, factor)) >> np.uint64(48)
+    """(sig, m0, m1): 16-bit marks of a set's first tokens under the other orders, as many
+    as its prefix and ``MORE``."""
 
     def run(batches):
         for b in batches:
             token, r = _flat(b.column(2), "<u8")
             q = prefix_size(r, b.column(1).to_numpy(), share)
             parts = np.split(token, np.cumsum(r)[:-1]) if len(r) else []
-            m0 = [marked(t, MIX[0]).astype("<u2").tobytes() for t in parts]
-            m1 = [marked(t, MIX[1])[:k].astype("<u2").tobytes() for t, k in zip(parts, q)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(q, pa.int32()), pa.array(m0, pa.binary()),
-                                              pa.array(m1, pa.binary())], ["sig", "q", "m0", "m1"])
+            cols = [[(prefix_under(t, int(k) + MORE, f) >> np.uint64(48)).astype("<u2").tobytes()
+                     for t, k in zip(parts, q)] for f in MIX]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.binary()) for c in cols)],
+                                             ["sig", "m0", "m1"])
 
-    return sets.select("sig", "n", "tokens").mapInArrow(run, "sig long, q int, m0 binary, m1 binary")
+    return sets.select("sig", "n", "tokens").mapInArrow(run, "sig long, m0 binary, m1 binary")
 
 
 def similar_size(a: np.ndarray, b: np.ndarray, share: int) -> np.ndarray:
@@ -317,18 +328,23 @@ def neighbours(posts: DataFrame, share: int) -> DataFrame:
     return sorting("near0").unionAll(sorting("near1")).distinct()
 
 
-def _across(key, own, sig, comp, n, r, pos, q, marks0, marks1, share: int, budget: int):
-    """Candidate pairs of different components within equal keys, and whether any was held
-    back. Rows are sorted by key."""
-    out_a, out_b, more = [], [], False
+def _across(key, own, token, sig, comp, n, r, pos, marks0, marks1, share: int, budget: int):
+    """Candidate pairs of different components within equal keys, and the tokens of which any
+    was held back. Rows are sorted by key."""
+    out_a, out_b, more = [], [], set()
     at, step, cache, used = np.arange(len(key)), 1, {}, {}
 
     def marks_of(i):
         if i not in cache:
-            m = np.frombuffer(marks0[i], "<u2").tolist()
-            cache[i] = (frozenset(m[:q[i]]), frozenset(np.frombuffer(marks1[i], "<u2").tolist()), frozenset(m))
+            m = [np.frombuffer(x[i], "<u2").tolist() for x in (marks0, marks1)]
+            cache[i] = [(frozenset(x), len(x)) for x in m]
         return cache[i]
 
+    def share_marks(a, b, least: int) -> bool:
+        """Whether ``least`` tokens of the prefixes can be common under both orders; marks of two
+        tokens of a set may be alike."""
+        return all(len(x & y) + min(nx - len(x), ny - len(y)) >= least for (x, nx), (y, ny) in zip(a, b))
+
     while len(at := at[at + step < len(key)]):
         at = at[key[at] == key[at + step]]
         x, y = at, at + step
@@ -337,18 +353,13 @@ def _across(key, own, sig, comp, n, r, pos, q, marks0, marks1, share: int, budge
         overlap = np.minimum(r[x] - pos[x], r[y] - pos[y])       # holds at the first token they share
         need = -(-share * (n[x].astype(np.int64) + n[y]) // (100 + share))
         ok = overlap >= need
-        for i, j, least in zip(x[ok].tolist(), y[ok].tolist(), need[ok].tolist()):
+        for i, j, o in zip(x[ok].tolist(), y[ok].tolist(), need[ok].tolist()):
             two = (int(key[i]), *sorted((int(comp[i]), int(comp[j]))))
-            if more and used.get(two, 0) >= budget:
-                continue
-            a, b = marks_of(i), marks_of(j)
-            if a[0].isdisjoint(b[0]) or a[1].isdisjoint(b[1]):
-                continue
-            if len(a[2] & b[2]) + r[i] - len(a[2]) < least:      # marks of two tokens may be alike
+            if used.get(two, 0) > budget or not share_marks(marks_of(i), marks_of(j), min(o, MORE + 1)):
                 continue
             used[two] = used.get(two, 0) + 1
             if used[two] > budget:
-                more = True
+                more.add(int(token[i]))
                 continue
             out_a.append(min(sig[i], sig[j]))
             out_b.append(max(sig[i], sig[j]))
@@ -362,7 +373,7 @@ def own_pair(own: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def across(posts: DataFrame, marked: DataFrame, comp: DataFrame, share: int, budget: int, run: int) -> DataFrame:
-    """(a, b) candidates between components; a row (null, null) if any was held back."""
+    """(a, b) candidates between components; rows (token, null) name the keys that held any back."""
     named = comp.select(F.col("vertex").alias("sig"), "component")
     rows = stored(posts.drop("near0", "near1").join(named, "sig", "left")
                   .withColumn("comp", F.coalesce("component", "sig")).drop("component"), "jaccard-postings")
@@ -372,15 +383,16 @@ def across(posts: DataFrame, marked: DataFrame, comp: DataFrame, share: int, bud
     block = block.join(marked, "sig").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), -1).otherwise(1)
     dealt = block.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"),
-                         side.cast("int").alias("own"), "sig", "comp", "n", "r", "pos", "q", "m0", "m1")
+                         side.cast("int").alias("own"), F.col("key").alias("token"), "sig", "comp", "n", "r", "pos",
+                         "m0", "m1")
 
     def emit(rows: list):
         t = pa.Table.from_batches(rows)
         cols = [t.column(i).to_numpy() for i in range(8)]
         a, b, more = _across(*cols, t.column(8).to_pylist(), t.column(9).to_pylist(), share, budget)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        if more:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2, ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(more), pa.int64()), pa.nulls(len(more), pa.int64())],
+                                         ["a", "b"])
 
     def body(batches):
         held, n = [], 0
@@ -420,9 +432,11 @@ def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
-    left = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x"), F.col("n").alias("nx"))
-    right = sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y"), F.col("n").alias("ny"))
-    return (pairs.filter("a IS NOT NULL").join(left, "a").join(right, "b").select("a", "b", "x", "nx", "y", "ny")
+    def side(own: str, tokens: str, n: str) -> DataFrame:
+        named = sets.select(F.col("sig").alias(own), F.col("tokens").alias(tokens), F.col("n").alias(n))
+        return pairs.filter("b IS NOT NULL").join(named, own)
+
+    return (side("a", "x", "nx").join(side("b", "y", "ny"), ["a", "b"]).select("a", "b", "x", "nx", "y", "ny")
             .mapInArrow(run, "a long, b long"))
 
 
@@ -431,7 +445,8 @@ def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 def similar_links(sets: DataFrame, share: int = SHARE, run: int = RUN, budget: int = BUDGET) -> DataFrame:
     """(vertex, component) of the sets that link with another one."""
     posts = stored(postings(sets, share), "jaccard-keys")
-    links = stored(verified(neighbours(posts, share), sets, share), "jaccard-links")
+    first = stored(neighbours(posts, share), "jaccard-pairs")
+    links = stored(verified(first, sets, share), "jaccard-links")
     marked = stored(marks(sets, share), "jaccard-marks")
     while True:
         comp = components(links)
@@ -439,8 +454,10 @@ def similar_links(sets: DataFrame, share: int = SHARE, run: int = RUN, budget: i
         found = stored(verified(pairs, sets, share), "jaccard-links")
         if found.head(1):
             links = links.unionAll(found)
-        if not pairs.filter("a IS NULL").head(1):
+        back = pairs.filter("b IS NULL").select(F.col("a").alias("key"))
+        if not back.head(1):
             return components(links) if found.head(1) else comp
+        posts = stored(posts.join(back, "key", "left_semi"), "jaccard-keys")
         budget *= GROWTH
 
 
@@ -451,14 +468,14 @@ def jaccard_classes(docs: DataFrame, share: int = SHARE, id_col: str = "doc_id",
     python_tasks(spark)
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    found = stored(common(packed(docs, buckets, id_col, text_col, width)), "jaccard-common")
+    found = stored(common(packed(docs, buckets, id_col, text_col, width), buckets), "jaccard-common")
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark.conf.set(key, str(NARROW))                     # no texts from here on
     try:
-        rows = found.filter("n IS NOT NULL").select("doc_id", "sig", "n")
+        rows = found.filter("part IS NULL").select("doc_id", "sig", "n")
         sets = stored(rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n").alias("n")),
                       "jaccard-distinct")
-        kept = stored(reduced(found, sets, share), "jaccard-sets")
+        kept = stored(reduced(found, sets, buckets, share), "jaccard-sets")
         comp = similar_links(kept, share, run, budget)
         named = sets.join(comp.withColumnRenamed("vertex", "sig"), "sig", "left").select(
             "sig", "least", F.coalesce("component", "sig").alias("component"))

@@ -4,20 +4,22 @@ Every whole text becomes a short vector of statistics (``FEATURES``: shares of
 character classes, words, lines, repetition). Labels, ids, language and source
 are never inputs. The trees are fitted on labelled rows whose id's CRC-32 is not
 divisible by ``FOLDS``; of these at most about ``MAX_TRAIN`` enter, chosen by a
-hash of the stored row's number (the documented bound of the fit; a model with
-some hundred leaves gains nothing from more). Values are cut into ``BINS``
+hash of the id (the documented bound of the fit; a model with some hundred leaves
+gains nothing from more) and taken in the order of id and statistics, so the trees
+do not depend on how the rows are stored. Values are cut into ``BINS``
 quantile bins, splits come from gradient and hessian histograms, trees have a
 fixed depth, so the model is three flat arrays (feature, threshold, leaf) and a
 batch walks all trees at once, level by level, with numpy indexing.
 
 Statistics and scores are computed per Arrow batch in the tasks that hold the
-rows; the only shuffle is the narrow join of statistics with labels.
+rows; the chosen ids, bounded as they are, are broadcast. ``keep_good`` measures the
+labelled rows for the fit and every row once for its score.
 
 Defined cases: a null text counts as empty (all statistics zero) and gets a score;
 a null doc_id is not held out and never learned from; several labels of one id
 are averaged and rounded; null labels are ignored; with no labels, or only one
 kind, every score is the labels' mean (0.5 without any); an empty table gives no
-rows; repeated rows are scored each; other columns are ignored.
+rows; repeated rows are scored each and learned from once; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -176,15 +178,18 @@ def held_out(id_col: str = "doc_id", folds: int = FOLDS) -> Column:
     return F.coalesce(crc % folds == 0, F.lit(False))
 
 
-def train(rows: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = MAX_TRAIN) -> Trees:
-    """Fit on the labelled rows of ``rows(doc_id, x)`` that are not held out."""
-    known = (labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
-             .agg(F.round(F.avg(label_col)).alias("y")))
-    known = known.filter(~held_out())
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    found = stored(numbered.join(known, "doc_id").select("row", "x", "y"), "quality-train")
-    n = found.count()
-    got = found.filter(sampled(max_rows, n, "row")).orderBy("row").toPandas()
+def chosen_labels(labels: DataFrame, label_col: str = "quality", max_rows: int = MAX_TRAIN) -> DataFrame:
+    """(doc_id, y) of at most about ``max_rows`` labelled ids that are not held out."""
+    known = (labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
+             .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg(label_col)).alias("y")))
+    known = stored(known.filter(~held_out()), "quality-labels")
+    return known.filter(sampled(max_rows, known.count(), "doc_id"))
+
+
+def train(rows: DataFrame, chosen: DataFrame) -> Trees:
+    """Fit on the rows of ``rows(doc_id, x)`` whose id is ``chosen``."""
+    found = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "x", "y").distinct()
+    got = found.orderBy("doc_id", "x").toPandas()
     x = np.stack(got["x"]).astype(np.float32) if len(got) else np.zeros((0, len(FEATURES)), np.float32)
     return fit(x, got["y"].to_numpy(dtype=float))
 
@@ -205,7 +210,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
              text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     rows = stored(features(docs, id_col, text_col), "quality-features")
-    scored = score(rows, train(rows, labels))
+    scored = score(rows, train(rows, chosen_labels(labels)))
     return scored.select("doc_id", held_out().alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -214,7 +219,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
               text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, all columns kept.
     Rows are scored where they are: nothing is joined back."""
-    model = train(stored(features(docs, id_col, text_col), "quality-features"), labels)
+    chosen = stored(chosen_labels(labels), "quality-chosen")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = own.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    model = train(stored(features(own), "quality-features"), chosen)
 
     @F.pandas_udf("double")
     def score_of(texts: pd.Series) -> pd.Series:

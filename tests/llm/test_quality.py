@@ -55,3 +55,53 @@ def test_nulls_empty_and_single_class(spark):
     ones = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (2, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert {r.score > 0.9 for r in quality.classify(docs, ones).collect()} == {True}
     assert quality.classify(docs.limit(0), ones).collect() == []
+
+
+def layouts(docs):
+    return docs.coalesce(1), docs.repartition(5, "text").sortWithinPartitions("n_chars")
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    one, five = (quality.classify(docs, labels.repartition(n)).toPandas().sort_values("doc_id")
+                 for n, docs in zip((1, 7), layouts(spark.read.parquet(f"{d}/documents.parquet"))))
+    assert np.allclose(one.score, five.score, atol=1e-9) and one.predicted.tolist() == five.predicted.tolist()
+
+
+def test_keep_good_keeps_what_classify_predicts(spark):
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    kept = quality.keep_good(docs, labels)
+    want = {r.doc_id for r in quality.classify(docs, labels).collect() if r.predicted}
+    assert {r.doc_id for r in kept.collect()} == want and kept.columns == docs.columns
+
+
+def test_statistics_against_plain_counts():
+    text = "Ab, cd.\ncd! É x1 cd.\n\nAb, cd."
+    got = dict(zip(quality.FEATURES, quality.statistics(text)))
+    raw, words, lines = text.encode(), text.encode().split(), [x for x in text.split("\n") if x]
+    assert np.isclose(got["log_chars"], np.log1p(len(raw))) and np.isclose(got["log_lines"], np.log1p(len(lines)))
+    assert np.isclose(got["upper"], 2 / len(raw)) and np.isclose(got["digit"], 1 / len(raw))
+    assert np.isclose(got["bangs"], 1 / len(words)) and np.isclose(got["non_ascii"], 2 / len(raw))
+    assert np.isclose(got["distinct_words"], len(set(words)) / len(words))
+    assert np.isclose(got["top_word"], max(map(words.count, words)) / len(words))
+    assert np.isclose(got["distinct_lines"], len(set(lines)) / len(lines))
+    assert np.isclose(got["distinct_pairs"], len(set(zip(words, words[1:]))) / (len(words) - 1))
+
+
+def test_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 12, size=(400, 3)).astype(np.float32)
+    y = (x[:, 1] + rng.normal(size=400) > 7).astype(float)
+    model = quality.fit(x, y, trees=1, depth=1)
+    p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+
+    def gain(j, cut):
+        right = x[:, j] > cut
+        h = [p * (1 - p) * s.sum() for s in (~right, right)]
+        if min(h) < quality.MIN_HESSIAN:
+            return -1.0
+        return sum((p - y)[s].sum()**2 / (w + quality.L2) for s, w in zip((~right, right), h))
+    best = max(gain(j, cut) for j in range(3) for cut in range(12))
+    assert np.isclose(gain(model.feature[0, 0], model.threshold[0, 0]), best)

@@ -10,9 +10,11 @@ probability is that of its class sequence under the HMM times these, a proper
 distribution over known tokens and one unknown outcome per bucket; the number of
 classes is bounded, the counts are not and stay in tables.
 
-Training. States start from the documents' class profiles: k-means centres on a
-sample of about ``SAMPLE`` training documents, then every training document counts
-towards its nearest centre. ``ROUNDS`` Baum-Welch rounds follow: each task runs the
+Training. States start from the documents' class profiles. The first centres lie on both
+sides of the mean profile along its main axes, which come from sums over all training
+documents; ``NEAREST`` k-means rounds over all of them follow, a row of sums per centre
+and task, then every training document counts towards its nearest centre. Nothing here
+depends on how the rows are stored. ``ROUNDS`` Baum-Welch rounds follow: each task runs the
 scaled forward and backward recursions over its documents and sends on one row of
 expected counts per class; these are summed by Spark, and the driver gets at most
 classes x states numbers.
@@ -42,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import python_tasks, sampled, stored, table
+from scorewatch.llm.common import python_tasks, stored, table
 
 FOLDS = 10
 ALPHA = 0.1                 # fixed by the contract: additive smoothing
@@ -50,7 +52,8 @@ STATES = 6
 ROUNDS = 2
 SHARE = 8192                # own class: at least 1 / SHARE of the training tokens
 BUCKETS = 1024              # classes of the other tokens, by their last three bytes
-SAMPLE = 1000               # documents that the first centres come from, about
+NEAREST = 3                 # k-means rounds that place the states' centres
+FOLD = 128                  # a profile: the FOLD commonest tokens, the others by bucket modulo FOLD
 STAY = 0.95                 # first probability of keeping the state
 PRIOR = 50.0                # pseudo-tokens of the overall class distribution per state
 END = b""                   # the end token; words are never empty
@@ -294,12 +297,11 @@ class Expected:
 
     def assign(self, centres: np.ndarray, docs: list[np.ndarray], own: int) -> None:
         """Every document counts wholly towards the state of its nearest centre."""
-        for d in docs:
-            k = int(((centres - profile(d, own))**2).sum(axis=1).argmin())
-            self.first[k] += 1
-            self.emit[:, k] += np.bincount(d, minlength=len(self.emit)) if len(d) > 4096 else 0
-            if len(d) <= 4096:
-                np.add.at(self.emit[:, k], d, 1)
+        state = nearest(centres, profiles(docs, own))
+        self.first += np.bincount(state, minlength=len(self.first))
+        each = np.repeat(state, [len(d) for d in docs])
+        flat = np.concatenate(docs).astype(np.int64) * len(self.first) + each
+        self.emit += np.bincount(flat, minlength=self.emit.size).reshape(self.emit.shape)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         """(class, one column per state); first states and moves as classes below 0."""
@@ -310,24 +312,67 @@ class Expected:
                                          ["kind"] + [f"s{k}" for k in range(values.shape[1])])
 
 
-def profile(seq: np.ndarray, own: int) -> np.ndarray:
-    """Square roots of shares: the 128 commonest tokens, the buckets folded to 128."""
-    folded = np.where(seq < own, np.minimum(seq, 128), 129 + (seq - own) % 128)
-    return np.sqrt(np.bincount(folded, minlength=257) / max(1, len(seq)))
-
-
-def centres_of(profiles: np.ndarray, states: int) -> np.ndarray:
-    """k-means; the first centres are far from each other."""
-    if not len(profiles):
-        return np.zeros((states, 257))
-    centres = profiles[[0]]
-    while len(centres) < states:
-        far = ((profiles[:, None, :] - centres[None])**2).sum(axis=2).min(axis=1)
-        centres = np.concatenate([centres, profiles[[int(far.argmax())]]])
-    for _ in range(15):
-        near = ((profiles[:, None, :] - centres[None])**2).sum(axis=2).argmin(axis=1)
-        centres = np.stack([profiles[near == k].mean(axis=0) if (near == k).any() else centres[k]
-                            for k in range(states)])
+def profiles(docs: list[np.ndarray], own: int) -> np.ndarray:
+    """A row per document: square roots of the shares of its folded classes."""
+    lens = np.array([len(d) for d in docs])
+    seq = np.concatenate(docs).astype(np.int64)
+    folded = np.where(seq < own, np.minimum(seq, FOLD), FOLD + 1 + (seq - own) % FOLD)
+    wide = 2 * FOLD + 1
+    flat = np.repeat(np.arange(len(docs)), lens) * wide + folded
+    return np.sqrt(np.bincount(flat, minlength=len(docs) * wide).reshape(-1, wide) / lens[:, None])
+
+
+def nearest(centres: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(axis=1)[None, :] - 2 * x @ centres.T).argmin(axis=1)
+
+
+def first_centres(n: float, total: np.ndarray, square: np.ndarray, states: int) -> np.ndarray:
+    """Centres from n profiles' sum and their summed outer products: a standard deviation
+    off the mean, to both sides along the main axes."""
+    mean = total / max(n, 1)
+    value, axis = np.linalg.eigh(square / max(n, 1) - np.outer(mean, mean))
+    out = []
+    for k in range(states):
+        a = axis[:, -1 - k // 2]
+        a = a * np.sign(a[np.abs(a).argmax()])                   # eigenvectors have no sign of their own
+        out.append(mean + (1 - 2 * (k % 2)) * np.sqrt(max(value[-1 - k // 2], 0)) * a)
+    return np.array(out)
+
+
+def place_centres(train: DataFrame, own: int, states: int) -> np.ndarray:
+    """The states' centres, from sums over all documents of ``train(seq)``. What reaches the
+    driver is as large as a profile's square, whatever the number of documents."""
+    wide = 2 * FOLD + 1
+
+    def sums(of, rows: int) -> np.ndarray:
+        def run(batches):
+            total = np.zeros((rows, wide))
+            for group in batches_of(np.frombuffer(s, "<u2") for b in batches for s in b.column(0).to_pylist()):
+                total += of(profiles(group, own))
+            yield pa.RecordBatch.from_arrays([pa.array(range(rows), pa.int32()),
+                                              pa.array(list(total), pa.list_(pa.float64()))], ["row", "x"])
+        cells = train.select("seq").mapInArrow(run, "row int, x array<double>").select("row", F.posexplode("x"))
+        got = (cells.groupBy("row", "pos").agg(F.sum("col").alias("x")).groupBy("row")
+               .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda c: c["x"]).alias("x")))
+        out = np.zeros((rows, wide))
+        for r in got.collect():
+            out[r["row"]] = r["x"]
+        return out
+
+    def moments(x: np.ndarray) -> np.ndarray:
+        return np.vstack([x.T @ x, x.sum(axis=0), np.full(wide, len(x))])
+
+    got = sums(moments, wide + 2)
+    centres = first_centres(got[-1, 0], got[-2], got[:-2], states)
+
+    def towards(x: np.ndarray) -> np.ndarray:
+        near = np.eye(states)[nearest(centres, x)]               # states are few
+        return np.vstack([near.T @ x, np.pad(near.sum(axis=0), (0, wide - states))])
+
+    for _ in range(NEAREST):
+        got = sums(towards, states + 1)
+        n = got[-1, :states]
+        centres = np.where(n[:, None] > 0, got[:-1] / np.maximum(n, 1)[:, None], centres)
     return centres
 
 
@@ -362,18 +407,9 @@ def maximise(got: list, cls: Classes, states: int, start: bool) -> HMM:
 
 def baum_welch(code: DataFrame, cls: Classes, states: int = STATES, rounds: int = ROUNDS) -> HMM:
     """Train on the coded training documents."""
-    train = code.filter("row IS NOT NULL AND held = false").select("chunk", "row", "seq")
+    train = code.filter("row IS NOT NULL AND held = false").select("seq")
     own = len(cls.frequent) + 1
-    picked = train.filter(sampled(SAMPLE, train.count(), "chunk", "row"))
-
-    def profiles(batches):
-        for b in batches:
-            x = [profile(np.frombuffer(s, "<u2").astype(np.int64), own) for s in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))],
-                                             ["chunk", "row", "x"])
-
-    got = picked.mapInArrow(profiles, "chunk long, row int, x array<double>").orderBy("chunk", "row").toPandas()
-    centres = centres_of(np.stack(got["x"]) if len(got) else np.zeros((0, 257)), states)
+    centres = place_centres(train, own, states)
 
     def expect(model: HMM | None):
         def run(batches):
@@ -381,7 +417,7 @@ def baum_welch(code: DataFrame, cls: Classes, states: int = STATES, rounds: int
             docs = (np.frombuffer(s, "<u2") for b in batches for s in b.column(0).to_pylist())
             for group in batches_of(docs):
                 if model is None:
-                    exp.assign(centres, [d.astype(np.int64) for d in group], own)
+                    exp.assign(centres, group, own)
                 else:
                     exp.add(model, group)
             yield from exp.rows()

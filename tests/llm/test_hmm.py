@@ -115,3 +115,27 @@ def test_without_training_rows(spark):
     got = hmm.score_texts(spark.createDataFrame([(None, "a b")], SCHEMA)).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9)) for r in got] == [(3, 0, 0, 0.0)]
     assert hmm.score_texts(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    whole = hmm.score_texts(docs.coalesce(1)).toPandas().sort_values("doc_id")
+    monkeypatch.setattr(hmm, "BATCH_TOKENS", 5_000)              # a long text is a batch of its own
+    monkeypatch.setattr(hmm, "CHUNK_TOKENS", 20_000)
+    cut = docs.repartition(5, "text").sortWithinPartitions("n_chars").withColumnRenamed("source", "SEQ")
+    again = hmm.score_texts(cut).toPandas().sort_values("doc_id")
+    assert np.allclose(whole.score, again.score, rtol=1e-6)
+    assert np.allclose(whole.base_score, again.base_score, rtol=1e-12)
+
+
+def test_profiles_and_centres():
+    docs = [np.array([0, 0, 1, 400], np.uint16), np.array([300], np.uint16)]
+    x = hmm.profiles(docs, own=200)
+    want = np.zeros(2 * hmm.FOLD + 1)
+    want[[0, 1, hmm.FOLD + 1 + (400 - 200) % hmm.FOLD]] = np.sqrt([0.5, 0.25, 0.25])
+    assert np.allclose(x[0], want) and np.isclose((x[1]**2).sum(), 1)
+    rng = np.random.default_rng(3)
+    y = rng.normal(size=(500, 5)) * [5, 1, 1, 1, 1]
+    c = hmm.first_centres(500, y.sum(axis=0), y.T @ y, 4)
+    assert np.allclose(np.abs(c[0] - c[1])[0], 2 * y[:, 0].std(), rtol=0.05)
+    assert hmm.nearest(c, c).tolist() == [0, 1, 2, 3]

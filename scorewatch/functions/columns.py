@@ -6,6 +6,7 @@ All are built-in Spark expressions, so they stay inside whole-stage codegen.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -111,3 +112,17 @@ def hash_bucket(key: ColumnOrName, buckets: int) -> Column:
     """
     h = F.conv(F.substring(F.md5(col(key).cast("string")), 1, 8), 16, 10).cast("bigint")
     return h % buckets
+
+
+@dataclass(frozen=True)
+class Measure:
+    """How a feature is measured: scaled, shifted, and ``noise`` times a term in -1 .. 1 added."""
+
+    scale: float = 1.0
+    shift: float = 0.0
+    noise: float = 0.0
+
+    def of(self, value: Column, term: Column) -> Column:
+        out = value if self.scale == 1.0 else value * F.lit(self.scale)
+        out = out if self.shift == 0.0 else out + F.lit(self.shift)
+        return out if self.noise == 0.0 else out + (term if self.noise == 1.0 else term * F.lit(self.noise))

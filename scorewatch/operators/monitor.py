@@ -23,6 +23,7 @@ from scorewatch.functions.columns import correct_flag, pct, ts_lit, window_day
 from scorewatch.session import path_exists, store
 
 KPI_BAND = (80.0, 100.0)
+MAX_CLASSES = 1000          # label classes that a pivoted confusion matrix may have as columns
 
 
 def label_counts(labels: DataFrame) -> DataFrame:
@@ -49,7 +50,8 @@ def compare(labels: DataFrame, predictions: DataFrame) -> DataFrame:
             .withColumn("accurate_prediction", correct_flag("predicted_quality", "quality")))
 
 
-def _with_share(counts: DataFrame, keys: Sequence[str], label_col: str) -> DataFrame:
+def with_share(counts: DataFrame, keys: Sequence[str], label_col: str) -> DataFrame:
+    """Counts per (keys, label) beside the keys' total and the share of it."""
     # Day total beside each count (W1); the input is already a few rows per day.
     total = F.sum("count").over(Window.partitionBy(*keys)).cast("long")
     return (counts.withColumn("total", total)
@@ -67,6 +69,25 @@ def flag_counts(labels: DataFrame, predictions: DataFrame, keys: Sequence[str])
                                 F.sum("_nl").cast("long").alias("_all"))
 
 
+def kpi_rows(daily: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """KPI rows of ``daily(keys..., _right, total)``: one per key and correctness with pairs."""
+    cells = F.array(
+        F.struct(F.lit("Accurate").alias("accurate_prediction"), F.col("_right").alias("count")),
+        F.struct(F.lit("Inaccurate").alias("accurate_prediction"),
+                 (F.col("total") - F.col("_right")).alias("count")))
+    return (daily.select(*keys, "total", F.explode(cells).alias("_c"))
+            .select(*keys, "_c.accurate_prediction", "_c.count", "total")
+            .filter(F.col("count") > 0)
+            .withColumn("ratio", pct("count", "total")))
+
+
+def kpi_of_pairs(pairs: DataFrame) -> DataFrame:
+    """Daily KPI of already joined rows (process_time, predicted_quality, quality)."""
+    day = window_day("process_time").alias("window_day")
+    right = F.sum(correct_flag("predicted_quality", "quality")).cast("long").alias("_right")
+    return kpi_rows(pairs.groupBy(day).agg(right, F.count(F.lit(1)).alias("total")), ["window_day"])
+
+
 def daily_kpi(labels: DataFrame, predictions: DataFrame, by_version: bool = False,
               ordered: bool = True) -> DataFrame:
     """Share of right and wrong predictions per day.
@@ -80,14 +101,7 @@ def daily_kpi(labels: DataFrame, predictions: DataFrame, by_version: bool = Fals
     keys = ["window_day"] + (["model_version"] if by_version else [])
     preds = predictions.withColumn("window_day", window_day("process_time"))
     daily = flag_counts(labels, preds, keys).withColumnRenamed("_all", "total")
-    cells = F.array(
-        F.struct(F.lit("Accurate").alias("accurate_prediction"), F.col("_right").alias("count")),
-        F.struct(F.lit("Inaccurate").alias("accurate_prediction"),
-                 (F.col("total") - F.col("_right")).alias("count")))
-    out = (daily.select(*keys, "total", F.explode(cells).alias("_c"))
-           .select(*keys, "_c.accurate_prediction", "_c.count", "total")
-           .filter(F.col("count") > 0)
-           .withColumn("ratio", pct("count", "total")))
+    out = kpi_rows(daily, keys)
     return out.orderBy(*keys, "accurate_prediction") if ordered else out
 
 
@@ -111,8 +125,11 @@ def joined_confusion(labels: DataFrame, predictions: DataFrame, by: Sequence[str
 def confusion_matrix(counts: DataFrame, classes: Sequence | None = None) -> DataFrame:
     """Pivot confusion counts: one row per predicted label, one column per class,
     missing cells 0 (A2). The classes are those of the counts (null labels as
-    ``quality_null``) unless given; a count outside given classes is an error."""
-    found = [r[0] for r in counts.select("quality").distinct().collect()]   # one row per class
+    ``quality_null``) unless given; a count outside given classes is an error, and so are
+    more than ``MAX_CLASSES`` classes: a table with a column each is then the wrong form."""
+    found = [r[0] for r in counts.select("quality").distinct().limit(MAX_CLASSES + 1).collect()]
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} label classes: use the unpivoted confusion counts")
     if classes is None:
         classes = sorted((c for c in found if c is not None), key=lambda c: (str(type(c)), c))
         classes += [None] * (None in found)
@@ -128,7 +145,7 @@ def daily_class_share(predictions: DataFrame, label_col: str = "predicted_qualit
     """Count per (day, predicted class) with the day's share (A4)."""
     counts = (predictions.withColumn("window_day", window_day("process_time"))
               .groupBy("window_day", label_col).agg(F.count(F.lit(1)).alias("count")))
-    return _with_share(counts, ["window_day"], label_col)
+    return with_share(counts, ["window_day"], label_col)
 
 
 def drift_days(kpi: DataFrame, band: tuple[float, float] = KPI_BAND,
@@ -189,12 +206,13 @@ def what_if(labels: DataFrame, scored: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def in_production(labels: DataFrame, predictions: DataFrame, promotions: DataFrame,
-                  order: Sequence[str] = ("ts", "seq")) -> DataFrame:
+                  order: Sequence[str] = ("ts", "seq"), by: Sequence[str] = ()) -> DataFrame:
     """Labelled predictions attributed to the run in production at their
     ``process_time``, summarised per run (D5).
 
     ``promotions``: run_id, ts, seq; each promotion ends the previous run's
-    production interval. Right and all pairs are first summed per
+    production interval. ``by``: columns of both frames (the experiment) within which
+    runs replace each other. Right and all pairs are first summed per
     ``process_time`` (map-side, so a hot instant is one row and the type of
     ``pid`` plays no part), then each instant takes the latest promotion at or
     before it: an as-of lookup over the global time order
@@ -204,61 +222,47 @@ def in_production(labels: DataFrame, predictions: DataFrame, promotions: DataFra
     t_col, seq = order
     none = F.lit(None).cast("long")
     starts = promotions.select(
-        F.col(t_col).alias("_t"), F.lit(0).alias("_tb"), F.col(seq).cast("long").alias("_seq"),
+        *by, F.col(t_col).alias("_t"), F.lit(0).alias("_tb"), F.col(seq).cast("long").alias("_seq"),
         F.col("run_id").cast("string").alias("_run"), none.alias("_right"), none.alias("_all"))
-    rows = flag_counts(labels, predictions, ["process_time"]).select(
-        F.col("process_time").alias("_t"), F.lit(1).alias("_tb"), F.lit(0).cast("long").alias("_seq"),
+    rows = flag_counts(labels, predictions, [*by, "process_time"]).select(
+        *by, F.col("process_time").alias("_t"), F.lit(1).alias("_tb"), F.lit(0).cast("long").alias("_seq"),
         F.lit(None).cast("string").alias("_run"), "_right", "_all")
     both = store(starts.unionByName(rows), "production-rows")
-    tagged = carry_forward(both, ["_t", "_tb", "_seq"], "_run", "run_id")
-    return (tagged.filter((F.col("_tb") == 1) & F.col("run_id").isNotNull()).groupBy("run_id").agg(
+    tagged = carry_forward(both, ["_t", "_tb", "_seq"], "_run", "run_id", by=by)
+    return (tagged.filter((F.col("_tb") == 1) & F.col("run_id").isNotNull()).groupBy(*by, "run_id").agg(
         F.sum("_all").cast("long").alias("readings"),
         F.sum("_right").cast("long").alias("accurate"))
         .withColumn("ratio", pct("accurate", "readings"))
-        .orderBy("run_id"))
+        .orderBy(*by, "run_id"))
 
 
-def touched_days(predictions: DataFrame, new_labels: DataFrame,
-                 lag_days: int | None = None) -> DataFrame:
+def touched_days(predictions: DataFrame, new_labels: DataFrame, locator=None) -> DataFrame:
     """Days holding a prediction whose label is among ``new_labels``.
 
-    ``lag_days``: labels are expected to land at most so many days after their
-    reading. Predictions between (first new label - lag) and the last new label are
-    one scan, by partition where the table is partitioned by day. Labels may be later
-    than that, have no time, or share their pid with older predictions, so the rest
-    of the table is looked through too: the partitions not yet read, pid and time
-    alone. Both sides are reduced (distinct, map-side) before the semi-join, so a hot
-    pid is a few rows.
+    With a ``locator.Locator`` only its folders of the labels' own pids are read, whenever
+    the labels land. Without one the pid and time of every prediction are looked through.
+    Both sides are reduced (distinct, map-side) before the semi-join, so a hot pid is a few rows.
     """
-    p = predictions
-    ends = (None, None) if lag_days is None else new_labels.agg(
-        F.min("qualitycheck_time").cast("string"), F.max("qualitycheck_time").cast("string")).first()
-    if ends[0] is not None:
-        lo, hi = ts_lit(ends[0]) - F.make_dt_interval(F.lit(lag_days)), ts_lit(ends[1])
-        t = F.col("process_time")
-        near, far = p.filter((t >= lo) & (t <= hi)), p.filter((t < lo) | (t > hi))
-        if "process_day" in p.columns:
-            day, first, last = F.col("process_day"), F.to_date(lo), F.to_date(hi)
-            near = near.filter((day >= first) & (day <= last))
-            far = far.filter((day <= first) | (day >= last))
-        p = near.unionByName(far)
-    p = p.select("pid", window_day("process_time").alias("window_day")).distinct()
-    return p.join(new_labels.select("pid").distinct(), "pid", "left_semi") \
-        .select("window_day").distinct()
+    pids = new_labels.select("pid")
+    if locator is not None:
+        return locator.days(pids)
+    p = predictions.select("pid", window_day("process_time").alias("window_day")).distinct()
+    return p.join(pids.distinct(), "pid", "left_semi").select("window_day").distinct()
 
 
 def refresh_kpi(labels: DataFrame, predictions: DataFrame, new_labels: DataFrame,
-                kpi_path: str, by_version: bool = False, lag_days: int | None = None) -> int:
+                kpi_path: str, by_version: bool = False, locator=None) -> int:
     """Incremental KPI: recompute only the days touched by newly arrived labels
     and overwrite just those day partitions of the KPI table (dynamic
     partition overwrite). Returns the number of days rewritten.
 
-    The touched days are a stored table that the predictions are semi-joined
-    with; on a table partitioned by ``process_day`` the join prunes the scan to
-    those days (dynamic partition pruning). Labels are semi-joined with the
-    pids of these predictions before they are reduced.
+    The touched days come from the ``locator`` (see ``touched_days``) as a stored table that
+    the predictions are semi-joined with; on a table partitioned by ``process_day`` the join
+    prunes the scan to those days (dynamic partition pruning). Labels are semi-joined with
+    the pids of these predictions before they are reduced; of labels stored by pid block
+    (``locator.write_by_pid``) only the blocks of these pids are read.
     """
-    days = store(touched_days(predictions, new_labels, lag_days), "kpi-days")
+    days = store(touched_days(predictions, new_labels, locator), "kpi-days")
     n = days.count()
     if not n:
         return 0
@@ -268,6 +272,9 @@ def refresh_kpi(labels: DataFrame, predictions: DataFrame, new_labels: DataFrame
     else:
         preds = (predictions.withColumn("window_day", window_day("process_time"))
                  .join(days, "window_day", "left_semi").drop("window_day"))
+    if locator is not None and "pid_block" in labels.columns:
+        from scorewatch.operators.locator import blocks_of, in_blocks
+        labels = in_blocks(labels, blocks_of(preds, locator.span))
     own = labels.join(preds.select("pid").distinct(), "pid", "left_semi")
     kpi = daily_kpi(own, preds, by_version=by_version, ordered=False)
     (kpi.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

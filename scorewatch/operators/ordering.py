@@ -8,6 +8,9 @@ the same for every consumer and after a lost executor. Each block is solved on
 its own; the only cross-block information is one row per block (its first or
 last row), fixed up with a small window and joined back.
 
+With ``by`` every operator works within a key: rows are range-partitioned on key and order, so
+a block edge may cut a key, a large key spans many blocks and small keys share one.
+
 The number of blocks follows the data (``ROWS_PER_BLOCK``, at least the number of
 shuffle partitions); the rows are counted first, so store a frame that is dear to
 compute before it comes here. The order columns should end in a unique tie-breaker, which
@@ -26,58 +29,62 @@ from scorewatch.session import store
 ROWS_PER_BLOCK = 2_000_000
 
 
-def _blocks(df: DataFrame, order: Sequence[str], n: int | None) -> DataFrame:
+def _blocks(df: DataFrame, order: Sequence[str], n: int | None, by: Sequence[str] = ()) -> DataFrame:
     if n is None:
         n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
                 -(-df.count() // ROWS_PER_BLOCK))
-    return store(df.repartitionByRange(n, *order)
+    return store(df.repartitionByRange(n, *by, *order)
                  .withColumn("_block", F.spark_partition_id()), "order-blocks")
 
 
+def _stitched(inner: DataFrame, edges: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows beside the one row of their block (and key) in ``edges``."""
+    on = [F.col("i._block") == F.col("e._block"), *[F.col(f"i.{c}").eqNullSafe(F.col(f"e.{c}")) for c in by]]
+    return inner.alias("i").join(edges.alias("e"), on, "left").select("i.*", "e._edge")
+
+
 def lead_in_order(df: DataFrame, order: Sequence[str], value: str, out: str,
-                  blocks: int | None = None) -> DataFrame:
-    """``lead(value) OVER (ORDER BY order...)`` over the whole frame."""
-    b = _blocks(df, order, blocks)
-    w = Window.partitionBy("_block").orderBy(*order)
+                  blocks: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``lead(value) OVER (PARTITION BY by... ORDER BY order...)`` over the whole frame."""
+    b = _blocks(df, order, blocks, by)
+    w = Window.partitionBy("_block", *by).orderBy(*order)
     inner = (b.withColumn(out, F.lead(value).over(w))
              .withColumn("_last", F.lead(F.lit(1)).over(w).isNull()))
-    firsts = b.groupBy("_block").agg(F.min(F.struct(*order, F.col(value).alias("_v"))).alias("_f"))
-    nxt = (firsts.withColumn("_next", F.lead(F.col("_f")["_v"]).over(Window.orderBy("_block")))
-           .select("_block", "_next"))
-    joined = inner.join(nxt, "_block", "left")
-    return (joined.withColumn(out, F.when(F.col("_last"), F.col("_next")).otherwise(F.col(out)))
-            .drop("_block", "_last", "_next"))
+    firsts = b.groupBy("_block", *by).agg(F.min(F.struct(*order, F.col(value).alias("_v"))).alias("_f"))
+    after = Window.partitionBy(*by).orderBy("_block")
+    edges = firsts.withColumn("_edge", F.lead(F.col("_f")["_v"]).over(after)).select("_block", *by, "_edge")
+    return (_stitched(inner, edges, by).withColumn(out, F.when(F.col("_last"), F.col("_edge")).otherwise(F.col(out)))
+            .drop("_block", "_last", "_edge"))
 
 
 def lag_in_order(df: DataFrame, order: Sequence[str], value: str, out: str,
-                 blocks: int | None = None) -> DataFrame:
-    """``lag(value) OVER (ORDER BY order...)`` over the whole frame."""
-    b = _blocks(df, order, blocks)
-    w = Window.partitionBy("_block").orderBy(*order)
+                 blocks: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``lag(value) OVER (PARTITION BY by... ORDER BY order...)`` over the whole frame."""
+    b = _blocks(df, order, blocks, by)
+    w = Window.partitionBy("_block", *by).orderBy(*order)
     inner = (b.withColumn(out, F.lag(value).over(w))
              .withColumn("_first", F.lag(F.lit(1)).over(w).isNull()))
-    lasts = b.groupBy("_block").agg(F.max(F.struct(*order, F.col(value).alias("_v"))).alias("_l"))
-    prev = (lasts.withColumn("_pv", F.lag(F.col("_l")["_v"]).over(Window.orderBy("_block")))
-            .select("_block", "_pv"))
-    joined = inner.join(prev, "_block", "left")
-    return (joined.withColumn(out, F.when(F.col("_first"), F.col("_pv")).otherwise(F.col(out)))
-            .drop("_block", "_first", "_pv"))
+    lasts = b.groupBy("_block", *by).agg(F.max(F.struct(*order, F.col(value).alias("_v"))).alias("_l"))
+    before = Window.partitionBy(*by).orderBy("_block")
+    edges = lasts.withColumn("_edge", F.lag(F.col("_l")["_v"]).over(before)).select("_block", *by, "_edge")
+    return (_stitched(inner, edges, by).withColumn(out, F.when(F.col("_first"), F.col("_edge")).otherwise(F.col(out)))
+            .drop("_block", "_first", "_edge"))
 
 
 def carry_forward(df: DataFrame, order: Sequence[str], value: str, out: str,
-                  blocks: int | None = None) -> DataFrame:
-    """Last non-null ``value`` at or before each row in the global order
+                  blocks: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Last non-null ``value`` at or before each row in the order within ``by``
     (as-of lookup when the value rows and the probe rows are unioned)."""
-    b = _blocks(df, order, blocks)
-    w = (Window.partitionBy("_block").orderBy(*order)
+    b = _blocks(df, order, blocks, by)
+    w = (Window.partitionBy("_block", *by).orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inner = b.withColumn(out, F.last(value, ignorenulls=True).over(w))
-    lasts = (b.groupBy("_block").agg(
+    lasts = (b.groupBy("_block", *by).agg(
         F.max(F.when(F.col(value).isNotNull(), F.struct(*order, F.col(value).alias("_v"))))
         .alias("_l")))
-    carry_w = (Window.orderBy("_block")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    carry = (lasts.withColumn("_in", F.last(F.col("_l")["_v"], ignorenulls=True).over(carry_w))
-             .select("_block", "_in"))
-    joined = inner.join(carry, "_block", "left")
-    return joined.withColumn(out, F.coalesce(F.col(out), F.col("_in"))).drop("_block", "_in")
+    before = (Window.partitionBy(*by).orderBy("_block")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    edges = (lasts.withColumn("_edge", F.last(F.col("_l")["_v"], ignorenulls=True).over(before))
+             .select("_block", *by, "_edge"))
+    return (_stitched(inner, edges, by).withColumn(out, F.coalesce(F.col(out), F.col("_edge")))
+            .drop("_block", "_edge"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewatch.functions.columns import ts_lit
+from scorewatch.functions.columns import Measure, ts_lit
 
 
 def between_times(df: DataFrame, col: str, start: str, end: str) -> DataFrame:
@@ -55,3 +55,15 @@ def combine(*frames: DataFrame) -> DataFrame:
 def valid_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Rows whose features are all present and not NaN (F6, dropna form)."""
     return df.dropna(subset=list(features))
+
+
+def measured(readings: DataFrame, how: Mapping[str, Measure], noise: F.Column | None = None,
+             seed: int | None = None) -> DataFrame:
+    """Readings as a sensor gives them (P2): every feature named in ``how`` is scaled, shifted
+    and shaken. ``noise`` is a term in -1 .. 1 (the same for a rerun); without it a standard
+    normal draw with ``seed`` is used, a fresh one per feature."""
+    out = {}
+    for i, (c, m) in enumerate(how.items()):
+        term = noise if noise is not None else F.randn(None if seed is None else seed + i)
+        out[c] = m.of(F.col(c), term)
+    return readings.withColumns(out)

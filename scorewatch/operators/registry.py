@@ -12,7 +12,9 @@ rows does not end up sorted in one task. Production state is per experiment.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +74,44 @@ def next_seq(log: DataFrame) -> int:
     return 0 if last is None else last + 1
 
 
+@contextmanager
+def claimed(spark: SparkSession, folder: str, read_log, patience: float = 60.0):
+    """Own the next append number while the rows are appended: yields (number, log it follows).
+
+    The claim is a file created only if absent, so of two writers one gets the number. The
+    other waits until the first has appended and marked the number done, then reads the log
+    again, and so sees what it has to follow. A body that fails without appending gives its number
+    back. A writer that was lost in between leaves its claim: after ``patience`` seconds others raise,
+    naming the file to delete. Stores whose create is not exclusive need a lock of their own.
+    """
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def file(name) -> object:
+        return jvm.org.apache.hadoop.fs.Path(base, str(name))
+
+    until = time.monotonic() + patience
+    while True:
+        log = read_log()
+        seq = next_seq(log)
+        busy = fs.exists(file(seq - 1)) and not fs.exists(file(f"{seq - 1}.done"))
+        if not busy and fs.createNewFile(file(seq)):
+            break
+        if time.monotonic() > until:
+            raise RuntimeError(f"append number {seq - busy} is claimed but not done: {file(seq - busy).toString()}")
+        time.sleep(0.2)
+    try:
+        yield seq, log
+    except BaseException:
+        if next_seq(read_log()) <= seq:
+            fs.delete(file(seq), False)
+        else:
+            fs.createNewFile(file(f"{seq}.done"))
+        raise
+    fs.createNewFile(file(f"{seq}.done"))
+
+
 def latest_values(log: DataFrame, keys: Sequence[str] = ("run_id", "kind", "key"),
                   order: Sequence[str] = ORDER, value: str = "value") -> DataFrame:
     """Latest ``value`` per ``keys`` by ``order`` (ties: larger order columns win)."""
@@ -177,15 +217,15 @@ def _tag_log(runs: DataFrame, tags: Sequence[tuple[str, str]], at: str, experime
 
 
 def promote(spark: SparkSession, log: DataFrame, run_id: str, user: str, at: str,
-            experiment: str = EXPERIMENT) -> DataFrame:
+            experiment: str = EXPERIMENT, seq: int | None = None) -> DataFrame:
     """Tag rows for one promotion, demotion of the experiment's current runs
     included (R7, R8).
 
     One frame to append at once (T13): the old run gets ``ex_production`` and an
     end time, the new one ``production`` and a start time, all under the next
-    append number.
+    append number, ``seq`` if it was claimed (``claimed``).
     """
-    seq = next_seq(log)
+    seq = next_seq(log) if seq is None else seq
     cur = production_run(log, experiment).filter(F.col("run_id") != run_id)
     old = _tag_log(cur, [("state", EX_PRODUCTION), ("production_marked_by", user),
                          ("production_end", at)], at, experiment, seq)
@@ -217,14 +257,20 @@ def read_confusion(spark: SparkSession, path: str, run_id: str) -> DataFrame:
             .parquet(path).filter(F.col("run_id") == run_id))
 
 
+def _experiment(promotions: DataFrame) -> list[str]:
+    return ["experiment"] if "experiment" in promotions.columns else []
+
+
 def promotion_log(promotions: DataFrame, order: Sequence[str] = ("ts", "seq")) -> DataFrame:
     """State tag rows for a sequence of promotions (R7 over history).
 
-    ``promotions``: run_id, ts, seq (unique tie-breaker). Each promotion tags
-    the new run ``production`` and, except the first, the previous run
-    ``ex_production`` at the same time.
+    ``promotions``: run_id, ts, seq (unique tie-breaker), experiment if there are several. Each
+    promotion tags the new run ``production`` and, except the first of its experiment, the
+    previous run ``ex_production`` at the same time.
     """
-    prev = lag_in_order(promotions.select("run_id", *order), list(order), "run_id", "_prev")
+    by = _experiment(promotions)
+    order = [*order, *by]
+    prev = lag_in_order(promotions.select("run_id", *order), order[:len(order) - len(by)], "run_id", "_prev", by=by)
     new = prev.select(F.col("run_id").cast("string").alias("run_id"),
                       F.lit("state").alias("key"), F.lit(PRODUCTION).alias("value"), *order)
     old = (prev.filter(F.col("_prev").isNotNull())
@@ -234,7 +280,9 @@ def promotion_log(promotions: DataFrame, order: Sequence[str] = ("ts", "seq")) -
 
 
 def production_intervals(promotions: DataFrame, order: Sequence[str] = ("ts", "seq")) -> DataFrame:
-    """Production interval per promotion: start, and end = next promotion's start."""
-    nxt = lead_in_order(promotions.select("run_id", *order), list(order), order[0], "_end")
+    """Production interval per promotion: start, and end = the next promotion's start in the
+    same experiment (R9; all are one experiment if there is no such column)."""
+    by = _experiment(promotions)
+    nxt = lead_in_order(promotions.select("run_id", *order, *by), list(order), order[0], "_end", by=by)
     return nxt.select("run_id", F.col(order[0]).alias("production_start"),
-                      F.col("_end").alias("production_end"), *order[1:])
+                      F.col("_end").alias("production_end"), *order[1:], *by)

@@ -6,7 +6,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewatch.operators.training import skipped_rows
+from pyspark.sql import Observation
+
+from scorewatch.operators.training import scoring_counts
 from scorewatch.sources.tables import FEATURES
 
 PREDICTION_COLUMNS = ("pid", "process_time", "predicted_quality", "model_version")
@@ -30,6 +32,9 @@ def score(model: PipelineModel, readings: DataFrame, version: str) -> DataFrame:
 
 
 def score_counted(model: PipelineModel, readings: DataFrame, version: str,
-                  features=FEATURES) -> tuple[DataFrame, int]:
-    """``score`` of batch readings, and how many rows it drops for a missing feature."""
-    return score(model, readings, version), skipped_rows(readings, features)
+                  features=FEATURES) -> tuple[DataFrame, Observation]:
+    """``score`` of batch readings, and an observation of the rows read and of those dropped for a
+    missing feature (T11). The counts are taken while the result is computed: after its first
+    action, ``observation.get`` is {"rows": ..., "skipped": ...}."""
+    seen = Observation("scoring")
+    return score(model, readings.observe(seen, *scoring_counts(features)), version), seen

@@ -14,12 +14,13 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
+from pyspark import SparkContext
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassificationModel, GBTClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorewatch.functions.columns import hash_bucket
@@ -98,13 +99,13 @@ def assembler(features: Sequence[str] = FEATURES, out: str = "features") -> Vect
     return VectorAssembler(inputCols=list(features), outputCol=out).setHandleInvalid("skip")
 
 
-def skipped_rows(df: DataFrame, features: Sequence[str] = FEATURES) -> int:
-    """Rows with a null or NaN feature, which ``assembler`` skips."""
-    bad = None
+def scoring_counts(features: Sequence[str] = FEATURES) -> list:
+    """Aggregates to observe: all rows, and those with a null or NaN feature, which
+    ``assembler`` skips (T11)."""
+    bad = F.lit(False)
     for c in features:
-        b = F.col(c).isNull() | F.isnan(F.col(c))
-        bad = b if bad is None else (bad | b)
-    return df.filter(bad).count()
+        bad = bad | F.col(c).isNull() | F.isnan(F.col(c))
+    return [F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("skipped")]
 
 
 def scaler(inp: str = "features_assembler", out: str = "features") -> StandardScaler:
@@ -184,18 +185,19 @@ class Prepared:
 
 def prepare(frame: DataFrame, split: str = "random", features: Sequence[str] = FEATURES,
             label: str = "quality") -> Prepared:
-    """Write the training frame to the shared checkpoint folder, count its skipped
-    rows, split it, persist both sides, fit the label index.
+    """Write the training frame to the shared checkpoint folder, counting its skipped rows on the way,
+    split it, persist both sides, fit the label index.
 
     Every fit (many passes each) then reads one materialized frame, a lost
     executor recomputes from it rather than from the join, and the random split
     sees the same rows on recomputation.
     """
-    frame = cut_lineage(frame.select("pid", *features, label))
+    seen = Observation("training")
+    frame = cut_lineage(frame.select("pid", *features, label).observe(seen, *scoring_counts(features)))
     train, test = hash_split(frame) if split == "hash" else random_split(frame)
     return Prepared(train.persist(StorageLevel.MEMORY_AND_DISK),
                     test.persist(StorageLevel.MEMORY_AND_DISK),
-                    fit_label_index(frame, label), skipped_rows(frame, features))
+                    fit_label_index(frame, label), seen.get["skipped"])
 
 
 def stages(family: str, params: Mapping, indexer, features: Sequence[str] = FEATURES) -> list:
@@ -208,6 +210,38 @@ def stages(family: str, params: Mapping, indexer, features: Sequence[str] = FEAT
     return [indexer, *vector, FAMILIES[family][0](params), to_text]
 
 
+def nested(family: str, grid: Sequence[Mapping]) -> list[list[dict]]:
+    """Grid points that one fit answers, the largest first: boosting is sequential, so with
+    one seed a model of fewer rounds is the beginning of one with more. Other families'
+    points stand alone (a forest draws its samples for all its trees at once)."""
+    if family != "GBT":
+        return [[dict(g)] for g in grid]
+    groups: dict[tuple, list[dict]] = {}
+    for g in grid:
+        groups.setdefault(tuple(sorted((k, v) for k, v in g.items() if k != "numTrees")), []).append(dict(g))
+    return [sorted(g, key=lambda p: -p["numTrees"]) for g in groups.values()]
+
+
+def cut_boosted(model: PipelineModel, rounds: int) -> PipelineModel:
+    """The pipeline whose boosted stage stops after its first ``rounds`` trees."""
+    stages = []
+    for s in model.stages:
+        if isinstance(s, GBTClassificationModel):
+            java, gateway = s._java_obj, s._java_obj.trees()
+            sc = SparkContext._active_spark_context
+            kind = sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+            trees = sc._gateway.new_array(kind, rounds)
+            weights = sc._gateway.new_array(sc._jvm.double, rounds)
+            for i in range(rounds):
+                trees[i], weights[i] = gateway[i], float(s.treeWeights[i])
+            cut = sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+                java.uid(), trees, weights, java.numFeatures())
+            java.copyValues(cut, java.extractParamMap())
+            s = GBTClassificationModel(cut)
+        stages.append(s)
+    return PipelineModel(stages)
+
+
 def fit_grid(spark: SparkSession, frame: DataFrame | Prepared, family: str, model_dir: str,
              window: str = "", grid: Sequence[Mapping] | None = None,
              finished: DataFrame | None = None, split: str = "random",
@@ -242,19 +276,24 @@ def fit_grid(spark: SparkSession, frame: DataFrame | Prepared, family: str, mode
                                                   predictionCol="prediction",
                                                   metricName="accuracy")
 
-    def one(params: dict):
+    def logged(params: dict, model: PipelineModel):
         rid = run_id_for(family, params, window)
-        model = Pipeline(stages=stages(family, params, data.indexer, features)).fit(data.train)
-        pred = model.transform(data.test)
         path = f"{model_dir.rstrip('/')}/{rid}"
         model.write().overwrite().save(path)
+        # evaluated as loaded: a fresh forest's training summary drags the session into the
+        # tasks, which fails once the session has observed a frame
+        pred = PipelineModel.load(path).transform(data.test)
         pairs = pred.select("predicted_quality", F.col(label).cast("string").alias("quality"))
         counts = [{"run_id": rid, **r.asDict()} for r in confusion(pairs).collect()]
         return rid, params, evaluator.evaluate(pred), path, counts
 
+    def fitted(points: list[dict]):
+        model = Pipeline(stages=stages(family, points[0], data.indexer, features)).fit(data.train)
+        return [logged(points[0], model)] + [logged(p, cut_boosted(model, p["numTrees"])) for p in points[1:]]
+
     try:
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            done_runs = list(pool.map(one, grid))
+            done_runs = [r for runs in pool.map(fitted, nested(family, grid)) for r in runs]
     finally:
         if own:
             data.release()

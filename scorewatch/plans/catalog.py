@@ -13,9 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.functions.columns import epoch_to_ts, offset_key, window_key
-from scorewatch.operators import monitor, prep, profile, registry, scoring, training
+from scorewatch.functions.columns import Measure, epoch_to_ts, offset_key, window_key
+from scorewatch.operators import deltas, locator, monitor, prep, profile, registry, scoring, training, tree_rows
 from scorewatch.plans import workflow
+from scorewatch.streaming import joined
 from scorewatch.streaming import monitor as kpi_stream
 from scorewatch.streaming import scoring as streaming
 from scorewatch.session import fresh_dir, small_frame
@@ -30,7 +31,10 @@ KPI_AFTER_DAY = "2024-01-20"
 DETAIL_RUN = "3"
 DEMOTED_RUN = "4"
 PROMOTED_AT = "2024-02-01 00:00:00"
+DRIFT_SEEN_AT = "2024-01-18 00:30:00"
 LABEL_LAG_DAYS = 3          # labels of the fixture land at most so long after a reading
+STREAM_DELAY_DAYS = 10      # its files are that far from being in order
+PID_SPAN = 2_000            # neighbouring pids per folder; the events tables have some 10,000 a scale step
 # One cheap point per family, for the keys that check a fitted path row by row.
 SMALL_GRIDS = {"RandomForest": [{"numTrees": 5, "maxDepth": 3}], "DecisionTree": [{"maxDepth": 3}],
                "GBT": [{"numTrees": 3, "learningRate": 0.3}]}
@@ -106,35 +110,92 @@ def kpi_from_tables(spark, sf_dir):
 
 def kpi_incremental(spark, sf_dir):
     """KPI table kept by incremental refreshes: labels inspected up to 01-20
-    first, then the later labels; only touched days are rewritten. The
-    table then equals the full KPI."""
-    path, ptab = fresh_dir(spark, "kpi"), fresh_dir(spark, "predictions")
-    sinks.write_by_day(_pred(spark, sf_dir, "m1"), ptab, mode="overwrite")
-    labels, preds = _labels(spark, sf_dir), tables.predictions(spark, ptab)
-    cut = F.col("qualitycheck_time") <= F.lit("2024-01-20").cast("timestamp_ntz")
-    first = labels.filter(cut)
-    monitor.refresh_kpi(first, preds, first, path, lag_days=LABEL_LAG_DAYS)
-    monitor.refresh_kpi(labels, preds, labels.filter(~cut), path, lag_days=LABEL_LAG_DAYS)
+    first, then the later labels; only touched days, found by the locator, are rewritten,
+    from the label blocks of their pids. The table then equals the full KPI."""
+    path, ptab, ltab = (fresh_dir(spark, n) for n in ("kpi", "predictions", "labels"))
+    find = locator.Locator(fresh_dir(spark, "locator"), PID_SPAN)
+    locator.append_predictions(_pred(spark, sf_dir, "m1"), ptab, find, mode="overwrite")
+    preds = tables.predictions(spark, ptab)
+    early, late = _early_and_late(_labels(spark, sf_dir))
+    for part in (early, late):
+        locator.write_by_pid(part, ltab, PID_SPAN)
+        monitor.refresh_kpi(spark.read.parquet(ltab), preds, part, path, locator=find)
     return monitor.read_kpi(spark, path)
 
 
+def _early_and_late(labels):
+    cut = F.col("qualitycheck_time") <= F.lit("2024-01-20").cast("timestamp_ntz")
+    return labels.filter(cut), labels.filter(~cut)
+
+
 def kpi_on_arrival(spark, sf_dir):
     """KPI table kept current by a label stream (foreachBatch refresh of the
     touched days): labels inspected up to 01-20 arrive first, the rest later;
     the stream is restarted on its checkpoint in between."""
     src, ptab, kpi, ckpt = (fresh_dir(spark, n) for n in ("labels", "predictions", "kpi", "ckpt"))
-    sinks.write_by_day(_pred(spark, sf_dir, "m1"), ptab, mode="overwrite")
-    labels = _labels(spark, sf_dir)
-    cut = F.col("qualitycheck_time") <= F.lit("2024-01-20").cast("timestamp_ntz")
-    for i, part in enumerate((labels.filter(cut), labels.filter(~cut))):
+    find = locator.Locator(fresh_dir(spark, "locator"), PID_SPAN)
+    locator.append_predictions(_pred(spark, sf_dir, "m1"), ptab, find, mode="overwrite")
+    for i, part in enumerate(_early_and_late(_labels(spark, sf_dir))):
         sinks.write_batch(part, src, mode="overwrite" if i == 0 else "append")
         stream = streaming.stream_labels(spark, src)
         _run_stream(kpi_stream.refresh_on_arrival(
             stream, lambda: tables.labels(spark, src), lambda: tables.predictions(spark, ptab),
-            kpi, ckpt, lag_days=LABEL_LAG_DAYS))
+            kpi, ckpt, locator=find))
     return monitor.read_kpi(spark, kpi)
 
 
+def _by_deltas(spark, sf_dir):
+    """Deltas after two batches of predictions and labels each, wrong labels among them, a batch of
+    corrections and replays of two batches."""
+    state = deltas.Deltas(fresh_dir(spark, "deltas"), PID_SPAN)
+    preds = _pred(spark, sf_dir, "m1")
+    cut = F.col("process_time") < F.lit(fx.SWITCH_DAY).cast("timestamp_ntz")
+    early, late = _early_and_late(_labels(spark, sf_dir))
+    wrong = F.col("pid") % 10 == 0
+    bad = early.withColumn("quality", F.when(wrong, 1 - F.col("quality")).otherwise(F.col("quality")))
+    state.append_predictions(0, preds.filter(cut))
+    state.change_labels(1, bad.withColumn("op", F.lit("add")))
+    state.append_predictions(2, preds.filter(~cut))
+    state.change_labels(3, late.withColumn("op", F.lit("add")))
+    state.change_labels(4, early.filter(wrong).withColumn("op", F.lit("correct")))
+    state.change_labels(4, early.filter(wrong).withColumn("op", F.lit("correct")))
+    state.append_predictions(2, preds.filter(~cut))
+    return state
+
+
+def kpi_delta(spark, sf_dir):
+    """The KPI as a sum of signed deltas, after a correction and replayed batches."""
+    return _by_deltas(spark, sf_dir).kpi(spark)
+
+
+def confusion_delta(spark, sf_dir):
+    """Confusion counts as sums of signed deltas, after the labels of some pids were removed."""
+    state = _by_deltas(spark, sf_dir)
+    gone = _labels(spark, sf_dir).filter(F.col("pid") % 97 == 0)
+    state.change_labels(5, gone.withColumn("op", F.lit("remove")))
+    return state.confusion(spark, ["model_version"])
+
+
+def class_share_delta(spark, sf_dir):
+    """The daily class shares as sums of signed deltas (A4)."""
+    return _by_deltas(spark, sf_dir).class_share(spark)
+
+
+def kpi_streams(spark, sf_dir):
+    """Predictions and labels joined as streams with watermarks; the KPI of what they gave. Both
+    arrive in two parts, the query restarts on its checkpoint and its state in between."""
+    pdir, ldir, out, ckpt = (fresh_dir(spark, n) for n in ("predictions", "labels", "pairs", "ckpt"))
+    preds = _pred(spark, sf_dir, "m1")
+    cut = F.col("process_time") < F.lit(fx.SWITCH_DAY).cast("timestamp_ntz")
+    for p, q in zip((preds.filter(cut), preds.filter(~cut)), _early_and_late(_labels(spark, sf_dir))):
+        sinks.write_batch(p, pdir)
+        sinks.write_batch(q, ldir)
+        pairs = joined.labelled_stream(streaming.stream_predictions(spark, pdir), streaming.stream_labels(spark, ldir),
+                                       lag=f"{LABEL_LAG_DAYS} days", delay=f"{STREAM_DELAY_DAYS} days")
+        _run_stream(streaming.write_stream(pairs, out, ckpt))
+    return joined.kpi_of_pairs(spark.read.parquet(out))
+
+
 def confusion_matrix(spark, sf_dir):
     counts = monitor.joined_confusion(_labels(spark, sf_dir), _pred(spark, sf_dir, "m1"))
     return monitor.confusion_matrix(counts)
@@ -204,12 +265,29 @@ def in_production(spark, sf_dir):
                                  _promotions(spark, sf_dir))
 
 
+def _experiments(df, key="pid"):
+    return df.withColumn("experiment", F.when(F.col(key) % 2 == 0, "even").otherwise("odd"))
+
+
+def in_production_by_experiment(spark, sf_dir):
+    """D5 with two interleaved experiments: runs replace each other within their own."""
+    promotions = _experiments(_promotions(spark, sf_dir), "seq")
+    return monitor.in_production(_labels(spark, sf_dir), _experiments(_pred(spark, sf_dir, "m1")), promotions,
+                                 by=["experiment"])
+
+
 # --- preparation ---------------------------------------------------------------------
 def training_set(spark, sf_dir):
     return prep.training_set(fx.readings(spark, sf_dir), _labels(spark, sf_dir),
                              *fx.TRAIN_WINDOW)
 
 
+def measured_readings(spark, sf_dir):
+    """All three features scaled, shifted and shaken."""
+    how = {"temp": Measure(1.5, -2.0, 1.0), "pressure": Measure(shift=3.0, noise=0.5), "duration": Measure(scale=0.5)}
+    return prep.measured(fx.readings(spark, sf_dir), how, fx.noise_of())
+
+
 def due_slice(spark, sf_dir):
     from scorewatch.functions.columns import inspection_due
     s = prep.time_slice(fx.readings(spark, sf_dir), "process_time", *fx.ARRIVAL_CUTS[:2])
@@ -241,9 +319,7 @@ def epoch_readings(spark, sf_dir):
                      epoch_to_ts(secs).alias("process_time"))
 
 
-def batch_write_slices(spark, sf_dir):
-    """Overwrite with the first slice, append the next three, the last one at 50
-    rows per file (K1-K3); read back and count rows per slice."""
+def _slices(spark, sf_dir):
     path = fresh_dir(spark, "slices")
     r = fx.readings(spark, sf_dir).withColumn(
         "batch", prep.slice_index("process_time", fx.ARRIVAL_CUTS))
@@ -252,8 +328,19 @@ def batch_write_slices(spark, sf_dir):
         part = prep.time_slice(r, "process_time", bounds[i], bounds[i + 1])
         sinks.write_batch(part, path, mode="overwrite" if i == 0 else "append",
                           max_records_per_file=50 if i == 3 else None)
-    back = spark.read.parquet(path)
-    return back.groupBy("batch").agg(F.count(F.lit(1)).alias("rows"))
+    return spark.read.parquet(path)
+
+
+def batch_write_slices(spark, sf_dir):
+    """Overwrite with the first slice, append the next three, the last one at 50
+    rows per file (K1-K3); read back and count rows per slice."""
+    return _slices(spark, sf_dir).groupBy("batch").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def slice_files(spark, sf_dir):
+    """The files of the slice written at 50 rows per file (K3): rows, and files above the cap."""
+    own = _slices(spark, sf_dir).filter("batch = 3").groupBy(F.input_file_name().alias("file")).count()
+    return own.agg(F.sum("count").cast("long").alias("rows"), F.count_if(F.col("count") > 50).alias("files_above"))
 
 
 # --- profiling, splits, features ---------------------------------------------------------
@@ -355,6 +442,11 @@ def production_intervals(spark, sf_dir):
     return registry.production_intervals(_promotions(spark, sf_dir))
 
 
+def production_intervals_by_experiment(spark, sf_dir):
+    """R9 with two interleaved experiments."""
+    return registry.production_intervals(_experiments(_promotions(spark, sf_dir), "seq"))
+
+
 def _state_log(spark, sf_dir):
     """State tags from events: two experiments (by user), hourly times (so many rows
     share one), ``seq`` the event number."""
@@ -463,6 +555,63 @@ def stream_swap(spark, sf_dir):
     return tables.predictions(spark, out)
 
 
+def stream_promote(spark, sf_dir):
+    """A promotion between two micro-batches of one live query (C2, C3): m1 is in production for
+    the first arrival, m2 is promoted, and the next batch is scored by m2 without a restart."""
+    src, out, ckpt = (fresh_dir(spark, n) for n in ("arrivals", "pred", "ckpt"))
+    paths = workflow.LoopPaths(fresh_dir(spark, "loop"))
+    scorers = {"m1": _swap_scorer(5, "m1"), "m2": _swap_scorer(30, "m2")}
+
+    def resolve():
+        run = registry.production_run(workflow.read_log(spark, paths)).first()["run_id"]
+        return run, scorers[run]
+
+    ev = fx.events(spark, sf_dir)
+    workflow.promote(spark, paths, "m1", "scorewatch", "2024-01-11 18:00:00")
+    sinks.write_batch(prep.time_slice(ev, "ts", hi=fx.SWITCH_DAY), src, mode="overwrite")
+    stream = fx.readings_from_events(streaming.stream_table(spark, src, ev.schema))
+    q = streaming.score_production(stream, resolve, out, ckpt, available_now=False)
+    q.processAllAvailable()
+    workflow.promote(spark, paths, "m2", "scorewatch", PROMOTED_AT)
+    sinks.write_batch(prep.time_slice(ev, "ts", lo=fx.SWITCH_DAY), src, mode="append")
+    q.processAllAvailable()
+    q.stop()
+    return tables.predictions(spark, out).select("pid", "process_time", "predicted_quality", "model_version")
+
+
+def retrain_window_streamed(spark, sf_dir):
+    """The window to retrain on, from the predictions that the production model's stream stored
+    and the labels landed by then (D2, M13)."""
+    return _streamed_window(spark, sf_dir, "m1")
+
+
+def _streamed_window(spark, sf_dir, version):
+    paths = workflow.LoopPaths(fresh_dir(spark, "loop"))
+    workflow.promote(spark, paths, version, "scorewatch", "2024-01-11 18:00:00")
+    stream = streaming.stream_event_readings(spark, sf_dir)
+    _run_stream(streaming.stream_score(stream, _rule_scorer(version), paths.predictions, paths.checkpoint))
+    return workflow.drift_window(spark, paths, _labels(spark, sf_dir), DRIFT_SEEN_AT)
+
+
+def scored_counts(spark, sf_dir):
+    """Rows read and rows skipped for a missing feature, observed while a batch and a stream are
+    written (T11, C1, C2)."""
+    res = training.fit_grid(spark, _train_frame(spark, sf_dir), "DecisionTree", fresh_dir(spark, "models"),
+                            grid=SMALL_GRIDS["DecisionTree"])
+    model = scoring.load_model(next(iter(res.model_paths.values())))
+    rows = _gappy(spark, sf_dir)
+    batch, seen = scoring.score_counted(model, rows, "m")
+    sinks.write_batch(batch, fresh_dir(spark, "pred"))
+    src = fresh_dir(spark, "readings")
+    sinks.write_batch(rows, src)
+    stream = streaming.observed(streaming.stream_readings(spark, src))
+    q = streaming.stream_score(stream, lambda r: scoring.score(model, r, "m"), fresh_dir(spark, "pred"),
+                               fresh_dir(spark, "ckpt"))
+    _run_stream(q)
+    return small_frame(spark, [{"path": "batch", **seen.get}, {"path": "stream", **streaming.observed_counts(q)}],
+                       "path string, rows long, skipped long")
+
+
 # --- fitted models (rows-only checks) --------------------------------------------------------
 def _fit_score(spark, sf_dir, family, parallelism=3, grid=None, readings=None):
     res = training.fit_grid(spark, _train_frame(spark, sf_dir), family, fresh_dir(spark, "models"),
@@ -488,6 +637,16 @@ def _fitted_rows(family):
     return query
 
 
+def _walked(family):
+    def query(spark, sf_dir):
+        res = training.fit_grid(spark, _train_frame(spark, sf_dir), family, fresh_dir(spark, "models"),
+                                grid=SMALL_GRIDS[family])
+        return tree_rows.disagreements(spark, next(iter(res.model_paths.values())), _gappy(spark, sf_dir))
+    query.__doc__ = f"""Predictions of a fitted {family} pipeline against its trees as a node table (M5-M8):
+    rows scored, and those on which the two differ."""
+    return query
+
+
 def fit_confusion_total(spark, sf_dir):
     """Confusion counts of a fitted run sum to its test rows (K5, M1)."""
     res = training.fit_grid(spark, _train_frame(spark, sf_dir), "DecisionTree", fresh_dir(spark, "models"),
@@ -530,8 +689,8 @@ def retrain(spark, sf_dir):
     stream = fx.perturb(fx.readings_from_events(streaming.stream_table(spark, src, ev.schema)))
     q = workflow.score_stream(spark, paths, stream, available_now=False)
     q.processAllAvailable()
-    # the KPI of the model in production drifts: its first drift days are the new window
-    window = retrain_window(spark, sf_dir).first()
+    # the KPI of the predictions it stored drifts: the first drift days are the new window
+    window = workflow.drift_window(spark, paths, labels, DRIFT_SEEN_AT).first()
     if window is not None:
         rid2 = workflow.train_round(spark, paths, readings, labels, f"{window['start_day']} 00:00:00",
                                     f"{window['end_day']} 23:59:00", at="2024-01-21 00:30:00")
@@ -561,6 +720,10 @@ QUERIES: dict[str, Query] = {
     "kpi_from_tables": kpi_from_tables,
     "kpi_incremental": kpi_incremental,
     "kpi_on_arrival": kpi_on_arrival,
+    "kpi_delta": kpi_delta,
+    "confusion_delta": confusion_delta,
+    "class_share_delta": class_share_delta,
+    "kpi_streams": kpi_streams,
     "training_set": training_set,
     "due_slice": due_slice,
     "rule_label": rule_label,
@@ -593,6 +756,8 @@ QUERIES: dict[str, Query] = {
     "production_intervals": production_intervals,
     "promotion_log": promotion_log,
     "in_production": in_production,
+    "production_intervals_by_experiment": production_intervals_by_experiment,
+    "in_production_by_experiment": in_production_by_experiment,
     "describe_value": describe_value,
     "label_index": label_index,
     "random_sample": random_sample,
@@ -602,6 +767,8 @@ QUERIES: dict[str, Query] = {
     "valid_features": valid_features,
     "combined_readings": combined_readings,
     "batch_write_slices": batch_write_slices,
+    "slice_files": slice_files,
+    "measured_readings": measured_readings,
     "scaled_features": scaled_features,
     "epoch_readings": epoch_readings,
     "stream_score_rule": stream_score_rule,
@@ -609,6 +776,12 @@ QUERIES: dict[str, Query] = {
     "stream_labels": stream_labels,
     "stream_predictions": stream_predictions,
     "stream_swap": stream_swap,
+    "stream_promote": stream_promote,
+    "retrain_window_streamed": retrain_window_streamed,
+    "scored_counts": scored_counts,
+    "forest_walk": _walked("RandomForest"),
+    "tree_walk": _walked("DecisionTree"),
+    "boosted_walk": _walked("GBT"),
     "forest_rows": _fitted_rows("RandomForest"),
     "tree_rows": _fitted_rows("DecisionTree"),
     "boosted_rows": _fitted_rows("GBT"),

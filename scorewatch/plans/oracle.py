@@ -73,6 +73,20 @@ SELECT pid, process_time, 1 AS versions, 1 AS rows FROM noisy
 WHERE temp IS NOT NULL AND pressure IS NOT NULL AND duration IS NOT NULL AND duration NOT IN (50, 60)"""
 
 
+# Rows that a fitted pipeline scores; its node table must agree on all of them.
+WALKED = """
+SELECT COUNT(*) AS rows, 0 AS disagreements FROM noisy
+WHERE temp IS NOT NULL AND pressure IS NOT NULL AND duration IS NOT NULL AND duration NOT IN (50, 60)"""
+BOTH = """promo2 AS (
+  SELECT *, CASE WHEN seq % 2 = 0 THEN 'even' ELSE 'odd' END AS experiment FROM promos)"""
+# Stretches of consecutive drift days of the table kpi.
+DRIFT_RUNS = ("""bad AS (
+  SELECT window_day, row_number() OVER (ORDER BY window_day) AS n FROM (
+    SELECT window_day, SUM(CASE WHEN accurate_prediction = 'Accurate' THEN ratio ELSE 0.0 END) AS a
+    FROM kpi GROUP BY window_day) WHERE a < 80 OR a > 100)""", """runs AS (
+  SELECT MIN(window_day) AS s, MAX(window_day) AS e FROM bad GROUP BY window_day - CAST(n AS INTEGER))""")
+
+
 def with_base(*ctes: str) -> str:
     extra = "".join(",\n" + c for c in ctes)
     return "WITH " + BASE.strip() + extra + "\n"
@@ -128,6 +142,60 @@ SQL: dict[str, str] = {
 
     "kpi_on_arrival": with_base(kpi_cte("kpi", "pred_m1")) + f"SELECT {KPI_COLS} FROM kpi",
 
+    "kpi_delta": with_base(kpi_cte("kpi", "pred_m1")) + f"SELECT {KPI_COLS} FROM kpi",
+    "kpi_streams": with_base(kpi_cte("kpi", "pred_m1")) + f"SELECT {KPI_COLS} FROM kpi",
+
+    "confusion_delta": with_base() + """
+SELECT p.model_version, p.predicted_quality, CAST(q.quality AS VARCHAR) AS quality, COUNT(*) AS "count"
+FROM pred_m1 p JOIN quality q USING (pid) WHERE p.pid % 97 <> 0
+GROUP BY p.model_version, p.predicted_quality, q.quality""",
+
+    "class_share_delta": with_base() + """
+SELECT CAST(process_time AS DATE) AS window_day, predicted_quality, COUNT(*) AS "count",
+       CAST(SUM(COUNT(*)) OVER (PARTITION BY CAST(process_time AS DATE)) AS BIGINT) AS total,
+       COUNT(*) * 100 / CAST(SUM(COUNT(*)) OVER (PARTITION BY CAST(process_time AS DATE)) AS BIGINT) AS ratio
+FROM pred_m1 GROUP BY CAST(process_time AS DATE), predicted_quality""",
+
+    "production_intervals_by_experiment": with_base(BOTH) + """
+SELECT run_id, experiment, ts AS production_start,
+       LEAD(ts) OVER (PARTITION BY experiment ORDER BY ts, seq) AS production_end, seq FROM promo2""",
+
+    "in_production_by_experiment": with_base(BOTH, """iv AS (
+  SELECT run_id, experiment, ts AS s, LEAD(ts) OVER (PARTITION BY experiment ORDER BY ts, seq) AS e FROM promo2)""",
+  """f AS (
+  SELECT p.process_time, CASE WHEN p.pid % 2 = 0 THEN 'even' ELSE 'odd' END AS experiment,
+         CASE WHEN TRY_CAST(p.predicted_quality AS INTEGER) = q.quality THEN 1 ELSE 0 END AS acc
+  FROM pred_m1 p JOIN quality q USING (pid))""") + """
+SELECT iv.experiment, iv.run_id, COUNT(*) AS readings, CAST(SUM(f.acc) AS BIGINT) AS accurate,
+       CAST(SUM(f.acc) AS BIGINT) * 100 / COUNT(*) AS ratio
+FROM f JOIN iv ON f.experiment = iv.experiment AND f.process_time >= iv.s AND (iv.e IS NULL OR f.process_time < iv.e)
+GROUP BY iv.experiment, iv.run_id""",
+
+    "slice_files": with_base() + """
+SELECT COUNT(*) AS rows, 0 AS files_above FROM sensor WHERE process_time >= TIMESTAMP '2024-01-26'""",
+
+    "measured_readings": with_base() + """
+SELECT pid, process_time,
+       temp * CAST(1.5 AS DOUBLE) + CAST(-2 AS DOUBLE) + (CAST((pid * 7919) % 1001 AS DOUBLE) / CAST(500 AS DOUBLE) - 1) AS temp,
+       pressure + CAST(3 AS DOUBLE)
+         + (CAST((pid * 7919) % 1001 AS DOUBLE) / CAST(500 AS DOUBLE) - 1) * CAST(0.5 AS DOUBLE) AS pressure,
+       duration * CAST(0.5 AS DOUBLE) AS duration
+FROM sensor""",
+
+    "retrain_window_streamed": with_base("""landed AS (
+  SELECT * FROM quality WHERE qualitycheck_time <= TIMESTAMP '2024-01-18 00:30:00')""",
+  kpi_cte("kpi", "pred_m1", labels="landed"), DRIFT_RUNS[0], DRIFT_RUNS[1]) + """
+SELECT s AS start_day, least(e, s + 6) AS end_day FROM runs ORDER BY e DESC LIMIT 1""",
+
+    "scored_counts": with_base() + """, c AS (
+  SELECT COUNT(*) AS rows, COUNT(*) FILTER (temp IS NULL OR pressure IS NULL OR duration IS NULL OR duration IN (50, 60))
+         AS skipped FROM noisy)
+SELECT path, rows, skipped FROM c, (VALUES ('batch'), ('stream')) v(path)""",
+
+    "forest_walk": with_base() + WALKED,
+    "tree_walk": with_base() + WALKED,
+    "boosted_walk": with_base() + WALKED,
+
     "training_set": with_base() + """
 SELECT s.pid, s.process_time, s.temp, s.pressure, s.duration, q.qualitycheck_time, q.quality
 FROM sensor s JOIN quality q USING (pid)
@@ -193,11 +261,7 @@ SELECT p.predicted_quality, COUNT(*) FILTER (q.quality = 0) AS quality_0,
        COUNT(*) FILTER (q.quality = 1) AS quality_1
 FROM pred_m2 p JOIN quality q USING (pid) GROUP BY p.predicted_quality""",
 
-    "retrain_window": with_base(kpi_cte("kpi", "pred_m1"), """bad AS (
-  SELECT window_day, row_number() OVER (ORDER BY window_day) AS n FROM (
-    SELECT window_day, SUM(CASE WHEN accurate_prediction = 'Accurate' THEN ratio ELSE 0.0 END) AS a
-    FROM kpi GROUP BY window_day) WHERE a < 80 OR a > 100)""", """runs AS (
-  SELECT MIN(window_day) AS s, MAX(window_day) AS e FROM bad GROUP BY window_day - CAST(n AS INTEGER))""") + """
+    "retrain_window": with_base(kpi_cte("kpi", "pred_m1"), *DRIFT_RUNS) + """
 SELECT s AS start_day, least(e, s + 6) AS end_day FROM runs ORDER BY e DESC LIMIT 1""",
 
     "production_run": "WITH " + STATES + """
@@ -358,3 +422,4 @@ SELECT pid, process_time,
        CASE WHEN process_time < TIMESTAMP '2024-01-16' THEN 'm1' ELSE 'm2' END AS model_version
 FROM sensor""",
 }
+SQL["stream_promote"] = SQL["stream_swap"]

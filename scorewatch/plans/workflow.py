@@ -9,13 +9,14 @@ only), ``models/<run_id>``, the streamed ``predictions`` and its checkpoint.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorewatch.operators import registry, scoring, training
 from scorewatch.operators.prep import training_set
-from scorewatch.sources import sinks
+from scorewatch.sources import sinks, tables
 from scorewatch.streaming import scoring as streaming
 
 RETRAIN_DAYS = 7
@@ -29,6 +30,10 @@ class LoopPaths:
     def run_log(self) -> str:
         return f"{self.root}/run_log"
 
+    @property
+    def claims(self) -> str:
+        return f"{self.root}/claims"
+
     @property
     def confusion(self) -> str:
         return f"{self.root}/confusion"
@@ -61,17 +66,21 @@ def train_round(spark: SparkSession, paths: LoopPaths, readings: DataFrame, labe
     counts at time ``at``, return the best run of the window (searched in the
     run log; None if there is none). The training frame is prepared once."""
     key = f"{start} - {end}"
+    read = partial(read_log, spark, paths)
     data = training.prepare(training_set(readings, labels, start, end))
     try:
         for fam in families:
-            log = read_log(spark, paths)
+            log = read()
             res = training.fit_grid(spark, data, fam, paths.models, window=key, finished=log,
                                     grid=(grids or {}).get(fam), parallelism=parallelism,
-                                    experiment=experiment, seq=registry.next_seq(log))
-            sinks.write_batch(res.log.withColumn("logged_at", F.lit(at).cast("timestamp_ntz")),
-                              paths.run_log)
-            if res.confusion is not None:
-                registry.log_confusion(res.confusion, paths.confusion)
+                                    experiment=experiment)
+            if res.confusion is None:                                # nothing was left to fit
+                continue
+            with registry.claimed(spark, paths.claims, read) as (seq, _):
+                rows = res.log.withColumns({"logged_at": F.lit(at).cast("timestamp_ntz"),
+                                            "seq": F.lit(seq).cast("long")})
+                sinks.write_batch(rows.coalesce(1), paths.run_log)   # one file: seen whole or not at all
+            registry.log_confusion(res.confusion, paths.confusion)
     finally:
         data.release()
     log = read_log(spark, paths)
@@ -98,10 +107,24 @@ def retrain_window(drift: DataFrame, days: int = RETRAIN_DAYS) -> DataFrame:
         "start_day", F.least("_last", F.date_add("start_day", days - 1)).alias("end_day"))
 
 
+def drift_window(spark: SparkSession, paths: LoopPaths, labels: DataFrame, at: str,
+                 experiment: str = registry.EXPERIMENT) -> DataFrame:
+    """The window that drift asks to retrain on at time ``at`` (D2, M13; empty without any): the
+    KPI of what the run in production has itself predicted, with the labels landed by then."""
+    from scorewatch.operators.monitor import daily_kpi, drift_days
+    run = registry.production_run(read_log(spark, paths), experiment).select("run_id").first()
+    own = tables.predictions(spark, paths.predictions).filter(F.col("model_version") == (run[0] if run else None))
+    landed = labels.filter(F.col("qualitycheck_time") <= F.lit(at).cast("timestamp_ntz"))
+    return retrain_window(drift_days(daily_kpi(landed, own, ordered=False)))
+
+
 def promote(spark: SparkSession, paths: LoopPaths, run_id: str, user: str, at: str,
             experiment: str = registry.EXPERIMENT) -> None:
-    rows = registry.promote(spark, read_log(spark, paths), run_id, user, at, experiment)
-    sinks.write_batch(rows, paths.run_log)
+    """Promote ``run_id`` in its experiment under a claimed append number: of two promotions at a
+    time the second follows the first and ends its production."""
+    with registry.claimed(spark, paths.claims, partial(read_log, spark, paths)) as (seq, log):
+        rows = registry.promote(spark, log, run_id, user, at, experiment, seq)
+        sinks.write_batch(rows.coalesce(1), paths.run_log)           # one file: seen whole or not at all
 
 
 def confusion_of(spark: SparkSession, paths: LoopPaths, run_id: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.functions.columns import (first_match, inspection_due, ranges_hold,
+from scorewatch.functions.columns import (Measure, first_match, inspection_due, ranges_hold,
                                           ts_lit)
 
 # --- fixed values of the stand-in data set -----------------------------------
@@ -95,8 +95,13 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def perturb(readings_df: DataFrame) -> DataFrame:
     """Readings as measured: temp shifted by a deterministic noise term."""
-    noise = ((F.col("pid") * NOISE_MULT) % NOISE_MOD) / NOISE_DIV - 1
-    return readings_df.withColumn("temp", F.col("temp") + noise)
+    from scorewatch.operators.prep import measured
+    return measured(readings_df, {"temp": Measure(noise=1.0)}, noise_of())
+
+
+def noise_of(pid: str = "pid") -> F.Column:
+    """The noise term of ``perturb``, in -1 .. 1."""
+    return ((F.col(pid) * NOISE_MULT) % NOISE_MOD) / NOISE_DIV - 1
 
 
 def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,15 +22,15 @@ def refresh_on_arrival(label_stream: DataFrame, labels: Callable[[], DataFrame],
                        predictions: Callable[[], DataFrame], kpi_path: str, checkpoint: str,
                        available_now: bool = True,
                        processing_time: str | None = None,
-                       lag_days: int | None = None) -> StreamingQuery:
+                       locator=None) -> StreamingQuery:
     """Keep the KPI table at ``kpi_path`` current as label files arrive.
 
     ``labels`` / ``predictions`` return the full tables (re-read per batch, so
-    each refresh sees every label that has landed). ``lag_days``: see
-    ``monitor.touched_days``.
+    each refresh sees every label that has landed). ``locator``: see
+    ``monitor.touched_days``; with it a batch costs what its labels and days do.
     """
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        monitor.refresh_kpi(labels(), predictions(), batch, kpi_path, lag_days=lag_days)
+        monitor.refresh_kpi(labels(), predictions(), batch, kpi_path, locator=locator)
 
     w = label_stream.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
     if processing_time:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from scorewatch.operators.training import scoring_counts
 from scorewatch.sources import tables
 from scorewatch.sources.fixtures import readings_from_events
 
@@ -70,6 +71,36 @@ def stream_score(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], pa
     return write_stream(scorer(stream), path, checkpoint, **kw)
 
 
+def score_production(stream: DataFrame, resolve: Callable[[], tuple[str, Callable[[DataFrame], DataFrame]]],
+                     path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Score a readings stream with the run that is in production when a micro-batch comes (C2,
+    C3): ``resolve`` returns its id and scorer, so a promotion takes effect with the next batch and
+    no restart. A batch writes its own folder, so one that is replayed after a failure replaces
+    its rows instead of adding them."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _, scorer = resolve()
+        scorer(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w).start()
+
+
+def observed(stream: DataFrame, features=tables.FEATURES, name: str = "scoring") -> DataFrame:
+    """The stream with counts of the rows that come and of those that scoring skips for a missing
+    feature, observed in flight (T11): see ``observed_counts``."""
+    return stream.observe(name, *scoring_counts(features))
+
+
+def observed_counts(query: StreamingQuery, name: str = "scoring") -> dict[str, int]:
+    """Sums of the observed counts over the micro-batches that the query still reports."""
+    out = {"rows": 0, "skipped": 0}
+    for progress in query.recentProgress:
+        got = progress.observedMetrics.get(name)
+        for k in out:
+            out[k] += got[k] if got is not None else 0
+    return out
+
+
 def swap_model(query: StreamingQuery | None, stream: DataFrame,
                scorer: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
                **kw) -> StreamingQuery:

@@ -246,45 +246,16 @@ def test_refresh_by_version_empty_first_batch_and_missing_table(spark):
     path = fresh_dir(spark, "t-kpi")
     assert monitor.refresh_kpi(labs, preds, labs.limit(0), path, by_version=True) == 0
     assert monitor.read_kpi(spark, path).collect() == []
-    assert monitor.refresh_kpi(labs, preds, labs.limit(0), path, lag_days=3) == 0
-    assert monitor.refresh_kpi(labs, preds, labs, path, by_version=True, lag_days=3) == 2
+    assert monitor.refresh_kpi(labs, preds, labs.limit(0), path) == 0
+    assert monitor.refresh_kpi(labs, preds, labs, path, by_version=True) == 2
     got = monitor.read_kpi(spark, path, by_version=True).orderBy("window_day", "model_version").collect()
     assert [(r.model_version, r.accurate_prediction, r.total) for r in got] == [
         ("a", "Accurate", 1), ("b", "Inaccurate", 1), ("a", "Accurate", 1)]
 
 
-def test_refresh_reads_only_touched_day_folders(spark, tmp_path):
-    from scorewatch.session import fresh_dir
-    from scorewatch.sources import sinks, tables
-    rows = [(i, ts(f"2024-01-{1 + i % 9:02d} 10:00:00"), "1", "a") for i in range(90)]
-    path = fresh_dir(spark, "t-pred")
-    sinks.write_by_day(_pred(spark, rows), path, mode="overwrite")
-    new = _lab(spark, [(3, ts("2024-01-06 00:00:00"), 1)])       # reading of 01-04
-    near = monitor.touched_days(tables.predictions(spark, path), new, lag_days=3)
-    assert [str(r[0]) for r in near.collect()] == ["2024-01-04"]
-    plan = near._jdf.queryExecution().executedPlan().toString()
-    assert "process_day" in plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
-    kpi = fresh_dir(spark, "t-kpi")
-    labels = _lab(spark, [(i, ts("2024-01-12 00:00:00"), 1) for i in range(90)])
-    assert monitor.refresh_kpi(labels, tables.predictions(spark, path), new, kpi, lag_days=3) == 1
-    assert [(str(r.window_day), r["count"]) for r in monitor.read_kpi(spark, kpi).collect()] == [("2024-01-04", 10)]
-
-
-@pytest.mark.parametrize("by_day", [True, False])
-def test_labels_later_than_the_lag_refresh_their_days(spark, by_day):
-    from scorewatch.session import fresh_dir
-    from scorewatch.sources import sinks, tables
-    preds = _pred(spark, [(i, ts(f"2024-01-{i:02d} 10:00:00"), "1", "a") for i in range(1, 13)]
-                  + [(10, ts("2024-01-02 11:00:00"), "0", "a")])         # two days of one pid
-    if by_day:
-        path = fresh_dir(spark, "t-pred")
-        sinks.write_by_day(preds, path, mode="overwrite")
-        preds = tables.predictions(spark, path)
-    first = _lab(spark, [(i, ts(f"2024-01-{i + 1:02d} 00:00:00"), 1) for i in (1, 2, 6, 7)])
-    on_time, late, timeless = (10, ts("2024-01-12 00:00:00"), 1), (1, ts("2024-01-12 00:00:00"), 0), (7, None, 0)
-    for new in ([on_time, late, timeless], [late], [timeless]):
-        kpi, new = fresh_dir(spark, "t-kpi"), _lab(spark, new)
-        labels = first.unionByName(new)
-        monitor.refresh_kpi(first, preds, first, kpi, lag_days=3)
-        monitor.refresh_kpi(labels, preds, new, kpi, lag_days=3)
-        assert sorted(monitor.read_kpi(spark, kpi).collect()) == sorted(monitor.daily_kpi(labels, preds).collect())
+def test_too_many_classes_for_a_pivot_raise(spark, monkeypatch):
+    counts = spark.range(12).selectExpr("'1' AS predicted_quality", "id AS quality", "1L AS count")
+    assert len(monitor.confusion_matrix(counts).columns) == 13
+    monkeypatch.setattr(monitor, "MAX_CLASSES", 11)
+    with pytest.raises(ValueError, match="more than 11"):
+        monitor.confusion_matrix(counts)

@@ -3,6 +3,7 @@
 import random
 
 import pyspark.sql.functions as F
+import pytest
 from pyspark.sql import Window
 
 from scorewatch.operators.ordering import carry_forward, lag_in_order, lead_in_order
@@ -61,3 +62,15 @@ def test_tiny_inputs(spark):
     assert lead_in_order(one, ["t", "seq"], "seq", "n").first()["n"] is None
     empty = one.filter("seq < 0")
     assert lag_in_order(empty, ["t", "seq"], "seq", "p").count() == 0
+
+
+@pytest.mark.parametrize("blocks", [1, 7])
+def test_within_keys_that_block_edges_cut(spark, blocks):
+    rows = [(("a", "b", None, "hot")[3 if i % 3 else i % 4], i * 37 % 101 // 4, i, None if i % 5 else i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, t int, seq int, v int")
+    for name, ours, window in (
+            ("lead", lead_in_order, "lead(v) OVER (PARTITION BY k ORDER BY t, seq)"),
+            ("lag", lag_in_order, "lag(v) OVER (PARTITION BY k ORDER BY t, seq)"),
+            ("carry", carry_forward, "last(v, true) OVER (PARTITION BY k ORDER BY t, seq)")):
+        got = ours(df, ["t", "seq"], "v", "out", blocks=blocks, by=["k"]).select("seq", "out")
+        assert sorted(got.collect()) == sorted(df.selectExpr("seq", f"{window} AS out").collect()), name

@@ -57,7 +57,7 @@ def test_refresh_on_arrival_without_available_now(spark):
     labels, preds = fx.labels(spark, SF_SMALL), fx.predictions(spark, SF_SMALL, "m1")
     sinks.write_batch(labels, src, mode="overwrite")
     q = kpi_stream.refresh_on_arrival(streaming.stream_labels(spark, src), lambda: tables.labels(spark, src),
-                                      lambda: preds, kpi, ckpt, available_now=False, lag_days=3)
+                                      lambda: preds, kpi, ckpt, available_now=False)
     q.processAllAvailable()
     q.stop()
     assert sorted(monitor.read_kpi(spark, kpi).collect()) == sorted(monitor.daily_kpi(labels, preds).collect())

@@ -28,7 +28,7 @@ def test_assembler_skips_null_features(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0), (None, 1.0, 1.0)], "temp double, pressure double,"
                                " duration double")
     assert training.assembler().transform(df).count() == 1    # T11
-    assert training.skipped_rows(df) == 1
+    assert df.agg(*training.scoring_counts()).first().asDict() == {"rows": 2, "skipped": 1}
     assert prep.valid_features(df, ["temp", "pressure", "duration"]).count() == 1
 
 
@@ -119,6 +119,55 @@ def test_forest_and_boosted_fits_on_a_small_grid(spark, tmp_path):
         total = res.confusion.agg(F.sum("count")).first()[0]
         assert total == data.test.dropna(subset=["temp", "pressure", "duration"]).count()
         gappy = fx.noisy(spark, SF_SMALL).withColumn("temp", F.when(F.col("pid") % 4 > 0, F.col("temp")))
-        scored, skipped = scoring.score_counted(model, gappy, rid)
-        assert scored.count() + skipped == gappy.count() and skipped > 0
+        scored, seen = scoring.score_counted(model, gappy, rid)
+        rows = len(scored.collect())
+        assert rows + seen.get["skipped"] == gappy.count() == seen.get["rows"] and seen.get["skipped"] > 0
+    data.release()
+
+
+def test_a_cut_boosted_model_is_the_one_fitted_with_fewer_rounds(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+    from scorewatch.sources import fixtures as fx
+    from tests.conftest import SF_SMALL
+    frame = fx.noisy(spark, SF_SMALL).join(fx.labels(spark, SF_SMALL).select("pid", "quality"), "pid")
+    data = training.prepare(frame, split="hash")
+    fits = {n: Pipeline(stages=training.stages("GBT", {"numTrees": n, "learningRate": 0.2}, data.indexer)).fit(data.train)
+            for n in (3, 8)}
+    cut = training.cut_boosted(fits[8], 3)
+    cut.write().overwrite().save(str(tmp_path / "cut"))
+    cut = PipelineModel.load(str(tmp_path / "cut"))
+    gbt = [m.stages[-2] for m in (cut, fits[3])]
+    assert gbt[0].getNumTrees == 3 and list(gbt[0].treeWeights) == list(gbt[1].treeWeights)
+    assert [t.toDebugString.split("\n", 1)[1] for t in gbt[0].trees] == [t.toDebugString.split("\n", 1)[1] for t in gbt[1].trees]
+    a, b = (m.transform(data.test).select("pid", "predicted_quality", "rawPrediction").orderBy("pid").collect()
+            for m in (cut, fits[3]))
+    assert a == b and len(a) > 0
+    data.release()
+
+
+def test_nested_grids_fit_once_per_rate():
+    groups = training.nested("GBT", training.FAMILIES["GBT"][1])
+    assert len(groups) == 3 and all([p["numTrees"] for p in g] == [50, 25, 10] for g in groups)
+    assert all(len(g) == 1 for g in training.nested("RandomForest", training.FAMILIES["RandomForest"][1]))
+
+
+def test_walk_of_a_saved_model_equals_the_library(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from scorewatch.operators import tree_rows
+    from scorewatch.sources import fixtures as fx
+    from tests.conftest import SF_SMALL
+    frame = fx.noisy(spark, SF_SMALL).join(fx.labels(spark, SF_SMALL).select("pid", "quality"), "pid")
+    data = training.prepare(frame, split="hash")
+    for family, params in (("RandomForest", {"numTrees": 4, "maxDepth": 6}), ("GBT", {"numTrees": 4, "learningRate": 0.3})):
+        path = str(tmp_path / family)
+        Pipeline(stages=training.stages(family, params, data.indexer)).fit(data.train).save(path)
+        got = tree_rows.disagreements(spark, path, frame).first()
+        assert got["rows"] == frame.count() and got["disagreements"] == 0
+        nodes = tree_rows.node_table(spark, path)
+        # a table with one threshold moved does not agree any more
+        top = nodes.withColumn("threshold", F.when(F.col("node") == 0, F.col("threshold") - 30).otherwise(F.col("threshold")))
+        row = frame.withColumn("row", F.monotonically_increasing_id())
+        std = data.train.agg(*[F.stddev_samp(c) for c in training.FEATURES]).first()
+        walks = [tree_rows.walk(n, row, scales=list(std) if family == "GBT" else None) for n in (nodes, top)]
+        assert walks[0].select("row", "prediction").exceptAll(walks[1].select("row", "prediction")).count() > 0
     data.release()

@@ -1,6 +1,9 @@
 """The closed loop on the smallest data: train, promote, stream, retrain, swap."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pyspark.sql.functions as F
+import pytest
 
 from scorewatch.operators import registry
 from scorewatch.plans import workflow
@@ -93,3 +96,32 @@ def test_training_frame_is_written_once_per_round(spark, monkeypatch):
     assert rid is not None and len(seen) == 1
     log = workflow.read_log(spark, paths)
     assert registry.run_params(log, ["model"]).count() == 2 and registry.next_seq(log) == 2
+
+
+def test_two_promotions_at_a_time_leave_one_production_run(spark):
+    paths = workflow.LoopPaths(fresh_dir(spark, "t-loop"))
+    workflow.promote(spark, paths, "old", "t", "2024-01-01 00:00:00")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda r: workflow.promote(spark, paths, r, "t", "2024-01-02 00:00:00"), ["a", "b", "c", "d"]))
+    log = workflow.read_log(spark, paths)
+    assert registry.production_run(log).count() == 1
+    assert sorted(r[0] for r in log.select("seq").distinct().collect()) == [0, 1, 2, 3, 4]
+
+
+def test_lost_and_failed_claims(spark):
+    folder = fresh_dir(spark, "t-claims")
+    empty = spark.createDataFrame([], registry.RUN_LOG_SCHEMA)
+    with pytest.raises(OSError):                                 # nothing appended: the number is free again
+        with registry.claimed(spark, folder, lambda: empty):
+            raise OSError
+    with registry.claimed(spark, folder, lambda: empty) as (seq, _):
+        assert seq == 0
+        with pytest.raises(RuntimeError, match="number 0 .*t-claims"):
+            with registry.claimed(spark, folder, lambda: empty, patience=0.5):
+                pass
+
+
+def test_the_streamed_model_decides_the_window(spark):
+    from scorewatch.plans import catalog
+    m1, m2 = (catalog._streamed_window(spark, SF_SMALL, v).collect() for v in ("m1", "m2"))
+    assert m1 and m1 != m2

@@ -17,10 +17,10 @@ is the share of n, as the unshared ones come first in every order). The orders a
 
 * rarest first (a rounded count, then the number itself): its prefix tokens are the keys
   under which sets meet; sizes and positions must allow the overlap;
-* two orders by differently mixed numbers: 16-bit marks of the first q + ``MORE`` tokens
-  travel along. Similar sets share at least MORE + 1 of them, or their whole overlap if it is
-  smaller (each further token of a prefix is a further one they must share), so a pair
-  with fewer under either order is dropped.
+* two orders by differently mixed numbers: 16-bit marks travel along, in the second order
+  of all tokens, in the third of the first q + ``MORE``. Similar sets share their whole
+  overlap, and at least MORE + 1 of those first ones (each further token of a prefix is a
+  further one they must share), so a pair with fewer under either order is dropped.
 
 What passes all of them is verified on the sets themselves, under the full tokens of the
 other orders first, then by the size of the intersection.
@@ -29,8 +29,8 @@ Groups of near copies. First only neighbours within a key are verified, in two s
 that bring like sets together (the key's rows are range-partitioned, so a hot key is spread). Their links are contracted; from then
 on only pairs across components matter, and keys whose sets are one component drop
 out. A round passes on at most ``budget`` pairs for two components that meet on a key; if
-it held any back, the links found are contracted and the next round looks at these keys
-with a larger budget, until a round holds back nothing: every pair that passes the filters has
+it held any back, the links found are contracted and the next round looks at these keys,
+with a larger budget if there were none, until a round holds back nothing: every pair that passes the filters has
 then been verified or lies within one component. Keys with many sets are dealt out by
 pairs of blocks. No list, component or pair of all documents reaches the driver.
 
@@ -290,16 +290,16 @@ def postings(sets: DataFrame, share: int) -> DataFrame:
 
 
 def marks(sets: DataFrame, share: int) -> DataFrame:
-    """(sig, m0, m1): 16-bit marks of a set's first tokens under the other orders, as many
-    as its prefix and ``MORE``."""
+    """(sig, m0, m1): 16-bit marks of a set's tokens, all of them in the second order and in
+    the third the first of them, as many as its prefix and ``MORE``."""
 
     def run(batches):
         for b in batches:
             token, r = _flat(b.column(2), "<u8")
             q = prefix_size(r, b.column(1).to_numpy(), share)
             parts = np.split(token, np.cumsum(r)[:-1]) if len(r) else []
-            cols = [[(prefix_under(t, int(k) + MORE, f) >> np.uint64(48)).astype("<u2").tobytes()
-                     for t, k in zip(parts, q)] for f in MIX]
+            cols = [[(prefix_under(t, len(t) if f == MIX[0] else int(k) + MORE, f) >> np.uint64(48))
+                     .astype("<u2").tobytes() for t, k in zip(parts, q)] for f in MIX]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.binary()) for c in cols)],
                                              ["sig", "m0", "m1"])
 
@@ -340,10 +340,11 @@ def _across(key, own, token, sig, comp, n, r, pos, marks0, marks1, share: int, b
             cache[i] = [(frozenset(x), len(x)) for x in m]
         return cache[i]
 
-    def share_marks(a, b, least: int) -> bool:
-        """Whether ``least`` tokens of the prefixes can be common under both orders; marks of two
-        tokens of a set may be alike."""
-        return all(len(x & y) + min(nx - len(x), ny - len(y)) >= least for (x, nx), (y, ny) in zip(a, b))
+    def share_marks(a, b, overlap: int) -> bool:
+        """Whether so many tokens can be common under both orders; marks of two tokens of a set
+        may be alike."""
+        return all(len(x & y) + min(nx - len(x), ny - len(y)) >= least
+                   for (x, nx), (y, ny), least in zip(a, b, (overlap, min(overlap, MORE + 1))))
 
     while len(at := at[at + step < len(key)]):
         at = at[key[at] == key[at + step]]
@@ -355,7 +356,7 @@ def _across(key, own, token, sig, comp, n, r, pos, marks0, marks1, share: int, b
         ok = overlap >= need
         for i, j, o in zip(x[ok].tolist(), y[ok].tolist(), need[ok].tolist()):
             two = (int(key[i]), *sorted((int(comp[i]), int(comp[j]))))
-            if used.get(two, 0) > budget or not share_marks(marks_of(i), marks_of(j), min(o, MORE + 1)):
+            if used.get(two, 0) > budget or not share_marks(marks_of(i), marks_of(j), o):
                 continue
             used[two] = used.get(two, 0) + 1
             if used[two] > budget:
@@ -452,13 +453,14 @@ def similar_links(sets: DataFrame, share: int = SHARE, run: int = RUN, budget: i
         comp = components(links)
         pairs = stored(across(posts, marked, comp, share, budget, run), "jaccard-pairs")
         found = stored(verified(pairs, sets, share), "jaccard-links")
-        if found.head(1):
+        some = bool(found.head(1))
+        if some:
             links = links.unionAll(found)
         back = pairs.filter("b IS NULL").select(F.col("a").alias("key"))
         if not back.head(1):
-            return components(links) if found.head(1) else comp
+            return components(links) if some else comp
         posts = stored(posts.join(back, "key", "left_semi"), "jaccard-keys")
-        budget *= GROWTH
+        budget *= 1 if some else GROWTH
 
 
 def jaccard_classes(docs: DataFrame, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text",

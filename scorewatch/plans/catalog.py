@@ -693,7 +693,7 @@ def retrain(spark, sf_dir):
     window = workflow.drift_window(spark, paths, labels, DRIFT_SEEN_AT).first()
     if window is not None:
         rid2 = workflow.train_round(spark, paths, readings, labels, f"{window['start_day']} 00:00:00",
-                                    f"{window['end_day']} 23:59:00", at="2024-01-21 00:30:00")
+                                    DRIFT_SEEN_AT, at="2024-01-21 00:30:00")
         if rid2 is not None:
             workflow.promote(spark, paths, rid2, "scorewatch", "2024-01-21 01:00:00")
     q = workflow.score_stream(spark, paths, stream, query=q, available_now=False)

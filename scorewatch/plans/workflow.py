@@ -64,11 +64,14 @@ def train_round(spark: SparkSession, paths: LoopPaths, readings: DataFrame, labe
                 grids: dict | None = None) -> str | None:
     """Fit the grids of ``families`` on one window, log runs and confusion
     counts at time ``at``, return the best run of the window (searched in the
-    run log; None if there is none). The training frame is prepared once."""
+    run log; None if there is none, as in a window without labelled rows). The training frame
+    is prepared once."""
     key = f"{start} - {end}"
     read = partial(read_log, spark, paths)
     data = training.prepare(training_set(readings, labels, start, end))
     try:
+        if not data.train.head(1):                                   # no label of the window has landed
+            return None
         for fam in families:
             log = read()
             res = training.fit_grid(spark, data, fam, paths.models, window=key, finished=log,

@@ -4,13 +4,12 @@ Two layers. *Pattern rules* are regular expressions with a verdict. Each names
 the literal tokens (lower-case runs of letters and digits) that any matching
 URL must contain; the rule is indexed under the one of its tokens that is
 rarest among the URLs at hand, counted in one map-side combined pass that only
-returns the rules' own tokens. A URL looks its tokens up in that index, and only
-the rules it fetches run their regular expression. *Domain rules* (host, path
-prefix) override: the longest fitting rule wins, and its host key is fetched by
-the host's suffixes. Up to ``LITERAL_RULES`` rules both indexes are literal maps in the
-plan, so a URL is judged inside its own task: no shuffle, no join, no skew. Longer
-rule lists become tables joined on the URL's tokens and host suffixes, with the same
-result; one side has one row per key there, so AQE splits a hot token's URLs.
+returns the rules' own tokens. A URL's tokens fetch the candidate rules, and only
+these run their regular expression. *Domain rules* (host, path prefix) override: the
+longest fitting rule wins, and its host key is fetched by the host's suffixes. Both
+indexes are one stored table with a row per key, joined on the keys of the URLs: keys
+travel without the URL, a small rule table is broadcast by its measured size, and of a
+large one a hot token's URLs are split by AQE. Texts meet their candidates by row.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, fits
 no domain rule, and is judged by the pattern rules on the empty or whole URL; a
@@ -30,8 +29,6 @@ from pyspark.sql import functions as F
 
 from scorewatch.llm.common import ascii_lower, stored, table
 
-LITERAL_RULES = 1000
-
 
 class DomainRule(NamedTuple):
     verdict: str
@@ -54,14 +51,47 @@ DOMAIN_RULES = (
     DomainRule("block", "example.com", "de/"), DomainRule("allow", "org", "fr/"),
 )
 
+class Family(NamedTuple):
+    """Rules of one shape: a rule per pair of an ``a`` and a ``b``."""
+
+    verdict: str
+    regex: str                     # with {a} and {b}, each a run of whole tokens
+    a: tuple[str, ...]
+    b: tuple[str, ...]
+
+    def rules(self) -> list[PatternRule]:
+        return [PatternRule(self.verdict, self.regex.format(a=a, b=b), tuple(sorted({*re.split("_", a), *re.split("_", b)})))
+                for a in self.a for b in self.b]
+
+    def any_of_them(self) -> str:
+        """One regular expression that matches where any rule of the family does."""
+        return self.regex.format(a=f"({'|'.join(self.a)})", b=f"({'|'.join(self.b)})")
+
+
+FAMILIES = (
+    # host labels such as cheap-pills or pills-cheap
+    Family("block", r"://([^/?#]*[.])?({a}-{b}|{b}-{a})[.]",
+           tuple("adult ads best big bonus buy cheap click cool crypto daily diet discount easy extra fake fast free gold "
+                 "hot instant live lucky max mega money nude online porn quick real replica rich royal sexy spam super "
+                 "top turbo vip viral win xxx".split()),
+           tuple("bets bingo brides cams cash casino chips codes coins coupons cracks dating deals downloads escorts farm "
+                 "followers gambling games gifts girls hacks jackpot keygen lenders likes links loans lottery meds movies "
+                 "offers payday pharmacy pills poker popups prizes proxy rewards rolex serials singles slots spins "
+                 "steroids streams surveys torrents track traffic videos viagra warez watches win".split())),
+    # query parameters that name a spam source
+    Family("block", r"[?&]{a}={b}([^a-z0-9_.%+-]|$)",
+           tuple("aff affid campaign click_id partner ref referrer source src utm_campaign utm_medium utm_source".split()),
+           tuple("adfly botnet bulk clickbank doorway linkfarm malware mlm parked phish popunder redirect scam scraper "
+                 "spam spammer splog spyware typosquat warez".split())),
+    # files that count visits
+    Family("block", r"/{a}/{b}[.](gif|png|js)",
+           tuple("ad ads analytics banner banners beacon pixel stats track tracking".split()),
+           tuple("beacon blank clear collect count counter hit pixel spacer tag".split())),
+)
+
 PATTERN_RULES = (
-    PatternRule("block", r"://([^/?#]*[.])?spam-farm[.]", ("spam", "farm")),
-    PatternRule("block", r"://([^/?#]*[.])?cheap-pills[.]", ("cheap", "pills")),
-    PatternRule("block", r"://([^/?#]*[.])?free-casino[.]", ("free", "casino")),
-    PatternRule("block", r"://([^/?#]*[.])?adult-videos[.]", ("adult", "videos")),
-    PatternRule("block", r"[?&]utm_source=spam(&|#|$)", ("utm", "source", "spam")),
+    *(r for f in FAMILIES for r in f.rules()),
     PatternRule("block", r"/ads?/banner/", ("banner",)),
-    PatternRule("block", r"/tracking/pixel[.](gif|png)", ("tracking", "pixel")),
     PatternRule("allow", r"://www[.]example[.]org/", ("www", "example", "org")),
 )
 
@@ -88,12 +118,6 @@ def token_counts(urls: DataFrame, url: Column, tokens: Sequence[str]) -> dict[st
     return {r["token"]: r["count"] for r in got.collect()}
 
 
-def _map(entries: dict[str, Column], value_type: str) -> Column:
-    if not entries:
-        return F.expr(f"cast(map() as map<string,{value_type}>)")
-    return F.create_map(*(x for k, v in entries.items() for x in (F.lit(k), v)))
-
-
 def rarest_token_index(rules: Sequence[PatternRule], counts: dict[str, int]) -> dict[str, list[int]]:
     """token -> numbers of the rules indexed under it (ties: alphabetical)."""
     index: dict[str, list[int]] = {}
@@ -121,62 +145,44 @@ def _fitting(entries: Column, path: Column) -> Column:
     return F.filter(entries, lambda r: F.startswith(path, r["path"]))
 
 
-def _judge_in_place(rows: DataFrame, patterns: dict[str, list], domains: dict[str, list]) -> DataFrame:
-    """The best entry of each kind per URL, from literal maps. Structs order by their
-    first field: the longest rule, a block before an allow."""
-    def literal(index: dict[str, list], entry: str) -> Column:
-        names = [f.split(":")[0] for f in entry[7:-1].split(",")]
-        return _map({k: F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, e))) for e in es))
-                     for k, es in index.items()}, f"array<{entry}>")
-
-    def fetch(index: Column, keys: Column) -> Column:
-        return F.flatten(F.filter(F.transform(keys, lambda k: index[k]), lambda x: x.isNotNull()))
-
-    by_token, by_host = literal(patterns, PATTERN_ENTRY), literal(domains, DOMAIN_ENTRY)
-    return rows.select(
-        "page_id", "host", "path",
-        F.array_max(_fitting(fetch(by_host, suffixes_of(F.col("host"))), F.col("path"))).alias("won"),
-        F.array_max(_matching(fetch(by_token, tokens_of(F.col("low"))), F.col("low"))).alias("hit"))
-
-
-def _judge_by_join(rows: DataFrame, patterns: dict[str, list], domains: dict[str, list]) -> DataFrame:
-    """The same from tables: one row per index key, joined on the URLs' keys."""
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "url-rows")
-
-    def best(keys: Column, index: dict[str, list], entry: str, keep, name: str) -> DataFrame:
-        rules = rows.sparkSession.createDataFrame(list(index.items()), f"key string, entries array<{entry}>")
-        asked = rows.select("row", "low", "path", F.explode(keys).alias("key"))
-        return (asked.join(stored(rules, "url-rules"), "key")
-                .select("row", F.array_max(keep(F.col("entries"))).alias(name)).filter(F.col(name).isNotNull())
-                .groupBy("row").agg(F.max(name).alias(name)))
-
-    won = best(suffixes_of(F.col("host")), domains, DOMAIN_ENTRY, lambda e: _fitting(e, F.col("path")), "won")
-    hit = best(tokens_of(F.col("low")), patterns, PATTERN_ENTRY, lambda e: _matching(e, F.col("low")), "hit")
-    return rows.join(won, "row", "left").join(hit, "row", "left").select("page_id", "host", "path", "won", "hit")
+def _rule_table(spark: SparkSession, patterns: dict[str, list], domains: dict[str, list]) -> DataFrame:
+    """One row per index key: ``t:`` and a token, or ``h:`` and a host."""
+    keys = [(f"t:{k}", e, []) for k, e in patterns.items()] + [(f"h:{k}", [], e) for k, e in domains.items()]
+    return stored(spark.createDataFrame(
+        keys, f"key string, patterns array<{PATTERN_ENTRY}>, domains array<{DOMAIN_ENTRY}>"), "url-rules")
 
 
 def url_filter(pages: DataFrame, domain_rules: Sequence[DomainRule] = DOMAIN_RULES,
                pattern_rules: Sequence[PatternRule] = PATTERN_RULES, id_col: str = "page_id",
-               url_col: str = "url", literal_rules: int = LITERAL_RULES) -> DataFrame:
+               url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule (of the domain rule that won), verdict, pattern
     (the regular expression that decided, if one matched)."""
     for r in pattern_rules:
         if not r.tokens or not all(re.fullmatch("[a-z0-9]+", t) for t in r.tokens):
             raise ValueError(f"rule {r.regex!r} needs lower-case literal tokens")
     url = F.col(url_col)
-    tokens = sorted({t for r in pattern_rules for t in r.tokens})
-    index = rarest_token_index(pattern_rules, token_counts(pages, url, tokens))
+    rows = stored(pages.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), host_of(url).alias("host"),
+        path_of(url).alias("path"), ascii_lower(F.coalesce(url, F.lit(""))).alias("low")), "url-rows")
+    counts = token_counts(rows, F.col("low"), sorted({t for r in pattern_rules for t in r.tokens}))
     patterns = {t: [(pattern_rules[i].verdict == "block", pattern_rules[i].regex) for i in ids]
-                for t, ids in index.items()}
+                for t, ids in rarest_token_index(pattern_rules, counts).items()}
     domains: dict[str, list] = {}
     for r in domain_rules:
         domains.setdefault(r.host, []).append((len(r.name), r.name, r.verdict, "/" + r.path))
 
-    rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"),
-                        ascii_lower(F.coalesce(url, F.lit(""))).alias("low"))
-    judge = _judge_in_place if len(domain_rules) + len(pattern_rules) <= literal_rules else _judge_by_join
+    keys = F.concat(F.transform(tokens_of(F.col("low")), lambda t: F.concat(F.lit("t:"), t)),
+                    F.transform(suffixes_of(F.col("host")), lambda h: F.concat(F.lit("h:"), h)))
+    fetched = (rows.select("row", F.explode(keys).alias("key"))
+               .join(_rule_table(pages.sparkSession, patterns, domains), "key")
+               .groupBy("row").agg(F.flatten(F.collect_list("patterns")).alias("patterns"),
+                                   F.flatten(F.collect_list("domains")).alias("domains")))
+    # structs order by their first field: the longest rule, a block before an allow
+    judged = rows.join(fetched, "row", "left").select(
+        "page_id", "host", "path", F.array_max(_fitting(F.col("domains"), F.col("path"))).alias("won"),
+        F.array_max(_matching(F.col("patterns"), F.col("low"))).alias("hit"))
     by_pattern = F.when(F.col("hit.block"), "block").otherwise("allow")
-    return judge(rows, patterns, domains).select(
+    return judged.select(
         "page_id", "host", "path", F.col("won.name").alias("rule"),
         F.coalesce(F.col("won.verdict"), by_pattern).alias("verdict"), F.col("hit.regex").alias("pattern"))
 
@@ -187,8 +193,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     lit = lambda s: "'" + s.replace("'", "''") + "'"
-    block = " OR ".join(f"regexp_matches(low, {lit(r.regex)})"
-                        for r in PATTERN_RULES if r.verdict == "block")
+    of_family = {r for f in FAMILIES for r in f.rules()}
+    block = [f.any_of_them() for f in FAMILIES if f.verdict == "block"]
+    block += [r.regex for r in PATTERN_RULES if r.verdict == "block" and r not in of_family]
+    block = " OR ".join(f"regexp_matches(low, {lit(r)})" for r in block)
     rules = ", ".join(f"({lit(r.name)}, {lit(r.verdict)}, {lit(r.host)}, {lit('/' + r.path)})"
                       for r in DOMAIN_RULES)
     return rf"""

@@ -38,6 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorewatch.llm.common import python_tasks, stored, table
 
@@ -307,72 +308,62 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT,
-           chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, ids) of every document, equal to the library's ids of the whole text."""
+def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, giant: int, chunk: int) -> DataFrame:
+    """(doc_id, text, ids) of every document."""
     def run(batches):
         m = model(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([m.encode(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))],
-                ["doc_id", "ids"])
+                [b.column(0), b.column(1), pa.array([m.encode(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))],
+                ["doc_id", "text", "ids"])
 
     rows = _rows(docs, id_col, text_col)
-    small = rows.filter(F.length("text") <= giant).mapInArrow(run, "doc_id long, ids array<int>")
-    return small.unionByName(_giants(rows, path, giant, chunk).select("doc_id", "ids"))
+    small = rows.filter(F.length("text") <= giant).mapInArrow(run, "doc_id long, text string, ids array<int>")
+    return small.unionByName(_giants(rows, path, giant, chunk))
 
 
-def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, text) of every row of ids; null ids count as none."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT,
+           chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, ids) of every document, equal to the library's ids of the whole text."""
+    return _encoded(docs, path, id_col, text_col, giant, chunk).select("doc_id", "ids")
+
+
+def _decoded(tokens: DataFrame, path: str) -> DataFrame:
+    """``tokens`` (its column ``ids``) with the decoded text and the CRC-32 of the ids
+    (little-endian unsigned 32-bit) as ``decoded`` and ``ids_crc32``."""
+    names = [*tokens.columns, "decoded", "ids_crc32"]
+    at = tokens.columns.index("ids")
+
     def run(batches):
         m = model(path)
         for b in batches:
+            ids = b.column(at).to_pylist()
+            crc = [zlib.crc32(np.asarray(x or [], dtype="<u4").tobytes()) for x in ids]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([m.decode(x or []) for x in b.column(1).to_pylist()], pa.string())],
-                ["doc_id", "text"])
+                [*b.columns, pa.array([m.decode(x or []) for x in ids], pa.string()), pa.array(crc, pa.int64())], names)
 
     python_tasks(tokens.sparkSession)
-    return tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")) \
-        .mapInArrow(run, "doc_id long, text string")
+    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.StringType()),
+                                                T.StructField("ids_crc32", T.LongType())]))
 
 
-DIGEST = "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long, round_trip boolean"
-
-
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT,
-            chunk: int = CHUNK) -> DataFrame:
-    """Encode and decode every document; per document the number of ids, CRC-32 of the
-    ids (little-endian unsigned 32-bit) and of the decoded text, and whether the decoded
-    text is the text. Ids stay in the tasks that made them."""
-    def row(m: Model, doc_id, text: str, ids) -> tuple:
-        back = m.decode(list(ids))
-        return (doc_id, len(ids), zlib.crc32(np.asarray(ids, dtype="<u4").tobytes()),
-                zlib.crc32(back.encode()), back == text)
-
-    def out(rows):
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
-                                          [x.split()[0] for x in DIGEST.split(", ")])
-
-    def small(batches):
-        m = model(path)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            if texts:
-                yield out([row(m, d, t, m.encode(t)) for d, t in zip(b.column(0).to_pylist(), texts)])
+def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(doc_id, text) of every row of ids; null ids count as none."""
+    rows = tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    return _decoded(rows, path).select("doc_id", F.col("decoded").alias("text"))
 
-    def big(batches):
-        m = model(path)
-        for b in batches:
-            if b.num_rows:
-                yield out([row(m, *x) for x in zip(*(b.column(i).to_pylist() for i in range(3)))])
 
-    rows = _rows(docs, id_col, text_col)
-    short = rows.filter(F.length("text") <= giant).mapInArrow(small, DIGEST)
-    return short.unionByName(_giants(rows, path, giant, chunk).mapInArrow(big, DIGEST))
+def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT,
+                chunk: int = CHUNK) -> DataFrame:
+    """Encode every document and decode its ids: doc_id, n_tokens, ids, their CRC-32, the
+    decoded text's CRC-32, and whether the decoded text is the text."""
+    back = _decoded(_encoded(docs, path, id_col, text_col, giant, chunk), path)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "ids_crc32",
+                       F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
+                       (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

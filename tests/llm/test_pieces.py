@@ -60,14 +60,23 @@ def test_operator_round_trips_and_equals_the_library(spark, sp):
     assert got == {i: sp.encode(t or "") for i, t in enumerate(texts)}
     back = {r.doc_id: r.text for r in pieces.decode(pieces.encode(frame, PATH), PATH).collect()}
     assert back == {i: sp.decode(sp.encode(t or "")) or "" for i, t in enumerate(texts)}
-    for r in pieces.digests(frame, PATH).collect():
+    for r in pieces.round_trips(frame, PATH, giant=900, chunk=300).collect():
         ids = sp.encode(texts[r.doc_id] or "")
+        assert r.ids == ids
         assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert r.decoded_crc32 == zlib.crc32(back[r.doc_id].encode())
         assert r.round_trip == (back[r.doc_id] == (texts[r.doc_id] or ""))
 
 
 def test_empty_table_and_null_ids(spark):
-    assert pieces.digests(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+    assert pieces.round_trips(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
     rows = pieces.encode(spark.createDataFrame([(None, "a"), (None, "a")], "doc_id long, text string"), PATH).collect()
     assert len(rows) == 2 and rows[0] == rows[1]
     assert pieces.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), PATH).first().text == ""
+
+
+def test_extra_columns_with_the_names_of_the_result(spark, sp):
+    rows = [(7, "a word", "x", 1, 2, True), (7, "a word", "y", 1, 2, False), (8, None, None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, decoded string, ids_crc32 int, rid int, round_trip boolean")
+    got = pieces.round_trips(frame, PATH).collect()
+    assert sorted((r.doc_id, r.ids, r.round_trip) for r in got) == [(7, sp.encode("a word"), True)] * 2 + [(8, [], True)]

@@ -17,10 +17,11 @@ is the share of n, as the unshared ones come first in every order). The orders a
 
 * rarest first (a rounded count, then the number itself): its prefix tokens are the keys
   under which sets meet; sizes and positions must allow the overlap;
-* two orders by differently mixed numbers: 16-bit marks travel along, in the second order
-  of all tokens, in the third of the first q + ``MORE``. Similar sets share their whole
-  overlap, and at least MORE + 1 of those first ones (each further token of a prefix is a
-  further one they must share), so a pair with fewer under either order is dropped.
+* two orders by differently mixed numbers. Of the second, a bitmap of all tokens travels
+  along: a bit of one set that the other lacks is a token it lacks, so too many of them
+  leave no room for the overlap. Of the third, 16-bit marks of the first q + ``MORE``:
+  similar sets share at least MORE + 1 of those (each further token of a prefix is a
+  further one they must share). A pair that fails under either order is dropped.
 
 What passes all of them is verified on the sets themselves, under the full tokens of the
 other orders first, then by the size of the intersection.
@@ -61,6 +62,7 @@ CHUNK = 1 << 21             # shingles of a chunk
 BUCKET_BYTES = 24 << 20     # text bytes whose shingles make a bucket, about
 RUN = 2048                  # sets of one key compared in one go
 MORE = 64                   # tokens beyond a prefix whose marks travel along
+SPREAD = 3                  # bits of a set's bitmap per token, at least
 BUDGET = 1                  # pairs per key and two components in the first round
 GROWTH = 16
 NARROW = 16_384             # rows of an Arrow batch without texts
@@ -173,8 +175,9 @@ def packed(docs: DataFrame, buckets: int, id_col: str, text_col: str, width: int
     return rows.mapInArrow(run, PACKED)
 
 
-COMMON = "doc_id long, sig long, n int, part int, sigs binary, counts binary, tokens binary, rounded binary"
-COMMON_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+COMMON = ("doc_id long, sig long, n int, part int, bucket int, sigs binary, counts binary, tokens binary, "
+          "rounded binary")
+COMMON_TYPES = [pa.int64(), pa.int64(), *[pa.int32()] * 3, *[pa.binary()] * 4]
 PART_BITS = 2**31 - 1       # of a set's number, the bits that choose its part
 
 
@@ -193,7 +196,7 @@ def common(rows: DataFrame, buckets: int) -> DataFrame:
         out = made({c: docs[c] for c in ("doc_id", "sig", "n")}, docs.num_rows)
         if not t.num_rows:
             return out
-        token = _from_six(_flat(t["tokens"], "V6")[0]) * np.uint64(buckets) + np.uint64(bucket)
+        token = _from_six(_flat(t["tokens"], "V6")[0])
         counts, _ = _flat(t["counts"], "<u4")
         sig = np.repeat(_flat(t["sigs"], "<u8")[0], counts)
         order = np.lexsort((sig, token))
@@ -214,9 +217,9 @@ def common(rows: DataFrame, buckets: int) -> DataFrame:
         which, first, sets = np.unique(part[at], return_index=True, return_counts=True)
         sums = np.add.reduceat(lens, first)
         rounded = np.minimum(255, np.round(8 * np.log2(df))).astype(np.uint8)
-        found = made({"part": pa.array(which, pa.int32()), "sigs": _binary(sig[at], sets),
-                      "counts": _binary(lens.astype("<u4"), sets), "tokens": _binary(token, sums),
-                      "rounded": _binary(rounded, sums)}, len(which))
+        found = made({"part": pa.array(which, pa.int32()), "bucket": pa.array([bucket] * len(which), pa.int32()),
+                      "sigs": _binary(sig[at], sets), "counts": _binary(lens.astype("<u4"), sets),
+                      "tokens": _binary(_six(token), sums), "rounded": _binary(rounded, sums)}, len(which))
         return pa.concat_tables([out, found])
 
     return rows.groupBy("bucket").applyInArrow(run, COMMON)
@@ -232,7 +235,9 @@ def reduced(found: DataFrame, sets: DataFrame, buckets: int, share: int) -> Data
         place = np.argsort(name)
         sig, _ = _flat(left["sigs"], "<i8")
         counts, _ = _flat(left["counts"], "<u4")
-        token, df = _flat(left["tokens"], "<u8")[0], _flat(left["rounded"], "u1")[0]
+        token, sums = _flat(left["tokens"], "V6")
+        token = _from_six(token) * np.uint64(buckets) + np.repeat(left["bucket"].to_numpy().astype(np.uint64), sums)
+        df = _flat(left["rounded"], "u1")[0]
         row = np.repeat(place[np.searchsorted(name, sig, sorter=place)] if len(sig) else np.zeros(0, np.int64), counts)
         order = np.lexsort((token, df, row))
         size = right["n"].to_numpy()
@@ -241,7 +246,7 @@ def reduced(found: DataFrame, sets: DataFrame, buckets: int, share: int) -> Data
         return pa.table([pa.array(name[keep]), pa.array(size[keep], pa.int32()),
                          _binary(token[order][np.repeat(keep, r)], r[keep])], names=["sig", "n", "tokens"])
 
-    rows = found.filter("part IS NOT NULL").select("part", "sigs", "counts", "tokens", "rounded")
+    rows = found.filter("part IS NOT NULL").select("part", "bucket", "sigs", "counts", "tokens", "rounded")
     part = (F.col("sig").bitwiseAND(F.lit(PART_BITS)) % buckets).cast("int")
     named = sets.select(part.alias("part"), "sig", "n")
     return rows.groupBy("part").cogroup(named.groupBy("part")).applyInArrow(run, SETS)
@@ -289,23 +294,47 @@ def postings(sets: DataFrame, share: int) -> DataFrame:
         run, "key long, near0 long, near1 long, sig long, n int, r int, pos int")
 
 
+def bitmap(token: np.ndarray) -> bytes:
+    """The bits named by the low digits of the tokens' numbers in the second order; their
+    number is a power of two, at least ``SPREAD`` a token."""
+    bits = max(8, 1 << int(SPREAD * len(token) - 1).bit_length())
+    flags = np.zeros(bits, dtype=np.uint8)
+    flags[(mixed(token, MIX[0]) & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def folded(bits: int, size: int, to: int) -> int:
+    """A bitmap of ``size`` bits as one of ``to`` bits: the lower digits only."""
+    while size > to:
+        size //= 2
+        bits = (bits | bits >> size) & ((1 << size) - 1)
+    return bits
+
+
 def marks(sets: DataFrame, share: int) -> DataFrame:
-    """(sig, m0, m1): 16-bit marks of a set's tokens, all of them in the second order and in
-    the third the first of them, as many as its prefix and ``MORE``."""
+    """(sig, m0, m1): the bitmap of a set's tokens in the second order, and 16-bit marks of
+    the first of them in the third, as many as its prefix and ``MORE``."""
 
     def run(batches):
         for b in batches:
             token, r = _flat(b.column(2), "<u8")
             q = prefix_size(r, b.column(1).to_numpy(), share)
             parts = np.split(token, np.cumsum(r)[:-1]) if len(r) else []
-            cols = [[(prefix_under(t, len(t) if f == MIX[0] else int(k) + MORE, f) >> np.uint64(48))
-                     .astype("<u2").tobytes() for t, k in zip(parts, q)] for f in MIX]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.binary()) for c in cols)],
-                                             ["sig", "m0", "m1"])
+            ends = [(prefix_under(t, int(k) + MORE, MIX[1]) >> np.uint64(48)).astype("<u2").tobytes()
+                    for t, k in zip(parts, q)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bitmap(t) for t in parts], pa.binary()),
+                                              pa.array(ends, pa.binary())], ["sig", "m0", "m1"])
 
     return sets.select("sig", "n", "tokens").mapInArrow(run, "sig long, m0 binary, m1 binary")
 
 
+def room(x: tuple[int, int, int], y: tuple[int, int, int]) -> int:
+    """How many tokens two sets (bitmap, its size, tokens) can share at most."""
+    to = min(x[1], y[1])
+    a, b = folded(x[0], x[1], to), folded(y[0], y[1], to)
+    return min(x[2] - (a & ~b).bit_count(), y[2] - (b & ~a).bit_count())
+
+
 def similar_size(a: np.ndarray, b: np.ndarray, share: int) -> np.ndarray:
     return 100 * np.minimum(a, b).astype(np.int64) >= share * np.maximum(a, b).astype(np.int64)
 
@@ -336,15 +365,16 @@ def _across(key, own, token, sig, comp, n, r, pos, marks0, marks1, share: int, b
 
     def marks_of(i):
         if i not in cache:
-            m = [np.frombuffer(x[i], "<u2").tolist() for x in (marks0, marks1)]
-            cache[i] = [(frozenset(x), len(x)) for x in m]
+            first = np.frombuffer(marks1[i], "<u2").tolist()
+            cache[i] = (int.from_bytes(marks0[i], "little"), 8 * len(marks0[i]), int(r[i])), frozenset(first), len(first)
         return cache[i]
 
     def share_marks(a, b, overlap: int) -> bool:
         """Whether so many tokens can be common under both orders; marks of two tokens of a set
         may be alike."""
-        return all(len(x & y) + min(nx - len(x), ny - len(y)) >= least
-                   for (x, nx), (y, ny), least in zip(a, b, (overlap, min(overlap, MORE + 1))))
+        (all_x, x, nx), (all_y, y, ny) = a, b
+        return (room(all_x, all_y) >= overlap
+                and len(x & y) + min(nx - len(x), ny - len(y)) >= min(overlap, MORE + 1))
 
     while len(at := at[at + step < len(key)]):
         at = at[key[at] == key[at + step]]

@@ -105,3 +105,19 @@ def test_orders_are_one_to_one_and_share_a_prefix_token():
 
 def test_no_rows(spark):
     assert jaccard.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_the_bitmap_never_hides_a_shared_token():
+    rng = np.random.default_rng(6)
+
+    def side(t):
+        b = jaccard.bitmap(t)
+        return int.from_bytes(b, "little"), 8 * len(b), len(t)
+
+    for _ in range(300):
+        shared, a, b = (rng.integers(0, 2**63, int(rng.integers(0 if i else 1, 400)), dtype=np.uint64) for i in range(3))
+        x, y = np.unique(np.concatenate([shared, a])), np.unique(np.concatenate([shared, b]))
+        both = len(np.intersect1d(x, y))
+        assert both <= jaccard.room(side(x), side(y)) == jaccard.room(side(y), side(x)) <= min(len(x), len(y))
+    x, y = (rng.integers(0, 2**63, 1000, dtype=np.uint64) for _ in range(2))
+    assert jaccard.room(side(x), side(y)) < 400                  # unlike sets are told apart

@@ -20,6 +20,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from typing import NamedTuple
@@ -148,8 +149,11 @@ def _fitting(entries: Column, path: Column) -> Column:
 def _rule_table(spark: SparkSession, patterns: dict[str, list], domains: dict[str, list]) -> DataFrame:
     """One row per index key: ``t:`` and a token, or ``h:`` and a host."""
     keys = [(f"t:{k}", e, []) for k, e in patterns.items()] + [(f"h:{k}", [], e) for k, e in domains.items()]
-    return stored(spark.createDataFrame(
-        keys, f"key string, patterns array<{PATTERN_ENTRY}>, domains array<{DOMAIN_ENTRY}>"), "url-rules")
+    kind = f"array<struct<key:string,patterns:array<{PATTERN_ENTRY}>,domains:array<{DOMAIN_ENTRY}>>>"
+    entries = [{"key": k, "patterns": [dict(zip(("block", "regex"), e)) for e in p],
+                "domains": [dict(zip(("size", "name", "verdict", "path"), e)) for e in d]} for k, p, d in keys]
+    # a literal that the JVM reads itself: a frame from a Python list would start Python workers
+    return stored(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(entries)), kind))), "url-rules")
 
 
 def url_filter(pages: DataFrame, domain_rules: Sequence[DomainRule] = DOMAIN_RULES,

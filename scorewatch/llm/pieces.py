@@ -337,10 +337,12 @@ def _decoded(tokens: DataFrame, path: str) -> DataFrame:
     def run(batches):
         m = model(path)
         for b in batches:
-            ids = b.column(at).to_pylist()
-            crc = [zlib.crc32(np.asarray(x or [], dtype="<u4").tobytes()) for x in ids]
+            flat, edge = b.column(at).values.to_numpy(), b.column(at).offsets.to_numpy()
+            ids = [flat[i:j] for i, j in zip(edge, edge[1:])]            # of a null: none
+            crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([m.decode(x or []) for x in ids], pa.string()), pa.array(crc, pa.int64())], names)
+                [*b.columns, pa.array([m.decode(x.tolist()) for x in ids], pa.string()), pa.array(crc, pa.int64())],
+                names)
 
     python_tasks(tokens.sparkSession)
     return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.StringType()),
@@ -348,8 +350,9 @@ def _decoded(tokens: DataFrame, path: str) -> DataFrame:
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(doc_id, text) of every row of ids; null ids count as none."""
-    rows = tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    """(doc_id, text) of every row of ids; null ids count as none, in a row as well."""
+    rows = tokens.select(F.col(id_col).cast("long").alias("doc_id"),
+                         F.array_compact(F.col(ids_col).cast("array<int>")).alias("ids"))
     return _decoded(rows, path).select("doc_id", F.col("decoded").alias("text"))
 
 

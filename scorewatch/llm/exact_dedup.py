@@ -1,14 +1,17 @@
 """Exact deduplication by a tree merge of sorted digest runs (native).
 
 Every input partition is one *run*: its rows, reduced to (digest, smallest
-row, count) and sorted by digest. Runs merge in binomial rounds of ``fan_in``
-runs each: a round is one aggregation keyed by (parent run, digest), so a
-parent run is itself spread over all tasks by digest. An entry keeps the
-smallest identifier and the group size; entries merge only when SHA-256, byte
-length and XXH64 of the normalised text all agree. The last round leaves one
-logical run. Groups of two or more then walk back down the tree, so that a row
-learns its group through its own run: a group holding a third of all rows is
-spread over as many join keys as there are partitions.
+row, count) and sorted by digest. The runs are exchanged once, by digest range, so
+that all rounds share the same ranges, and each range is sorted by digest and by
+place in the merge tree. A round then merges ``fan_in`` neighbouring runs each: a
+sorted aggregation by (digest, parent run), for which range and order already
+fit, so that no round exchanges or sorts again and all of them stream through one
+stage. An entry keeps the smallest identifier and the group size; entries merge
+only when SHA-256, byte length and XXH64 of the normalised text all agree. The last
+round leaves one run. A digest has at most one entry per run, however many rows
+hold it. Groups of two or more return to the runs that hold them, and a row learns its
+group through its own run: a group holding a third of all rows is spread over
+as many join keys as there are partitions.
 
 Defined cases: a null text counts as empty; a null id sorts after every other
 id; of equal texts with equal smallest ids (repeated rows) exactly one row is
@@ -36,11 +39,22 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.octet_length("norm").cast("long").alias("n_bytes"), F.xxhash64("norm").alias("check"))
 
 
-def merge_round(entries: DataFrame, fan_in: int) -> DataFrame:
-    """Merge ``fan_in`` neighbouring runs into one, sorted by digest."""
-    return (entries.groupBy(F.floor(F.col("run") / fan_in).cast("int").alias("run"), *KEY)
-            .agg(F.min("first").alias("first"), F.sum("n").alias("n"))
-            .sortWithinPartitions("run", *KEY))
+def merged(entries: DataFrame, runs: int, fan_in: int) -> DataFrame:
+    """The ``runs`` runs of ``entries(run, KEY, first, n)`` merged into one, in rounds of
+    ``fan_in`` neighbours. ``up_k`` is an entry's run after round k; with the widest first,
+    the rows sorted for one round are sorted for the next."""
+    widths = [fan_in]
+    while widths[-1] < runs:
+        widths.append(widths[-1] * fan_in)
+    tree = [f"up_{k}" for k in reversed(range(len(widths)))]
+    level = entries.select(
+        *KEY, "first", "n",
+        *[F.floor(F.col("run") / w).cast("long").alias(f"up_{k}") for k, w in enumerate(widths)])
+    level = level.repartitionByRange("sha")
+    while tree:
+        level = level.groupBy(*KEY, *tree).agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+        tree.pop()
+    return level.select(*KEY, "first", "n")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -51,18 +65,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     level = stored(rows.groupBy("run", *KEY).agg(F.min(first).alias("first"),
                                                  F.count(F.lit(1)).alias("n"))
                    .sortWithinPartitions("run", *KEY), "digest-runs")
-    levels = [level]
     runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
-    while runs > 1:
-        level = stored(merge_round(level, fan_in), "digest-runs")
-        levels.append(level)
-        runs = -(-runs // fan_in)
-    groups = levels.pop().filter("n > 1")
-    while levels:                                   # back down, repeated digests only
-        up = groups.select(F.col("run").alias("up"), *KEY, "first", "n")
-        groups = (levels.pop().select("run", F.floor(F.col("run") / fan_in).cast("int").alias("up"),
-                                      *KEY)
-                  .join(up, ["up", *KEY]).select("run", *KEY, "first", "n"))
+    repeated = merged(level, runs, fan_in).filter("n > 1")
+    groups = level.select("run", *KEY).join(repeated, KEY).select("run", *KEY, "first", "n")
     return (rows.join(stored(groups, "digest-groups"), ["run", *KEY], "left").select(
         "doc_id",
         F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),

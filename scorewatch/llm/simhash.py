@@ -16,9 +16,14 @@ A segment with at most one error is matched through the perfect binary Golay cod
 codewords within distance four - one codeword, or six of them when the nearest
 lies at distance three. If x and y differ in one bit at most, the nearest codeword
 of x is within distance four of y, so x stores its nearest index and y probes
-all of its own. Keys are (error-free segment, index of another segment), six
-tables, and (index of the first, index of the second), one table; rows that meet
-on a key are verified by counting differing bits of the whole fingerprints.
+all of its own. One error changes a segment's parity, so the parity says who does
+which: even segments store, odd ones probe (equal segments do the same and meet).
+Keys are (error-free segment, index of another segment), six tables of 33 and 34
+bits, and for one error in every segment (index of the first, index of the second,
+one half of the third, the two sums of neighbouring parities), two tables of 37 bits:
+the third segment's error leaves one of its halves alone, and three changed
+parities leave their sums. Rows that meet on a key are verified by counting
+differing bits of the whole fingerprints.
 
 Scale: only distinct fingerprints enter, so copies cost nothing. Rows go to tasks
 by key and are compared run by run in vectorised steps; a task passes on a
@@ -130,6 +135,7 @@ def keys_of(fps: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of every key of every fingerprint; keys are unsigned 64-bit."""
     seg = [(fps >> np.uint64(at)) & np.uint64((1 << n) - 1) for at, n in SEGMENTS]
     index = [golay.indices(s) for s in seg]
+    parity = [np.bitwise_count(s) & np.uint8(1) for s in seg]
     rows, keys = [], []
     everyone = np.arange(len(fps))
     tag = 0
@@ -138,16 +144,25 @@ def keys_of(fps: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
             if i != j:
                 for c in range(6):
                     ok = index[j][:, c] >= 0
+                    if c:                                    # even segments store the nearest only
+                        ok &= parity[j] == 1
                     rows.append(everyone[ok])
                     keys.append(np.uint64(tag << 40) | (seg[i][ok] << np.uint64(12))
                                 | index[j][ok, c].astype(np.uint64))
                 tag += 1
-    for c in range(6):
-        for d in range(6):
-            ok = (index[0][:, c] >= 0) & (index[1][:, d] >= 0)
-            rows.append(everyone[ok])
-            keys.append(np.uint64(tag << 40) | (index[0][ok, c].astype(np.uint64) << np.uint64(12))
-                        | index[1][ok, d].astype(np.uint64))
+    sums = ((parity[0] ^ parity[1]) << 1 | parity[1] ^ parity[2]).astype(np.uint64)
+    halves = (seg[2] & np.uint64(2047), seg[2] >> np.uint64(11))
+    for half in halves:
+        rest = half << np.uint64(2) | sums
+        for c in range(6):
+            for d in range(6):
+                ok = (index[0][:, c] >= 0) & (index[1][:, d] >= 0)
+                if c or d:
+                    ok &= parity[0] == 1
+                rows.append(everyone[ok])
+                keys.append(np.uint64(tag << 40) | (index[0][ok, c].astype(np.uint64) << np.uint64(25))
+                            | (index[1][ok, d].astype(np.uint64) << np.uint64(13)) | rest[ok])
+        tag += 1
     return np.concatenate(rows), np.concatenate(keys)
 
 

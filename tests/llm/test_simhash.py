@@ -35,6 +35,30 @@ def test_every_pair_within_three_bits_shares_a_key():
         assert set(key[row == 0]) & set(key[row == 1])
 
 
+def test_one_error_in_every_segment_shares_a_key():
+    golay = simhash.Golay()
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    y = x.copy()
+    for at, n in simhash.SEGMENTS:
+        y ^= np.uint64(1) << (rng.integers(0, n, len(x)) + at).astype(np.uint64)
+    row, key = simhash.keys_of(np.concatenate([x, y]), golay)
+    owner = row % len(x)
+    mine, theirs = ({*zip(owner[side].tolist(), key[side].tolist())} for side in (row < len(x), row >= len(x)))
+    assert {o for o, _ in mine & theirs} == set(range(len(x)))
+
+
+def test_unrelated_fingerprints_seldom_meet():
+    rng = np.random.default_rng(6)
+    fps = rng.integers(0, 1 << 64, 200_000, dtype=np.uint64)
+    row, key = (np.concatenate(x) for x in zip(*(
+        (r + at, k) for at in range(0, len(fps), 20_000)
+        for r, k in [simhash.keys_of(fps[at:at + 20_000], simhash.Golay())])))
+    assert len(key) < 52 * len(fps)
+    _, n = np.unique(key, return_counts=True)
+    assert (n * (n - 1) // 2).sum() < 0.01 * len(fps)
+
+
 def texts():
     rnd = random.Random(3)
     vocab = [f"w{i}" for i in range(400)]
